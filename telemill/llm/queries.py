@@ -18,6 +18,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.warc import archive, read
+
+    folder = archive(table(spark, sf_dir, "pages"))
+    names = "page_id long, record_type string, payload_bytes long, actual_digest string, refers_to long"
+    return read(spark, folder, names).select("page_id", "payload_bytes", F.col("actual_digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from telemill.llm.media import store, with_features
 
@@ -26,6 +34,12 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
