@@ -48,3 +48,11 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows:
 
     rows = right.count() if rows is None else rows
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge"), on, how)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing names any more: it does so when the driver's JVM collects."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
