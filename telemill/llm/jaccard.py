@@ -226,12 +226,11 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int =
         own, kept = None, set()
         for b in batches:
             out = []
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+            for x, y in zip(b.column(2), b.column(3), strict=True):
                 x = x.as_py()
                 if x != own:
                     own, kept = x, exact(x, n)
                 out.append(linked(kept, exact(y.as_py(), n), percent))
-                del i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
 
     return written(both.mapInArrow(run, "a long, b long").distinct(), "links")

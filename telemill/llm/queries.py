@@ -32,6 +32,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, folder, names).select("page_id", "payload_bytes", F.col("actual_digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from telemill.llm.media import store, with_features
 
@@ -63,6 +69,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs, F.coalesce(~held_out, F.lit(True)))).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.secrets import scan
+
+    rows = scan(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode("findings").alias("nth", "f"))
+    return rows.select("doc_id", "nth", F.sha2("f.value", 256).alias("value_sha256"), F.length("f.value").alias("length"), "f.occurrences", "f.probability", "f.secret")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from telemill.llm.quality_rules import judge
 
@@ -76,4 +89,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from telemill.llm.lines import ORACLE
+
+    return {"op4_line_dedup": ORACLE}
