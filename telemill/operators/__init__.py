@@ -1 +1 @@
-
+"""Operators on observations, events and the entity graph."""

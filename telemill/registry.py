@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from telemill.plans import catalogue
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalogue.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(catalogue.ORACLES)
