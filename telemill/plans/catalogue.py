@@ -284,11 +284,11 @@ def graph_summary(spark, d):
     return analytics.component_sizes(*V.bipartite(spark, d, V.UNTIL)).agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
 
 
-P, Q = V.bipartite_sql("p", V.UNTIL), V.bipartite_sql("q", V.UNTIL + 3 * HOUR, V.START + HOUR)
+P, Q = V.bipartite_sql("p", V.UNTIL), V.bipartite_sql("q", V.UNTIL + 9 * HOUR, V.START + 3 * HOUR)
 
 
 def _snapshots(spark, d):
-    return analytics.snapshot_diff(*V.bipartite(spark, d, V.UNTIL), *V.bipartite(spark, d, V.UNTIL + 3 * HOUR, V.START + HOUR), spike=2)
+    return analytics.snapshot_diff(*V.bipartite(spark, d, V.UNTIL), *V.bipartite(spark, d, V.UNTIL + 9 * HOUR, V.START + 3 * HOUR), spike=1)
 
 
 @query(with_(V.EV, P, Q, "f as (select c.component, count(*) as n, count(p.id) as k, max((d.degree, d.label)) as top from q_c c join q_d d using (id) left join p_n p using (id) group by 1)", select="select top[2] as entity, n as observed from f where n >= 2 and k = 0"))
@@ -301,7 +301,7 @@ def component_split(spark, d):
     return _snapshots(spark, d).where("metric = 'component_merge'").select("entity", "observed")
 
 
-@query(with_(V.EV, P, Q, select="select d.label as entity, d.degree as observed, coalesce(p.degree, 0)::bigint as baseline from q_d d left join p_d p using (id) where d.degree - coalesce(p.degree, 0) >= 2"))
+@query(with_(V.EV, P, Q, select="select d.label as entity, d.degree as observed, coalesce(p.degree, 0)::bigint as baseline from q_d d left join p_d p using (id) where d.degree - coalesce(p.degree, 0) >= 1"))
 def degree_spike(spark, d):
     return _snapshots(spark, d).where("metric = 'degree_spike'").select("entity", "observed", "baseline")
 

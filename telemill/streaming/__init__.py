@@ -1 +1 @@
-
+"""Live variants of the operators on Structured Streaming."""
