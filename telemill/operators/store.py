@@ -12,6 +12,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from telemill.functions.scalars import HOUR, SECOND, past
 
@@ -225,12 +226,16 @@ class Store:
             fs, p = self._fs("events")
             return self.spark.read.parquet(f"{self.path}/events") if fs.exists(p) else None
         v = self.version()
-        return self.spark.read.parquet(f"{self.path}/version-{v}/{table}") if v else None
+        if not v:
+            return None
+        schema = StructType.fromJson(json.loads(self._get(f"{table}-{v}.json")))  # an empty table has no files to tell it
+        return self.spark.read.schema(schema).parquet(f"{self.path}/version-{v}/{table}")
 
     def _write(self, nodes: DataFrame, edges: DataFrame) -> None:
         v = self.version() + 1
-        nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/version-{v}/nodes")
-        edges.write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/version-{v}/edges")
+        for table, frame in (("nodes", nodes), ("edges", edges)):
+            frame.write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/version-{v}/{table}")
+            self._put(f"{table}-{v}.json", frame.schema.json())
         self._put("CURRENT", str(v))
 
     def merge_graph(self, nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
