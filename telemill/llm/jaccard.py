@@ -9,13 +9,15 @@ whole segment; the index holds the hash of each set's content in every segment t
 Which segments serve is allocated by cost:
 1. Every segment hash held by several sets is a bucket. All its members are compared with the least one (star pairs);
    what links becomes one class, and buckets within one class are done.
+   Stars round a few other members follow while they still join classes.
 2. Buckets across classes of at most LIGHT sets are compared in full. Larger ones are skipped, as are empty segments: a
    set may skip any segments as long as more of them remain than its distance bound.
 3. Sets that skip more are indexed again, with all one-deletion neighbourhoods of their segments: then a segment that
    serves is worth two (linked sets agree in it but for one element) unless a neighbourhood's bucket is large too.
 4. Sets for which that is not enough either (nearly all their content is common, but links are missing) are indexed
    by their rarest shingles, as many as a linked partner cannot lack all of; buckets are compared across classes.
-All candidate pairs are verified on the words themselves. No bucket is cut short, so no link between different classes
+Candidate pairs that sizes or counts in CELLS cells (a lower bound of the distance) don't rule out are verified on the
+words themselves. No bucket is cut short, so no link between different classes
 is lost; links inside a class add nothing to the result and are not looked for.
 
 Edge cases: sets that are equal are one (their copies are joined by fingerprint, before all else); null and empty texts
@@ -31,22 +33,27 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.llm.pretokens import Memo
 from telemill.operators.components import connected_components
 from telemill.plans.lineage import drop_written, release, sized_join, written
 
 WORDS, PERCENT = 5, 75
 LIGHT = 4
+#: Times that other centres are tried at most.
+TURNS = 6
 #: Instead of a segment's hash: this set has too few segments that hold elements.
 SPARSE = -(1 << 63)
-KEPT = 1_000_000
-_hash = Memo(xxhash.xxh64_intdigest, KEPT)
+#: Cells in which a set's elements are counted, to rule pairs out.
+CELLS = 256
+#: Bytes of text hashed at a time.
+AT_ONCE = 1 << 20
 U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
+_BASE = 0x9FB21C651E98DF25
+_BYTES = np.random.default_rng(2024).integers(0, 1 << 64, 256, dtype=U)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -61,17 +68,49 @@ def word_list(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes."""
-    w = word_list(text)
-    h = np.fromiter(map(_hash.__getitem__, w), U, len(w))
-    if len(h) < n:
-        return mix(np.array([sum(int(x) * (2 * i + 3) for i, x in enumerate(h.tolist())) & (1 << 64) - 1], U), len(h) + 1) if len(h) else h
-    odd = np.resize(_ODD, n) + (U(2) * (np.arange(n, dtype=U) // U(5)))
-    total = h[: len(h) - n + 1] * odd[0]
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and their inverses."""
+    every = lambda x: np.concatenate([[U(1)], np.cumprod(np.full(n, x, U))])
+    return every(_BASE), every(pow(_BASE, -1, 1 << 64))
+
+
+def _hashed(data: list[bytes], n: int) -> list[np.ndarray]:
+    """The sets of some texts in lower case: words are hashed by prefix sums over all bytes at once."""
+    flat = np.frombuffer(b" ".join(data) + b" ", np.uint8)
+    powers, inverses = _powers(max(AT_ONCE, 1 << int(len(flat)).bit_length()))
+    space = _SPACE[flat]
+    before = np.concatenate([[True], space[:-1]])
+    start, end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+    sums = np.concatenate([[U(0)], np.cumsum(_BYTES[flat] * powers[: len(flat)], dtype=U)])
+    h = mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(U))
+    cuts = np.searchsorted(start, np.cumsum([0] + [len(x) + 1 for x in data]))
+    odd = np.resize(_ODD, n) + (U(2) * (np.arange(n, dtype=U) // U(len(_ODD))))
+    grams = h[: max(0, len(h) - n + 1)] * odd[0]
     for i in range(1, n):
-        total = total + h[i : len(h) - n + 1 + i] * odd[i]
-    return np.unique(mix(total))
+        grams = grams + h[i : len(grams) + i] * odd[i]
+    grams = mix(grams)
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b - a >= n:
+            s = np.sort(grams[a : b - n + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        else:
+            out.append(mix((h[a:b] * (U(2) * np.arange(b - a, dtype=U) + U(3))).sum(dtype=U, keepdims=True), b - a + 1)[: b > a])
+    return out
+
+
+def shingle_sets(texts: list, n: int = WORDS) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text (Arrow strings) as sorted 64-bit hashes."""
+    held, size = [], 0
+    for x in texts:
+        held.append((x.as_py() or "").encode().lower())
+        size += len(held[-1]) + 1
+        if size >= AT_ONCE:
+            yield from _hashed(held, n)
+            held, size = [], 0
+    if held:
+        yield from _hashed(held, n)
 
 
 def exact(text: str | None, n: int = WORDS) -> set:
@@ -127,7 +166,7 @@ class Bands:
 def dealt(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments that hold elements, the hash of each one's content, all elements' segments and weights."""
     where = ((mix(s, 7919 * band + 13) >> U(32)) * U(m)) >> U(32)
-    order = np.argsort(where, kind="stable")
+    order = np.argsort(where.astype(np.uint16) if m < 1 << 16 else where, kind="stable")
     where, weight = where[order], mix(s, 0x5851F42D4C957F2D)[order]
     first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
     return where[first], np.add.reduceat(weight, first), where, weight
@@ -142,19 +181,19 @@ def _table(columns: dict, types: dict) -> pa.RecordBatch:
 
 
 def fingerprints(docs: DataFrame, n: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and a 128-bit fingerprint of each row's set."""
+    """doc_id, n_shingles, a 128-bit fingerprint and the counts in CELLS of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, one, two = [], [], []
-            for x in b.column(1):
-                s = shingles(x.as_py(), n)
+            size, one, two, cells = [], [], [], []
+            for s in shingle_sets(b.column(1), n):
                 size.append(len(s))
+                cells.append(np.minimum(np.bincount((mix(s, 3) >> U(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
                 one.append(int(mix(s, 1).sum(dtype=U).view(np.int64)))
                 two.append(int(mix(s, 2).sum(dtype=U).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in (size, one, two)]], ["doc_id", "n_shingles", "__one", "__two"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in (size, one, two)], pa.array(cells, pa.binary())], ["doc_id", "n_shingles", "__one", "__two", "__cells"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, __one long, __two long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, __one long, __two long, __cells binary")
 
 
 def index(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
@@ -164,8 +203,7 @@ def index(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs, ids, held = [], [], 0
-            for doc, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingles(x.as_py(), n)
+            for doc, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), n), strict=True):
                 for band, m, bound in bands.roles(len(s)) if len(s) else ():
                     segment, content, _, _ = dealt(s, band, m)
                     sigs.append(signature(segment, content, band))
@@ -215,9 +253,27 @@ def buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(run, "sig long, doc long, least long")
 
 
+def possible(pairs: DataFrame, cells: DataFrame, bands: Bands) -> DataFrame:
+    """Those pairs (a, b) that sizes and cells don't rule out: sets differ at least as much as their counts in cells.
+    cells: doc, n, cells."""
+    one = cells.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
+    two = cells.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
+    both = pairs.join(one, "b").join(two, "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * bands.percent).select("a", "b", "na", "nb", "ca", "cb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                total = b.column(2).to_numpy() + b.column(3).to_numpy()
+                most = total - 2 * -(-bands.percent * total // (100 + bands.percent))
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(np.abs(x - y).sum(1) <= most))
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """a, b of those pairs whose documents (doc, text) link."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
+    ids = written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids")
     some = sized_join(texts, ids, "doc", "left_semi")
     right = pairs.join(some.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
     both = right.join(some.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
@@ -250,6 +306,22 @@ def _across(rows: DataFrame) -> DataFrame:
     return a.join(b, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
 
 
+def _meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of prefixes() across classes that have a shingle in common and enough room behind it: what linked sets
+    share is no more than the first shingle in common and those that are less rare."""
+    a, b = (rows.select("sig", F.col("doc").alias(x), F.col("c").alias(f"c{x}"), F.col("at").alias(f"at{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
+    room = F.expr(f"(1 + least(na - ata, nb - atb)) * {100 + percent} >= {percent} * (na + nb)")
+    return a.join(b, "sig").where(F.expr("a < b and ca <> cb") & F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & room).select("a", "b").distinct()
+
+
+def _other_stars(wide: DataFrame, turn: int) -> DataFrame:
+    """a, b: of rows (sig, doc, c), each document with the members that two of its buckets draw by hash."""
+    centre = wide.groupBy("sig").agg(F.min_by(F.struct("doc", "c"), F.xxhash64("doc", F.lit(turn))).alias("m"))
+    j = wide.join(centre, "sig").where("c <> m.c")
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("sig", F.lit(turn))))
+    return j.withColumn("r", rank).where("r <= 2").select(F.least("doc", "m.doc").alias("a"), F.greatest("doc", "m.doc").alias("b")).distinct()
+
+
 def neighbourhoods(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
     """docs: doc, text, skipped (hashes of large buckets). Of the (document, band) that skip too much: sig, doc, c, band,
     need (distance bound + 1), segment, full (content, or content but for one element)."""
@@ -258,8 +330,8 @@ def neighbourhoods(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {k: [] for k in types}
-            for doc, c, x, skipped in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                s, large = shingles(x.as_py(), n), np.array(skipped or [], np.int64)
+            for doc, c, s, skipped in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), n), b.column(3).to_pylist(), strict=True):
+                large = np.array(skipped or [], np.int64)
                 for band, m, bound in bands.roles(len(s)) if len(s) else ():
                     segment, content, where, weight = dealt(s, band, m)
                     full = signature(segment, content, band)
@@ -284,21 +356,20 @@ def neighbourhoods(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame:
-    """sig, doc, c: of docs (doc, c, text), the rarest shingles, so many that linked sets share one of them."""
+    """sig, doc, c, at (place by rarity), size: of docs (doc, c, text), the rarest shingles, so many that linked sets share
+    one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(x.as_py(), n).view(np.int64) for x in b.column(2)]
+            sets = [s.view(np.int64) for s in shingle_sets(b.column(2), n)]
             at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["sig", "doc", "c"])
 
     rows = written(docs.select("doc", "c", "text").mapInArrow(run, "sig long, doc long, c long"), "prefixes")
     often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     ranked = rows.join(often, "sig").withColumns({"at": F.row_number().over(Window.partitionBy("doc").orderBy("n", "sig")), "size": F.count(F.lit(1)).over(Window.partitionBy("doc"))})
-    return ranked.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1).select("sig", "doc", "c")
+    return ranked.where(F.expr(f"at <= size - (({percent} * size + 99) div 100) + 1")).select("sig", "doc", "c", "at", "size")
 
 
 def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", light: int = LIGHT) -> DataFrame:
@@ -316,7 +387,13 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
     all_shared = written(buckets(index(ones, bands, n)), "buckets")
     shared, sparse = all_shared.where(F.col("sig") != SPARSE), all_shared.where(F.col("sig") == SPARSE)
     release(spark)
-    links = verified(written(shared.where("doc > least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct(), "stars"), ones, n, percent)
+    counts = whole.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.col("__cells").alias("cells"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = written(possible(pairs, counts, bands), "pairs")
+        return pairs if pairs.isEmpty() else verified(pairs, ones, n, percent)
+
+    links = checked(shared.where("doc > least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct())
     # a doc_id with several texts is in several groups of copies
     links = links.union(copies.select(F.col("first").alias("a"), F.col("doc").alias("b")).join(copies.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc").alias("b")), "b", "left_semi").select("a", "b"))
 
@@ -326,9 +403,13 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
         return found, found.count()
 
     wide = written(_classes(shared.select("sig", "doc"), *classes()), "wide")
-    pairs = written(_across(wide.where(F.col("size") <= light)), "pairs")
-    if not pairs.isEmpty():
-        links = links.union(verified(pairs, ones, n, percent))
+    links = links.union(checked(_across(wide.where(F.col("size") <= light))))
+    for turn in range(TURNS):  # other centres: this only makes classes grow before what follows, which is exact without
+        found = checked(_other_stars(wide, turn))
+        links = links.union(found)
+        wide = written(_classes(wide.select("sig", "doc"), *classes()), "wide")
+        if 50 * found.count() < wide.select("doc").distinct().count():
+            break
 
     comps, k = classes()
     large = _classes(wide.where(F.col("size") > light).select("sig", "doc"), comps, k)
@@ -344,9 +425,7 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
         cells = near.where("size is not null and not heavy").select("sig", "doc", "c", "full").distinct()
         a = cells.where("full").select("sig", F.col("doc").alias("x"), F.col("c").alias("cx"))
         b = cells.select("sig", F.col("doc").alias("y"), F.col("c").alias("cy"))
-        pairs = written(a.join(b, "sig").where("x <> y and cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        if not pairs.isEmpty():
-            links = links.union(verified(pairs, ones, n, percent))
+        links = links.union(checked(a.join(b, "sig").where("x <> y and cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
         worth = near.groupBy("doc", "band", "need", "segment").agg(F.max(F.col("heavy") & F.col("full")).alias("none"), F.max("heavy").alias("one"), F.max("lone").alias("lone"))
         worth = worth.withColumn("w", F.when(F.col("none"), 0).when(F.col("one") | F.col("lone"), 1).otherwise(2))
         hard = worth.groupBy("doc", "band", "need").agg(F.sum("w").alias("w")).where("w < need").select("doc").distinct()
@@ -356,9 +435,7 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
             rest = sized_join(sized_join(ones, hard, "doc", "left_semi"), comps, "doc", "left", k).withColumn("c", F.coalesce("c", "doc"))
             rows = prefixes(rest, percent, n)
             open_ = rows.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
-            pairs = written(_across(rows.join(open_, "sig")), "pairs")
-            if not pairs.isEmpty():
-                links = links.union(verified(pairs, ones, n, percent))
+            links = links.union(checked(_meeting(rows.join(open_, "sig"), percent)))
 
     comps, k = classes()
     firsts = copies.groupBy("doc").agg(F.min("first").alias("first"))
