@@ -108,7 +108,9 @@ class WarcReader(DataSourceReader):
             files = json.loads(f.read())
         return [Span(f"{self.folder}/{x['name']}", a, b) for x in files for a, b in zip(x["cuts"], [*x["cuts"][1:], x["bytes"]], strict=True)]
 
-    def read(self, span: Span) -> Iterator[pa.RecordBatch]:
+    def read(self, span: Span | None) -> Iterator[pa.RecordBatch]:
+        if span is None:  # there are no archives
+            return
         disk, inner = locate(span.path)
         wanted = set(self.names)
         schema = pa.schema([(n, pa.binary() if n == "payload" else pa.int64() if n in ("page_id", "declared_bytes", "refers_to", "payload_bytes") else pa.string()) for n in self.names])
