@@ -103,9 +103,10 @@ class Model:
             roots.append(at)
             bits.append(np.log2(max(2, len(codes))))
             at += len(moves)
-        self.table = np.concatenate(tables) if tables else np.zeros((0, self.width), np.int32)
+        self.end = at  # a state that nothing leads on from: before a text, and behind a letter that the language's text lacks
+        self.table = np.concatenate([*tables, np.full((1, self.width), -1, np.int32)])
         self.roots, self.bits = np.array(roots, np.int32), np.array(bits)
-        self.first = np.where(self.table[self.roots] < 0, self.roots[:, None], self.table[self.roots]) if tables else None
+        self.first = np.where(self.table[self.roots] < 0, self.end, self.table[self.roots]) if tables else None
 
     def _classes(self) -> np.ndarray:
         if not hasattr(self, "_of"):
@@ -137,8 +138,8 @@ class Model:
         order = np.argsort(-length, kind="stable")
         begin, length, owner = begin[order], length[order], owner[order]
         n = len(self.languages)
-        state = np.repeat(self.roots[:, None], len(owner), 1)
-        count = np.ones((n, len(owner)), np.int32)
+        state = np.full((n, len(owner)), self.end, np.int32)
+        count = np.zeros((n, len(owner)), np.int32)
         flat_table = self.table.ravel()
         live = np.searchsorted(-length, -np.arange(BLOCK), "left")  # lanes longer than i
         for i in range(int(length[0]) if len(length) else 0):
