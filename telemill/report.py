@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 from telemill.functions.scalars import dot_escape, dot_slug, uid_color
 
 # Shape, style and colour of nodes and edges in DOT.
-SHAPES = {"process": ("box", None), "app": ("ellipse", "#d4f4dd"), "socket": ("hexagon", "#fff3b0"), "file": ("note", "#fde2c2"), "domain": ("diamond", "#e2d5f8")}
+SHAPES = {"process": ("box", None), "app": ("ellipse", "#fff4c2"), "socket": ("cylinder", "#c6e6c6"), "file": ("note", "#fde2c2"), "domain": ("diamond", "#e2d5f8")}
+CLOSED, MASKED = "#e6e6fa", "#e0e0e0"
 STYLES = {"parent_of": 'color="#444"', "frontmost_during": 'style=dashed, color="#bbb"', "opened_socket": 'color="#3a8a3a"', "queried_domain": 'style=dashed, color="#8a5fbf"'}
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """part, line: a line of DOT for each node (kind, id, label, tooltip, uid, masked) and edge, made on the executors."""
+    """part, line: a line of DOT for each node (kind, id, label, tooltip, uid, masked, perhaps closed) and edge, made on the executors."""
     kind = F.col("kind")
     shape, color = F.lit("box"), uid_color("uid")
     for k, (s, c) in SHAPES.items():
         shape = F.when(kind == k, s).otherwise(shape)
         color = F.when(kind == k, c).otherwise(color) if c else color
-    color = F.when((kind == "domain") & F.coalesce("masked", F.lit(False)), "#e0e0e0").otherwise(color)
+    color = F.when((kind == "domain") & F.coalesce("masked", F.lit(False)), MASKED).otherwise(color)
+    if "closed" in nodes.columns:
+        color = F.when((kind == "socket") & F.col("closed").isNotNull(), CLOSED).otherwise(color)
     ident = lambda k, i: F.concat(F.substring(k, 1, 1), dot_slug("_", i))
     n = nodes.select(F.lit(1).alias("part"), F.format_string('  "%s" [shape=%s, style=filled, fillcolor="%s", label="%s", tooltip="%s"];', ident(kind, F.col("id")), shape, color, dot_escape("label"), dot_escape(F.coalesce("tooltip", F.lit("")))).alias("line"))
     style = F.lit("")
