@@ -34,7 +34,7 @@ from telemill.plans.lineage import BROADCAST_ROWS, written
 
 CAPACITY = 1024
 END_ID = 2
-WORDS = 800_000
+WORDS = 200_000
 #: Pieces of one size ranked by one task, about.
 BLOCK = 200_000
 
