@@ -1,7 +1,7 @@
 """Line deduplication by a log-template tree.
 
-Lines of at least MIN_TOKENS tokens are parsed as log messages are: tokens with a digit are variable fields; a tree of
-fixed depth leads from the number of tokens over the first LEAD tokens to a leaf. The lines of a leaf are one template,
+Lines of at least MIN_TOKENS tokens are parsed as log messages are: tokens with a digit are variable fields (lines that
+are mostly such fields, as rows of numbers are, are let alone); a tree of fixed depth leads from the number of tokens over the first LEAD tokens to a leaf. The lines of a leaf are one template,
 with further variable fields where they differ, if they have at least WIDE tokens and agree in at least SIMILAR percent
 of the tokens after the leading ones; else each distinct line of the leaf is a template (its digit fields being
 variable). A template that recurs, that is, occurs in several documents, stays in the document with the least doc_id;
@@ -35,10 +35,12 @@ def row_key(key: str, text: str) -> Column:
 
 
 def parsed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """__key, __o (doc_id, last if null), __pos, __toks of every line that is long enough."""
-    masked = words(F.regexp_replace("__line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>"))
+    """__key, __o (doc_id, last if null), __pos, __toks of every line that is long enough and half fixed at least."""
     rows = docs.select(row_key(key, text).alias("__key"), F.coalesce(key, F.lit(LAST)).alias("__o"), F.posexplode(F.split(text, "\n")).alias("__pos", "__line"))
-    return rows.withColumn("__toks", masked).drop("__line").where(F.size("__toks") >= MIN_TOKENS)
+    masked = F.when(F.col("__line").rlike("[0-9]"), F.regexp_replace("__line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(F.col("__line"))
+    rows = rows.withColumn("__line", masked).withColumn("__toks", words(F.col("__line")))
+    fields = (F.length("__line") - F.length(F.replace("__line", F.lit("<*>"), F.lit("")))) / 3
+    return rows.where((F.size("__toks") >= MIN_TOKENS) & (2 * fields <= F.size("__toks"))).drop("__line")
 
 
 def hashes() -> dict[str, Column]:
@@ -56,7 +58,8 @@ def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     # one line for each hash in a leaf whose lines differ
     named = rows.where("mixed").groupBy("__leaf", "__h").agg(F.min(F.struct("__key", "__pos")).alias("at")).select("at.__key", "at.__pos", "__leaf")
     named = written(named, "named")
-    tokens = sized_join(parsed(docs, key, text), named, ["__key", "__pos"]).dropDuplicates(["__key", "__pos"])
+    some = sized_join(docs.select(key, text, row_key(key, text).alias("__key")), named.select("__key").distinct(), "__key", "left_semi").drop("__key")
+    tokens = sized_join(parsed(some, key, text), named, ["__key", "__pos"]).dropDuplicates(["__key", "__pos"])
     tokens = tokens.select("__leaf", F.posexplode(F.slice("__toks", LEAD + 1, F.size("__toks"))).alias("i", "tok")).where("__leaf is not null")
     places = tokens.groupBy("__leaf", "i").agg((F.min("tok") == F.max("tok")).alias("same"))
     wide = places.groupBy("__leaf").agg(F.count_if("same").alias("same"), F.count(F.lit(1)).alias("all")).where(100 * F.col("same") >= SIMILAR * F.col("all")).select("__leaf", F.lit(True).alias("general"))
@@ -78,10 +81,11 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
-ORACLE = f"""
+ORACLE = rf"""
 with raw as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
-cut as (select doc_id, text, pos, {_WORDS.format(r"regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g')")} as toks from raw),
-l as (select doc_id, text, pos, toks, len(toks) as n, array_to_string(toks, ' ') as h, concat(len(toks), ' ', array_to_string(toks[1:{LEAD}], ' ')) as leaf from cut where len(toks) >= {MIN_TOKENS}),
+mask as (select *, regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') as m from raw),
+cut as (select doc_id, text, pos, m, {_WORDS.format("m")} as toks from mask),
+l as (select doc_id, text, pos, toks, len(toks) as n, array_to_string(toks, ' ') as h, concat(len(toks), ' ', array_to_string(toks[1:{LEAD}], ' ')) as leaf from cut where len(toks) >= {MIN_TOKENS} and 2 * (length(m) - length(replace(m, '<*>', ''))) <= 3 * len(toks)),
 leaves as (select leaf from l group by leaf having min(doc_id) < max(doc_id) and min(h) < max(h) and any_value(n) >= {WIDE}),
 reps as (select leaf, h, any_value(toks) as toks from l where leaf in (select leaf from leaves) group by leaf, h),
 tok as (select leaf, unnest(toks[{LEAD + 1}:]) as tok, generate_subscripts(toks[{LEAD + 1}:], 1) as i from reps),
