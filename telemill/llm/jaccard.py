@@ -43,8 +43,9 @@ WORDS, PERCENT = 5, 75
 LIGHT = 4
 #: Times that other centres are tried at most.
 TURNS = 6
-#: Instead of a segment's hash: this set has too few segments that hold elements.
-SPARSE = -(1 << 63)
+#: Instead of a segment's hash, SPARSE + k says that a set has k more segments that hold elements than it can differ in
+#: (0: none more, MARKS: so many or more).
+SPARSE, MARKS = -(1 << 63), 1000
 #: Cells in which a set's elements are counted, to rule pairs out.
 CELLS = 256
 #: Bytes of text hashed at a time.
@@ -173,7 +174,7 @@ def dealt(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def signature(segment: np.ndarray, content: np.ndarray, band: int) -> np.ndarray:
-    return mix(content + segment * U(0x9E3779B97F4A7C15), 104729 * band + 1).view(np.int64)
+    return np.maximum(mix(content + segment * U(0x9E3779B97F4A7C15), 104729 * band + 1).view(np.int64), SPARSE + MARKS + 1)
 
 
 def _table(columns: dict, types: dict) -> pa.RecordBatch:
@@ -197,8 +198,8 @@ def fingerprints(docs: DataFrame, n: int = WORDS, key: str = "doc_id", text: str
 
 
 def index(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
-    """sig, doc: the content hash of every segment of docs (doc, text) that isn't empty, and SPARSE where the segments
-    that hold elements are no more than the distance bound."""
+    """sig, doc: the content hash of every segment of docs (doc, text) that isn't empty, and a mark (see SPARSE) for
+    each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,10 +207,8 @@ def index(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
             for doc, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), n), strict=True):
                 for band, m, bound in bands.roles(len(s)) if len(s) else ():
                     segment, content, _, _ = dealt(s, band, m)
-                    sigs.append(signature(segment, content, band))
-                    if len(segment) <= bound:
-                        sigs.append(np.array([SPARSE]))
-                    ids.append(np.full(len(segment) + (len(segment) <= bound), doc, np.int64))
+                    sigs += [signature(segment, content, band), np.array([SPARSE + min(max(len(segment) - bound, 0), MARKS)])]
+                    ids.append(np.full(len(segment) + 1, doc, np.int64))
                     held += len(segment)
                 if held > 300_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "doc"])
@@ -221,8 +220,8 @@ def index(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """sig, doc, least: the rows of hashes that several documents have, with the least of these documents. Rows of one
-    hash pass by in order and are never held together."""
+    """sig, doc, least: the rows of hashes that several documents have, with the least of these documents, and all marks.
+    Rows of one hash pass by in order and are never held together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int, bool] | None = None  # hash, document, least document, whether given out
@@ -240,7 +239,7 @@ def buckets(rows: DataFrame) -> DataFrame:
             least = doc[start]
             if last:
                 least[0] = last[2]
-            shared = (np.diff(np.concatenate([start, [len(sig)]])) > 1)[group]
+            shared = (np.diff(np.concatenate([start, [len(sig)]])) > 1)[group] | (sig <= SPARSE + MARKS)
             if last:
                 shared[group == 0] |= last[3]
             out = shared.copy()
@@ -385,7 +384,7 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
     ones = sized_join(texts, copies.select("doc").distinct(), "doc", "left_anti")
 
     all_shared = written(buckets(index(ones, bands, n)), "buckets")
-    shared, sparse = all_shared.where(F.col("sig") != SPARSE), all_shared.where(F.col("sig") == SPARSE)
+    shared, marks = all_shared.where(F.col("sig") > SPARSE + MARKS), all_shared.where(F.col("sig") <= SPARSE + MARKS)
     release(spark)
     counts = whole.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.col("__cells").alias("cells"))
 
@@ -407,15 +406,16 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
     for turn in range(TURNS):  # other centres: this only makes classes grow before what follows, which is exact without
         found = checked(_other_stars(wide, turn))
         links = links.union(found)
-        wide = written(_classes(wide.select("sig", "doc"), *classes()), "wide")
+        comps, k = classes()
+        wide = written(_classes(wide.select("sig", "doc"), comps, k), "wide")
         if 50 * found.count() < wide.select("doc").distinct().count():
             break
 
-    comps, k = classes()
     large = _classes(wide.where(F.col("size") > light).select("sig", "doc"), comps, k)
-    skipped = large.groupBy("doc", "c").agg(F.collect_set("sig").alias("skipped"))
-    few = sized_join(sparse.select("doc"), comps, "doc", "left", k).select("doc", F.coalesce("c", "doc").alias("c"), F.array().cast("array<bigint>").alias("skipped"))
-    asked = written(skipped.union(few).groupBy("doc", "c").agg(F.flatten(F.collect_list("skipped")).alias("skipped")), "asked")
+    skipped = large.groupBy("doc").agg(F.collect_set("sig").alias("skipped"))
+    spare = marks.groupBy("doc").agg((F.min("sig") - F.lit(SPARSE)).alias("spare"))
+    asked = spare.join(skipped, "doc", "left").where((F.col("spare") == 0) | (F.size("skipped") >= F.col("spare"))).drop("spare")
+    asked = written(sized_join(asked, comps, "doc", "left", k).select("doc", F.coalesce("c", "doc").alias("c"), "skipped"), "asked")
     short = written(neighbourhoods(sized_join(ones, asked.select("doc"), "doc", "left_semi").join(asked, "doc"), bands, n), "neighbourhoods")
     drop_written(all_shared)
     if not short.isEmpty():
@@ -436,8 +436,8 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
             rows = prefixes(rest, percent, n)
             open_ = rows.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
             links = links.union(checked(_meeting(rows.join(open_, "sig"), percent)))
+        comps, k = classes()
 
-    comps, k = classes()
     firsts = copies.groupBy("doc").agg(F.min("first").alias("first"))
     out = sized_join(sets, firsts.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
     out = sized_join(out, comps.withColumnRenamed("doc", "first"), "first", "left", k)
