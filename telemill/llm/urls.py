@@ -1,10 +1,10 @@
 """URL filters: rules by host and path, and for the rest a naive Bayes model over segmented names.
 
-Hosts and paths are split into names at what isn't a letter or digit; names that are run together are cut into words by
-the most likely path through a unigram model (Viterbi), whose counts come from all titles and all names in URLs of the
-pages. A multinomial naive Bayes model over these words is learnt from the URLs for which a rule speaks, with the words
-of SEEDS as further examples. What the rules speak about, the last two names
-of a host and the names in rules' paths, is not shown to the model.
+Hosts and paths are split into names at what isn't a letter or digit; each name is cut into words by the most likely
+path through a unigram model (Viterbi), a name that is itself a word among them. Its counts come from prose, the titles
+and bodies of the pages, as the names in URLs are run together; the words of SEEDS are known besides. A multinomial
+naive Bayes model over these words is learnt from the URLs for which a rule speaks, with the words of SEEDS as further
+examples. What the rules speak about, the names in their hosts and paths, is not shown to the model.
 
 The lexicon keeps the LEXICON most frequent words and the model the FEATURES most frequent ones, which bounds what
 workers hold; rarer words count as unknown. Counting covers all pages.
@@ -37,8 +37,6 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Words known to speak for a verdict, and how many examples each of them stands for.
 SEEDS = {"block": ("spam", "pills", "cheap", "casino", "xxx", "porn", "viagra", "loans", "betting", "replica"), "allow": ("blog", "www", "docs", "news", "wiki", "library")}
 SEED_WEIGHT = 100
-#: What rules say is not shown to the model: last names of hosts, and these names of paths.
-RULE_NAMES = {x for _, _, p in RULES for x in p.split("/") if x}
 _NAME = regex.compile(r"[a-z]+|[0-9]+|[^\W\d_]+")
 
 
@@ -72,7 +70,7 @@ class Segmenter:
         self.words = Memo(self._words, KEPT)
 
     def _words(self, name: str) -> tuple[str, ...]:
-        if name in self.cost or len(name) > LONGEST or not name.isalpha():
+        if len(name) > LONGEST or not name.isalpha():
             return (name,)
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(name) + 1):
@@ -83,19 +81,31 @@ class Segmenter:
             end = best[end][1]
         return tuple(words[::-1])
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        names = host.split(".")[:-2]
-        out = [w for n in names for x in _NAME.findall(n) for w in self.words[x]]
-        return out + ["/" + ("#" if w.isdigit() else w) for x in _NAME.findall(path.lower()) if x not in RULE_NAMES for w in self.words[x]]
+    def tokens(self, host: str, path: str, rules=RULES) -> list[str]:
+        labels, names = rule_names(rules)
+        out = [w for n in host.split(".") if n not in labels for x in _NAME.findall(n) for w in self.words[x]]
+        return out + ["/" + ("#" if w.isdigit() else w) for x in _NAME.findall(path.lower()) if x not in names for w in self.words[x]]
+
+
+def rule_names(rules) -> tuple[set[str], set[str]]:
+    """What rules say is not shown to the model: these names of hosts, and of paths."""
+    return {x for _, h, _ in rules for x in h.split(".")}, {x for _, _, p in rules for x in p.lower().split("/") if x}
+
+
+def prose(pages: DataFrame) -> DataFrame:
+    """w: each word in the titles and bodies of pages, without markup and scripts, in small letters."""
+    said = F.coalesce("html", F.lit(""))
+    for hidden in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"<[^>]*>", r"&#?[0-9A-Za-z]+;"):
+        said = F.regexp_replace(said, hidden, " ")
+    found = F.filter(F.split(F.lower(said), r"[^\p{L}]+"), lambda w: (F.length(w) > 1) & (F.length(w) <= WORD))
+    return pages.select(F.explode(found).alias("w"))
 
 
 def lexicon(pages: DataFrame) -> dict[str, int]:
-    """Counts of the LEXICON most frequent words in titles and URLs."""
-    title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    said = F.lower(F.concat_ws(" ", title, F.col("url")))
-    names = F.filter(F.split(said, r"[^\p{L}]+"), lambda w: (F.length(w) > 1) & (F.length(w) <= WORD))
-    rows = pages.select(F.explode(names).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(LEXICON).collect()
-    return {r["w"]: r["n"] for r in rows}
+    """Counts of the LEXICON most frequent words in prose, and the words of SEEDS, seen once more each."""
+    rows = prose(pages).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(LEXICON).collect()
+    found = {r["w"]: r["n"] for r in rows}
+    return found | {w: found.get(w, 0) + 1 for words in SEEDS.values() for w in words}
 
 
 def tokenised(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -111,7 +121,7 @@ def tokenised(pages: DataFrame, rules=RULES) -> DataFrame:
         own = Segmenter({})
         own.cost, own.unknown = sent.value, max(sent.value.values(), default=0.0) + 1
         for b in batches:
-            tokens = [own.tokens(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            tokens = [own.tokens(h, p, rules) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.list_(pa.string()))], [*b.schema.names, "tokens"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

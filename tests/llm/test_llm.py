@@ -265,6 +265,19 @@ def test_urls(spark):
     assert Segmenter({"cheap": 5, "pills": 5, "che": 1}).words["cheappills"] == ("cheap", "pills")
 
 
+def test_urls_segment_hosts(spark):
+    """A run-together host is cut whatever the size of the table, and meets the words that are known."""
+    from telemill.llm.urls import Segmenter, judge
+
+    prose = "<html><head><title>Offers</title><style>p{}</style></head><body><p>cheap offers of pills, and the <b>together</b> of a wiki</p></body></html>"
+    hosts = ["cheappills.x.com", "cheappills.com", "cheappills.x.com", "wikilibrary.x.com", "wikilibrary.io", "together.x.com"]
+    rows = [(i, f"http://{h}/", prose) for i, h in enumerate(hosts)] + [(20 + i, f"http://q{i}.org/fr/", prose) for i in range(3)] + [(30, "http://z.example.com/de/", prose)]
+    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == ["block", "block", "block", "allow", "allow"]
+    assert Segmenter({"together": 3, "to": 50, "get": 9, "her": 9}).words["together"] == ("together",)
+    assert Segmenter({"cheappills": 1, "cheap": 900, "pills": 900}).words["cheappills"] == ("cheap", "pills")
+
+
 # -- languages
 
 
