@@ -6,8 +6,9 @@ and bodies of the pages, as the names in URLs are run together; the words of SEE
 naive Bayes model over these words is learnt from the URLs for which a rule speaks, with the words of SEEDS as further
 examples. What the rules speak about, the names in their hosts and paths, is not shown to the model.
 
-The lexicon keeps the LEXICON most frequent words and the model the FEATURES most frequent ones, which bounds what
-workers hold; rarer words count as unknown. Counting covers all pages.
+Words of prose and odds of tokens are tables without a cap. Each name is cut once: its parts are joined with the words,
+and a worker gets the counts of those parts only. The odds of a name's words are summed to a score of the name, and the
+scores of a page's names to that of the page, in whole billionths, so that no order of summing tells.
 
 Edge cases: null URLs and those without :// have empty host and path, no rule, and the verdict of the class prior, as
 have URLs without a known word; ties and a model without examples allow; repeated rows each get their verdict; very
@@ -25,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.pretokens import Memo
-from telemill.plans.lineage import written
+from telemill.plans.lineage import sized_join, written
 
-LEXICON, FEATURES = 50_000, 100_000
 LONGEST = 60
 WORD = 20
-#: Hosts whose words are kept by a worker.
+#: Cuts of names that a Segmenter keeps.
 KEPT = 200_000
+#: Log odds are whole numbers of this part.
+UNIT = 10**9
 #: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words known to speak for a verdict, and how many examples each of them stands for.
@@ -61,10 +63,10 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 class Segmenter:
-    """Words of names by a unigram model."""
+    """Words of names by a unigram model: counts of words (of all, or those that are parts of the names) and their total."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.cost = {w: log(total) - log(n) for w, n in counts.items()}
         self.unknown = log(total) + 1
         self.words = Memo(self._words, KEPT)
@@ -81,11 +83,6 @@ class Segmenter:
             end = best[end][1]
         return tuple(words[::-1])
 
-    def tokens(self, host: str, path: str, rules=RULES) -> list[str]:
-        labels, names = rule_names(rules)
-        out = [w for n in host.split(".") if n not in labels for x in _NAME.findall(n) for w in self.words[x]]
-        return out + ["/" + ("#" if w.isdigit() else w) for x in _NAME.findall(path.lower()) if x not in names for w in self.words[x]]
-
 
 def rule_names(rules) -> tuple[set[str], set[str]]:
     """What rules say is not shown to the model: these names of hosts, and of paths."""
@@ -101,59 +98,73 @@ def prose(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(found).alias("w"))
 
 
-def lexicon(pages: DataFrame) -> dict[str, int]:
-    """Counts of the LEXICON most frequent words in prose, and the words of SEEDS, seen once more each."""
-    rows = prose(pages).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(LEXICON).collect()
-    found = {r["w"]: r["n"] for r in rows}
-    return found | {w: found.get(w, 0) + 1 for words in SEEDS.values() for w in words}
+def lexicon(pages: DataFrame) -> DataFrame:
+    """w and n: counts of all words in prose, and of the words of SEEDS, seen once more each."""
+    seeds = pages.sparkSession.createDataFrame([(w,) for words in SEEDS.values() for w in words], "w string")
+    return prose(pages).union(seeds).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tokenised(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict of the rule, and tokens."""
-    spark = pages.sparkSession
-    sent = spark.sparkContext.broadcast(Segmenter(lexicon(pages)).cost)  # bounded by LEXICON
+def named(pages: DataFrame, rules=RULES) -> DataFrame:
+    """__row, page_id, host, path, rule, verdict of the rule, and names: those of the host, and after a / those of the path."""
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select(F.monotonically_increasing_id().alias("__row"), "page_id", host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "verdict": verdict})
+    labels, left_out = rule_names(rules)
+
+    def names(host: str, path: str) -> list[str]:
+        out = [x for n in host.split(".") if n not in labels for x in _NAME.findall(n)]
+        return out + ["/" + ("#" if x.isdigit() else x) for x in _NAME.findall(path.lower()) if x not in left_out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Segmenter({})
-        own.cost, own.unknown = sent.value, max(sent.value.values(), default=0.0) + 1
         for b in batches:
-            tokens = [own.tokens(h, p, rules) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.list_(pa.string()))], [*b.schema.names, "tokens"])
+            found = [names(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], [*b.schema.names, "names"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, tokens array<string>")
+    return rows.mapInArrow(run, f"__row long, page_id {kind}, host string, path string, rule string, verdict string, names array<string>")
 
 
-def bayes(rows: DataFrame) -> tuple[float, dict[str, float]]:
-    """Log odds of block: of the prior, and of each word."""
-    known = rows.where("verdict is not null")
-    n = {r["verdict"]: r["count"] for r in known.groupBy("verdict").count().collect()}
-    tokens = known.select("verdict", F.explode("tokens").alias("w")).groupBy("w").agg(F.count_if(F.col("verdict") == "block").alias("b"), F.count_if(F.col("verdict") == "allow").alias("a"))
-    found = {r["w"]: (r["b"], r["a"]) for r in tokens.orderBy(F.desc(F.col("a") + F.col("b")), "w").limit(FEATURES).collect()}
-    for v, words in SEEDS.items():
-        for w in words:
-            b, a = found.get(w, (0, 0))
-            found[w] = (b + SEED_WEIGHT * (v == "block"), a + SEED_WEIGHT * (v == "allow"))
-    total_b, total_a = sum(x[0] for x in found.values()), sum(x[1] for x in found.values())
-    odds = {w: log((b + 1) / (total_b + len(found))) - log((a + 1) / (total_a + len(found))) for w, (b, a) in found.items()}
-    return log((n.get("block", 0) + 1) / (n.get("allow", 0) + 1)), odds
-
-
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule and verdict of each page."""
-    rows = written(tokenised(pages, rules), "urls")
-    prior, odds = bayes(rows)
-    sent = pages.sparkSession.sparkContext.broadcast((prior, odds))  # bounded by FEATURES
+def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
+    """names (name, b, a) with words: what each name is cut into, by the counts of words (w, n)."""
+    total = words.agg(F.sum("n")).first()[0]
+    bare = names.select("name", F.regexp_replace("name", "^/", "").alias("s")).withColumn("l", F.length("s")).where((F.col("l") > 1) & (F.col("l") <= LONGEST))
+    of = F.expr(f"array_distinct(flatten(transform(sequence(1, l - 1), i -> transform(sequence(2, least({WORD}, l - i + 1)), k -> substring(s, i, k)))))")
+    known = sized_join(bare.select("name", F.explode(of).alias("w")), words, "w").groupBy("name").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    rows = sized_join(names, written(known, "parts"), "name", "left").select("name", "b", "a", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prior, odds = sent.value
         for b in batches:
-            said = [v or ("block" if prior + sum(odds.get(w, 0.0) for w in t) > 0 else "allow") for v, t in zip(b.column("verdict").to_pylist(), b.column("tokens").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("page_id", "host", "path", "rule")], pa.array(said, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            cut = []
+            for name, known in zip(b.column("name").to_pylist(), b.column("known").to_pylist(), strict=True):
+                sign, own = name[: name.startswith("/")], Segmenter({x["w"]: x["n"] for x in known or ()}, total)
+                cut.append([sign + w for w in own.words[name[len(sign) :]]])
+            yield pa.RecordBatch.from_arrays([b.column("name"), b.column("b"), b.column("a"), pa.array(cut, pa.list_(pa.string()))], ["name", "b", "a", "words"])
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return rows.mapInArrow(run, "name string, b long, a long, words array<string>")
+
+
+def bayes(rows: DataFrame, cut: DataFrame) -> tuple[int, DataFrame]:
+    """Log odds of block: of the prior, and of each word (w, odds)."""
+    n = {r["verdict"]: r["count"] for r in rows.where("verdict is not null").groupBy("verdict").count().collect()}
+    seeds = rows.sparkSession.createDataFrame([(w, SEED_WEIGHT * (v == "block"), SEED_WEIGHT * (v == "allow")) for v, words in SEEDS.items() for w in words], "w string, b long, a long")
+    tokens = cut.where("b + a > 0").select(F.explode("words").alias("w"), "b", "a").union(seeds)
+    counts = written(tokens.groupBy("w").agg(F.sum("b").alias("b"), F.sum("a").alias("a")), "tokens")
+    all_b, all_a, size = counts.agg(F.sum("b"), F.sum("a"), F.count(F.lit(1))).first()
+    odds = F.log((F.col("b") + 1) / (all_b + size)) - F.log((F.col("a") + 1) / (all_a + size))
+    prior = log((n.get("block", 0) + 1) / (n.get("allow", 0) + 1))
+    return round(prior * UNIT), counts.select("w", F.round(odds * UNIT).cast("long").alias("odds"))
+
+
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule and verdict of each page."""
+    rows = written(named(pages, rules), "urls")
+    uses = rows.select(F.explode("names").alias("name"), "verdict").groupBy("name").agg(F.count_if(F.col("verdict") == "block").alias("b"), F.count_if(F.col("verdict") == "allow").alias("a"))
+    cut = written(segmented(written(uses, "names"), written(lexicon(pages), "words")), "cut")
+    prior, odds = bayes(rows, cut)
+    scores = sized_join(cut.select("name", F.explode("words").alias("w")), odds, "w").groupBy("name").agg(F.sum("odds").alias("score"))
+    asked = rows.where("verdict is null").select("__row", F.explode("names").alias("name"))
+    sums = sized_join(asked, written(scores, "scores"), "name").groupBy("__row").agg(F.sum("score").alias("score"))
+    said = F.when(F.coalesce("score", F.lit(0)) + prior > 0, "block").otherwise("allow")
+    out = sized_join(rows.drop("names"), written(sums, "sums"), "__row", "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", said).alias("verdict"))

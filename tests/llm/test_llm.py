@@ -278,6 +278,24 @@ def test_urls_segment_hosts(spark):
     assert Segmenter({"cheappills": 1, "cheap": 900, "pills": 900}).words["cheappills"] == ("cheap", "pills")
 
 
+def test_urls_rare_words_count(spark, monkeypatch):
+    """A word seen once speaks for its verdict, however many words there are, and joins of either kind give the same."""
+    from telemill.llm.urls import judge
+    from telemill.plans import lineage
+
+    name = F.concat(F.lit("a"), F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "bcdfghjklm"))
+    many = spark.range(110_000).select(F.col("id").alias("page_id"), F.concat(F.when(F.col("id") % 2 == 0, "http://q.net/").otherwise("http://q.org/fr/"), name).alias("url"), F.lit(None).cast("string").alias("html"))
+    few = spark.createDataFrame([(200_000, "http://q.net/zzblock", None), (200_001, "http://q.org/fr/zzallow", None), (200_002, "http://x.io/zzblock", "<p>x</p>"), (200_003, "http://x.io/zzallow", None)], "page_id long, url string, html string")
+    got = {}
+    for rows in (lineage.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(lineage, "BROADCAST_ROWS", rows)
+        out = judge(many.where("page_id < 110000").union(few))
+        assert out.count() == 110_004
+        got[rows] = sorted(map(tuple, out.where("page_id >= 109990").collect()))
+        assert [r[4] for r in got[rows][-4:]] == ["block", "allow", "block", "allow"]
+    assert len(got) == 2 and len(set(map(tuple, got.values()))) == 1
+
+
 # -- languages
 
 
