@@ -133,9 +133,12 @@ def read(objects: DataFrame, schema: str, use, whole: bool) -> DataFrame:
     return objects.mapInArrow(run, "digest string, " + schema)
 
 
-def with_metadata(rows: DataFrame) -> DataFrame:
-    """rows (digest, shard, offset, length) with width, height and depth, from header-only range reads."""
-    return rows.join(read(rows, "width long, height long, depth long", header, False), "digest")
+def with_metadata(rows: DataFrame, objects: DataFrame | None = None) -> DataFrame:
+    """rows (digest, shard, offset, length) with width, height and depth, from header-only range reads.
+
+    objects: where the addresses are taken from, if rows has columns that needn't be made anew for them.
+    """
+    return rows.join(read(rows if objects is None else objects, "width long, height long, depth long", header, False), "digest")
 
 
 def described(image: bytes) -> dict:

@@ -39,10 +39,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from telemill.llm.media import store, with_features
+    from telemill.llm.media import store, with_features, with_metadata
 
-    return with_features(store(table(spark, sf_dir, "documents"))).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    rows = store(table(spark, sf_dir, "documents"))
+    return with_metadata(with_features(rows), rows).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth"
     )
 
 

@@ -249,6 +249,15 @@ def test_media(spark):
     assert store(documents(spark, [])).count() == 0
 
 
+def test_media_query_reads_headers(spark, tmp_path):
+    from telemill.llm.media import ROW, payload
+    from telemill.llm.queries import op5_media_columns
+
+    documents(spark, ROWS, False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((repr(r["doc_id"]), r["payload_sha256"], r["width"], r["height"], r["depth"]) for r in op5_media_columns(spark, str(tmp_path)).collect())
+    assert got == sorted((repr(d), hashlib.sha256(payload(t)).hexdigest(), ROW, len(payload(t)) // ROW, 8) for d, t in ROWS)
+
+
 # -- URLs
 
 
