@@ -5,8 +5,9 @@ phrases that the language's text holds; as one phrase costs a pointer into that
 are what the text needs in this language, and the language that needs fewest wins. Matches begin anew every BLOCK
 characters, so that long texts are walked in parallel; all of every text is walked.
 
-The automata learn from at most SAMPLE characters a language, taken from the documents with the least hashes, at most
-PER_DOCUMENT characters each: this bound on the labelled text makes tables that fit every worker.
+The automata learn from at most SAMPLE characters a language, as blocks of PER_DOCUMENT characters at random places of
+the distinct texts with the least hashes: this bound on the labelled text makes tables that fit every worker. All
+letters of the labelled text are told apart: the LETTERS most frequent ones have a code each, others several digits.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; with no labelled text at all, so is every
 text; with one language, it wins with score 1; ties go to the first language by name; repeated rows each get their
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, PER_DOCUMENT = 30_000, 500
-#: Letters told apart; rarer ones of the labelled text are one letter.
-LETTERS = 94
+#: Letters that have a code each, and the base in which rarer ones of the labelled text are written.
+LETTERS, BASE = 94, 32
 BLOCK = 1024
 #: Characters walked at a time.
 AT_ONCE = 2_000_000
@@ -34,13 +35,15 @@ AT_ONCE = 2_000_000
 
 def labelled(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
     """Up to SAMPLE characters of labelled text by language, from the rows for which the condition learn holds."""
-    known = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0)).withColumn("__h", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32)))
-    counts = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = 6 * SAMPLE // PER_DOCUMENT
+    known = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0)).withColumn("__h", F.xxhash64(text))
+    texts = known.select(lang, "__h", F.least(F.length(text), F.lit(PER_DOCUMENT)).alias("n")).distinct()
+    counts = {r[lang]: r["n"] for r in texts.groupBy(lang).agg(F.sum("n").alias("n")).collect()}
+    nth = F.pmod("__h", F.lit(1 << 32))
     chosen = F.lit(False)
     for name, n in counts.items():
-        chosen = chosen | ((F.col(lang) == name) & (F.col("__h") <= min(1, wanted / n) * (1 << 32)))
-    rows = known.where(chosen).select(lang, "__h", F.substring(text, 1, PER_DOCUMENT).alias("t")).distinct().collect()
+        chosen = chosen | ((F.col(lang) == name) & (nth <= min(1, 6 * SAMPLE / n) * (1 << 32)))
+    place = F.pmod(F.xxhash64(F.lit("place"), F.col("__h")), F.greatest(F.lit(1), F.length(text) - PER_DOCUMENT + 1)).cast("int") + 1
+    rows = known.where(chosen).select(lang, nth.alias("nth"), F.substring(F.col(text), place, F.lit(PER_DOCUMENT)).alias("t")).distinct().collect()
     out: dict[str, str] = {}
     for name, _, t in sorted(rows):
         if len(out.setdefault(name, "")) < SAMPLE:
@@ -88,9 +91,12 @@ class Model:
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
-        letters = Counter(c for t in texts.values() for c in t.lower() if c.isalpha()).most_common(LETTERS)
-        self.letters = "".join(sorted(c for c, _ in letters))
-        self.width = len(self.letters) + 2  # no letter, the letters, any other letter
+        letters = [c for c, _ in Counter(c for t in texts.values() for c in t.lower() if c.isalpha()).most_common()]
+        self.letters, self.rarer = "".join(sorted(letters[:LETTERS])), "".join(sorted(letters[LETTERS:]))
+        self.digits = 1
+        while BASE**self.digits < len(self.rarer):
+            self.digits += 1
+        self.width = len(self.letters) + 2 + BASE * bool(self.rarer)  # no letter, the letters, any letter unknown, digits
         tables, roots, bits, at = [], [], [], 0
         for name in self.languages:
             codes, _ = self.codes(texts[name])
@@ -110,22 +116,34 @@ class Model:
 
     def _classes(self) -> np.ndarray:
         if not hasattr(self, "_of"):
-            self._of = _letter_table().astype(np.uint8) * (self.width - 1)
+            self._of = _letter_table().astype(np.uint8) * (len(self.letters) + 1)
             for i, c in enumerate(self.letters):
                 self._of[ord(c)] = i + 1
+            self._rank = np.zeros(0x110000 if self.rarer else 0, np.int32)
+            for i, c in enumerate(self.rarer):
+                self._of[ord(c)], self._rank[ord(c)] = 255, i
         return self._of
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_of"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_of", "_rank")}
 
     def codes(self, text: str) -> tuple[np.ndarray, bool]:
         """Character classes, runs of other characters than letters being one; whether there is a letter."""
-        of = self._classes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        of = self._classes()[points]
         if not len(of):
             return of, False
         keep = of != 0
         keep[1:] |= of[:-1] != 0
-        return of[keep], bool(of.any())
+        of, points = of[keep], points[keep]
+        rare = of == 255
+        if rare.any():
+            sizes = np.where(rare, self.digits, 1)
+            of, places = np.repeat(of, sizes), np.flatnonzero(np.repeat(rare, sizes)).reshape(-1, self.digits)
+            ranks = self._rank[points[rare]]
+            for i in range(self.digits):
+                of[places[:, -1 - i]] = len(self.letters) + 2 + ranks // BASE**i % BASE
+        return of, bool(of.any())
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text in each language."""

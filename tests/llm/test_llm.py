@@ -342,6 +342,33 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in predict(docs, train(docs, F.lit(False))).collect()} == {"und"}
 
 
+def test_languages_behind_a_header(spark):
+    """Documents that open alike, and copies of one text, teach their language all the same."""
+    from telemill.llm.language import predict, train
+
+    header = "all of this is shared by every document of the house " * 12
+    en, fr = "the quick brown fox jumps over lazy dogs and runs away".split(), "le vif renard saute par dessus un chien paresseux et court".split()
+    r = random.Random(11)
+    body = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, header + body(en if i % 2 else fr, 300), "en" if i % 2 else "fr") for i in range(40)] + [(40 + i, header, "en" if i % 2 else "fr") for i in range(400)]
+    rows += [(1000 + i, body(en if i % 2 else fr, 12), None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in predict(docs, train(docs, F.col("doc_id") < 1000)).collect()}
+    assert all(got[1000 + i] == ("en" if i % 2 else "fr") for i in range(20))
+
+
+def test_letters_of_many_scripts_are_told_apart():
+    from telemill.llm.language import Model
+
+    r = random.Random(12)
+    pools = {"aa": [c for c in map(chr, range(0x100, 0x250)) if c.isalpha() and c.lower() == c and len(c.lower()) == 1][:100], "ja": [chr(0x3041 + i) for i in range(80)], "ko": [chr(0xAC00 + 7 * i) for i in range(300)], "zh": [chr(0x4E00 + 5 * i) for i in range(300)]}
+    text = lambda name, n: "".join(r.choice(pools[name]) for _ in range(n))
+    m = Model({k: text(k, 10_000 if k == "aa" else 2_000) for k in pools})
+    assert [x[0] for x in m.predict([text(k, 60) for k in pools])] == list(pools)
+    some = pools["zh"][:5] + pools["ko"][:5] + pools["ja"][:5]
+    assert len({bytes(m.codes(c)[0]) for c in some}) == len(some)
+
+
 # -- secrets
 
 
