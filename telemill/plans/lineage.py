@@ -1,4 +1,4 @@
-"""Cutting lineage through the folder that driver and executors share."""
+"""Cutting lineage through the folder that driver and executors share, and joins by measured size."""
 
 from __future__ import annotations
 
@@ -6,16 +6,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: Rows up to which the side of a join is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which the side of a join is broadcast; beyond either, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The shared scratch folder: spark.checkpoint.dir, or a local one where it is unset and the master is local (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="telemill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="telemill-"))
     return sc.getCheckpointDir()
 
 
@@ -42,12 +47,29 @@ def drop_written(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
-    """left joined with right, broadcasting right only if it is counted at BROADCAST_ROWS or fewer."""
-    from pyspark.sql import functions as F
+def _width(column, kind: DataType):
+    """About how many bytes a value takes."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(kind, ArrayType | MapType):
+        return F.coalesce(F.size(column), F.lit(0)) * 64 + 16
+    if isinstance(kind, StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df, counted and measured, is within BROADCAST_ROWS and BROADCAST_BYTES."""
+    if rows is not None and rows > BROADCAST_ROWS:
+        return False
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
-    rows = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge"), on, how)
+
+def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """left joined with right, broadcasting right only if it is measured small; else both shuffle, and AQE splits hot keys."""
+    return left.join(F.broadcast(right) if is_small(right, rows) else right.hint("merge"), on, how)
 
 
 def release(spark: SparkSession) -> None:
