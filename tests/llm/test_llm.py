@@ -226,12 +226,73 @@ def test_lines(spark):
     from telemill.llm.lines import line_dedup
 
     a, b = "All rights reserved by the authors 2019", "a passage of words that comes again and again in texts"
-    rows = [(1, f"{a}\nown line one\n{b}"), (2, f"{a.replace('2019', '2024')}\nfoo bar\n{b.replace('texts', 'books')}"), (3, f"{b}\n{b}"), (4, None), (5, ""), (6, "foo bar"), (6, "foo bar"), (None, f"{a}\nlast"), (7, "x\n" + "\n".join(prose(i, 12) for i in range(300)))]
+    rows = [(1, f"{a}\nown line one\n{b}"), (2, f"{a.replace('2019', '2024')}\nfoo bar\n{b.replace('texts', 'books')}"), (3, f"{b}\n{b}"), (4, None), (5, ""), (6, "bar foo"), (6, "bar foo"), (None, f"{a}\nlast"), (7, "x\n" + "\n".join(prose(i, 12) for i in range(300)))]
     got = {(r["doc_id"], r["text"]): (r["n_lines"], r["n_dropped"]) for r in line_dedup(documents(spark, rows)).collect()}
-    assert got == {(1, rows[0][1]): (3, 0), (2, "foo bar"): (3, 2), (3, ""): (2, 2), (4, None): (0, 0), (5, ""): (1, 0), (6, "foo bar"): (1, 0), (None, "last"): (2, 1), (7, rows[8][1]): (301, 0)}
+    assert got == {(1, rows[0][1]): (3, 0), (2, "foo bar"): (3, 2), (3, ""): (2, 2), (4, None): (0, 0), (5, ""): (1, 0), (6, "bar foo"): (1, 0), (None, "last"): (2, 1), (7, rows[8][1]): (301, 0)}
     assert line_dedup(documents(spark, [])).count() == 0
 
 
+def _left(spark, texts):
+    """The text that line dedup leaves of each document, by number."""
+    from telemill.llm.lines import line_dedup
+
+    return {r["doc_id"]: r["text"] for r in line_dedup(documents(spark, list(enumerate(texts)), False)).collect()}
+
+
+def test_lines_short_and_numeric(spark):
+    """Short lines, rows of numbers and log lines of mostly numbers go where they recur; other rows of numbers stay."""
+    log = "2024 10 11 12 session 13 14 closed"
+    texts = [f"All rights reserved.\n{log}\n1 2 3 4 5 6\nown{chr(97 + i)}\n7 8 {i} 9 10 11" for i in range(20)]
+    got = _left(spark, texts)
+    assert got[0] == texts[0]
+    assert [got[i] for i in range(1, 20)] == [f"own{chr(97 + i)}\n7 8 {i} 9 10 11" for i in range(1, 20)]
+    assert _left(spark, ["} \t\n\n", "}\n\n"]) == {0: "} \t\n\n", 1: "\n"}  # white space doesn't tell lines apart, and lines without a word stay
+
+
+def test_lines_templates_of_one_leaf(spark):
+    """Templates that share their length and leading words are told apart, whatever else their leaf holds."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(9))
+    visit = lambda: f"we thank you for your visit to {word()} and the shop of {word()} today"
+    delay = lambda: f"we thank you for {word()} patience while our team in {word()} mends the lines"
+    other = lambda: "we thank you for " + " ".join(word() for _ in range(10))
+    kinds = [visit] * 30 + [delay] * 20 + [other] * 40
+    texts = [f"{k()}\n{word()}" for k in kinds]
+    got = _left(spark, texts)
+    kept = [i for i in range(len(texts)) if got[i] == texts[i]]
+    assert kept == [0, 30, *range(50, 90)]
+    assert all(got[i] == texts[i].split("\n")[1] for i in range(90) if i not in kept)
+
+
+def test_lines_clashing_columns(spark):
+    from telemill.llm.lines import line_dedup
+
+    rows = spark.createDataFrame([(1, "a b c", 5, "k", "t", "d"), (2, "a b c", 6, "l", "u", "e")], "doc_id long, text string, n_lines long, __key string, __t string, __drop string")
+    got = line_dedup(rows)
+    assert got.columns == ["doc_id", "text", "__key", "__t", "__drop", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c", "k", "t", "d", 1, 0), (2, "", "l", "u", "e", 1, 1)]
+
+
+@pytest.mark.parametrize("rows", [500_000, -1])
+def test_lines_equal_the_sql(spark, tmp_path, monkeypatch, rows):
+    """Both kinds of joins, against the query's SQL."""
+    import duckdb
+
+    from telemill.llm.lines import ORACLE
+    from telemill.llm.queries import op4_line_dedup
+    from telemill.plans import lineage
+
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", rows)
+    r = random.Random(12)
+    some = [prose(i, 14, 60) for i in range(12)]
+    change = lambda x: " ".join(w if r.random() > 0.1 else f"n{r.randrange(30)}" for w in x.split(" "))
+    texts = ["\n".join(change(r.choice(some)) if r.random() < 0.7 else prose(r.randrange(10**6), r.randrange(12), 8) for _ in range(8)) for _ in range(60)]
+    documents(spark, [(i, t) for i, t in enumerate(texts)] + [(99, None), (98, "")], False).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, op4_line_dedup(spark, str(tmp_path)).collect())) == sorted(con.sql(ORACLE).fetchall())
+
+
 # -- media
 
 
