@@ -12,7 +12,7 @@ corpus. What grows with the corpus is distributed: counting sizes, ranking the p
 offsets being prefix sums of counts, so that a size that a third of all pieces share is ranked by many tasks), and the
 match of every piece with the run that holds its rank.
 
-Edge cases: null and empty texts are the end id alone; repeated rows are packed each; a piece that fills a sequence has
+Edge cases: null and empty texts are the end id alone; the content of an added token is that token, as the library has it; repeated rows are packed each; a piece that fills a sequence has
 one to itself; an empty table gives an empty result; texts of any length are encoded whole; other columns of the input
 are not read and so may have any name.
 """
@@ -20,6 +20,7 @@ are not read and so may have any name.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,8 +36,8 @@ from telemill.plans.lineage import BROADCAST_ROWS, written
 CAPACITY = 1024
 END_ID = 2
 WORDS = 200_000
-#: Pieces of one size ranked by one task, about.
-BLOCK = 200_000
+#: Pieces of one size are ranked in so many blocks at least, and more where a block would hold more than BLOCK pieces.
+BLOCKS, BLOCK = 64, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,25 +47,44 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-@lru_cache(2)
-def tokenizer(path: str, pattern: str):
-    """The tokenizer of a byte-level BPE file of the tokenizers library, its special tokens' strings being ordinary text."""
-    import tiktoken
+class Tokens:
+    """Texts to ids by a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit numbers.
+
+    Added tokens are found first, wherever their content stands, the longest of those that begin at a place; what lies
+    between them is cut by pattern and merged apart.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = {t["content"]: t for t in spec.get("added_tokens", [])}
+        if any(t.get(k) for t in added.values() for k in ("single_word", "lstrip", "rstrip", "normalized")) or spec.get("normalizer"):
+            raise ValueError("added tokens with conditions and normalizers are not supported")
+        letters = byte_alphabet()
+        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+        self.encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = {c: t["id"].to_bytes(4, "little") for c, t in added.items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        self.memo = Memo(self._merged, WORDS)
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    letters, special = byte_alphabet(), {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    pack = lambda x: b"".join([i.to_bytes(4, "little") for i in encoding.encode_ordinary(x)])
-    return pack, Memo(pack, WORDS)
+    def _merged(self, text: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.encoding.encode_ordinary(text)])
 
+    def _plain(self, text: str) -> bytes:
+        parts = spaced(text)
+        return self._merged(text) if parts is None else b"".join(map(self.memo.__getitem__, parts))
 
-def token_bytes(text: str, path: str, pattern: str) -> bytes:
-    """The ids of a text as unsigned little-endian 32-bit numbers."""
-    pack, memo = tokenizer(path, pattern)
-    pieces = spaced(text)
-    return pack(text) if pieces is None else b"".join(map(memo.__getitem__, pieces))
+    def __call__(self, text: str) -> bytes:
+        if self.marks is None or not any(c in text for c in self.added):
+            return self._plain(text)
+        return b"".join(self.added[x] if x in self.added else self._plain(x) for x in self.marks.split(text) if x)
+
+
+@lru_cache(2)
+def tokenizer(path: str, pattern: str) -> Tokens:
+    return Tokens(path, pattern)
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
@@ -75,8 +95,9 @@ def pieces(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, out = [], [[] for _ in names[1:]]
+            own = tokenizer(path, pattern)
             for row, x in enumerate(b.column(1)):
-                data = token_bytes(x.as_py() or "", path, pattern) + end_id.to_bytes(4, "little")
+                data = own(x.as_py() or "") + end_id.to_bytes(4, "little")
                 n = len(data) // 4
                 start, piece = 0, 0
                 while start < n:
@@ -138,7 +159,7 @@ def pack(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
     """parts (with key, piece, length: 1 to capacity) with sequence_id and offset."""
     spark = parts.sparkSession
     total = parts.count()
-    blocks = max(1, total // BLOCK)
+    blocks = max(BLOCKS, total // BLOCK)
     parts = parts.withColumn("__block", F.pmod(F.xxhash64(key, "piece"), F.lit(blocks)))
     cells = parts.groupBy("length", "__block").agg(F.count(F.lit(1)).alias("__n"))
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
