@@ -1,18 +1,25 @@
 """Quality rules with risk-controlled thresholds.
 
 Each document gets counts (words, symbols, repeated lines and word windows) and, from them, integer scores per
-mille, higher being worse. A base rule rejects documents that are too short or repeat themselves. For every stratum
-(language) and score, a cutoff is then chosen on labelled documents: cutoffs are tested from the mildest on, each by
-an exact binomial test of "the rule rejects more than RISK of the good documents of this stratum", at the level
-ALPHA / (strata * scores) (Bonferroni across strata and scores; within one of them testing stops at the first
-failure, so that no further correction is needed). Of the cutoffs that pass, the one is taken that gains most bad
-documents at GAIN good ones each. Where none passes, or too few labels exist, the score rejects nothing.
-
-Only built-in functions run on the rows; the driver sees one row of counts per stratum.
-
-Edge cases: null and empty texts have zero counts and fail the base rule; repeated rows each get their result; an
-empty table gives an empty result; labels that contradict one another for a document count as bad; labels that are
-null are ignored; further columns of the input are kept, the result's names winning over equal ones.
+mille, higher being worse. A base rule rejects documents that are too short or repeat themselves. The method's verdict
+rejects what exceeds a cutoff of any score; cutoffs are chosen for every stratum (language) on labelled documents that
+the base rule leaves, equal texts being one:
+
+1. A third of the labelled texts, drawn by hash, gives a path of ever stricter sets of cutoffs: from no cutoff on, the
+   step next taken is the one that rejects the fewest good documents for each bad one, while a bad one outweighs them.
+2. The other texts are the holdout. Along the path, an exact binomial test asks whether the whole set (the union of its
+   cutoffs) rejects more than RISK of the good documents of the stratum, at level ALPHA / strata (Bonferroni), until it
+   first fails (fixed-sequence testing, which needs no further correction). The last set that passes is used.
+
+So, with a chance of 1 - ALPHA, the method rejects at most RISK of the good documents in every stratum at once. A
+stratum without enough labelled texts to pass any test gets no cutoff.
+
+Only built-in functions run on the rows; the driver sees one row of counts and the path for each stratum.
+
+Edge cases: null and empty texts have zero counts and fail the base rule; repeated rows each get their result, rows that
+share a doc_id are judged one by one; an empty table gives an empty result; labels that contradict one another for a
+document or text count as bad; labels that are null are ignored; rows without doc_id have no label but are judged as
+others; further columns of the input are kept, the result's names winning over equal ones.
 """
 
 from __future__ import annotations
@@ -23,21 +30,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.common import bound, counted, words
-from telemill.plans.lineage import written
+from telemill.plans.lineage import sized_join, written
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Allowed share of good documents that one score may reject in a stratum, and the chance that this fails anywhere.
+#: Allowed share of good documents that all cutoffs together may reject in a stratum, and the chance that this fails anywhere.
 RISK, ALPHA = 0.005, 0.05
+#: One in so many labelled texts gives the path, the others test it.
+PATH_SHARE = 3
 #: Good documents weigh so much more than bad ones when a cutoff is picked from those that hold the risk.
 GAIN = 5
 #: Cutoffs per mille, mildest first; scores run to 1000 (word_length: tenths of characters).
 GRID = (900, 800, 700, 600, 500, 400, 350, 300, 250, 200, 175, 150, 125, 100, 90, 80, 70, 60, 50, 40, 30, 20, 10, 5)
-#: A stratum needs so many labelled documents.
-MIN_LABELLED = 100
 
 
 def repeated_words(w: Column) -> Column:
@@ -94,52 +101,87 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return min(1.0, sum(exp(top - lgamma(i + 1) - lgamma(n - i + 1) + i * a + (n - i) * b) for i in range(k + 1)))
 
 
-def choose(good: int, rejected: list[tuple[int, int]], level: float, risk: float = RISK) -> int | None:
-    """The index of the cutoff to use. rejected: good and bad documents that each cutoff rejects, mildest first."""
-    best, gain = None, 0
-    for i, (k, bad) in enumerate(rejected):
-        if not good or binomial_cdf(k, good, risk) > level:
-            break
-        if bad - GAIN * k > gain:
-            best, gain = i, bad - GAIN * k
-    return best
-
-
-def thresholds(scored: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, risk: float = RISK) -> list[tuple[str | None, str, int]]:
-    """(stratum, score, cutoff) for every rule that may reject. scored: one row per document with features() and scores()."""
+def path(counts: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int]]:
+    """(score, cutoff) in the order in which they are to be added. counts: good and bad documents that each cutoff of
+    GRID rejects, by score."""
+    at, steps = dict.fromkeys(counts, -1), []
+    while True:
+        best = None
+        for s, rejected in counts.items():
+            g0, b0 = rejected[at[s]] if at[s] >= 0 else (0, 0)
+            for i in range(at[s] + 1, len(GRID)):
+                good, bad = rejected[i][0] - g0, rejected[i][1] - b0
+                if bad > GAIN * good and (best is None or (good / bad, -bad, s, i) < best):
+                    best = (good / bad, -bad, s, i)
+        if best is None:
+            return steps
+        steps.append((best[2], GRID[best[3]]))
+        at[best[2]] = best[3]
+
+
+def passed(good: int, first: dict[int, int], n: int, level: float, risk: float = RISK) -> int:
+    """How many of n steps hold the risk. good: good documents of the holdout; first: how many of them each step (from 1)
+    is the first to reject."""
+    rejected = 0
+    for step in range(1, n + 1):
+        rejected += first.get(step, 0)
+        if not good or binomial_cdf(rejected, good, risk) > level:
+            return step - 1
+    return n
+
+
+def thresholds(scored: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, risk: float = RISK) -> list[tuple]:
+    """(stratum, cutoff of each score or None) of the strata that have any. scored: features() with __text and scores()."""
     names = list(scores())
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__good"))
-    held = scored.where(~F.col("base_failed")).join(known, "doc_id")
-    good = F.col("__good") == 1
-    counts = [F.count_if(good).alias("good"), F.count(F.lit(1)).alias("n")]
-    for s in names:
+    held = sized_join(scored.where(~F.col("base_failed")), known, "doc_id")
+    held = held.groupBy(F.col(stratum).alias("stratum"), "__text").agg((F.min("__good") == 1).alias("good"), F.first(F.array(*[F.col(f"__{s}") for s in names])).alias("scores"))
+    held = written(held.withColumn("on_path", F.pmod(F.xxhash64(F.lit("path"), F.col("__text")), F.lit(PATH_SHARE)) == 0), "labelled")
+    counts = []
+    for k, s in enumerate(names):
         for c in GRID:
-            counts += [F.count_if(good & (F.col(f"__{s}") > c)).alias(f"{s}_{c}_g"), F.count_if(~good & (F.col(f"__{s}") > c)).alias(f"{s}_{c}_b")]
-    rows = [r for r in held.groupBy(F.col(stratum).alias("__stratum")).agg(*counts).where(F.col("n") >= MIN_LABELLED).collect()]
-    level = alpha / max(1, len(rows) * len(names))
-    found = []
-    for r in sorted(rows, key=lambda r: (r["__stratum"] is not None, r["__stratum"])):
-        for s in names:
-            i = choose(r["good"], [(r[f"{s}_{c}_g"], r[f"{s}_{c}_b"]) for c in GRID], level, risk)
-            if i is not None:
-                found.append((r["__stratum"], s, GRID[i]))
-    return found
+            over = F.col("on_path") & (F.col("scores")[k] > c)
+            counts += [F.count_if(over & F.col("good")).alias(f"{s}_{c}_g"), F.count_if(over & ~F.col("good")).alias(f"{s}_{c}_b")]
+    paths = {r["stratum"]: path({s: [(r[f"{s}_{c}_g"], r[f"{s}_{c}_b"]) for c in GRID] for s in names}) for r in held.groupBy("stratum").agg(*counts).collect()}
+    rows = [(value, [(names.index(s) + 1, c) for s, c in steps]) for value, steps in paths.items()]
+    steps = held.sparkSession.createDataFrame(rows, f"stratum {scored.schema[stratum].dataType.simpleString()}, steps array<struct<s:int,c:int>>")
+    test = held.where(~F.col("on_path") & F.col("good")).alias("h").join(F.broadcast(steps).alias("p"), F.col("h.stratum").eqNullSafe(F.col("p.stratum")))  # a row a stratum
+    first = F.array_position(F.transform("steps", lambda x: F.element_at("scores", x.s) > x.c), True)
+    found: dict = {}
+    for r in test.groupBy(F.col("h.stratum").alias("stratum"), first.alias("step")).count().collect():
+        found.setdefault(r["stratum"], {})[r["step"]] = r["count"]
+    out = []
+    for value, steps in paths.items():
+        cutoffs = dict(steps[: passed(sum(found.get(value, {}).values()), found.get(value, {}), len(steps), alpha / len(paths), risk)])
+        if cutoffs:
+            out.append((value, *[cutoffs.get(s) for s in names]))
+    return sorted(out, key=repr)
+
+
+def _judged(needed: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
+    """needed (doc_id, stratum, __text, features and scores), with kept."""
+    names = list(scores())
+    kind = needed.schema[stratum].dataType.simpleString()
+    cutoffs = needed.sparkSession.createDataFrame(thresholds(needed, labels, stratum), f"__stratum {kind}, " + ", ".join(f"__cut_{s} int" for s in names))
+    judged = needed.join(F.broadcast(cutoffs), F.col(stratum).eqNullSafe(F.col("__stratum")), "left")  # a row a stratum
+    bad = F.lit(False)
+    for s in names:
+        bad = bad | F.coalesce(F.col(f"__{s}") > F.col(f"__cut_{s}"), F.lit(False))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~bad).drop("__stratum", "__text", *[f"__{s}" for s in names], *[f"__cut_{s}" for s in names])
+
+
+def _featured(rows: DataFrame) -> DataFrame:
+    """rows (text and others) with features, scores and a hash of the text, which goes."""
+    return features(rows).withColumns({f"__{k}": v for k, v in scores().items()}).withColumn("__text", F.xxhash64("text")).drop("text")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """docs' doc_id and stratum with the features, and kept: false if the base rule or a learnt cutoff rejects."""
-    needed = features(docs.select("doc_id", stratum, "text")).drop("text")
-    needed = needed.withColumns({f"__{k}": v for k, v in scores().items()})
-    needed = written(needed, "features")
-    bad = F.lit(False)
-    for value, score, cutoff in thresholds(needed, labels, stratum):
-        bad = bad | (F.col(stratum).eqNullSafe(F.lit(value)) & (F.col(f"__{score}") > cutoff))
-    return needed.withColumn("kept", ~F.col("base_failed") & ~bad).drop(*[f"__{s}" for s in scores()])
+    return _judged(written(_featured(docs.select("doc_id", stratum, "text")), "features"), labels, stratum)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of docs that are kept, unchanged. Rows are told apart by doc_id; null ids are judged by no rule and kept."""
-    from telemill.plans.lineage import sized_join
-
-    rejected = judge(docs, labels, stratum).where(~F.col("kept")).select("doc_id").distinct()
-    return sized_join(docs, written(rejected, "rejected"), "doc_id", "left_anti")
+    """The rows of docs that are kept, unchanged. Rows are written once with their features, so that none is shuffled."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    needed = written(_featured(docs.select(whole, "doc_id", stratum, "text")), "features")
+    return _judged(needed, labels, stratum).where("kept").select("__row.*")

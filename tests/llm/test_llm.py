@@ -41,11 +41,12 @@ def test_packing(spark):
 
     from telemill.llm.packing import best_fit
 
-    got = best_fit(documents(spark, ROWS), P.path("byte_bpe_50k.json"), P.PATTERN, ids=True).collect()
+    mark = "<|endoftext|>"
+    rows = [*ROWS, (20, f"one{mark}two {mark} \n{mark}{mark}  three<|endoftext|"), (21, mark), (22, f"a{mark}" * 700)]
+    got = best_fit(documents(spark, rows), P.path("byte_bpe_50k.json"), P.PATTERN, ids=True).collect()
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = []
-    for d, text in ROWS:
+    for d, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         at = 0
         while at < len(ids):
@@ -64,7 +65,7 @@ def test_packing(spark):
             assert offset == at
             at += n
         assert at <= 1024
-    assert len(held) <= -(-sum(w[2] for w in want) // 1024) + 1
+    assert len(held) <= -(-sum(w[2] for w in want) // 1024) + 1 and any(b"\x50\xc4\0\0" in w[4] for w in want)
     assert best_fit(documents(spark, []), P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
@@ -490,11 +491,37 @@ def test_quality_features(spark):
 def test_thresholds():
     from math import comb
 
-    from telemill.llm.quality_rules import binomial_cdf, choose
+    from telemill.llm.quality_rules import GRID, binomial_cdf, passed, path
 
     assert abs(binomial_cdf(3, 50, 0.1) - sum(comb(50, i) * 0.1**i * 0.9 ** (50 - i) for i in range(4))) < 1e-12
-    assert choose(5000, [(0, 10), (2, 90), (900, 400)], 0.001, 0.01) == 1
-    assert choose(20, [(0, 10)], 0.001, 0.01) is None and choose(0, [(0, 10)], 0.05) is None
+    flat = lambda *steps: [steps[min(i, len(steps) - 1)] for i in range(len(GRID))]
+    assert path({"a": flat((0, 10), (2, 90), (900, 400)), "b": flat((0, 0), (1, 60))}) == [("a", GRID[0]), ("b", GRID[1]), ("a", GRID[1])]
+    assert path({"a": flat((0, 0))}) == []
+    assert passed(5000, {1: 0, 2: 2, 3: 500}, 3, 0.001, 0.01) == 2 and passed(5000, {}, 3, 0.001, 0.01) == 3
+    assert passed(20, {}, 2, 0.001, 0.01) == 0 and passed(0, {}, 2, 0.05) == 0
+
+
+def test_union_of_cutoffs_holds_the_risk():
+    """Draws of labelled documents whose scores don't tell good from bad well: the chosen sets of cutoffs reject more
+    than RISK of all good documents in no more than ALPHA of the draws."""
+    import numpy as np
+
+    from telemill.llm.quality_rules import ALPHA, GRID, RISK, passed, path
+
+    rng, failed, used = np.random.default_rng(5), 0, 0
+    draw = lambda n, good: np.where(rng.random((n, 3)) < (0.004 if good else 0.25), rng.integers(0, 1001, (n, 3)), rng.integers(0, 20, (n, 3)))
+    every = draw(400_000, True)
+    for _ in range(200):
+        good, bad, hold = draw(1500, True), draw(600, False), draw(3000, True)
+        steps = path({k: [((good[:, k] > c).sum(), (bad[:, k] > c).sum()) for c in GRID] for k in range(3)})
+        first = np.full(len(hold), 0)
+        for i, (k, c) in reversed(list(enumerate(steps, 1))):
+            first[hold[:, k] > c] = i
+        n = passed(len(hold), dict(zip(*map(list, np.unique(first, return_counts=True)), strict=True)), len(steps), ALPHA)
+        cut = dict(steps[:n])
+        used += n > 0
+        failed += bool(cut) and np.any([every[:, k] > c for k, c in cut.items()], axis=0).mean() > RISK
+    assert used > 100 and failed <= 20  # 200 * ALPHA, with room for chance
 
 
 def test_quality(spark):
@@ -508,6 +535,9 @@ def test_quality(spark):
     out = quality_rules(docs, labels)
     assert out.columns == docs.columns and out.count() == 1501
     assert judge(docs.limit(0), labels.limit(0)).count() == 0
+    twice = documents(spark, [(1, prose(1, 40)), (1, "short"), (1, "short"), (None, None)], False)
+    assert [r["text"] for r in quality_rules(twice, labels).collect()] == [prose(1, 40)]
+    assert sorted(r["kept"] for r in judge(twice, labels).collect()) == [False] * 3 + [True]
 
 
 # -- pipeline
