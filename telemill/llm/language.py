@@ -2,11 +2,11 @@
 
 For every language, labelled text is kept as a suffix automaton. A text is cut, from left to right, into the longest
 phrases that the language's text holds; as one phrase costs a pointer into that text, phrases * log2(its length) bits
-are what the text needs in this language, and the language that needs fewest wins. Matches begin anew every BLOCK
-characters, so that long texts are walked in parallel; all of every text is walked.
+are what the text needs in this language, and the language that needs fewest wins. Many texts are walked side by side;
+each is parsed whole, in one go.
 
-The automata learn from at most SAMPLE characters a language, as blocks of PER_DOCUMENT characters at random places of
-the distinct texts with the least hashes: this bound on the labelled text makes tables that fit every worker. All
+The automata learn from a bounded sample of labelled rows: at most ROWS rows a language, those of the distinct texts with
+the least hashes, and of each a passage of PASSAGE characters at a random place. So their tables fit every worker. All
 letters of the labelled text are told apart: the LETTERS most frequent ones have a code each, others several digits.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; with no labelled text at all, so is every
@@ -25,30 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, PER_DOCUMENT = 30_000, 500
+ROWS, PASSAGE = 60, 500
 #: Letters that have a code each, and the base in which rarer ones of the labelled text are written.
 LETTERS, BASE = 94, 32
-BLOCK = 1024
-#: Characters walked at a time.
-AT_ONCE = 2_000_000
+#: Characters walked at a time, and the number of texts under which they are walked one by one.
+AT_ONCE, FEW = 32_000_000, 24
 
 
 def labelled(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
-    """Up to SAMPLE characters of labelled text by language, from the rows for which the condition learn holds."""
+    """The sample by language, from the rows for which the condition learn holds."""
     known = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0)).withColumn("__h", F.xxhash64(text))
-    texts = known.select(lang, "__h", F.least(F.length(text), F.lit(PER_DOCUMENT)).alias("n")).distinct()
-    counts = {r[lang]: r["n"] for r in texts.groupBy(lang).agg(F.sum("n").alias("n")).collect()}
+    counts = {r[lang]: r["count"] for r in known.select(lang, "__h").distinct().groupBy(lang).count().collect()}
     nth = F.pmod("__h", F.lit(1 << 32))
     chosen = F.lit(False)
-    for name, n in counts.items():
-        chosen = chosen | ((F.col(lang) == name) & (nth <= min(1, 6 * SAMPLE / n) * (1 << 32)))
-    place = F.pmod(F.xxhash64(F.lit("place"), F.col("__h")), F.greatest(F.lit(1), F.length(text) - PER_DOCUMENT + 1)).cast("int") + 1
-    rows = known.where(chosen).select(lang, nth.alias("nth"), F.substring(F.col(text), place, F.lit(PER_DOCUMENT)).alias("t")).distinct().collect()
-    out: dict[str, str] = {}
+    for name, n in counts.items():  # six times as many as needed on the average, so that they don't run short
+        chosen = chosen | ((F.col(lang) == name) & (nth <= min(1, 6 * ROWS / n) * (1 << 32)))
+    place = F.pmod(F.xxhash64(F.lit("place"), F.col("__h")), F.greatest(F.lit(1), F.length(text) - PASSAGE + 1)).cast("int") + 1
+    rows = known.where(chosen).select(lang, nth.alias("nth"), F.substring(F.col(text), place, F.lit(PASSAGE)).alias("t")).distinct().collect()
+    out: dict[str, list[str]] = {}
     for name, _, t in sorted(rows):
-        if len(out.setdefault(name, "")) < SAMPLE:
-            out[name] = (out[name] + t + "\n")[:SAMPLE]
-    return out
+        if len(out.setdefault(name, [])) < ROWS:
+            out[name].append(t)
+    return {name: "\n".join([*texts, ""]) for name, texts in out.items()}
 
 
 def automaton(codes: np.ndarray) -> list[dict[int, int]]:
@@ -148,27 +146,32 @@ class Model:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text in each language."""
         sizes = np.array([len(t) for t in texts])
-        flat, starts = np.concatenate(texts), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        lanes = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), lanes)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        begin, length = starts[owner] + nth * BLOCK, np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
-        order = np.argsort(-length, kind="stable")
-        begin, length, owner = begin[order], length[order], owner[order]
-        n = len(self.languages)
-        state = np.full((n, len(owner)), self.end, np.int32)
-        count = np.zeros((n, len(owner)), np.int32)
-        flat_table = self.table.ravel()
-        live = np.searchsorted(-length, -np.arange(BLOCK), "left")  # lanes longer than i
-        for i in range(int(length[0]) if len(length) else 0):
+        order = np.argsort(-sizes, kind="stable")
+        length, begin = sizes[order], (np.cumsum(sizes) - sizes)[order]
+        flat, flat_table, n = np.concatenate(texts), self.table.ravel(), len(self.languages)
+        state = np.full((n, len(order)), self.end, np.int32)
+        count = np.zeros((n, len(order)), np.int64)
+        side_by_side = int(length[FEW - 1]) if len(length) >= FEW else 0
+        live = np.searchsorted(-length, -np.arange(side_by_side), "left")  # texts longer than i
+        for i in range(side_by_side):
             k = live[i]
             c = flat[begin[:k] + i]
             to = flat_table[state[:, :k] * self.width + c]
             ended = to < 0
             count[:, :k] += ended
             state[:, :k] = np.where(ended, self.first[:, c], to)
+        moves, width = memoryview(flat_table), self.width
+        for j in np.flatnonzero(length > side_by_side).tolist():
+            rest = flat[begin[j] + side_by_side : begin[j] + length[j]].tobytes()
+            for k in range(n):
+                first, at, more = self.first[k].tolist(), int(state[k, j]), 0
+                for c in rest:
+                    at = moves[at * width + c]
+                    if at < 0:
+                        at, more = first[c], more + 1
+                count[k, j] += more
         out = np.zeros((len(texts), n), np.int64)
-        np.add.at(out, owner, count.T)
+        out[order] = count.T
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -204,7 +207,7 @@ def train(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", lang:
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred and score of each row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ROWS and PASSAGE
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -392,6 +392,49 @@ def test_automaton_and_phrases():
             assert m.phrases([np.array(codes)])[0].tolist() == want
 
 
+def test_phrases_of_long_texts():
+    """Texts of many lengths side by side, the longest of them walked to their ends alone, against a plain parse."""
+    from telemill.llm.language import FEW, Model
+
+    r = random.Random(8)
+    said = {"a": "".join(r.choice("abcd ") for _ in range(400)), "b": "".join(r.choice("bcde") for _ in range(300))}
+    m = Model(said)
+    texts = [m.codes("".join(r.choice("abcdez ") for _ in range(n)))[0] for n in [1, 9000, 700, 7000, *[r.randint(1, 90) for _ in range(2 * FEW)]]]
+
+    def plain(codes: bytes, sample: bytes) -> int:
+        n = at = 0
+        while at < len(codes):
+            k = 1
+            while at + k < len(codes) and codes[at : at + k + 1] in sample:
+                k += 1
+            n, at = n + 1, at + k
+        return n
+
+    samples = [bytes(m.codes(said[k])[0]) for k in m.languages]
+    assert m.phrases(texts).tolist() == [[plain(bytes(t), s) for s in samples] for t in texts]
+
+
+def test_languages_edges(spark):
+    """One language wins with score 1, ties go to the first by name, and equal rows get equal results."""
+    from telemill.llm.language import Model
+
+    assert Model({"x": "abc"}).predict(["cab", None, "", "1 2"]) == [("x", 1.0), ("und", 0.0), ("und", 0.0), ("und", 0.0)]
+    assert Model({"y": "abcabc", "x": "abcabc"}).predict(["abcab", "abcab"]) == [("x", 0.0)] * 2
+
+
+def test_language_query(spark, tmp_path):
+    from telemill.llm.queries import op8_language_id
+
+    en, fr = "the quick brown fox jumps over the lazy dog and runs away ", "le vif renard brun saute par dessus le chien paresseux et court "
+    rows = [(i, (en if i % 2 else fr) * 3, "en" if i % 2 else "fr") for i in range(60)] + [(60, None, "en"), (None, en, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op8_language_id(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    for r in got.collect():
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1 and (r["doc_id"] in (None, 60) or r["lang_pred"] == ("en" if r["doc_id"] % 2 else "fr"))
+
+
 def test_languages(spark):
     from telemill.llm.language import predict, train
 
