@@ -28,8 +28,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from telemill.llm.warc import archive, read
 
     folder = archive(table(spark, sf_dir, "pages"))
-    names = "page_id long, record_type string, payload_bytes long, actual_digest string, refers_to long"
-    return read(spark, folder, names).select("page_id", "payload_bytes", F.col("actual_digest").alias("payload_digest"), "record_type", "refers_to")
+    # revisits are read by their headers alone, payloads are decoded of responses only
+    whole = read(spark, folder, "page_id long, record_type string, payload_bytes long, actual_digest string").where("record_type = 'response'")
+    heads = read(spark, folder, "page_id long, record_type string, declared_bytes long, payload_digest string, refers_to long").where("record_type = 'revisit'")
+    one = whole.select("page_id", "payload_bytes", F.col("actual_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    return one.union(heads.select("page_id", F.col("declared_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

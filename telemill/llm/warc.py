@@ -1,19 +1,23 @@
 """WARC archives as a PySpark data source.
 
-spark.read.format("warc").schema(...).load(folder) plans one partition for each archive file, split further at gzip
-members where a file is long and an index of member lengths stands in the members themselves. A member's header says how
-long it is (an extra field, as in other archive formats), so that records which a predicate rules out are passed over
-without being inflated beyond their header block. Filters on record_type and any header column are pushed down; the
-payload is decoded only if the requested schema has it, or what is made from it.
+spark.read.format("warc").schema(...).load(path) reads a folder of archives (*.warc.gz, *.warc) or one archive, and plans
+a partition for each file. Archives written here are split further: a gzip member's header says how long the member is (an
+extra field, as in other archive formats), so that records which a predicate rules out are passed over without being
+inflated beyond their header block; in plain archives their Content-Length does. Other gzip files are inflated through,
+without keeping what isn't wanted. Filters on record_type and any header column are pushed down; headers are read first,
+in large blocks, and a payload only if the record passes and the requested schema has it, or what is made from it.
 
 df.write.format("warc").mode("append").save(folder) writes a member for each row; a task writes to a file of its own,
 and the folder's manifest, written when all tasks have ended, names the files that count: what failed or repeated
 attempts left is not read.
 
-Columns: see FIELDS. Rows to write need page_id, url, record_type, payload, payload_digest, payload_bytes, refers_to.
+Columns: see FIELDS. The payload is the HTTP body of response records, none of revisits, and else the whole block. Rows to
+write need page_id, url, record_type, payload, payload_digest, payload_bytes, refers_to; page_id and refers_to are null in
+archives from elsewhere, whose record_id and refers_to_id say the same.
 
-Edge cases: null payloads are empty ones; empty tables give a folder without archives, which reads as no rows; payloads
-of any length are written whole and records of equal pages each; files without the extra field are inflated through.
+Edge cases: null payloads are empty ones; empty tables give a folder without archives, which reads as no rows; a folder
+without manifest and archives, or what isn't a WARC record, is an error; payloads of any length are written whole and
+records of equal pages each; URLs come back as they were, line breaks included; header names may be in any case.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,13 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from telemill.llm.files import locate, make_folder
-from telemill.plans.lineage import new_path, sized_join
+from telemill.plans.lineage import new_path, sized_join, written
 
-FIELDS = "page_id long, url string, record_type string, record_id string, payload_digest string, declared_bytes long, refers_to long, payload binary, payload_bytes long, actual_digest string"
+FIELDS = "page_id long, url string, record_type string, record_id string, date string, payload_digest string, declared_bytes long, refers_to long, refers_to_id string, payload binary, payload_bytes long, actual_digest string"
+_LONG = {"page_id", "declared_bytes", "refers_to", "payload_bytes"}
 #: Columns that need the payload; the others are in headers.
 DECODED = {"payload", "payload_bytes", "actual_digest"}
-#: Bytes of one partition of a file.
-SPLIT = 64 << 20
+#: Bytes of one partition of a file, and of one read.
+SPLIT, BLOCK = 64 << 20, 1 << 20
 _EXTRA = b"sl"
 
 
@@ -64,21 +70,147 @@ def record(page_id: int | None, url: str | None, kind: str, payload: bytes, payl
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Payload-Length: {payload_bytes}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        if re.search(r"[\r\n]|^\s|\s$", url):
+            head.append("X-Target-URI: " + json.dumps(url))
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def headers(block: bytes) -> dict[str, object]:
-    """The header columns of a record's header block."""
-    found = dict(x.split(": ", 1) for x in block.decode("utf-8").split("\r\n")[1:] if ": " in x)
-    page = lambda x: int(x[10:-1]) if x and x[10:-1] else None
+def fields(block: bytes) -> dict[str, str]:
+    """A record's named fields, their names in small letters."""
+    first, *lines = block.decode("utf-8", "replace").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError(f"not a WARC record: {first[:40]!r}")
+    found: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if name and line[:1] in (" ", "\t"):  # goes on with the field before
+            found[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
+
+
+def columns(found: dict[str, str]) -> dict[str, object]:
+    """The header columns of a record's fields."""
+    page = lambda x: int(m[1]) if x and (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
+    url = found.get("warc-target-uri")
+    if "x-target-uri" in found:
+        url = json.loads(found["x-target-uri"])
+    elif url and re.fullmatch("<.*>", url):  # as older archives write it
+        url = url[1:-1]
     return {
-        "page_id": page(found.get("WARC-Record-ID")), "url": found.get("WARC-Target-URI"), "record_type": found.get("WARC-Type"), "record_id": found.get("WARC-Record-ID"),
-        "payload_digest": found.get("WARC-Payload-Digest", "").removeprefix("sha1:"), "declared_bytes": int(found["X-Payload-Length"]) if "X-Payload-Length" in found else None, "refers_to": page(found.get("WARC-Refers-To")),
+        "page_id": page(found.get("warc-record-id")), "url": url, "record_type": found.get("warc-type"), "record_id": found.get("warc-record-id"), "date": found.get("warc-date"),
+        "payload_digest": re.sub("(?i)^sha1:", "", found["warc-payload-digest"]) if "warc-payload-digest" in found else None, "declared_bytes": int(found["x-payload-length"]) if "x-payload-length" in found else None,
+        "refers_to": page(found.get("warc-refers-to")), "refers_to_id": found.get("warc-refers-to"),
     }
 
 
+class Ahead:
+    """A file, read in blocks."""
+
+    def __init__(self, file, at: int = 0):
+        self.file, self.size, self.start, self.held = file, file.size(), at, b""
+
+    def at(self, at: int, n: int) -> bytes:
+        """Up to n bytes from a place on."""
+        if not (self.start <= at and at + n <= self.start + len(self.held)):
+            self.start, self.held = at, self.file.read_at(max(n, BLOCK), at) if at < self.size else b""
+        return self.held[at - self.start : at - self.start + n]
+
+
+class Plain:
+    """The bytes of an archive that isn't compressed."""
+
+    def __init__(self, file: Ahead, at: int):
+        self.file, self.place = file, at
+
+    def take(self, n: int) -> bytes:
+        data = self.file.at(self.place, n)
+        self.place += len(data)
+        return data
+
+    def leave(self, n: int) -> None:
+        self.place += n
+
+
+class Inflated:
+    """The inflated bytes of successive gzip members. place: where the next member begins, once one is read through."""
+
+    def __init__(self, file: Ahead, at: int):
+        self.file, self.place, self.inflate = file, at, None
+
+    def _open(self) -> None:
+        head = self.file.at(self.place, 20)
+        self.end = self.place + int.from_bytes(head[16:20], "little") if len(head) == 20 and head[3] & 4 and head[12:14] == _EXTRA else None
+        self.inflate = zlib.decompressobj(31)
+
+    def take(self, n: int) -> bytes:
+        """Up to n bytes, none at the end of the file."""
+        while True:
+            if self.inflate is None:
+                if self.place >= self.file.size:
+                    return b""
+                self._open()
+            given = self.file.at(self.place, min(max(n // 4, 4096), BLOCK))
+            data = self.inflate.decompress(given, n)
+            self.place += len(given) - len(self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail)
+            if self.inflate.eof:
+                self.inflate = None
+            elif not given:
+                raise ValueError("the archive ends within a gzip member")
+            if data:
+                return data
+
+    def leave(self, n: int) -> None:
+        """Pass over n bytes: by a jump, if the member's length is known and it holds no more than them."""
+        if self.inflate is not None and self.end is not None:
+            self.place, self.inflate = self.end, None
+            return
+        while n > 0 and (data := self.take(min(n, BLOCK))):
+            n -= len(data)
+
+
+def blocks(stream: Plain | Inflated, end: int, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """The fields of each record that begins before end, and its block if wanted(fields)."""
+    text = b""
+    while True:
+        text = text.lstrip(b"\r\n")
+        while b"\r\n\r\n" not in text:
+            if not text and stream.place >= end and getattr(stream, "inflate", None) is None:
+                return
+            more = stream.take(4096)
+            if not more:
+                if text.strip():
+                    raise ValueError("the archive ends within a record's header")
+                return
+            text = (text + more).lstrip(b"\r\n")
+        head, _, text = text.partition(b"\r\n\r\n")
+        found = fields(head)
+        n = int(found.get("content-length", 0))
+        if wanted(found):
+            parts, have = [text], len(text)
+            while have < n:
+                more = stream.take(n + 4 - have)
+                if not more:
+                    raise ValueError("the archive ends within a record")
+                parts.append(more)
+                have += len(more)
+            text = b"".join(parts)
+            yield found, text[:n]
+            text = text[n:]
+        else:
+            yield found, None
+            if len(text) < n + 4:
+                stream.leave(n + 4 - len(text))
+                text = b""
+            else:
+                text = text[n:]
+
+
 @dataclass
 class Span(InputPartition):
     path: str
@@ -102,51 +234,54 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Span]:
         disk, inner = locate(f"{self.folder}/manifest.json")
-        if disk.get_file_info(inner).type == fs.FileType.NotFound:
-            return []
-        with disk.open_input_stream(inner) as f:
-            files = json.loads(f.read())
-        return [Span(f"{self.folder}/{x['name']}", a, b) for x in files for a, b in zip(x["cuts"], [*x["cuts"][1:], x["bytes"]], strict=True)]
+        if disk.get_file_info(inner).type != fs.FileType.NotFound:
+            with disk.open_input_stream(inner) as f:
+                files = json.loads(f.read())
+            return [Span(f"{self.folder}/{x['name']}", a, b) for x in files for a, b in zip(x["cuts"], [*x["cuts"][1:], x["bytes"]], strict=True)]
+        disk, inner = locate(self.folder)
+        if disk.get_file_info(inner).type == fs.FileType.File:
+            return [Span(self.folder, 0, disk.get_file_info(inner).size)]
+        found = disk.get_file_info(fs.FileSelector(inner, allow_not_found=True, recursive=True))
+        root = inner.rstrip("/")
+        out = [Span(self.folder.rstrip("/") + x.path.removeprefix(root), 0, x.size) for x in sorted(found, key=lambda x: x.path) if x.path.endswith((".warc", ".warc.gz"))]
+        if not out:
+            raise FileNotFoundError(f"{self.folder} holds no manifest and no archives (*.warc, *.warc.gz)")
+        return out
 
     def read(self, span: Span | None) -> Iterator[pa.RecordBatch]:
         if span is None:  # there are no archives
             return
         disk, inner = locate(span.path)
-        wanted = set(self.names)
-        schema = pa.schema([(n, pa.binary() if n == "payload" else pa.int64() if n in ("page_id", "declared_bytes", "refers_to", "payload_bytes") else pa.string()) for n in self.names])
+        decode = bool(set(self.names) & DECODED)
+        schema = pa.schema([(n, pa.binary() if n == "payload" else pa.int64() if n in _LONG else pa.string()) for n in self.names])
         rows, held = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        fits = lambda found: all(columns(found)[k] in v for k, v in self.equal)
         with disk.open_input_file(inner) as f:
-            at = span.start
-            while at < span.end:
-                head = f.read_at(20, at)
-                sized = head[3] & 4 and head[12:14] == _EXTRA
-                length = int.from_bytes(head[16:20], "little") if sized else span.end - at
-                data = f.read_at(length, at)
-                inflate = zlib.decompressobj(31)
-                text = b""
-                rest = data
-                while b"\r\n\r\n" not in text and not inflate.eof:
-                    text += inflate.decompress(rest, 2048)
-                    rest = inflate.unconsumed_tail
-                block, _, body = text.partition(b"\r\n\r\n")
-                row = headers(block)
-                fits = all(row[k] in v for k, v in self.equal)
-                if not sized or (fits and wanted & DECODED):
-                    body += inflate.decompress(rest) + inflate.flush()
-                    length -= len(inflate.unused_data)
-                if fits:
-                    if wanted & DECODED:
-                        payload = body[:-4].partition(b"\r\n\r\n")[2]
-                        response = row["record_type"] == "response"
-                        row |= {"payload": payload, "payload_bytes": len(payload), "actual_digest": digest(payload)} if response else {"payload": None, "payload_bytes": row["declared_bytes"], "actual_digest": row["payload_digest"]}
-                    rows.append(tuple(row[n] for n in self.names))
-                    held += len(data) + len(body)
-                    if held > 8 << 20 or len(rows) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows, held = [], 0
-                at += length
+            file = Ahead(f, span.start)
+            packed = file.at(span.start, 2) == b"\x1f\x8b"
+            for found, block in blocks((Inflated if packed else Plain)(file, span.start), span.end, (lambda x: decode and fits(x))):
+                if block is None and not fits(found):
+                    continue
+                row = columns(found)
+                if decode:
+                    row |= contents(row, found, block)
+                    held += len(block)
+                rows.append(tuple(row[n] for n in self.names))
+                if held > 8 << 20 or len(rows) >= 5000:
+                    yield batch()
+                    rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield batch()
+
+
+def contents(row: dict, found: dict[str, str], block: bytes) -> dict[str, object]:
+    """The columns made from a record's block; a revisit's are those that its header declares."""
+    if row["record_type"] == "revisit":
+        return {"payload": None, "payload_bytes": row["declared_bytes"], "actual_digest": row["payload_digest"]}
+    http = row["record_type"] in ("response", "request") and found.get("content-type", "").lower().startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    return {"payload": payload, "payload_bytes": len(payload), "actual_digest": digest(payload)}
 
 
 @dataclass
@@ -209,14 +344,16 @@ class Warc(DataSource):
 
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Rows to write: of pages with equal payloads of at least least_bytes, the smallest page_id is response, others
-    revisit it. Payloads are told apart by length and SHA-256; only digests that several pages have are joined."""
-    body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    made = pages.select("page_id", "url", body.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "__sha": F.sha2("payload", 256)})
-    groups = made.where(F.col("payload_bytes") >= least_bytes).groupBy("__sha").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__sha", "__first")
-    made = sized_join(made, groups, "__sha", "left")
-    revisit = F.col("page_id") > F.col("__first")
-    base32 = F.upper(F.sha1("payload"))
-    return made.select("page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(~F.coalesce(revisit, F.lit(False)), F.col("payload")).alias("payload"), _base32(base32).alias("payload_digest"), "payload_bytes", F.when(revisit, F.col("__first")).alias("refers_to"))
+    revisit it. Payloads are told apart by SHA-256 in one pass over them, which keeps digests only; who revisits whom
+    is found among these and joined back by page (by the page's id and a cheap hash, as rows may share an id)."""
+    made = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
+    made = made.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "__row": F.xxhash64("payload")})
+    digests = written(made.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "__row", F.unhex(F.sha2("payload", 256)).alias("__sha")), "digests")
+    groups = digests.groupBy("__sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("__last")).where("refers_to < __last").drop("__last")
+    again = sized_join(digests, written(groups, "repeated"), "__sha").where("page_id > refers_to").select("page_id", "__row", "refers_to").distinct()
+    made = sized_join(made, written(again, "revisits"), ["page_id", "__row"], "left")
+    revisit = F.col("refers_to").isNotNull()
+    return made.select("page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(~revisit, F.col("payload")).alias("payload"), _base32(F.upper(F.sha1("payload"))).alias("payload_digest"), "payload_bytes", "refers_to")
 
 
 def _base32(hexed):

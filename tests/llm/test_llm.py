@@ -212,12 +212,115 @@ def test_warc(spark):
     assert warc.read(spark, warc.archive(pages, 3)).where("record_type = 'revisit'").count() == 1
 
 
+def test_warc_query(spark, tmp_path):
+    """The registered query against a brute-force version, with both kinds of joins."""
+    from telemill.llm.queries import op3_warc
+    from telemill.llm.warc import digest
+    from telemill.plans import lineage
+
+    rows = [(i, f"http://h/{i}", [None, "", "same", "other é", f"own {i}"][i % 5]) for i in range(40)] + [(3, "twice", "other é"), (3, "again", "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = []
+    for p, _, h in rows:
+        body = (h or "").encode()
+        first = min(q for q, _, g in rows if (g or "").encode() == body)
+        want.append((p, len(body), digest(body), "revisit" if p > first else "response", first if p > first else None))
+    for limit in (lineage.BROADCAST_ROWS, -1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lineage, "BROADCAST_ROWS", limit)
+            assert sorted(map(tuple, op3_warc(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_warc_passes_over_payloads():
+    """Records that a filter rules out are jumped over: no byte of their payload is inflated, and few are read."""
     from telemill.llm import warc
 
-    data = warc.member(warc.record(1, "u", "response", b"x" * 100_000, "D", 100_000, None))
+    data = warc.member(warc.record(1, "u", "response", os.urandom(8 << 20), "D", 8 << 20, None))
     assert int.from_bytes(data[16:20], "little") == len(data)
-    assert zlib.decompress(data, 31).startswith(b"WARC/1.1\r\n")
+    data += warc.member(warc.record(2, "u", "revisit", b"", "D", 8 << 20, 1))
+
+    class File:
+        read = 0
+
+        def size(self):
+            return len(data)
+
+        def read_at(self, n, at):
+            self.read += n
+            return data[at : at + n]
+
+    file = File()
+    got = list(warc.blocks(warc.Inflated(warc.Ahead(file), 0), len(data), lambda x: x["warc-type"] == "revisit"))
+    assert [(x["warc-type"], b is None) for x, b in got] == [("response", True), ("revisit", False)] and file.read <= 3 * warc.BLOCK
+
+
+def _foreign():
+    """Records as other tools write them."""
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    body = "<p>é</p>".encode() * 5000
+    heads = [
+        ("warcinfo", [("WARC-Filename", "x")], b"software: y\r\n"),
+        ("response", [("warc-target-uri", "<http://a/>"), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", "sha1:ABC")], http + body),
+        ("request", [("WARC-Target-URI", "http://a/"), ("Content-Type", "application/http;msgtype=request")], b"GET / HTTP/1.1\r\n\r\n"),
+        ("revisit", [("WARC-Target-URI", "http://b/"), ("WARC-Refers-To", "<urn:uuid:1>")], http),
+        ("resource", [("WARC-Target-URI", "http://c/"), ("X-Long", "one\r\n two")], b"\r\n\r\nraw\r\n\r\n"),
+        ("metadata", [], b""),
+    ]
+    out = []
+    for i, (kind, more, block) in enumerate(heads):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID:<urn:uuid:{i}>", *[f"{k}: {v}" for k, v in more], f"CONTENT-LENGTH:  {len(block)}"]
+        out.append("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+    return out, body
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "one member"])
+def test_warc_from_elsewhere(spark, tmp_path, form):
+    import gzip
+
+    from telemill.llm import warc
+
+    records, body = _foreign()
+    name = "a.warc" if form == "plain" else "a.warc.gz"
+    data = b"".join(records) if form == "plain" else b"".join(map(gzip.compress, records)) if form == "members" else gzip.compress(b"".join(records))
+    for sub in ("", "deep/"):
+        (tmp_path / sub).mkdir(exist_ok=True)
+        (tmp_path / sub / name).write_bytes(data)
+    got = sorted((r["record_id"], r["record_type"], r["url"], r["page_id"], r["payload_bytes"], r["refers_to_id"]) for r in warc.read(spark, str(tmp_path)).collect())
+    want = [("<urn:uuid:0>", "warcinfo", None, None, 13, None), ("<urn:uuid:1>", "response", "http://a/", None, len(body), None), ("<urn:uuid:2>", "request", "http://a/", None, 0, None), ("<urn:uuid:3>", "revisit", "http://b/", None, None, "<urn:uuid:1>"), ("<urn:uuid:4>", "resource", "http://c/", None, 11, None), ("<urn:uuid:5>", "metadata", None, None, 0, None)]
+    assert got == sorted(want * 2)
+    one = warc.read(spark, str(tmp_path / name))
+    assert [bytes(r["payload"]) for r in one.where("record_type = 'response'").collect()] == [body]
+    assert [r["url"] for r in one.where("record_type in ('resource', 'x')").select("url").collect()] == ["http://c/"]
+
+
+def test_warc_fails_loudly(spark, tmp_path):
+    from telemill.llm import warc
+
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(Exception, match="no manifest and no archives"):
+        warc.read(spark, str(tmp_path / "empty")).count()
+    (tmp_path / "bad.warc").write_bytes(b"HTTP/1.1 200 OK\r\n\r\n")
+    with pytest.raises(Exception, match="not a WARC record"):
+        warc.read(spark, str(tmp_path / "bad.warc")).count()
+    odd = ["http://b/\r\nx", " http://c/ ", "http://d/%0Dé", None]
+    pages = spark.createDataFrame([(i, u, f"h{i}") for i, u in enumerate(odd)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["url"] for r in warc.read(spark, warc.archive(pages)).collect()} == dict(enumerate(odd))
+
+
+def test_warc_split_files(spark, monkeypatch):
+    from telemill.llm import warc
+
+    monkeypatch.setattr(warc, "SPLIT", 1)
+    writer, rows = warc.WarcWriter(warc.new_path(spark, "warc")), [(i, f"u{i}", "response", b"x" * i, "D", i, None) for i in range(9)]
+    warc.make_folder(writer.folder)
+    import pyarrow as pa
+
+    names = ["page_id", "url", "record_type", "payload", "payload_digest", "payload_bytes", "refers_to"]
+    writer.commit([writer.write(iter([pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])]))])
+    reader = warc.WarcReader(writer.folder, ["page_id", "payload_bytes"])
+    spans = reader.partitions()
+    assert len(spans) > 3
+    assert sorted(x for s in spans for b in reader.read(s) for x in zip(*b.to_pydict().values(), strict=True)) == [(i, i) for i in range(9)]
 
 
 # -- lines
