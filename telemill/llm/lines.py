@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.common import SPACES
-from telemill.plans.lineage import sized_join, written
+from telemill.plans.lineage import drop_written, sized_join, written
 
 MIN_TOKENS, FIXED, LEAD, WIDE, SIMILAR, LEVELS = 5, 2, 4, 8, 60, 3
 LAST = (1 << 63) - 1
@@ -74,14 +74,15 @@ def generalised(lines: DataFrame) -> DataFrame:
     found, now = None, lines.select(F.col("__leaf").alias("g"), "__leaf", "__h", "toks")
     for level in range(LEVELS):
         places = now.select("g", "__leaf", "__h", F.size("toks").alias("size"), F.posexplode("toks").alias("i", "tok"))
-        shared = written(places.groupBy("g", "i", "tok").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-        most = shared.groupBy("g", "i").agg(F.max(F.struct("n", "tok")).alias("top")).select("g", "i", F.col("top.tok").alias("top"))
-        shared = shared.join(most, ["g", "i"]).select("g", "i", "tok", "n", (F.col("tok") == F.col("top")).alias("is_top"))
+        counts = written(places.groupBy("g", "i", "tok").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+        most = counts.groupBy("g", "i").agg(F.max(F.struct("n", "tok")).alias("top")).select("g", "i", F.col("top.tok").alias("top"))
+        shared = counts.join(most, ["g", "i"]).select("g", "i", "tok", "n", (F.col("tok") == F.col("top")).alias("is_top"))
         other = F.when(~F.col("is_top"), F.struct("n", "i", "tok"))
         judged = places.join(shared, ["g", "i", "tok"]).groupBy("g", "__leaf", "__h").agg(
             F.first("size").alias("size"), F.count_if("is_top").alias("same"), F.count(F.lit(1)).alias("shared"), F.max(other).alias("anchor")
         )
         judged = written(judged.where(100 * F.col("shared") >= SIMILAR * F.col("size")), "judged")
+        drop_written(counts)
         fits = 100 * F.col("same") >= SIMILAR * F.col("size")
         one = judged.where(fits).select("__leaf", "__h", F.xxhash64("g", F.lit(level)).alias("__t"))
         found = one if found is None else found.union(one)
@@ -97,7 +98,8 @@ def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = written(parsed(docs, key, text).withColumns(hashes()).drop("__toks", "__wide"), "lines")
     leaves = rows.groupBy("__leaf").agg(F.min("__o").alias("o0"), F.max("__o").alias("o1"), F.min("__h").alias("h0"), F.max("__h").alias("h1"))
     leaves = written(leaves.where("o0 < o1").select("__leaf", (F.col("h0") < F.col("h1")).alias("mixed")), "leaves")
-    rows = written(sized_join(rows, leaves, "__leaf"), "candidates")
+    every, rows = rows, written(sized_join(rows, leaves, "__leaf"), "candidates")
+    drop_written(every)
     # one line for each hash in a leaf whose lines differ
     named = rows.where("mixed").groupBy("__leaf", "__h").agg(F.min(F.struct("__key", "__pos")).alias("at")).select("at.__key", "at.__pos", "__leaf", "__h")
     named = written(named, "named")
