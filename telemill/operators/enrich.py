@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemill.operators.ticks import running
 from telemill.plans.lineage import drop_written, written
 
 DEPTH = 32
@@ -20,19 +21,18 @@ def as_of(events: DataFrame, births: DataFrame, deaths: DataFrame, key: str = "s
     """events (key, pid) with start, attrs and alive of the process known before the event came out: births and deaths
     (pid, start, emit_seq) count if their emit_seq is less than key. Null where none is known.
 
-    Births and deaths of a pid meet its events by equi-join and range; of an event's matches one is kept by a
-    combining aggregate.
+    Events, births and deaths are put in one order of time by pid, and the newest birth is carried forward to the events,
+    and to these the last death of its identity: no event meets all births of its pid.
     """
-    b = births.select("pid", "start", F.col("emit_seq").alias("__b"), *attrs)
-    d = deaths.select("pid", "start", F.col("emit_seq").alias("__d"))
-    probe = events.where("pid is not null").select("pid", F.col(key).alias("__k")).distinct()
-    hit = probe.join(b, "pid").where("__b < __k")
-    best = hit.groupBy("pid", "__k").agg(F.max_by(F.struct("start", "__b", *attrs), F.struct("start", "__b")).alias("r"))
-    best = best.select("pid", "__k", "r.*")
-    gone = best.join(d, ["pid", "start"]).where("__d < __k").groupBy("pid", "__k").agg(F.max("__d").alias("__d"))
-    best = best.join(gone, ["pid", "__k"], "left").withColumn("alive", F.col("__d").isNull() | (F.col("__b") >= F.col("__d")))
-    best = best.withColumnRenamed("__k", key).drop("__b", "__d")
-    return events.join(best, ["pid", key], "left")
+    b = births.where("pid is not null").select("pid", F.col("emit_seq").alias("__k"), F.struct("start", F.col("emit_seq").alias("__b"), *attrs).alias("__born"))
+    probe = events.where("pid is not null").select("pid", F.col(key).alias("__k")).distinct().withColumn("__born", F.lit(None).cast(b.schema["__born"].dataType))
+    both = b.union(probe).withColumn("__turn", F.col("__born").isNotNull().cast("int"))  # of an equal time, events go first
+    known = running(both, ["pid"], ["__k", "__turn"], F.col("__born"), "r").where("__turn = 0 and r is not null").select("pid", "__k", "r.*")
+    d = deaths.select("pid", "start", F.col("emit_seq").alias("__k"), F.lit(1).alias("__turn"), F.col("emit_seq").alias("__dead"))
+    asked = known.select("pid", "start", "__k", F.lit(0).alias("__turn"), F.lit(None).cast("long").alias("__dead"))
+    gone = running(asked.union(d), ["pid", "start"], ["__k", "__turn"], F.col("__dead"), "__d").where("__turn = 0").select("pid", "start", "__k", "__d")
+    best = known.join(gone, ["pid", "start", "__k"]).withColumn("alive", F.col("__d").isNull() | (F.col("__b") >= F.col("__d")))
+    return events.join(best.withColumnRenamed("__k", key).drop("__b", "__d"), ["pid", key], "left")
 
 
 def ancestors(start: DataFrame, parents: DataFrame, depth: int = DEPTH, stop_at: int = 1) -> DataFrame:

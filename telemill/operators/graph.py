@@ -6,10 +6,11 @@ Edges: kind, from_kind, from_id, to_kind, to_id, weight, overlap_from, overlap_t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.scalars import HOUR, domain_id, process_key, socket_key
+from telemill.functions.scalars import DAY, HOUR, domain_id, process_key, socket_key
+from telemill.operators.ticks import neighbours, running
 
 OPEN = (1 << 63) - 1
 
@@ -32,10 +33,11 @@ def app_intervals(events: DataFrame, last_t: Column | None = None, app: str = "t
     """app, from, to: an application is in front from its focus event to the next one, the last one to the end of the
     capture. A repeated focus on the same application keeps its first beginning, once more."""
     e = events.where((F.col("kind") == "app_focus") & F.col(app).isNotNull()).withColumnRenamed(app, "app")
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("seq")
-    e = e.withColumn("__run", F.sum((~F.coalesce(F.lag("app").over(w) == F.col("app"), F.lit(False))).cast("long")).over(w))
-    e = e.withColumns({"to": F.lead("t").over(w), "from": F.min("t").over((Window.partitionBy(by, "__run") if by else Window.partitionBy("__run")).orderBy("seq"))})
-    return e.select(*([by] if by else []), "app", "from", F.coalesce("to", last_t if last_t is not None else F.lit(None).cast("long")).alias("to"))
+    groups = [by] if by else []
+    e = neighbours(neighbours(e, ["app"], "seq", groups), ["t"], "seq", groups, following=True)
+    begins = ~F.coalesce(F.col("previous_app") == F.col("app"), F.lit(False))
+    e = running(e.withColumn("__all", F.lit(0)), groups or ["__all"], ["seq"], F.when(begins, F.struct("seq", "t")), "__run").drop("__all")
+    return e.select(*groups, "app", F.col("__run.t").alias("from"), F.coalesce("next_t", last_t if last_t is not None else F.lit(None).cast("long")).alias("to"))
 
 
 def socket_nodes(events: DataFrame) -> DataFrame:
@@ -52,8 +54,11 @@ def socket_nodes(events: DataFrame) -> DataFrame:
 def file_nodes(events: DataFrame) -> DataFrame:
     """path, flags (union), first_seen, last_seen, touch_count."""
     e = events.where(F.col("kind") == "file_changed")
-    g = e.groupBy("path").agg(F.min_by("t", "seq").alias("first_seen"), F.max_by("t", "seq").alias("last_seen"), F.sum("count").alias("touch_count"), F.array_sort(F.collect_list(F.struct("seq", "flags"))).alias("f"))
-    return g.select("path", F.array_distinct(F.flatten(F.col("f.flags"))).alias("flags"), "first_seen", "last_seen", "touch_count")
+    g = e.groupBy("path").agg(F.min_by("t", "seq").alias("first_seen"), F.max_by("t", "seq").alias("last_seen"), F.sum("count").alias("touch_count"))
+    each = e.select("path", "seq", F.posexplode("flags").alias("i", "flag")).groupBy("path", "flag").agg(F.min(F.struct("seq", "i")).alias("at"))
+    flags = each.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "flag"))).alias("f"))  # a row a known flag
+    none = F.array().cast("array<string>")
+    return g.join(flags, "path", "left").select("path", F.coalesce(F.col("f.flag"), none).alias("flags"), "first_seen", "last_seen", "touch_count")
 
 
 def with_domain(events: DataFrame) -> DataFrame:
@@ -93,11 +98,17 @@ def frontmost_edges(intervals: DataFrame, processes: DataFrame, bucket_ns: int =
 
 def attributed(rows: DataFrame, processes: DataFrame, at: str) -> DataFrame:
     """rows (pid, at) with process_id of the youngest process of that pid that lived then; rows without one go."""
-    p = processes.select("pid", "start", "birth", "death")
-    probe = rows.where("pid is not null").select("pid", F.col(at).alias("__at")).distinct()
-    hit = probe.join(p, "pid").where((F.col("birth") <= F.col("__at")) & (F.col("__at") <= F.coalesce("death", F.lit(OPEN))))
-    best = hit.groupBy("pid", "__at").agg(F.max_by(process_key("pid", "start"), F.struct("birth", "start")).alias("process_id")).withColumnRenamed("__at", at)
-    return rows.join(best, ["pid", at])
+    p = processes.where("pid is not null").select("pid", F.col("birth").alias("__at"), F.struct("birth", "start", "death").alias("__born"))
+    probe = rows.where("pid is not null").select("pid", F.col(at).alias("__at")).distinct().withColumn("__born", F.lit(None).cast(p.schema["__born"].dataType))
+    both = running(p.union(probe).withColumn("__turn", F.col("__born").isNull().cast("int")), ["pid"], ["__at", "__turn"], F.col("__born"), "__young", f"__at div {DAY}")
+    young = both.where("__turn = 1 and __young is not null").select("pid", "__at", "__young")
+    lives = F.coalesce(F.col("__at") <= F.col("__young.death"), F.lit(True))
+    one = young.where(lives).select("pid", "__at", process_key("pid", "__young.start").alias("process_id"))
+    # of the youngest having died by then, an older one may live: few, and only they meet all processes of their pid
+    rest = young.where(~lives).select("pid", "__at").join(processes.select("pid", "start", "birth", "death"), "pid")
+    rest = rest.where((F.col("birth") <= F.col("__at")) & (F.col("__at") <= F.coalesce("death", F.lit(OPEN))))
+    two = rest.groupBy("pid", "__at").agg(F.max_by(process_key("pid", "start"), F.struct("birth", "start")).alias("process_id"))
+    return rows.join(one.union(two).withColumnRenamed("__at", at), ["pid", at])
 
 
 def trim(frame: DataFrame, cutoff_ns: int, ended: str, keep_open: bool = True) -> tuple[DataFrame, DataFrame]:

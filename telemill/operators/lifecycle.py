@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.scalars import domain_id, past
-from telemill.operators.ticks import GAP, tick_table, with_ticks
+from telemill.operators.ticks import GAP, neighbours, tick_table, with_ticks
 
 WINDOW = 500_000_000
 #: emit_seq of what only the end of the input brings out.
@@ -70,7 +70,7 @@ def file_events(obs: DataFrame, window_ns: int = WINDOW, flush_tail: bool = Fals
     ids = F.filter(F.col("r.event_id"), lambda i: i.isNotNull() & (i != 0))
     g = g.withColumns({"flags": F.array_distinct(F.flatten(F.filter(F.col("r.flags"), lambda f: f.isNotNull()))), "event_ids": ids, "count": F.size(ids).cast("long")}).drop("r")
     w = o.groupBy("window_id").agg(F.max_by("t", "obs_seq").alias("t"), F.min("obs_seq").alias("first_seq"))
-    w = w.withColumn("emit_seq", F.lead("first_seq").over(Window.orderBy("window_id"))).drop("first_seq")  # a row a window
+    w = neighbours(w, ["first_seq"], "window_id", following=True).withColumnRenamed("next_first_seq", "emit_seq").drop("first_seq")
     if flush_tail:
         w = w.withColumn("emit_seq", F.coalesce("emit_seq", F.lit(END)))
     return g.join(w.where("emit_seq is not null"), "window_id")
@@ -85,10 +85,11 @@ def focus_events(obs: DataFrame) -> DataFrame:
 
 def frontmost_changes(readings: DataFrame, columns: list[str], order: str = "obs_seq", by: str | None = None) -> DataFrame:
     """Polled readings that differ from the one before, with the old values as from_*; the first has none."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(order)
     now = F.struct(*columns)
-    r = readings.withColumns({f"from_{c}": F.lag(c).over(w) for c in columns}).withColumn("__p", F.lag(now).over(w))
-    return r.where(F.col("__p").isNull() | ~F.col("__p").eqNullSafe(now)).drop("__p")
+    r = neighbours(readings.withColumn("__now", now), ["__now"], order, [by] if by else [])
+    before = F.col("previous___now")
+    r = r.where(before.isNull() | ~before.eqNullSafe(F.col("__now"))).withColumns({f"from_{c}": before[c] for c in columns})
+    return r.drop("__now", "previous___now")
 
 
 def dns_events(obs: DataFrame) -> DataFrame:

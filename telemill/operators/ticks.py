@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.scalars import past
@@ -12,6 +12,48 @@ GAP = 250_000_000
 BLOCK = 1_000_000
 
 
+def neighbours(rows: DataFrame, columns: list[str], order: str | list[str] = "seq", by: list[str] = (), following: bool = False, block: str | None = None) -> DataFrame:
+    """rows with the values of columns in the row before (previous_*) or after (next_*) in an order.
+
+    Blocks of the order (block: an expression that grows with it, by default its first column by BLOCK) are sorted apart;
+    at their borders the last or first row of the nearest block is joined in, one row a block, so that no task holds them
+    all. A row without neighbour has null there.
+    """
+    order = [order] if isinstance(order, str) else order
+    prefix, ahead = ("next_", F.lead) if following else ("previous_", F.lag)
+    by = list(by)
+    r = rows.withColumn("__b", F.expr(block or f"{order[0]} div {BLOCK}"))
+    values, at = F.struct(*columns), F.struct(*order)
+    r = r.withColumn("__near", ahead(values).over(Window.partitionBy(*by, "__b").orderBy(*order)))
+    edge = r.groupBy(*by, "__b").agg((F.min_by if following else F.max_by)(values, at).alias("__edge"))
+    edge = edge.withColumn("__far", ahead("__edge").over(Window.partitionBy(*by).orderBy("__b"))).drop("__edge")  # a row a block
+    r = r.join(edge, [*by, "__b"]) if not by else _joined(r, edge, by)
+    near = F.coalesce("__near", "__far")
+    return r.withColumns({prefix + c: near[c] for c in columns}).drop("__b", "__near", "__far")
+
+
+def _joined(rows: DataFrame, edge: DataFrame, by: list[str]) -> DataFrame:
+    """The join by block, nulls in by being a group as well."""
+    e = edge.select(*[F.col(c).alias(f"__e_{c}") for c in by], F.col("__b").alias("__e_b"), "__far")
+    on = F.col("__b").eqNullSafe(F.col("__e_b"))
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__e_{c}"))
+    return rows.join(e, on, "left").drop("__e_b", *[f"__e_{c}" for c in by])
+
+
+def running(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str, block: str | None = None) -> DataFrame:
+    """rows with name: the greatest value (nulls left out) of a group's rows up to and with this one in an order.
+
+    By blocks of the order, as neighbours(): a group of any size is spread over tasks, and what the blocks before hold is
+    joined in, one row a block.
+    """
+    r = rows.withColumns({"__b": F.expr(block or f"{order[0]} div {BLOCK}"), "__v": value})
+    r = r.withColumn("__in", F.max("__v").over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    b = r.groupBy(*by, "__b").agg(F.max("__v").alias("__m"))
+    b = b.withColumn("__past", F.max("__m").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__m")  # a row a block
+    return r.join(b, [*by, "__b"]).withColumn(name, F.greatest("__in", "__past")).drop("__b", "__v", "__in", "__past")
+
+
 def with_ticks(obs: DataFrame, gap_ns: int = GAP, block: int = BLOCK) -> DataFrame:
     """obs (source, obs_seq, t) with tick: from 0 by source, a new one when t is more than gap_ns past the last t.
 

@@ -212,13 +212,17 @@ def parent_of_edges(spark, d):
     return graph.parent_edges(_lives(spark, d))
 
 
-INTERVALS = f"""ai as (select to_bundle as app, t as "from", case when seq % 7 = 0 then null else t + (seq % 5 + 1) * {HOUR} end as "to" from ev where kind = 'app_focus' and seq % 50 < 2)"""
+SPANS = f"""sp as (select pid, k as start, min(t) as birth, max(t) + {HOUR} as death from ev where kind in ('process_birth', 'process_death') group by 1, 2)"""
+INTERVALS = "ai as (select to_bundle as app, t as \"from\", lead(t) over (order by seq) as \"to\" from ev where kind = 'app_focus')"
+MET = f"""mt as (select app, pid, start, greatest("from", birth) as "from", nullif(least(coalesce("to", {graph.OPEN}), death), {graph.OPEN}) as "to" from ai join sp on "from" < death and birth < coalesce("to", {graph.OPEN}))"""
 
 
-@query(with_(V.EV, PROC, INTERVALS, select=f'select app, concat(pid, \':\', start) as process_id, greatest("from", birth) as "from", nullif(least(coalesce("to", {graph.OPEN}), coalesce(death, {graph.OPEN})), {graph.OPEN}) as "to" from ai join pn on greatest("from", birth) < least(coalesce("to", {graph.OPEN}), coalesce(death, {graph.OPEN}))'))
+@query(with_(V.EV, SPANS, INTERVALS, MET, select='select app, concat(pid, \':\', start) as process_id, "from", "to" from mt where "from" < "to"'))
 def frontmost_overlap(spark, d):
-    i = V.ev(spark, d).where("kind = 'app_focus' and seq % 50 < 2").select(F.col("to_bundle").alias("app"), F.col("t").alias("from"), F.expr(f"if(seq % 7 = 0, null, t + (seq % 5 + 1) * {HOUR})").alias("to"))
-    return graph.frontmost_edges(i, _lives(spark, d), DAY)
+    e = V.ev(spark, d).where(F.col("kind").isin("process_birth", "process_death"))
+    spans = e.groupBy("pid", F.col("k").alias("start")).agg(F.min("t").alias("birth"), (F.max("t") + HOUR).alias("death"))
+    w = lifecycle.neighbours(V.ev(spark, d).where("kind = 'app_focus'"), ["t"], following=True)
+    return graph.frontmost_edges(w.select(F.col("to_bundle").alias("app"), F.col("t").alias("from"), F.col("next_t").alias("to")), spans, HOUR)
 
 
 AT = "select e.seq, arg_max(concat(p.pid, ':', p.start), (p.birth, p.start)) as process_id from ev e join pn p on p.pid = e.pid and p.birth <= e.t and e.t <= coalesce(p.death, e.t) where e.kind = 'connection_opened' group by 1"
@@ -246,49 +250,50 @@ def trim_counts(spark, d):
 
 # -- analytics
 
-G = V.bipartite_sql("g", V.UNTIL)
+G = V.bipartite_sql("g")
 
 
 @query(with_(V.EV, G, select="select id, degree from g_d"))
 def degree(spark, d):
-    return analytics.degrees(*V.bipartite(spark, d, V.UNTIL)).select("id", "degree")
+    return analytics.degrees(*V.bipartite(spark, d)).select("id", "degree")
 
 
 @query(with_(V.EV, G, select="select id, distinct_degree from g_d"))
 def degree_distinct(spark, d):
-    return analytics.degrees(*V.bipartite(spark, d, V.UNTIL)).select("id", "distinct_degree")
+    return analytics.degrees(*V.bipartite(spark, d)).select("id", "distinct_degree")
 
 
 @query(with_(V.EV, G, select="select id, weighted from g_d"))
 def weighted_degree(spark, d):
-    return analytics.degrees(*V.bipartite(spark, d, V.UNTIL)).select("id", "weighted")
+    return analytics.degrees(*V.bipartite(spark, d)).select("id", "weighted")
 
 
 @query(with_(V.EV, G, select="select id, component from g_c"))
 def components(spark, d):
-    return analytics.components(*V.bipartite(spark, d, V.UNTIL))
+    return analytics.components(*V.bipartite(spark, d))
 
 
 @query(with_(V.EV, G, select="select component, count(*) as size from g_c group by 1"))
 def component_sizes(spark, d):
-    return analytics.component_sizes(*V.bipartite(spark, d, V.UNTIL))
+    return analytics.component_sizes(*V.bipartite(spark, d))
 
 
 @query(with_(V.EV, G, select="select label, degree, weighted from g_d order by degree desc, label, id limit 10"))
 def topology_top(spark, d):
-    return analytics.topology(*V.bipartite(spark, d, V.UNTIL))[0].select("label", "degree", "weighted")
+    return analytics.topology(*V.bipartite(spark, d))[0].select("label", "degree", "weighted")
 
 
 @query(with_(V.EV, G, select="select count(*) as components, max(n) as largest from (select component, count(*) as n from g_c group by 1)"))
 def graph_summary(spark, d):
-    return analytics.component_sizes(*V.bipartite(spark, d, V.UNTIL)).agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
+    return analytics.component_sizes(*V.bipartite(spark, d)).agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
 
 
-P, Q = V.bipartite_sql("p", V.UNTIL), V.bipartite_sql("q", V.UNTIL + 9 * HOUR, V.START + 3 * HOUR)
+P, Q = V.bipartite_sql("p", V.MIDDLE), V.bipartite_sql("q", None, V.MIDDLE)
 
 
 def _snapshots(spark, d):
-    return analytics.snapshot_diff(*V.bipartite(spark, d, V.UNTIL), *V.bipartite(spark, d, V.UNTIL + 9 * HOUR, V.START + 3 * HOUR), spike=1)
+    """The table's first half against its second."""
+    return analytics.snapshot_diff(*V.bipartite(spark, d, V.MIDDLE), *V.bipartite(spark, d, None, V.MIDDLE))
 
 
 @query(with_(V.EV, P, Q, "f as (select c.component, count(*) as n, count(p.id) as k, max((d.degree, d.label)) as top from q_c c join q_d d using (id) left join p_n p using (id) group by 1)", select="select top[2] as entity, n as observed from f where n >= 2 and k = 0"))
@@ -301,7 +306,7 @@ def component_split(spark, d):
     return _snapshots(spark, d).where("metric = 'component_merge'").select("entity", "observed")
 
 
-@query(with_(V.EV, P, Q, select="select d.label as entity, d.degree as observed, coalesce(p.degree, 0)::bigint as baseline from q_d d left join p_d p using (id) where d.degree - coalesce(p.degree, 0) >= 1"))
+@query(with_(V.EV, P, Q, select="select d.label as entity, d.degree as observed, coalesce(p.degree, 0)::bigint as baseline from q_d d left join p_d p using (id) where d.degree - coalesce(p.degree, 0) >= 5"))
 def degree_spike(spark, d):
     return _snapshots(spark, d).where("metric = 'degree_spike'").select("entity", "observed", "baseline")
 
@@ -309,25 +314,24 @@ def degree_spike(spark, d):
 # -- store
 
 
-def _split(frame: DataFrame, at: str):
-    """Two overlapping captures of a table: the second has even rows again, half an hour later, and odd ones anew."""
-    return frame.where(f"{at} % 3 <> 1"), frame.where(f"{at} % 3 <> 0")
+#: Two overlapping captures of the store: what was seen before the first time, and what was seen from the second on.
+CAPTURED, AGAIN = V.EPOCH + 1500 * DAY, V.EPOCH + 1000 * DAY
 
 
-@query(with_(V.STORE, f"""o as (select id, comm, first_seen, last_seen, 0 as b from people where pid % 3 <> 1), n as (select id, concat(comm, 'x') as comm, first_seen - {DAY} as first_seen, last_seen - {DAY} as last_seen, 1 as b from people where pid % 3 <> 0)""", select="select id, arg_max(comm, b) as comm, min(first_seen) as first_seen, max(last_seen) as last_seen, case when min(b) = 1 then 'inserted' when max(b) = 1 then 'updated' else 'kept' end as how from (select * from o union all select * from n) group by 1"))
+@query(with_(V.STORE, f"""o as (select id, comm, first_seen, last_seen, 0 as b from people where first_seen < {CAPTURED}), n as (select id, concat(comm, 'x') as comm, first_seen - {DAY} as first_seen, last_seen - {DAY} as last_seen, 1 as b from people where last_seen >= {V.EPOCH + 2300 * DAY})""", select="select id, arg_max(comm, b) as comm, min(first_seen) as first_seen, max(last_seen) as last_seen, case when min(b) = 1 then 'inserted' when max(b) = 1 then 'updated' else 'kept' end as how from (select * from o union all select * from n) group by 1"))
 def merge_nodes(spark, d):
     n = V.nodes(spark, d).where("kind = 'process'")
-    old, new = _split(n, "pid")
+    old, new = n.where(F.col("first_seen") < CAPTURED), n.where(F.col("last_seen") >= V.EPOCH + 2300 * DAY)
     new = new.withColumns({"comm": F.concat("comm", F.lit("x")), "first_seen": F.col("first_seen") - DAY, "last_seen": F.col("last_seen") - DAY})
     return store.merge_nodes(old, new).select("id", "comm", "first_seen", "last_seen", "how")
 
 
-@query(with_(V.STORE, "e as (select *, to_id[2:]::bigint as nr from edges where kind = 'opened_socket')", f"""x as (select from_id, to_id, count, first_seen, last_seen, 0 as b from e where nr % 2 = 0 union all select from_id, to_id, 1, last_seen + {DAY}, last_seen + {DAY}, 1 from e where nr % 5 <> 0 union all select from_id, to_id, 1, last_seen + {DAY}, last_seen + {DAY}, 1 from e where nr % 5 <> 0 and nr % 7 = 0)""", select="select from_id, to_id, sum(count)::bigint as count, coalesce(max(first_seen) filter (where b = 0), min(first_seen)) as first_seen, max(last_seen) as last_seen, case when min(b) = 1 then 'inserted' when max(b) = 1 then 'updated' else 'kept' end as how from x group by 1, 2"))
+@query(with_(V.STORE, "e as (select * from edges where kind = 'opened_socket')", f"""x as (select from_id, to_id, count, first_seen, last_seen, 0 as b from e where first_seen < {CAPTURED} union all select from_id, to_id, 1, last_seen + {DAY}, last_seen + {DAY}, 1 from e where last_seen >= {AGAIN} union all select from_id, to_id, 1, last_seen + {DAY}, last_seen + {DAY}, 1 from e where last_seen >= {AGAIN} and last_seen < {CAPTURED + 300 * DAY})""", select="select from_id, to_id, sum(count)::bigint as count, coalesce(max(first_seen) filter (where b = 0), min(first_seen)) as first_seen, max(last_seen) as last_seen, case when min(b) = 1 then 'inserted' when max(b) = 1 then 'updated' else 'kept' end as how from x group by 1, 2"))
 def merge_edges(spark, d):
-    e = V.edges(spark, d).where("kind = 'opened_socket'").withColumn("nr", F.expr("cast(substring(to_id, 2) as bigint)"))
-    again = e.where("nr % 5 <> 0").withColumn("seen_at", F.col("last_seen") + DAY)
-    new = again.union(again.where("nr % 7 = 0"))
-    return store.merge_edges(e.where("nr % 2 = 0"), new).select("from_id", "to_id", "count", "first_seen", "last_seen", "how")
+    e = V.edges(spark, d).where("kind = 'opened_socket'")
+    again = e.where(F.col("last_seen") >= AGAIN).withColumn("seen_at", F.col("last_seen") + DAY)
+    new = again.union(again.where(F.col("last_seen") < CAPTURED + 300 * DAY))  # some are seen twice
+    return store.merge_edges(e.where(F.col("first_seen") < CAPTURED), new).select("from_id", "to_id", "count", "first_seen", "last_seen", "how")
 
 
 @query(with_(V.STORE, f"""k as (select kind, id from nodes where last_seen >= {MID}), ke as (select e.* from edges e where last_seen >= {MID} and exists (select 1 from k where k.kind = e.from_kind and k.id = e.from_id) and exists (select 1 from k where k.kind = e.to_kind and k.id = e.to_id))""", select=f"select (select count(*) from nodes) - (select count(*) from k) as nodes, (select count(*) from edges) - (select count(*) from ke) as edges, (select count(*) from orders where epoch_us(o_orderdate) * 1000 < {MID}) as events"))
@@ -639,9 +643,9 @@ def sensitive_port_scores(spark, d):
     return _shown(b.ports(_window(e)))
 
 
-@query(with_("o as (select o_orderkey % 40 as k, o_orderkey, o_orderkey % 3 as p, (o_custkey % 100)::double as score from orders where o_orderkey < 120)", "r as (select concat('flag ', k) as text, case when p = 2 then 1.0 else score end as score, p from o)", "x as (select *, row_number() over (partition by text order by p, score desc) as r from r)", select="select text, score::double as score from x where r = 1 order by score desc, text limit 8"))
+@query(with_("o as (select o_orderkey % 40 as k, o_orderkey, o_orderkey % 3 as p, (o_custkey % 100)::double as score from orders)", "r as (select concat('flag ', k) as text, case when p = 2 then 1.0 else score end as score, p from o)", "x as (select *, row_number() over (partition by text order by p, score desc) as r from r)", select="select text, score::double as score from x where r = 1 order by score desc, text limit 8"))
 def suspicion_merge(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey < 120").selectExpr("concat('flag ', o_orderkey % 40) as text", "o_orderkey % 3 as p", "cast(o_custkey % 100 as double) as score")
+    o = spark.read.parquet(f"{d}/orders.parquet").selectExpr("concat('flag ', o_orderkey % 40) as text", "o_orderkey % 3 as p", "cast(o_custkey % 100 as double) as score")
     return baseline.merge_suspicions(o.where("p = 0"), o.where("p = 1"), o.where("p = 2"))
 
 
@@ -694,6 +698,6 @@ def node_labels(spark, d):
     return e.select("seq", analytics.node_label().alias("label"), S.dot_slug("p_", F.concat_ws("_", "pid", "start")).alias("dot_id"), S.uid_color("uid").alias("color"))
 
 
-@query(with_(V.EV, "d as (select *, case when seq > 2000 then null else concat(' (', case when 2000 - seq < 60 then concat(2000 - seq, 's') when 2000 - seq < 3600 then concat((2000 - seq) // 60, 'm', case when (2000 - seq) % 60 = 0 then '' else concat((2000 - seq) % 60, 's') end) end, ' ago)') end as age from ev)", select="select seq, concat('unix ', seq, age) as text from d where seq < 4000"))
+@query(with_(V.EV, "d as (select *, case when seq > 2000 then null else concat(' (', case when 2000 - seq < 60 then concat(2000 - seq, 's') when 2000 - seq < 3600 then concat((2000 - seq) // 60, 'm', case when (2000 - seq) % 60 = 0 then '' else concat((2000 - seq) % 60, 's') end) end, ' ago)') end as age from ev)", select="select seq, concat('unix ', seq, age) as text  from d"))
 def fmt_unix(spark, d):
-    return V.ev(spark, d).where("seq < 4000").select("seq", S.fmt_unix_ns(F.col("seq") * SECOND, F.lit(2000 * SECOND)).alias("text"))
+    return V.ev(spark, d).select("seq", S.fmt_unix_ns(F.col("seq") * SECOND, F.lit(2000 * SECOND)).alias("text"))

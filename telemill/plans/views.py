@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.functions.scalars import DAY, HOUR, SECOND
+from telemill.functions.scalars import DAY, SECOND
 
 GAP = 600 * SECOND
 EPOCH = 788918400 * SECOND
@@ -75,7 +75,7 @@ def people(spark: SparkSession, d: str) -> DataFrame:
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     p = people(spark, d)
-    o = _table(spark, d, "orders").where("o_orderkey % 3 = 0").withColumn("first_seen", _ns("o_orderdate"))
+    o = _table(spark, d, "orders").withColumn("first_seen", _ns("o_orderdate"))
     s = o.selectExpr("concat('s', o_orderkey) as id", "if(o_orderkey % 30 = 0, null, concat('10.0.', o_custkey % 20, '.', o_orderkey % 50, '.443')) as foreign_addr", "cast(floor(o_totalprice) as bigint) as rx", "if(o_orderkey % 9 = 0, null, o_orderkey % 1000) as tx", "o_custkey as pid_at_open", "concat('c', o_custkey % 50) as process_name", "first_seen", f"first_seen + (o_orderkey % 5) * {DAY} as last_seen")
     g = _table(spark, d, "part").groupBy("p_brand").agg(F.sum("p_size").alias("query_count"), F.min("p_partkey").alias("a"), F.max("p_partkey").alias("b"))
     m = g.selectExpr("concat(lower(p_brand), '.example') as id", "query_count", "a % 4 = 0 as masked", f"{EPOCH} + a * {DAY} as first_seen", f"{EPOCH} + b * {DAY} as last_seen")
@@ -93,7 +93,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
         return f.select(F.lit(kind).alias("kind"), F.lit(a).alias("from_kind"), "from_id", F.lit(b).alias("to_kind"), "to_id", F.lit(1).cast("long").alias("count"), "first_seen", "last_seen", *(overlap or none))
 
     one = p.withColumn("ppid", F.expr("pid div 10")).join(parents, "ppid").where("ppid <> pid").withColumnRenamed("id", "to_id")
-    o = _table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("pid"), F.concat(F.lit("s"), "o_orderkey").alias("to_id"), _ns("o_orderdate").alias("first_seen"), (_ns("o_orderdate") + F.expr(f"(o_orderkey % 5) * {DAY}")).alias("last_seen"))
+    o = _table(spark, d, "orders").select(F.col("o_custkey").alias("pid"), F.concat(F.lit("s"), "o_orderkey").alias("to_id"), _ns("o_orderdate").alias("first_seen"), (_ns("o_orderdate") + F.expr(f"(o_orderkey % 5) * {DAY}")).alias("last_seen"))
     two = o.join(p.select("pid", F.col("id").alias("from_id")), "pid")
     part = _table(spark, d, "part").select(F.col("p_partkey").alias("pid"), F.expr("concat(lower(p_brand), '.example')").alias("to_id"))
     three = p.where("pid % 5 = 0").join(part, "pid").withColumnRenamed("id", "from_id")
@@ -105,7 +105,7 @@ STORE = f"""people as (select concat(c_custkey, ':', c_nationkey) as id, first_s
   case c_custkey % 4 when 0 then concat('/usr/bin/x', c_custkey % 9) when 1 then concat('/opt/tool', c_custkey % 9) when 2 then '/bin/y' end as exec_path, case when c_custkey % 7 = 0 then 0 else 500 + c_nationkey end::bigint as uid
   from customer join (select o_custkey as c_custkey, min(epoch_us(o_orderdate)) * 1000 as first_seen, max(epoch_us(o_orderdate)) * 1000 as last_seen from orders group by 1) using (c_custkey)),
 sockets as (select concat('s', o_orderkey) as id, case when o_orderkey % 30 = 0 then null else concat('10.0.', o_custkey % 20, '.', o_orderkey % 50, '.443') end as foreign_addr, cast(floor(o_totalprice) as bigint) as rx,
-  case when o_orderkey % 9 = 0 then null else o_orderkey % 1000 end as tx, o_custkey as pid_at_open, concat('c', o_custkey % 50) as process_name, epoch_us(o_orderdate) * 1000 as first_seen, epoch_us(o_orderdate) * 1000 + (o_orderkey % 5) * {DAY} as last_seen from orders where o_orderkey % 3 = 0),
+  case when o_orderkey % 9 = 0 then null else o_orderkey % 1000 end as tx, o_custkey as pid_at_open, concat('c', o_custkey % 50) as process_name, epoch_us(o_orderdate) * 1000 as first_seen, epoch_us(o_orderdate) * 1000 + (o_orderkey % 5) * {DAY} as last_seen from orders),
 domains as (select concat(lower(p_brand), '.example') as id, sum(p_size)::bigint as query_count, min(p_partkey) % 4 = 0 as masked, {EPOCH} + min(p_partkey) * {DAY} as first_seen, {EPOCH} + max(p_partkey) * {DAY} as last_seen from part group by p_brand),
 apps as (select concat('app', n_nationkey) as id, case when n_nationkey % 5 = 0 then null else n_name end as name, f as first_seen, l as last_seen from nation join (select c_nationkey, min(first_seen) as f, max(last_seen) as l from people group by 1) x on c_nationkey = n_nationkey),
 nodes as (select 'process' as kind, id, first_seen, last_seen from people union all select 'socket', id, first_seen, last_seen from sockets union all select 'domain', id, first_seen, last_seen from domains union all select 'app', id, first_seen, last_seen from apps),
@@ -115,22 +115,27 @@ edges as (select 'parent_of' as kind, 'process' as from_kind, p.id as from_id, '
   union all select 'frontmost_during', 'app', concat('app', c_nationkey), 'process', id, 1, first_seen, last_seen, first_seen, case when pid % 4 = 0 then null else last_seen end from people where pid % 3 = 0)"""
 
 
-def bipartite(spark: SparkSession, d: str, until: int, since: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Users and keys of errors in the first hours as a graph: nodes (id, label), edges (src, dst, weight)."""
-    e = ev(spark, d).where((F.col("kind") == "dns_query") & (F.col("t") < until) & (F.col("t") >= since)).select(F.concat(F.lit("u"), "pid").alias("src"), F.concat(F.lit("k"), "k").alias("dst"), F.lit(1).cast("long").alias("weight"))
-    n = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return n.withColumn("label", F.upper("id")), e
+#: The first second of 2024, and the middle of the events' month.
+START = 1704067200 * SECOND
+MIDDLE = START + 15 * DAY
 
 
-#: The first six hours of 2024.
-START = 1704067200 * SECOND
-UNTIL = START + 6 * HOUR
+def bipartite(spark: SparkSession, d: str, until: int | None = None, since: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Users and keys of errors, by day of the week, as a graph: nodes (id, label), edges (src, dst, weight)."""
+    e = ev(spark, d).where((F.col("kind") == "dns_query") & (F.col("t") >= since))
+    e = e if until is None else e.where(F.col("t") < until)
+    day = F.expr(f"concat('@', (t div {DAY}) % 7)")
+    e = e.select(F.concat(F.lit("u"), "pid", day).alias("src"), F.concat(F.lit("k"), "k", day).alias("dst"), F.lit(1).cast("long").alias("weight"))
+    n = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return n.withColumn("label", F.upper("id")), e
 
 
-def bipartite_sql(name: str, until: int, since: int = 0) -> str:
-    return f"""{name}_e as (select concat('u', pid) as src, concat('k', k) as dst, 1::bigint as weight from ev where kind = 'dns_query' and t < {until} and t >= {since}),
+def bipartite_sql(name: str, until: int | None = None, since: int = 0) -> str:
+    """The same graph (name_e, name_n), degrees (name_d) and components (name_c)."""
+    before = "" if until is None else f" and t < {until}"
+    return f"""{name}_e as (select concat('u', pid, '@', (t // {DAY}) % 7) as src, concat('k', k, '@', (t // {DAY}) % 7) as dst, 1::bigint as weight from ev where kind = 'dns_query' and t >= {since}{before}),
 {name}_n as (select distinct id, upper(id) as label from (select src as id from {name}_e union all select dst from {name}_e)),
 {name}_b as (select src as node, dst as other, weight from {name}_e union all select dst, src, weight from {name}_e),
 {name}_d as (select n.id, n.label, count(b.node)::bigint as degree, count(distinct b.other)::bigint as distinct_degree, coalesce(sum(b.weight), 0)::bigint as weighted from {name}_n n left join {name}_b b on b.node = n.id group by 1, 2),
-{name}_r as (select id, id as reach from {name}_n union select r.id, b.other from {name}_r r join {name}_b b on b.node = r.reach),
-{name}_c as (select id, min(reach) as component from {name}_r group by id)"""
+{name}_c(id, component) using key (id) as (select id, id from {name}_n union (
+  select b.node, min(c.component) from {name}_c c join {name}_b b on b.other = c.id join recurring.{name}_c p on p.id = b.node where c.component < p.component group by 1))"""
