@@ -74,10 +74,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from telemill.llm.secrets import scan
+    from telemill.llm.secrets import found
 
-    rows = scan(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode("findings").alias("nth", "f"))
-    return rows.select("doc_id", "nth", F.sha2("f.value", 256).alias("value_sha256"), F.length("f.value").alias("length"), "f.occurrences", "f.probability", "f.secret")
+    rows = found(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "nth", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "occurrences", "probability", "secret")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

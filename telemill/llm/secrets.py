@@ -1,82 +1,147 @@
 """Secret scans with a random forest that removes false positives.
 
 Candidates are runs of at least LEAST characters of the alphabets that keys are written in, with a digit or two changes
-of case. Each gets features: length, shares of character classes, transitions between classes, distinct characters, how
-much of it common words cover, what stands before it, and whether its path (source) names tests or samples. A random
-forest learnt from labelled findings tells secrets from hashes, numbers, names and placeholders.
+of case. Each gets features: length, shares of character classes, how unusual its transitions from letter to letter are,
+how much of it words of a dictionary cover, what the words around it and in its path speak for, and whether it is
+assigned. A random forest learnt from labelled findings tells secrets from hashes, numbers, names and placeholders.
 
-Features, forest and replacement are DataFrame functions on the row: nothing is shuffled. The forest is fitted on the
-driver from a bounded sample of labelled findings (at most FINDINGS); where none are given, labelled findings are drawn
-from the formats below.
+Dictionary and transitions come from all words of all texts: letter words seen twice or more, and the pairs of letters in
+them. The dictionary is a table without a cap that the pieces of distinct candidates are joined with; the transitions are
+26 by 26. What words speak for is learnt from one half of the labelled findings, the forest from the other. The findings
+are a sample of at most FINDINGS rows; where none are given, they are drawn: keys in well-known formats, and hashes,
+numbers, placeholders and names made of words of the dictionary.
+
+All of it but the fitting of that sample is DataFrame functions; texts are never shuffled, but those that hold a
+candidate when many are to be changed.
 
 Edge cases: null texts have no findings and stay null; empty texts have none; equal candidates of a text are one finding
-with its number of occurrences, its neighbours being those of the first; repeated rows each get their result; texts of
-any length are scanned whole; other columns are kept unless named `findings`; a missing path counts as none.
+with its number of occurrences, its neighbours being those of the first; a probability equal to the limit is a secret; of
+findings within one another the longest is replaced first; repeated rows each get their result; texts of any length are
+scanned whole; an empty table gives an empty result; a missing path column counts as none; other columns are kept, but
+`findings` of the result takes the place of one of that name.
 """
 
 from __future__ import annotations
 
 import random
 import string
-from functools import lru_cache
+from math import log, log2
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.common import bound
+from telemill.plans.lineage import sized_join, written
 
-LEAST, BEFORE, FINDINGS = 16, 48, 20_000
+LEAST, AROUND, FINDINGS = 16, 48, 20_000
 CANDIDATE = r"[A-Za-z0-9_+/=\-]{%d,}" % LEAST
 MARK = "[SECRET]"
-TREES, DEPTH, SEED = 12, 5, 7
-# Words that names are made of, that announce a secret, that announce something else, and that mark samples.
-COMMON = "the|and|ing|tion|ment|ent|able|http|www|html|index|page|user|name|file|path|test|data|value|config|version|example|sample|class|model|super|inter|trans|over|under|type|image|world|time|work|system|service|project|report|result|number"
-ANNOUNCE = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|client.?key)"
-OTHERWISE = r"(?i)(sha\d*|md5|commit|checksum|digest|uuid|guid|revision|hash|isbn|phone|tel|card|account|order|invoice|version|build|etag)"
-SAMPLES = r"(?i)(test|example|sample|fixture|docs?/|mock)"
+TREES, DEPTH, SEED = 16, 5, 7
+#: Words of names that the drawn findings are made of, and rows of them.
+WORDS, DRAWN = 400, 6000
+#: A word around a finding or in a path counts if so many labelled findings have it.
+SUPPORT = 5
+# Names under which keys are kept, what stands before other long runs, paths, and words for want of others.
+NAMES = ("token", "api_key", "apikey", "secret", "password", "access_key", "auth_token", "client_secret", "TOKEN", "bearer", "credential", "private_key", "API_KEY", "passwd")
+OTHERS = ("commit", "sha256", "sha1", "md5", "checksum", "digest", "uuid", "revision", "order", "card", "account", "invoice", "build", "etag", "isbn", "id", "hash", "version")
+PATHS = ("src/app.py", "config/prod.yml", ".env", "deploy/values.yaml", "notes/2024.txt", "web/index.html", "")
+SAMPLES = ("tests/test_login.py", "docs/example.md", "examples/sample.json", "fixtures/keys.txt", "mocks/service.js")
+PLAIN = ("time", "people", "water", "number", "place", "house", "market", "history", "report", "system", "river", "music", "friend", "paper", "garden", "window", "story", "morning")
+
+
+def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
+    """w, n: the words of three to twenty letters a-z that stand by themselves in all texts, in small letters, twice or more."""
+    raw = docs.select(F.explode(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    clean = raw.where(F.col("w").rlike("^[A-Za-z]{3,20}[.,;:!?)]*$")).select(F.lower(F.regexp_replace("w", "[^A-Za-z]", "")).alias("w"), "n")
+    return clean.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def transitions(words: DataFrame) -> list[float]:
+    """Bits of each pair of letters (26 * first + second), from the words of lexicon()."""
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("p"), "n")
+    counts = {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    letters, out = string.ascii_lowercase, []
+    for a in letters:
+        total = sum(counts.get(a + b, 0) for b in letters)
+        out += [-log2((counts.get(a + b, 0) + 1) / (total + 26)) for b in letters]
+    return out
+
+
+def covered(values: DataFrame, words: DataFrame) -> DataFrame:
+    """value and covered: of distinct values, how many characters are in pieces (by case and signs) that are words."""
+    piece = F.explode(F.regexp_extract_all("value", F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0)))
+    pieces = values.select("value").distinct().select("value", piece.alias("w")).withColumn("w", F.lower("w")).where(F.length("w") >= 3)
+    asked = written(pieces.select("w").distinct(), "pieces")
+    known = written(sized_join(words, asked, "w", "left_semi").select("w"), "known")
+    return sized_join(pieces, known, "w").groupBy("value").agg(F.sum(F.length("w")).alias("covered"))
 
 
-def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
+def _near(text: Column, n: int) -> Column:
+    """The last n words of a text (n below 0: the first)."""
+    w = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
+    return F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n) if n > 0 else F.slice(w, 1, -n)
+
+
+def features(pairs: list[float], near: dict[str, float], path: dict[str, float]) -> dict[str, Column]:
+    """Of a row with value, covered, before, after and path. pairs: transitions(); near and path: what words speak for."""
+    value = F.col("value")
     n = F.length(value)
     share = lambda pattern: (n - F.length(F.regexp_replace(value, pattern, ""))) * 100 / n
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    table = F.array(*[F.lit(x) for x in pairs])
+    codes = F.transform(F.sequence(F.lit(1), n), lambda i: F.ascii(F.substring(F.lower(value), i, F.lit(1))) - 97)
+    letter = lambda c: (c >= 0) & (c < 26)
+    bits = bound(codes, lambda c: F.filter(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.when(letter(c[i]) & letter(c[i + 1]), F.get(table, c[i] * 26 + c[i + 1]))), lambda x: x.isNotNull()))
+    mean = bound(bits, lambda b: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda a, x: a + x) / F.size(b)).otherwise(F.lit(0.0)))
+
+    def odds(words: Column, of: dict[str, float]) -> Column:
+        if not of:
+            return F.lit(0.0)
+        known = F.create_map(*[F.lit(x) for w in sorted(of) for x in (w, of[w])])
+        return F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(known[w], F.lit(0.0)))
+
     return {
-        "length": n.cast("double"), "digits": share("[0-9]"), "upper": share("[A-Z]"), "lower": share("[a-z]"), "signs": share("[A-Za-z0-9]") * -1 + 100,
-        "transitions": (F.length(runs) - 1) * 100 / n, "distinct": F.size(F.array_distinct(F.split(value, ""))).cast("double"), "hexadecimal": flag(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
-        "words": (n - F.length(F.regexp_replace(F.lower(value), COMMON, ""))) * 100 / n, "announced": flag(before.rlike(ANNOUNCE)), "otherwise": flag(before.rlike(OTHERWISE)),
-        "assigned": flag(before.rlike(r"[=:]\s*[\"'`]?\s*$")), "sample": flag(path.rlike(SAMPLES) | before.rlike(r"(?i)(example|sample|dummy|placeholder|changeme)")),
+        "length": n.cast("double"), "digits": share("[0-9]"), "upper": share("[A-Z]"), "lower": share("[a-z]"), "signs": 100 - share("[A-Za-z0-9]"), "runs": (F.length(runs) - 1) * 100 / n,
+        "distinct": F.size(F.array_distinct(F.split(value, ""))).cast("double"), "hexadecimal": flag(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")), "transitions": mean,
+        "words": F.coalesce(F.col("covered"), F.lit(0)) * 100.0 / n, "before": odds(_near(F.col("before"), 3), near), "after": odds(_near(F.col("after"), -2), near),
+        "path": odds(_near(F.col("path"), 9), path), "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"'`]?\s*$")),
     }
 
 
-def drawn(n: int = 4000, seed: int = SEED) -> list[tuple[str, str, str, int]]:
-    """Labelled findings (value, before, path, 1 for a secret) from known formats."""
+def drawn(words: list[str], n: int = DRAWN, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
+    """Labelled findings (value, before, after, path, 1 for a secret) in well-known formats; words: of the dictionary."""
     r = random.Random(seed)
+    words = [*words, *PLAIN]
     draw = lambda letters, a, b=None: "".join(r.choice(letters) for _ in range(r.randint(a, b or a)))
-    low, alnum = "0123456789abcdef", string.ascii_letters + string.digits
-    word = lambda: r.choice(["the", "of", "ing", "tion", "report", "set", "le", "der", "is", "lyen", "thand", "when", "used"])
-    lead = lambda: " ".join(word() for _ in range(3)) + " "
-    paths = ["src/app.py", "config/prod.yml", "tests/fixture.py", "docs/example.md", "src0", "src7", ""]
+    low, alnum, word = "0123456789abcdef", string.ascii_letters + string.digits, lambda: r.choice(words)
+    text = lambda: " ".join(word() for _ in range(3)) + " "
+    keys = [  # the first ones show by themselves what they are
+        lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + draw(alnum, 36), lambda: "sk_live_" + draw(alnum, 24), lambda: draw(alnum + "+/", 38) + "==", lambda: "xoxb-" + draw(string.digits, 12) + "-" + draw(alnum, 24),
+        lambda: draw(low, r.choice([32, 40, 64])), lambda: draw(low, r.choice([32, 40, 64])).upper(), lambda: draw(alnum, 20, 48), lambda: draw(alnum + "-_", 24, 64),
+    ]
+    names = [
+        lambda: "_".join(word() for _ in range(r.randint(3, 5))) + draw(string.digits, 1, 2), lambda: "".join(word().title() for _ in range(r.randint(3, 5))), lambda: "/".join([word(), word() + draw(string.digits, 2), word(), word()]),
+        lambda: "-".join([*(word() for _ in range(3)), draw(string.digits, 4)]), lambda: draw(string.digits, 16, 20), lambda: r.choice("x0*a-=_") * r.randint(16, 40) + r.choice("09"), lambda: "-".join(draw(low, k) for k in (8, 4, 4, 4, 12)),
+    ]
+    sign = lambda: r.choice([' = "', "=", ": ", ": '", " := `", '="', " "])
     out = []
     for _ in range(n):
-        name = r.choice(["token", "api_key", "apikey", "secret", "password", "access_key", "auth_token", "client_secret", "TOKEN", "bearer"])
-        sign = r.choice([' = "', "=", ": ", ": '", " := `", '="'])
-        other = r.choice(["commit ", "sha256: ", "sha1 = ", "md5: ", "checksum=", "uuid ", "digest: ", "order ", "card ", "build "])
-        secret = [lambda: draw(low, r.choice([32, 40, 64])), lambda: draw(alnum, 20, 48), lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + draw(alnum, 36), lambda: draw(alnum + "+/", 38) + "==", lambda: draw(low, 40).upper(), lambda: draw(alnum + "-_", 24, 64)]
-        harmless = [lambda: draw(low, r.choice([32, 40, 64])), lambda: draw(string.digits, 16, 20), lambda: "-".join(draw(low, k) for k in (8, 4, 4, 4, 12)), lambda: "_".join(word() + word() for _ in range(4)) + draw("0123456789", 1), lambda: r.choice("x0*a") * 20, lambda: "/".join([word() + word(), word() + draw("0123456789", 2), word() + "index", "page"]), lambda: "".join((word() + word()).title() for _ in range(3)) + "2", lambda: "=" * 20]
-        kind = r.random()
-        if kind < 0.42:
-            out.append((r.choice(secret)(), lead() + name + sign, r.choice(paths), 1))
-        elif kind < 0.48:
-            out.append((r.choice(secret[2:5])(), lead(), r.choice(paths), 1))
-        elif kind < 0.62:
-            out.append((r.choice(harmless[:3])(), lead() + other, r.choice(paths), 0))
-        elif kind < 0.72:
-            out.append((r.choice(harmless[1:])(), lead() + name + sign, r.choice(paths), 0))
+        kind, path = r.random(), r.choice(PATHS)
+        if kind < 0.40:
+            out.append((r.choice(keys)(), text() + r.choice(NAMES) + sign(), '" ' + text(), path, 1))
+        elif kind < 0.47:
+            out.append((r.choice(keys[:5])(), text(), " " + text(), path, 1))
+        elif kind < 0.60:  # hashes and numbers said to be such
+            out.append((r.choice([keys[5], keys[6], names[4], names[6]])(), text() + r.choice(OTHERS) + sign(), " " + text(), path, 0))
+        elif kind < 0.68:  # placeholders and names where a key would stand
+            out.append((r.choice(names)(), text() + r.choice(NAMES) + sign(), '" ' + text(), path, 0))
+        elif kind < 0.74:  # keys of tests and samples
+            out.append((r.choice(keys[5:])(), text() + r.choice(NAMES) + sign(), '" ' + text(), r.choice(SAMPLES), 0))
         else:
-            out.append((r.choice(harmless[1:])(), lead() + r.choice(["", "", "(", '"', "see "]), r.choice(paths), 0))
-    return out
+            out.append((r.choice(names)(), text() + r.choice(["", "", "(", '"']), " " + text(), path, 0))
+    return [(v if len(v) >= LEAST else v + "0" * LEAST, *rest) for v, *rest in out]
 
 
 def _tree(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator) -> tuple | float:
@@ -89,6 +154,8 @@ def _tree(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator) ->
         for cut in (values[:-1] + values[1:])[:: max(1, len(values) // 24)] / 2:
             left = x[:, f] <= cut
             k = left.sum()
+            if k in (0, len(y)):  # two values so near that the cut is one of them
+                continue
             a, b = y[left].mean(), y[~left].mean()
             cost = k * a * (1 - a) + (len(y) - k) * b * (1 - b)
             if best is None or cost < best[0]:
@@ -121,47 +188,111 @@ def probability(trees: list, names: list[str], of) -> Column:
     return F.round(total / len(trees), 6)
 
 
-def fit(spark: SparkSession, findings: DataFrame | None = None) -> tuple[list, list[str]]:
-    """The forest, from findings (value, before, path, label) or drawn ones; their feature names."""
-    if findings is None:
-        return _fit_drawn(spark)
-    return _fitted(findings.limit(FINDINGS))
+def _odds(rows: list, words) -> dict[str, float]:
+    """What each word speaks for: log odds of a secret, from findings (label last) with the word against all."""
+    seen: dict[str, list[int]] = {}
+    totals = [1, 1]
+    for r in rows:
+        totals[r[-1]] += 1
+        for w in set(words(r)):
+            seen.setdefault(w, [0, 0])[r[-1]] += 1
+    return {w: round(log((b + 0.5) / totals[1]) - log((a + 0.5) / totals[0]), 4) for w, (a, b) in seen.items() if a + b >= SUPPORT}
+
+
+class Model:
+    """What is learnt: the forest, its features' names, what words speak for, and the transitions."""
+
+    def __init__(self, words: DataFrame, findings: DataFrame | None = None):
+        spark = words.sparkSession
+        schema = "value string, before string, after string, path string, label int"
+        self.words, self.pairs = words, transitions(words)
+        if findings is None:
+            some = words.where("length(w) between 4 and 10").orderBy(F.xxhash64("w"), "w").limit(WORDS)
+            findings = spark.createDataFrame(drawn([r["w"] for r in some.select("w").collect()]), schema)
+        rows = sorted(map(tuple, findings.select("value", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.coalesce("path", F.lit("")), "label").limit(FINDINGS).collect()))
+        random.Random(SEED).shuffle(rows)
+        half = rows[::2]
+        held = spark.createDataFrame(half, schema).select(_near(F.col("before"), 3).alias("b"), _near(F.col("after"), -2).alias("a"), _near(F.col("path"), 9).alias("p"), "label").collect() if half else []
+        self.near = _odds(held, lambda r: [*r["b"], *r["a"]])
+        self.path = _odds(held, lambda r: r["p"])
+        self.trees, self.names = [], []
+        made = self.features()
+        self.names = list(made)
+        rest = rows[1::2]
+        if rest:
+            frame = spark.createDataFrame(rest, schema)
+            frame = frame.join(covered(frame, words), "value", "left")
+            data = np.array(sorted(tuple(r) for r in frame.select(*made.values(), F.col("label").cast("double")).collect()), float)
+            self.trees = forest(data[:, :-1], data[:, -1])
+
+    def features(self) -> dict[str, Column]:
+        return features(self.pairs, self.near, self.path)
+
+    def judged(self, rows: DataFrame, least: float) -> DataFrame:
+        """rows (value, before, after, path) with probability and secret."""
+        rows = sized_join(rows, written(covered(rows, self.words), "covered"), "value", "left")
+        if not self.trees:
+            return rows.withColumns({"probability": F.lit(0.0), "secret": F.lit(False)})
+        rows = rows.withColumn("__f", F.struct(*[c.alias(k) for k, c in self.features().items()]))
+        rows = rows.withColumn("probability", probability(self.trees, self.names, lambda k: F.col(f"__f.{k}")))
+        return rows.withColumn("secret", F.col("probability") >= least).drop("__f")
+
+
+def train(docs: DataFrame, findings: DataFrame | None = None, text: str = "text") -> Model:
+    """A model with the dictionary of docs. findings: labelled ones (value, before, after, path, label: 1 for a secret)."""
+    return Model(written(lexicon(docs, text), "lexicon"), findings)
+
+
+def _found(text: Column) -> Column:
+    """The distinct candidates of a text."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    return F.filter(found, lambda v: v.rlike("[0-9]|[a-z][A-Z].*[a-z][A-Z]"))
+
+
+def _row(docs: DataFrame, text: str, path: str) -> tuple[Column, Column]:
+    """A hash that tells rows of other results apart, and the path."""
+    p = F.coalesce(F.col(path), F.lit("")) if path in docs.columns else F.lit("")
+    return F.xxhash64(text, p), p
+
+
+def candidates(docs: DataFrame, keep: list[str] = (), text: str = "text", path: str = "source") -> DataFrame:
+    """A row for each candidate of each row: the columns to keep, __key, nth, value, occurrences, before, after, path."""
+    t = F.col(text)
+    key, p = _row(docs, text, path)
 
+    def one(v: Column) -> Column:
+        at = F.instr(t, v)
+        before = F.substring(t, F.greatest(F.lit(1), at - AROUND), F.least(F.lit(AROUND), at - 1))
+        times = ((F.length(t) - F.length(F.replace(t, v, F.lit("")))) / F.length(v)).cast("long")
+        return F.struct(v.alias("value"), times.alias("occurrences"), before.alias("before"), F.substring(t, at + F.length(v), F.lit(AROUND)).alias("after"))
 
-@lru_cache(1)
-def _fit_drawn(spark: SparkSession) -> tuple[list, list[str]]:
-    return _fitted(spark.createDataFrame(drawn(), "value string, before string, path string, label int"))
+    rows = docs.select(*keep, key.alias("__key"), p.alias("path"), F.posexplode(F.transform(_found(t), one)).alias("nth", "c"))
+    return rows.select(*keep, "__key", "nth", "c.*", "path")
 
 
-def _fitted(findings: DataFrame) -> tuple[list, list[str]]:
-    made = features(F.col("value"), F.col("before"), F.col("path"))
-    rows = sorted(tuple(r) for r in findings.select(*made.values(), F.col("label").cast("double")).collect())
-    data = np.array(rows, float)
-    return forest(data[:, :-1], data[:, -1]), list(made)
+def found(docs: DataFrame, keep: list[str] = ("doc_id",), findings: DataFrame | None = None, text: str = "text", path: str = "source", least: float = 0.5) -> DataFrame:
+    """The findings of all rows: the columns to keep, __key, nth, value, occurrences, probability, secret."""
+    rows = written(candidates(docs, list(keep), text, path), "candidates")
+    return train(docs, findings, text).judged(rows, least).select(*keep, "__key", "nth", "value", "occurrences", "probability", "secret")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", path: str = "source", least: float = 0.5) -> DataFrame:
     """docs with findings: array of (value, occurrences, probability, secret), in order of first occurrence."""
-    trees, names = fit(docs.sparkSession, findings)
-    t = F.col(text)
-    found = F.array_distinct(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)))
-    found = F.filter(found, lambda v: v.rlike("[0-9]|[a-z][A-Z].*[a-z][A-Z]"))
-
-    def judged(v: Column) -> Column:
-        at = F.instr(t, v)
-        before = F.substring(t, F.greatest(F.lit(1), at - BEFORE), F.least(F.lit(BEFORE), at - 1))
-        made = F.struct(*[c.alias(k) for k, c in features(v, before, F.coalesce(F.col(path), F.lit(""))).items()])
-        chance = bound(made, lambda f: probability(trees, names, lambda k: f[k]))
-        occurrences = ((F.length(t) - F.length(F.replace(t, v, F.lit("")))) / F.length(v)).cast("long")
-        return bound(chance, lambda p: F.struct(v.alias("value"), occurrences.alias("occurrences"), p.alias("probability"), (p >= least).alias("secret")))
-
-    return docs.withColumn("findings", F.coalesce(F.transform(found, judged), F.array().cast("array<struct<value:string,occurrences:bigint,probability:double,secret:boolean>>")))
-
-
-def redacted(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", path: str = "source") -> DataFrame:
-    """docs with secrets replaced by MARK, longest first."""
-    held = scan(docs, findings, text, path)
+    each = found(docs, [], findings, text, path, least)
+    by_row = each.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("nth", "value", "occurrences", "probability", "secret"))).alias("__found"))
+    held = docs.withColumn("__key", _row(docs, text, path)[0])
+    out = sized_join(held, written(by_row, "findings"), "__key", "left")
+    plain = F.transform("__found", lambda f: F.struct(f.value.alias("value"), f.occurrences.alias("occurrences"), f.probability.alias("probability"), f.secret.alias("secret")))
+    none = F.array().cast("array<struct<value:string,occurrences:bigint,probability:double,secret:boolean>>")
+    return out.withColumn("findings", F.coalesce(plain, none)).drop("__key", "__found")
+
+
+def redacted(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", path: str = "source", least: float = 0.5) -> DataFrame:
+    """docs with secrets replaced by MARK, longest first. Texts without any candidate pass by."""
+    each = found(docs, [], findings, text, path, least).where("secret")
     order = lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)
-    values = F.array_sort(F.transform(F.filter("findings", lambda f: f.secret), lambda f: f.value), order)
-    clean = F.aggregate(values, F.col(text), lambda t, v: F.replace(t, v, F.lit(MARK)))
-    return held.withColumn(text, F.when(F.size("findings") > 0, clean).otherwise(F.col(text))).drop("findings")
+    secrets = written(each.groupBy("__key").agg(F.array_sort(F.collect_set("value"), order).alias("__secrets")), "secrets")
+    some = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
+    held = sized_join(docs.where(some).withColumn("__key", _row(docs, text, path)[0]), secrets, "__key", "left")
+    clean = F.aggregate(F.coalesce("__secrets", F.array().cast("array<string>")), F.col(text), lambda t, v: F.replace(t, v, F.lit(MARK)))
+    return held.withColumn(text, clean).select(*docs.columns).union(docs.where(~some))

@@ -593,6 +593,63 @@ def test_secrets(spark):
     assert scan(documents(spark, [])).count() == 0
 
 
+def test_secrets_edges(spark):
+    """Ties and findings within one another, no path column, a column of the result's name, and the registered query."""
+    from telemill.llm.secrets import MARK, redacted, scan
+
+    key = "64be24439e3e49cf46b2d7c90f3602a3d0b907ff"
+    docs = spark.createDataFrame([(1, f'token = "{key}" and token = "{key}aa"', 3), (1, f'token = "{key}" and token = "{key}aa"', 3), (2, None, 4)], "doc_id long, text string, findings long")
+    got = scan(docs)
+    assert got.columns == docs.columns and sorted(len(r["findings"]) for r in got.collect()) == [0, 2, 2]
+    p = min(f["probability"] for r in got.collect() for f in r["findings"])
+    assert all(f["secret"] for r in scan(docs, least=p).collect() for f in r["findings"])
+    clean = redacted(docs)
+    assert clean.columns == docs.columns and sorted(map(repr, clean.collect())) == sorted(map(repr, spark.createDataFrame([(1, f'token = "{MARK}" and token = "{MARK}"', 3)] * 2 + [(2, None, 4)], docs.schema).collect()))
+
+
+def test_secrets_query(spark, tmp_path):
+    from telemill.llm.queries import op9_secret_scans
+
+    rows = [(i, f'{prose(i, 30)} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" {prose(i, 5)}') for i in range(20)] + [(50, None)]
+    documents(spark, rows, False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(op9_secret_scans(spark, str(tmp_path)).collect())
+    assert [(r["doc_id"], r["nth"], r["value_sha256"], r["length"], r["occurrences"], r["secret"]) for r in got] == [(i, 0, hashlib.sha256(hashlib.sha1(str(i).encode()).hexdigest().encode()).hexdigest(), 40, 1, True) for i in range(20)]
+
+
+def test_secrets_features(spark):
+    """The features of the forest against plain Python: transitions, dictionary coverage, neighbouring words."""
+    from math import log2
+
+    from telemill.llm.secrets import covered, features, lexicon, transitions
+
+    docs = spark.createDataFrame([(1, "Getter, getter user users user.\nab1c user"), (2, "name Name xx x"), (3, None)], "doc_id long, text string")
+    words = lexicon(docs)
+    assert sorted(map(tuple, words.collect())) == [("getter", 2), ("name", 2), ("user", 3)]
+    pairs = transitions(words)
+    assert abs(pairs[4 * 26 + 17] + log2((5 + 1) / (2 + 5 + 26))) < 1e-12  # e: te-t once a getter, er in getter and user
+    rows = spark.createDataFrame([("getterUserXy_9", "set the token = \"", " of name", "src/tests/a.py")], "value string, before string, after string, path string")
+    rows = rows.join(covered(rows, words), "value", "left")
+    got = rows.select(*[c.alias(k) for k, c in features(pairs, {"token": 2.0, "name": -1.0, "set": 0.5}, {"tests": -3.0}).items()]).first()
+    v = "getteruserxy"
+    bits = [pairs[(ord(a) - 97) * 26 + ord(b) - 97] for a, b in zip(v, v[1:])]
+    assert (got["length"], got["before"], got["after"], got["path"], got["assigned"]) == (14.0, 2.5, -1.0, -3.0, 1.0)
+    assert abs(got["words"] - 1000 / 14) < 1e-9 and abs(got["transitions"] - sum(bits) / len(bits)) < 1e-9
+
+
+def test_secrets_precision_and_recall(spark):
+    """Findings that the forest hasn't seen, drawn from another seed and other words."""
+    from telemill.llm.secrets import drawn, train
+
+    r = random.Random(1)
+    words = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(200))) for i in range(60)], "doc_id long, text string")
+    test = spark.createDataFrame(drawn(words[300:], 3000, 99), "value string, before string, after string, path string, label int")
+    got = train(docs).judged(test, 0.5).select("label", "secret").collect()
+    right = sum(x["label"] and x["secret"] for x in got)
+    precision, recall = right / sum(x["secret"] for x in got), right / sum(x["label"] for x in got)
+    assert precision > 0.95 and recall > 0.95, (precision, recall)
+
+
 def test_forest_is_what_trees_say(spark):
     import numpy as np
 
