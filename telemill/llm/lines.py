@@ -69,27 +69,27 @@ def hashes() -> dict[str, Column]:
 
 
 def generalised(lines: DataFrame) -> DataFrame:
-    """__leaf, __h, __t: the template of those distinct lines (__leaf, __h, toks: behind the leading ones) that have one
-    with others of their leaf."""
-    found, now = None, lines.select(F.col("__leaf").alias("g"), "__leaf", "__h", "toks")
+    """__h, __t: the template of those distinct lines (__leaf, __h, toks: behind the leading ones) that have one with
+    others of their leaf. Places are joined by hashes of group, place and token, as these are the most rows."""
+    found, now = None, lines.select(F.col("__leaf").alias("g"), "__h", "toks")
     for level in range(LEVELS):
-        places = now.select("g", "__leaf", "__h", F.size("toks").alias("size"), F.posexplode("toks").alias("i", "tok"))
+        places = now.select("g", "__h", F.size("toks").alias("size"), F.posexplode("toks").alias("i", "tok"))
         counts = written(places.groupBy("g", "i", "tok").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
         most = counts.groupBy("g", "i").agg(F.max(F.struct("n", "tok")).alias("top")).select("g", "i", F.col("top.tok").alias("top"))
-        shared = counts.join(most, ["g", "i"]).select("g", "i", "tok", "n", (F.col("tok") == F.col("top")).alias("is_top"))
-        other = F.when(~F.col("is_top"), F.struct("n", "i", "tok"))
-        judged = places.join(shared, ["g", "i", "tok"]).groupBy("g", "__leaf", "__h").agg(
-            F.first("size").alias("size"), F.count_if("is_top").alias("same"), F.count(F.lit(1)).alias("shared"), F.max(other).alias("anchor")
+        place = F.xxhash64("g", "i", "tok").alias("place")
+        shared = counts.join(most, ["g", "i"]).select(place, (F.shiftleft("n", 32) + F.col("i")).alias("rank"), (F.col("tok") == F.col("top")).alias("is_top"))
+        judged = places.select(place, "g", "__h", "size").join(shared, "place").groupBy("g", "__h", "size").agg(
+            F.count_if("is_top").alias("same"), F.count(F.lit(1)).alias("shared"), F.max(F.when(~F.col("is_top"), F.col("rank"))).alias("anchor")
         )
         judged = written(judged.where(100 * F.col("shared") >= SIMILAR * F.col("size")), "judged")
         drop_written(counts)
         fits = 100 * F.col("same") >= SIMILAR * F.col("size")
-        one = judged.where(fits).select("__leaf", "__h", F.xxhash64("g", F.lit(level)).alias("__t"))
+        one = judged.where(fits).select("__h", F.xxhash64("g", F.lit(level)).alias("__t"))
         found = one if found is None else found.union(one)
-        rest = judged.where(~fits).select("__leaf", "__h", F.xxhash64("g", "anchor.i", "anchor.tok").alias("g"))
+        rest = judged.where(~fits).select("__h", F.expr("cast(anchor & 4294967295 as int)").alias("i"))
         if level + 1 == LEVELS or rest.isEmpty():
             break
-        now = written(now.drop("g").join(rest, ["__leaf", "__h"]).select("g", "__leaf", "__h", "toks"), "level")
+        now = written(now.join(rest, "__h").select(F.xxhash64("g", "i", F.get("toks", "i")).alias("g"), "__h", "toks"), "level")
     return found
 
 
@@ -107,7 +107,7 @@ def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     lines = sized_join(parsed(some, key, text), named, ["__key", "__pos"]).dropDuplicates(["__key", "__pos"])
     lines = written(lines.select("__leaf", "__h", F.slice("__toks", LEAD + 1, F.size("__toks")).alias("toks")), "distinct-lines")
     general = written(generalised(lines), "general")
-    rows = sized_join(rows, general, ["__leaf", "__h"], "left").withColumn("__t", F.coalesce("__t", "__h"))
+    rows = sized_join(rows, general, "__h", "left").withColumn("__t", F.coalesce("__t", "__h"))
     firsts = rows.groupBy("__t").agg(F.min("__o").alias("o0"), F.max("__o").alias("o1")).where("o0 < o1").select("__t", "o0")
     out = sized_join(rows, written(firsts, "templates"), "__t").where("__o > o0")
     return written(out.groupBy("__key").agg(F.collect_set("__pos").alias("__drop")), "dropped")
