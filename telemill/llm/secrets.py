@@ -37,7 +37,7 @@ from telemill.plans.lineage import sized_join, written
 LEAST, AROUND, FINDINGS = 16, 48, 20_000
 CANDIDATE = r"[A-Za-z0-9_+/=\-]{%d,}" % LEAST
 MARK = "[SECRET]"
-TREES, DEPTH, SEED = 16, 5, 7
+TREES, DEPTH, SEED = 16, 6, 7
 #: Words of names that the drawn findings are made of, and rows of them.
 WORDS, DRAWN = 400, 6000
 #: A word around a finding or in a path counts if so many labelled findings have it.
@@ -149,7 +149,7 @@ def _tree(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator) ->
     if depth == 0 or len(y) < 8 or y.min() == y.max():
         return float(y.mean())
     best = None
-    for f in rng.choice(x.shape[1], max(1, int(np.sqrt(x.shape[1])) + 1), replace=False):
+    for f in rng.choice(x.shape[1], max(1, x.shape[1] // 2), replace=False):
         values = np.unique(x[:, f])
         for cut in (values[:-1] + values[1:])[:: max(1, len(values) // 24)] / 2:
             left = x[:, f] <= cut
