@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.files import locate, make_folder
-from telemill.plans.lineage import new_path, written
+from telemill.plans.lineage import drop_written, new_path, sized_join, written
 
 ROW = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and the image header chunk.
 HEADER = 33
-LEVEL = 4
+LEVEL = 7
 
 
 def payload(text: str | None) -> bytes:
@@ -99,16 +99,20 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                     out.write(info.tobuf(tarfile.USTAR_FORMAT) + image + b"\0" * (-len(image) % 512))
                     own[digest] = (at + 512, len(image))
                     at += 512 + len(image) + -len(image) % 512
-                rows.append((digest.hex(), shard, *own[digest]))
+                rows.append((digest, shard, *own[digest]))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]], [key, "digest", "shard", "offset", "length"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)]], [key, "digest", "shard", "offset", "length"])
         if out is not None:
             out.write(b"\0" * 1024)
             out.close()
 
-    index = written(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, digest string, shard string, offset long, length long"), "media-index")
-    objects = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    return index.select(key, "digest").join(objects, "digest").select(key, "digest", "shard", "offset", "length")
+    index = written(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, digest binary, shard string, offset long, length long"), "media-index")
+    # written, so that the join's two sides are nothing but shuffles, which are split where one digest has very many rows
+    objects = written(index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*"), "media-objects")
+    rows = written(sized_join(index.select(key, "digest"), objects, "digest").select(key, F.lower(F.hex("digest")).alias("digest"), "shard", "offset", "length"), "media-rows")
+    drop_written(index)
+    drop_written(objects)
+    return rows
 
 
 def read(objects: DataFrame, schema: str, use, whole: bool) -> DataFrame:
@@ -133,12 +137,16 @@ def read(objects: DataFrame, schema: str, use, whole: bool) -> DataFrame:
     return objects.mapInArrow(run, "digest string, " + schema)
 
 
+def _with(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return sized_join(rows, written(found, "media-columns"), "digest")
+
+
 def with_metadata(rows: DataFrame, objects: DataFrame | None = None) -> DataFrame:
     """rows (digest, shard, offset, length) with width, height and depth, from header-only range reads.
 
     objects: where the addresses are taken from, if rows has columns that needn't be made anew for them.
     """
-    return rows.join(read(rows if objects is None else objects, "width long, height long, depth long", header, False), "digest")
+    return _with(rows, read(rows if objects is None else objects, "width long, height long, depth long", header, False))
 
 
 def described(image: bytes) -> dict:
@@ -156,4 +164,4 @@ def described(image: bytes) -> dict:
 def with_features(rows: DataFrame) -> DataFrame:
     """rows with the columns of described(), from the stored bytes."""
     schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.join(read(rows, schema, described, True), "digest")
+    return _with(rows, read(rows, schema, described, True))
