@@ -2,9 +2,9 @@
 
 Hosts and paths are split into names at what isn't a letter or digit; each name is cut into words by the most likely
 path through a unigram model (Viterbi), a name that is itself a word among them. Its counts come from prose, the titles
-and bodies of the pages, as the names in URLs are run together; the words of SEEDS are known besides. A multinomial
-naive Bayes model over these words is learnt from the URLs for which a rule speaks, with the words of SEEDS as further
-examples. What the rules speak about, the names in their hosts and paths, is not shown to the model.
+and bodies of the pages, as the names in URLs are run together. A multinomial naive Bayes model over these words is
+learnt from the URLs for which a rule speaks, and from words with a known verdict where the caller has such (known). What
+the rules speak about, the names in their hosts and paths, is not shown to the model.
 
 Words of prose and odds of tokens are tables without a cap. Each name is cut once: its parts are joined with the words,
 and a worker gets the counts of those parts only. The odds of a name's words are summed to a score of the name, and the
@@ -36,9 +36,8 @@ KEPT = 200_000
 UNIT = 10**9
 #: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Words known to speak for a verdict, and how many examples each of them stands for.
-SEEDS = {"block": ("spam", "pills", "cheap", "casino", "xxx", "porn", "viagra", "loans", "betting", "replica"), "allow": ("blog", "www", "docs", "news", "wiki", "library")}
-SEED_WEIGHT = 100
+#: How many examples a word stands for whose verdict the caller knows.
+KNOWN_WEIGHT = 100
 _NAME = regex.compile(r"[a-z]+|[0-9]+|[^\W\d_]+")
 
 
@@ -98,10 +97,15 @@ def prose(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(found).alias("w"))
 
 
-def lexicon(pages: DataFrame) -> DataFrame:
-    """w and n: counts of all words in prose, and of the words of SEEDS, seen once more each."""
-    seeds = pages.sparkSession.createDataFrame([(w,) for words in SEEDS.values() for w in words], "w string")
-    return prose(pages).union(seeds).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+def _known(spark, known: dict[str, str] | None) -> DataFrame:
+    """w, b, a: words with a known verdict as examples."""
+    rows = [(w, KNOWN_WEIGHT * (v == "block"), KNOWN_WEIGHT * (v == "allow")) for w, v in (known or {}).items()]
+    return spark.createDataFrame(rows, "w string, b long, a long")
+
+
+def lexicon(pages: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """w and n: counts of all words in prose, and of words with a known verdict, seen once more each."""
+    return prose(pages).union(_known(pages.sparkSession, known).select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
 def named(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -144,24 +148,23 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "name string, b long, a long, words array<string>")
 
 
-def bayes(rows: DataFrame, cut: DataFrame) -> tuple[int, DataFrame]:
+def bayes(rows: DataFrame, cut: DataFrame, known: dict[str, str] | None = None) -> tuple[int, DataFrame]:
     """Log odds of block: of the prior, and of each word (w, odds)."""
     n = {r["verdict"]: r["count"] for r in rows.where("verdict is not null").groupBy("verdict").count().collect()}
-    seeds = rows.sparkSession.createDataFrame([(w, SEED_WEIGHT * (v == "block"), SEED_WEIGHT * (v == "allow")) for v, words in SEEDS.items() for w in words], "w string, b long, a long")
-    tokens = cut.where("b + a > 0").select(F.explode("words").alias("w"), "b", "a").union(seeds)
+    tokens = cut.where("b + a > 0").select(F.explode("words").alias("w"), "b", "a").union(_known(rows.sparkSession, known))
     counts = written(tokens.groupBy("w").agg(F.sum("b").alias("b"), F.sum("a").alias("a")), "tokens")
-    all_b, all_a, size = counts.agg(F.sum("b"), F.sum("a"), F.count(F.lit(1))).first()
+    all_b, all_a, size = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0)), F.count(F.lit(1))).first()
     odds = F.log((F.col("b") + 1) / (all_b + size)) - F.log((F.col("a") + 1) / (all_a + size))
     prior = log((n.get("block", 0) + 1) / (n.get("allow", 0) + 1))
     return round(prior * UNIT), counts.select("w", F.round(odds * UNIT).cast("long").alias("odds"))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule and verdict of each page."""
+def judge(pages: DataFrame, rules=RULES, known: dict[str, str] | None = None) -> DataFrame:
+    """page_id, host, path, rule and verdict of each page. known: verdicts of words, if any are known beforehand."""
     rows = written(named(pages, rules), "urls")
     uses = rows.select(F.explode("names").alias("name"), "verdict").groupBy("name").agg(F.count_if(F.col("verdict") == "block").alias("b"), F.count_if(F.col("verdict") == "allow").alias("a"))
-    cut = written(segmented(written(uses, "names"), written(lexicon(pages), "words")), "cut")
-    prior, odds = bayes(rows, cut)
+    cut = written(segmented(written(uses, "names"), written(lexicon(pages, known), "words")), "cut")
+    prior, odds = bayes(rows, cut, known)
     scores = sized_join(cut.select("name", F.explode("words").alias("w")), odds, "w").groupBy("name").agg(F.sum("odds").alias("score"))
     asked = rows.where("verdict is null").select("__row", F.explode("names").alias("name"))
     sums = sized_join(asked, written(scores, "scores"), "name").groupBy("__row").agg(F.sum("score").alias("score"))

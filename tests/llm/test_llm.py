@@ -414,6 +414,28 @@ def test_media(spark):
     assert store(documents(spark, [])).count() == 0
 
 
+def test_media_query_equals_brute_force(spark, tmp_path):
+    """All columns of the query, recomputed from the texts; lengths about whole rows, and many copies of one text."""
+    from telemill.llm.media import ROW, described, encode, payload
+    from telemill.llm.queries import op5_media_columns
+
+    texts = ["", None, "x" * ROW, "x" * (ROW - 1), "x" * (ROW + 1), "é" * ROW, *["same"] * 40, *[prose(i, 300) for i in range(9)]]
+    documents(spark, list(enumerate(texts)), False).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in op5_media_columns(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        data, r = (t or "").encode(), got[i]
+        p = data + b"\xff" * (-len(data) % ROW if data else ROW)
+        image = encode(p)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])) and p == payload(t)
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(image), hashlib.sha256(image).hexdigest(), described(image)["feature"])
+        assert (r["width"], r["height"], r["depth"]) == (ROW, len(p) // ROW, 8)
+        bins = [0] * 16
+        for b in p:
+            bins[b >> 4] += 1
+        assert r["feature"].split(" bins ")[1] == ",".join(map(str, bins)) and r["feature"].startswith(f"{ROW}x{len(p) // ROW} mean {sum(p) * 1000 // len(p)} ")
+
+
 def test_media_query_reads_headers(spark, tmp_path):
     from telemill.llm.media import ROW, payload
     from telemill.llm.queries import op5_media_columns
@@ -431,7 +453,7 @@ def test_urls(spark):
 
     rows = [(1, "http://A.Example.net/en/x?q#f"), (2, "https://example.net/de"), (3, "http://b.example.com/de/1"), (4, "http://notnet/"), (5, "x.org/fr/"), (6, None), (7, "http://q.org/fr/?a"), (8, "http://cheap-pills.example.com"), (9, "a://b://c/d"), (10, "http://EXAMPLE.NET?x"), (11, "http://" + "a" * 5000 + ".example.org/"), (1, "http://A.Example.net/en/x?q#f")]
     pages = spark.createDataFrame([(p, u, "<title>cheap pills</title>" if p % 2 else None, "h") for p, u in rows], "page_id long, url string, html string, host string")
-    got = {r["page_id"]: (r["host"][:20], r["path"], r["rule"], r["verdict"]) for r in judge(pages).collect()}
+    got = {r["page_id"]: (r["host"][:20], r["path"], r["rule"], r["verdict"]) for r in judge(pages, known={"cheap": "block", "pills": "block"}).collect()}
     assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[2] == ("example.net", "/de", "net/", "block") and got[3][2:] == ("example.com/de/", "block")
     assert got[4][2] is None and got[5][:3] == ("", "", None) and got[6][:3] == ("", "", None) and got[7][2:] == ("org/fr/", "allow")
     assert got[8][2:] == (None, "block") and got[9][:2] == ("b:", "//c/d") and got[10][:3] == ("example.net", "", None)
@@ -446,12 +468,64 @@ def test_urls_segment_hosts(spark):
     prose = "<html><head><title>Offers</title><style>p{}</style></head><body><p>cheap offers of pills, and the <b>together</b> of a wiki</p></body></html>"
     hosts = ["cheappills.x.com", "cheappills.com", "cheappills.x.com", "wikilibrary.x.com", "wikilibrary.io", "together.x.com"]
     rows = [(i, f"http://{h}/", prose) for i, h in enumerate(hosts)] + [(20 + i, f"http://q{i}.org/fr/", prose) for i in range(3)] + [(30, "http://z.example.com/de/", prose)]
-    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    known = {"cheap": "block", "pills": "block", "wiki": "allow", "library": "allow"}
+    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string"), known=known).collect()}
     assert [got[i] for i in range(5)] == ["block", "block", "block", "allow", "allow"]
     assert Segmenter({"together": 3, "to": 50, "get": 9, "her": 9}).words["together"] == ("together",)
     assert Segmenter({"cheappills": 1, "cheap": 900, "pills": 900}).words["cheappills"] == ("cheap", "pills")
 
 
+def _cuts(name):
+    """All ways to cut a name."""
+    for k in range(1, len(name)):
+        for rest in _cuts(name[k:]):
+            yield (name[:k], *rest)
+    yield (name,)
+
+
+def test_urls_equal_brute_force(spark, tmp_path):
+    """The registered query against plain Python: all cuts of every name, and naive Bayes over counted words. Verdicts of
+    unruled hosts rest on words inside run-together names, with no words known beforehand."""
+    from collections import Counter
+    from math import log
+
+    from telemill.llm.queries import op6_url_filters
+    from telemill.llm.urls import LONGEST, UNIT, Segmenter
+
+    r = random.Random(3)
+    bad, good = ["cheap", "pills", "spin", "win"], ["wiki", "books", "maps", "tea"]
+    join = lambda words: "".join(r.choice(words) for _ in range(2))
+    html = "<title>Wiki Books</title><script>var pillscheap</script><body>cheap pills spin to win <b>maps</b> of tea &amp; books</body>"
+    urls = [(f"http://{join(bad)}.net/a", "net/", "block") for _ in range(30)] + [(f"http://{join(good)}.org/fr/{r.choice(good)}", "org/fr/", "allow") for _ in range(30)]
+    urls += [(f"http://{join(bad)}.io/", None, "block") for _ in range(9)] + [(f"http://www.{join(good)}.de/x/{i}", None, "allow") for i in range(9)] + [(None, None, None), ("http://", None, None), ("http://[::1]:80/", None, None), ("http://u:p@häuser.de:8080/ä", None, None)]
+    spark.createDataFrame([(i, u, html if i % 3 else None) for i, (u, _, _) in enumerate(urls)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {x["page_id"]: x for x in op6_url_filters(spark, str(tmp_path)).collect()}
+
+    said = "wiki books  cheap pills spin to win maps of tea books".split() * sum(i % 3 > 0 for i in range(len(urls)))
+    counts, total = Counter(said), len(said)
+    cost = lambda w: log(total) - log(counts[w]) if counts[w] else log(total) + 1 + 2.5 * len(w)
+    best = lambda name: min(_cuts(name), key=lambda c: (round(sum(map(cost, c)), 9), [-len(w) for w in c[::-1]])) if name.isalpha() and 1 < len(name) <= LONGEST else (name,)
+
+    def words(url):
+        host, path = (re.match(r"[^/?#]*", url.split("://", 1)[1])[0].lower(), re.sub(r"^[^/?#]*|[?#].*", "", url.split("://", 1)[1])) if url and "://" in url else ("", "")
+        names = [("", x) for n in host.split(".") if n not in ("net", "org", "example", "com") for x in re.findall(r"[a-z]+|[0-9]+|[^\W\d_]+", n)]
+        names += [("/", "#" if x.isdigit() else x) for x in re.findall(r"[a-z]+|[0-9]+|[^\W\d_]+", path.lower()) if x not in ("en", "de", "fr")]
+        return [sign + w for sign, x in names for w in best(x)]
+
+    by = {"block": Counter(), "allow": Counter()}
+    for u, rule, v in urls:
+        if rule:
+            by[v].update(words(u))
+    every = set(by["block"]) | set(by["allow"])
+    odds = {w: log((by["block"][w] + 1) / (sum(by["block"].values()) + len(every))) - log((by["allow"][w] + 1) / (sum(by["allow"].values()) + len(every))) for w in every}
+    for i, (u, rule, v) in enumerate(urls):
+        score = sum(round(odds.get(w, 0) * UNIT) for w in words(u))
+        assert (got[i]["rule"], got[i]["verdict"]) == (rule, v if rule else "block" if score > 0 else "allow"), u
+        assert v is None or got[i]["verdict"] == v
+    names = {x for u, _, _ in urls[60:78] for x in re.findall("[a-z]{6,}", u)}
+    assert all(len(Segmenter(dict(counts), total).words[x]) == 2 for x in names) and len(names) > 5
+
+
 def test_urls_rare_words_count(spark, monkeypatch):
     """A word seen once speaks for its verdict, however many words there are, and joins of either kind give the same."""
     from telemill.llm.urls import judge
@@ -466,7 +540,7 @@ def test_urls_rare_words_count(spark, monkeypatch):
         out = judge(many.where("page_id < 110000").union(few))
         assert out.count() == 110_004
         got[rows] = sorted(map(tuple, out.where("page_id >= 109990").collect()))
-        assert [r[4] for r in got[rows][-4:]] == ["block", "allow", "block", "allow"]
+        assert [r[4] for r in got[rows][-4:]] == ["block", "allow", "block", "allow"]  # zzblock, zzallow
     assert len(got) == 2 and len(set(map(tuple, got.values()))) == 1
 
 
