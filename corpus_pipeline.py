@@ -28,19 +28,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least doc_id."""
+    """One document of each group of near duplicates, that with the least doc_id.
+
+    Rows that share a doc_id are one document: all their different texts stay, of equal texts one row, the least by all
+    columns. Rows without doc_id are linked with nothing and stay.
+    """
     others = jaccard.components(docs).where("doc_id <> component_id").select("doc_id").distinct()
     kept = sized_join(docs, written(others, "others"), "doc_id", "left_anti")
-    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    once = sized_join(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = sized_join(kept, repeated, "doc_id", "left_semi").groupBy("doc_id", F.sha2("text", 256)).agg(F.min(whole).alias("row")).select("row.*")
     return sized_join(kept, repeated, "doc_id", "left_anti").unionByName(once)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets replaced."""
-    return secrets.redacted(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
+    clean = secrets.redacted(docs)
+    return clean.withColumn("n_chars", F.when(F.contains("text", F.lit(secrets.MARK)), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("near duplicates", near_duplicates), ("secret scan", secret_scan), ("best-fit packing", pack)]
 
-#: SQL expresses neither the join's verification nor the packing; tests hold run() against a brute-force version.
+#: SQL expresses neither cutoffs, forest nor packing; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

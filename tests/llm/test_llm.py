@@ -841,3 +841,73 @@ def test_pipeline(spark, tmp_path):
     five = p.pack(spark, four, "")
     assert set(ids(five)) == set(ids(four))
     assert [s[0] for s in p.STAGES] == ["quality rules", "line dedup", "near duplicates", "secret scan", "best-fit packing"]
+
+
+def test_near_duplicates_keep_rows_of_one_id(spark):
+    """Different texts of one id stay, of equal ones the least row does, whatever the order of the rows."""
+    import corpus_pipeline as p
+
+    rows = [(1, BASE, "en", "b", 5), (1, LONG, "en", "a", 6), (1, BASE, "en", "a", 5), (2, EDITED, "en", "a", 5), (3, None, "fr", None, None), (3, None, "de", None, None), (None, BASE, "en", "z", 5), (None, BASE, "en", "z", 5)]
+    want = sorted(map(repr, [rows[1], rows[2], rows[5], rows[6], rows[7]]))
+    for order in (rows, rows[::-1]):
+        got = p.near_duplicates(spark, spark.createDataFrame(order, DOC), "")
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert sorted(repr(tuple(r)) for r in got.collect()) == want
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() against plain Python: base rules, the SQL of line dedup, all pairs, known secrets, and the library's tokens."""
+    import duckdb
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+    from telemill.llm.lines import ORACLE
+    from telemill.llm.secrets import MARK
+
+    r = random.Random(21)
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    line = lambda n: " ".join(f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(n))
+    texts = ["\n".join(line(r.randint(3, 40)) for _ in range(r.randint(1, 9))) for _ in range(60)]
+    note = "All rights reserved."
+    for i in range(0, 60, 6):
+        texts[i] += f"\n{note}"
+    for i in range(1, 60, 7):
+        texts[i] += f'\n{line(4)} token = "{key(i)}" {line(3)}'
+    for i in range(0, 20):
+        words = texts[i].split(" ")
+        words[len(words) // 2] = "changed"
+        texts.append(" ".join(words).replace("\n", " \n"))
+    texts += [texts[3], texts[5], None, "", "too short", line(25) * 1 + " " + ("again and again we say the very same words " * 6)]
+    rows = [(i, t, "en", "src", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOC).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = p.run(spark, str(tmp_path)).collect()
+
+    def good(t):
+        w, n = repeats(t)
+        return len(w) >= 20 and 100 * n <= 30 * len(w)
+
+    docs = [(i, t) for i, t in enumerate(texts) if good(t)]
+    con = duckdb.connect()
+    con.sql("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    left = {i: (t, n) for i, t, n in con.sql(ORACLE.replace("case when d.text is null then null else sha256(coalesce(k.text, '')) end as text_sha256", "coalesce(k.text, '') as t, n_dropped").replace("select d.doc_id, coalesce", "select d.doc_id, t, n_dropped from (select d.doc_id, coalesce") .replace("as t, n_dropped\nfrom documents d left join kept k on k.doc_id = d.doc_id", "as t\nfrom documents d left join kept k on k.doc_id = d.doc_id) d")).fetchall()}
+    docs = [(i, left[i][0]) for i, _ in docs if left[i][1] == 0 or left[i][0].split()]
+    assert any(left[i][1] for i in left)
+    docs = [(i, t) for (i, t), (j, _, c) in zip(docs, brute(docs), strict=True) if i == j == c]
+    docs = [(i, re.sub("[0-9a-f]{40}", MARK, t)) for i, t in docs]
+    assert any(MARK in t for _, t in docs) and len(docs) < 62
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = []
+    for i, t in docs:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, 0, 0, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
+    assert all(w[3] <= 1024 for w in want)
+    assert sorted((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in got) == sorted(want)
+    held = {}
+    for x in got:
+        held.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for places in held.values():
+        assert sum(n for _, n in places) <= 1024 and all(o == sum(n for q, n in places if q < o) for o, _ in places)
+    assert len(held) <= -(-sum(w[3] for w in want) // 1024) + 1
