@@ -20,7 +20,6 @@ has their name.
 from __future__ import annotations
 
 import base64
-import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -32,8 +31,10 @@ from pyspark.sql import DataFrame
 
 from telemill.llm.pretokens import Memo, spaced
 
-STATES = 400_000
-WORDS = 600_000
+STATES = 800_000
+#: Texts between spaces whose tokens are kept, and words within such of several words.
+PIECES, WORDS = 600_000, 200_000
+_BYTES = [bytes([i]) for i in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -114,13 +115,14 @@ class Encoder:
 
     def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, opened, begins, live = self.states[at]
-        opened += bytes([byte])
+        ranks, prefixes, fits = self.ranks, self.prefixes, self.fits
+        opened += _BYTES[byte]
         begin, still = -1, []
         for i in live:
-            tail = opened[i:]
-            if begin < 0 and tail in self.ranks and self.fits[opened[begins[i - 1] : i] if i else before, tail]:
+            tail = opened[i:] if i else opened
+            if begin < 0 and tail in ranks and fits[opened[begins[i - 1] : i] if i else before, tail]:
                 begin = i
-            if tail in self.prefixes:
+            if tail in prefixes:
                 still.append(i)
         begins += (begin,)
         if begin >= 0:
@@ -207,28 +209,40 @@ class Decoder:
         idle = moves[0]
         for i in ids:
             at = idle[i] if at == 0 else moves[at][i]
-            if at < 0:
+            if at < 0:  # malformed
                 return "".join(self.stream(ids))
-        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "strict" if at == 0 else "replace")
+        if at:  # the last character is cut
+            return "".join(self.stream(ids))
+        return str(b"".join(map(self.pieces.__getitem__, ids)), "utf-8")
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """The text as it becomes complete, holding back at most three bytes."""
-        decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        held, at = bytearray(), 0
+        """The text as it becomes complete, holding back the bytes of one character at most. A sequence that can't go on
+        is one U+FFFD, and the byte that doesn't fit begins anew."""
+        held, state, done = bytearray(), self.IDLE, []
         for i in ids:
-            held += self.pieces[i]
-            at = self.moves[at][i] if at >= 0 else -1
-            if at == 0:
-                yield held.decode("utf-8")
-                held.clear()
-            elif at < 0:  # malformed: replaced as Python would
-                yield decoder.decode(bytes(held))
-                held.clear()
-                at = -1
-                waiting = decoder.getstate()[0]
-                if not waiting:
-                    at = 0
-        yield decoder.decode(bytes(held), True)
+            for byte in self.pieces[i]:
+                after = _utf8_step(state, byte)
+                if after is None:
+                    if state[0]:  # what was begun is cut here
+                        done.append("\ufffd")
+                        held.clear()
+                        after = _utf8_step(self.IDLE, byte)
+                    if after is None:
+                        done.append("\ufffd")
+                        state = self.IDLE
+                        continue
+                held.append(byte)
+                if after[0]:
+                    state = after
+                else:
+                    done.append(held.decode("utf-8"))
+                    held.clear()
+                    state = self.IDLE
+            if done:
+                yield "".join(done)
+                done = []
+        if held:
+            yield "\ufffd"
 
 
 class Codec:
@@ -238,11 +252,11 @@ class Codec:
         ranks = read_ranks(path)
         self.encoder, self.decoder, self.pattern = Encoder(ranks), Decoder(ranks), regex.compile(pattern)
         self.words = Memo(lambda x: self.encoder.word(x.encode()), WORDS)
-        self.pieces = Memo(self._piece, WORDS)
+        self.pieces = Memo(self._piece, PIECES)
 
     def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
         found = self.pattern.findall(piece)
-        ids = self.words[found[0]] if len(found) == 1 else tuple(chain.from_iterable([self.words[x] for x in found]))
+        ids = self.encoder.word(found[0].encode()) if len(found) == 1 else tuple(chain.from_iterable([self.words[x] for x in found]))
         return ids, ",".join(map(str, ids))
 
     def encode(self, text: str) -> tuple[list[int], str]:
@@ -251,7 +265,8 @@ class Codec:
             return [], ""
         pieces = spaced(text) or self.pattern.findall(text)
         found = list(map(self.pieces.__getitem__, pieces))
-        return list(chain.from_iterable(x[0] for x in found)), ",".join([x[1] for x in found if x[1]])
+        ids, said = zip(*found, strict=True)
+        return list(chain.from_iterable(ids)), ",".join(filter(None, said))
 
 
 @lru_cache(2)
