@@ -7,7 +7,7 @@ which linked sets of the band can differ (their distance). By the pigeonhole pri
 whole segment; the index holds the hash of each set's content in every segment that isn't empty.
 
 Which segments serve is allocated by cost:
-1. Every segment hash held by several sets is a bucket. All its members are compared with the least one (star pairs);
+1. Every segment hash held by several sets is a bucket. All its members are compared with one of them (star pairs);
    what links becomes one class, and buckets within one class are done.
    Stars round a few other members follow while they still join classes.
 2. Buckets across classes of at most LIGHT sets are compared in full. Larger ones are skipped, as are empty segments: a
@@ -197,9 +197,21 @@ def fingerprints(docs: DataFrame, n: int = WORDS, key: str = "doc_id", text: str
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, __one long, __two long, __cells binary")
 
 
+def gathered(sigs: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
+    """sig, doc, centre of some rows. The first document here with a hash stands for the others in what follows: they get
+    it as their centre, it gets itself, and a lone one null."""
+    sig, doc = np.concatenate(sigs), np.concatenate(docs)
+    order = np.argsort(sig, kind="stable")
+    sig, doc = sig[order], doc[order]
+    new = np.concatenate([[True], sig[1:] != sig[:-1]]) | (sig <= SPARSE + MARKS)
+    start = np.flatnonzero(new)
+    size = np.diff(np.concatenate([start, [len(sig)]]))
+    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(doc), pa.array(np.repeat(doc[start], size), mask=np.repeat(size == 1, size))], ["sig", "doc", "centre"])
+
+
 def index(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
-    """sig, doc: the content hash of every segment of docs (doc, text) that isn't empty, and a mark (see SPARSE) for
-    each band."""
+    """sig, doc, centre (see gathered()): the content hash of every segment of docs (doc, text) that isn't empty, and a
+    mark (see SPARSE) for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,45 +223,53 @@ def index(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
                     ids.append(np.full(len(segment) + 1, doc, np.int64))
                     held += len(segment)
                 if held > 300_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "doc"])
+                    yield gathered(sigs, ids)
                     sigs, ids, held = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "doc"])
+                yield gathered(sigs, ids)
 
-    return docs.select("doc", "text").mapInArrow(run, "sig long, doc long")
+    return docs.select("doc", "text").mapInArrow(run, "sig long, doc long, centre long")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """sig, doc, least: the rows of hashes that several documents have, with the least of these documents, and all marks.
-    Rows of one hash pass by in order and are never held together."""
+    """sig, doc, centre: the rows of hashes that several documents have, with one of these documents, and all marks.
+
+    Of the rows that index() gathered under a centre, only the centre's goes where its hash goes, the others anywhere: so
+    a hash that very many documents have is no large task. Rows of one hash pass by one after the other and are never
+    held together; they are sorted by hash alone, which Spark does digit by digit.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int, bool] | None = None  # hash, document, least document, whether given out
+        last: tuple[int, int, int, bool] | None = None  # hash, document, centre, whether given out
         for b in batches:
-            sig, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
+            several = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            sig, doc, centre = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).fill_null(0).to_numpy()
+            own = ~several | (centre == doc)
+            if not own.all():
+                yield b.filter(pa.array(~own))
+                sig, doc, several = sig[own], doc[own], several[own]
             if not len(sig):
                 continue
             if last:
-                sig, doc = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], doc])
-            keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])])
-            sig, doc = sig[keep], doc[keep]
-            new = np.concatenate([[True], sig[1:] != sig[:-1]])
-            start = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            least = doc[start]
+                sig, doc, several = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], doc]), np.concatenate([[False], several])
+            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.diff(np.concatenate([start, [len(sig)]]))
+            least = np.minimum.reduceat(doc, start)
+            known = (size > 1) | np.logical_or.reduceat(several, start)
             if last:
                 least[0] = last[2]
-            shared = (np.diff(np.concatenate([start, [len(sig)]])) > 1)[group] | (sig <= SPARSE + MARKS)
-            if last:
-                shared[group == 0] |= last[3]
+                known[0] |= last[3]
+            shared = np.repeat(known, size) | (sig <= SPARSE + MARKS)
             out = shared.copy()
             if last and last[3]:
                 out[0] = False
             last = (int(sig[-1]), int(doc[-1]), int(least[-1]), bool(shared[-1]))
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(doc[out]), pa.array(least[group][out])], ["sig", "doc", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(doc[out]), pa.array(np.repeat(least, size)[out])], ["sig", "doc", "centre"])
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(run, "sig long, doc long, least long")
+    place = F.when(F.col("centre") != F.col("doc"), F.xxhash64("doc")).otherwise(F.col("sig"))
+    spread = rows.withColumn("place", place).repartition("place").drop("place")
+    return spread.sortWithinPartitions("sig").mapInArrow(run, "sig long, doc long, centre long")
 
 
 def possible(pairs: DataFrame, cells: DataFrame, bands: Bands) -> DataFrame:
@@ -392,7 +412,7 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
         pairs = written(possible(pairs, counts, bands), "pairs")
         return pairs if pairs.isEmpty() else verified(pairs, ones, n, percent)
 
-    links = checked(shared.where("doc > least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct())
+    links = checked(shared.where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct())
     # a doc_id with several texts is in several groups of copies
     links = links.union(copies.select(F.col("first").alias("a"), F.col("doc").alias("b")).join(copies.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc").alias("b")), "b", "left_semi").select("a", "b"))
 
