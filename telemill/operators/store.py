@@ -2,19 +2,22 @@
 
 Merges follow fixed rules: of a node (kind, id) the attributes come from the newer row, first_seen is the least and
 last_seen the greatest; of an edge (kind, from, to) count grows by each row merged, last_seen is the greatest, and
-first_seen stays as it was. A merge writes a new version and then turns a pointer to it, so that readers see the old
-version or the new one.
+first_seen stays as it was. A merge writes a new version and then names it, so that readers see the old version or the
+new one.
 """
 
 from __future__ import annotations
 
 import json
+import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from telemill.functions.scalars import HOUR, SECOND, past
+from telemill.plans.lineage import written
 
 NODE_KEY, EDGE_KEY = ["kind", "id"], ["kind", "from_kind", "from_id", "to_kind", "to_id"]
 SCHEMA_VERSION = 1
@@ -31,12 +34,17 @@ def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merge_edges(old: DataFrame, new: DataFrame, order: str = "seen_at") -> DataFrame:
-    """old (key, count, first_seen, last_seen) with new (key, seen_at) merged; how as for nodes."""
-    a = old.select(*EDGE_KEY, "count", "first_seen", "last_seen", F.lit(None).cast("long").alias("first_new"))
-    b = new.groupBy(*EDGE_KEY).agg(F.count(F.lit(1)).alias("count"), F.lit(None).cast("long").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.min_by("seen_at", order).alias("first_new"))
-    g = a.unionByName(b).groupBy(*EDGE_KEY).agg(F.sum("count").alias("count"), F.max("first_seen").alias("f"), F.max("last_seen").alias("last_seen"), F.max("first_new").alias("n"))
+    """old (key, count, first_seen, last_seen) with new (key, seen_at) merged; how as for nodes. Further columns that both
+    have come from the new row that is last by order, else from the old one."""
+    attrs = [c for c in old.columns if c in new.columns and c not in (*EDGE_KEY, "count", "first_seen", "last_seen", order)]
+    whole = F.struct(*attrs, F.lit(1).alias("__x"))
+    a = old.select(*EDGE_KEY, "count", "first_seen", "last_seen", F.lit(None).cast("long").alias("first_new"), whole.alias("was"), F.lit(None).cast(old.select(whole.alias("w")).schema["w"].dataType).alias("now"))
+    b = new.groupBy(*EDGE_KEY).agg(F.count(F.lit(1)).alias("count"), F.lit(None).cast("long").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.min_by("seen_at", order).alias("first_new"), F.max_by(whole, order).alias("now"))
+    b = b.withColumn("was", F.lit(None).cast(a.schema["was"].dataType))
+    g = a.unionByName(b).groupBy(*EDGE_KEY).agg(F.sum("count").alias("count"), F.max("first_seen").alias("f"), F.max("last_seen").alias("last_seen"), F.max("first_new").alias("n"), F.max("was").alias("was"), F.max("now").alias("now"))
     how = F.when(F.col("f").isNull(), "inserted").when(F.col("n").isNotNull(), "updated").otherwise("kept")
-    return g.select(*EDGE_KEY, "count", F.coalesce("f", "n").alias("first_seen"), "last_seen", how.alias("how"))
+    held = F.coalesce("now", "was")
+    return g.select(*EDGE_KEY, "count", F.coalesce("f", "n").alias("first_seen"), "last_seen", *[held[c].alias(c) for c in attrs], how.alias("how"))
 
 
 def prune(nodes: DataFrame, edges: DataFrame, events: DataFrame, cutoff: int) -> dict[str, DataFrame]:
@@ -174,7 +182,15 @@ def daemon_status(pid, heartbeat_ns, now_ns, stale_ns: int = 120 * SECOND):
 
 
 class Store:
-    """Tables in a folder: version-<n>/{nodes,edges}, events, meta.json; CURRENT names the version that counts."""
+    """Tables in a folder: nodes, edges and events as version-<n>/<table>, and meta.json.
+
+    A version is named by an empty file in `versions`, written when its tables are: the highest one counts. So a crash at
+    any point leaves the version before, and nothing is deleted before what takes its place is named. Versions other than
+    the newest KEPT are removed afterwards. Merging rewrites nodes and edges; appending events adds files to the folder that
+    the version names for them. There is one writer at a time: see lock().
+    """
+
+    KEPT = 2
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -198,15 +214,18 @@ class Store:
         finally:
             stream.close()
 
-    def _put(self, name: str, text: str) -> None:
-        """Write beside, then rename over."""
+    def _put(self, name: str, text: str, over: bool = True) -> bool:
+        """Write a small file; without over, only if there is none yet."""
         fs, p = self._fs(name)
-        _, beside = self._fs(f"_{name}.new")
-        out = fs.create(beside, True)
+        try:
+            out = fs.create(p, over)
+        except Exception:  # the file system's own error
+            if over or not fs.exists(p):
+                raise
+            return False
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(p, False)
-        fs.rename(beside, p)
+        return True
 
     def get_meta(self, key: str) -> str | None:
         return json.loads(self._get("meta.json") or "{}").get(key)
@@ -218,48 +237,107 @@ class Store:
         meta.pop(key, None) if value is None else meta.update({key: value})
         self._put("meta.json", json.dumps(meta))
 
+    @contextmanager
+    def lock(self):
+        """Hold the store for writing; an error if another does."""
+        if not self._put("LOCK", str(time.time_ns()), over=False):
+            raise RuntimeError(f"{self.path} is held by another writer (LOCK)")
+        try:
+            yield self
+        finally:
+            fs, p = self._fs("LOCK")
+            fs.delete(p, False)
+
+    def _versions(self) -> list[int]:
+        fs, p = self._fs("versions")
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(p)) if fs.exists(p) else []
+
     def version(self) -> int:
-        return int(self._get("CURRENT") or 0)
+        return max(self._versions(), default=0)
+
+    def _about(self, v: int) -> dict:
+        """The folder and schema of each table of a version."""
+        return json.loads(self._get(f"versions/{v}")) if v else {}
 
     def read(self, table: str) -> DataFrame | None:
-        if table == "events":
-            fs, p = self._fs("events")
-            return self.spark.read.parquet(f"{self.path}/events") if fs.exists(p) else None
-        v = self.version()
-        if not v:
+        about = self._about(self.version()).get(table)
+        if about is None:
             return None
-        schema = StructType.fromJson(json.loads(self._get(f"{table}-{v}.json")))  # an empty table has no files to tell it
-        return self.spark.read.schema(schema).parquet(f"{self.path}/version-{v}/{table}")
+        return self.spark.read.schema(StructType.fromJson(about["schema"])).parquet(f"{self.path}/{about['folder']}")  # an empty table has no files to tell it
 
-    def _write(self, nodes: DataFrame, edges: DataFrame) -> None:
-        v = self.version() + 1
-        for table, frame in (("nodes", nodes), ("edges", edges)):
-            frame.write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/version-{v}/{table}")
-            self._put(f"{table}-{v}.json", frame.schema.json())
-        self._put("CURRENT", str(v))
+    def _write(self, tables: dict[str, DataFrame]) -> None:
+        v = self.version()
+        about = self._about(v)
+        for table, frame in tables.items():
+            parts = [c for c in ("date", "kind") if c in frame.columns and (c == "kind" or table == "events")]
+            folder = f"version-{v + 1}/{table}"
+            frame.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.path}/{folder}")
+            about[table] = {"folder": folder, "schema": json.loads(frame.schema.json())}
+        if not self._put(f"versions/{v + 1}", json.dumps(about), over=False):
+            raise RuntimeError(f"version {v + 1} was written by another writer")
+        self._clear()
+
+    def _clear(self) -> None:
+        """Remove versions but the newest ones, and folders that these don't name."""
+        kept = self._versions()[-self.KEPT :]
+        named = {t["folder"].split("/")[0] for v in kept for t in self._about(v).values()}
+        for v in self._versions()[: -self.KEPT]:
+            fs, p = self._fs(f"versions/{v}")
+            fs.delete(p, False)
+        fs, top = self._fs(".")
+        for x in fs.listStatus(top):
+            name = x.getPath().getName()
+            if name.startswith("version-") and name not in named:
+                fs.delete(x.getPath(), True)
 
     def merge_graph(self, nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
         """Merge nodes and edges (with seen_at); how many were inserted and updated."""
         old_n, old_e = self.read("nodes"), self.read("edges")
-        none = self.spark.createDataFrame([], "kind string, from_kind string, from_id string, to_kind string, to_id string, count long, first_seen long, last_seen long")
-        n = merge_nodes(old_n if old_n is not None else nodes.limit(0), nodes)
-        e = merge_edges(old_e if old_e is not None else none, edges)
+        none = edges.limit(0).select(*EDGE_KEY, F.lit(0).cast("long").alias("count"), F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"), *[c for c in edges.columns if c not in (*EDGE_KEY, "seen_at", "count", "first_seen", "last_seen")])
+        n = written(merge_nodes(old_n if old_n is not None else nodes.limit(0), nodes), "merged")
+        e = written(merge_edges(old_e if old_e is not None else none, edges), "merged")
         seen = {f"{t}_{r['how']}": r["count"] for t, f in (("nodes", n), ("edges", e)) for r in f.groupBy("how").count().collect()}
-        self._write(n.drop("how"), e.drop("how"))
+        self._write({"nodes": n.drop("how"), "edges": e.drop("how")})
         return seen
 
+    def merge_typed(self, graph: dict[str, DataFrame]) -> dict[str, int]:
+        """Merge a typed graph (see persist): edges are seen when their target was, by the merged nodes."""
+        from telemill.operators.persist import edge_rows, node_rows
+
+        new = node_rows(graph)
+        old = self.read("nodes")
+        merged = new if old is None else merge_nodes(old, new)
+        return self.merge_graph(new, edge_rows(graph, merged))
+
+    def load_graph(self) -> dict[str, DataFrame]:
+        """The typed graph of the store, empty if it has none."""
+        from telemill.operators.persist import ATTRIBUTES, EDGE, load
+
+        columns = lambda more: ", ".join(f"`{c}` {t}" for c, t in more.items())
+        nodes, edges = self.read("nodes"), self.read("edges")
+        if nodes is None:
+            nodes = self.spark.createDataFrame([], "kind string, id string, first_seen long, last_seen long, " + columns(ATTRIBUTES))
+            edges = self.spark.createDataFrame([], "kind string, from_kind string, from_id string, to_kind string, to_id string, count long, first_seen long, last_seen long, " + columns(EDGE))
+        return load(nodes, edges)
+
     def append_events(self, events: DataFrame) -> int:
-        n = events.count()
-        events.withColumn("date", F.to_date(F.timestamp_micros(F.expr("ts_ns div 1000")))).write.mode("append").partitionBy("date", "kind").parquet(f"{self.path}/events")
-        return n
+        """Add events (with ts_ns and kind)."""
+        e = written(events.withColumn("date", F.to_date(F.timestamp_micros(F.expr("ts_ns div 1000")))), "new-events")
+        about = self._about(self.version()).get("events")
+        if about is None:
+            self._write({"events": e})
+        else:
+            e.select(*[f.name for f in StructType.fromJson(about["schema"])]).write.mode("append").partitionBy("date", "kind").parquet(f"{self.path}/{about['folder']}")
+        return e.count()
 
     def prune_before(self, cutoff: int) -> dict[str, int]:
-        out = prune(self.read("nodes"), self.read("edges"), self.read("events"), cutoff)
+        """Drop what is older than the cutoff; counts of what went. A store without a table has nothing of it to prune."""
+        n, e, v = self.read("nodes"), self.read("edges"), self.read("events")
+        long = lambda text: self.spark.createDataFrame([], text)
+        empty_n, empty_e, empty_v = "kind string, id string, last_seen long", "kind string, from_kind string, from_id string, to_kind string, to_id string, last_seen long", "kind string, ts_ns long"
+        out = prune(n if n is not None else long(empty_n), e if e is not None else long(empty_e), v if v is not None else long(empty_v), cutoff)
         report = out["report"].first().asDict()
-        self._write(out["nodes"], out["edges"])
-        out["events"].write.mode("overwrite").partitionBy("date", "kind").parquet(f"{self.path}/events-next")
-        fs, old = self._fs("events")
-        _, new = self._fs("events-next")
-        fs.delete(old, True)
-        fs.rename(new, old)
+        have = {t: out[t] for t, f in (("nodes", n), ("edges", e), ("events", v)) if f is not None}
+        if have and any(report.values()):
+            self._write(have)
         return report

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions import scalars as S
 from telemill.functions.scalars import DAY, HOUR, SECOND
-from telemill.operators import analytics, baseline, enrich, graph, lifecycle, store, summary, ticks
+from telemill.operators import analytics, baseline, enrich, graph, lifecycle, persist, store, summary, ticks
 from telemill.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,21 @@ def asof_enrichment(spark, d):
     return enrich.as_of(rows, e.where("kind = 'process_birth'"), e.where("kind = 'process_death'")).select("seq", "pid", "start", "alive")
 
 
+UP = """st as (select o.obs_seq as seq, o.source, o.pid, max((b.start, b.emit_seq)) as r from obs o join b on b.pid = o.pid and b.emit_seq < o.obs_seq where o.source in ('dns', 'network') group by 1, 2, 3),
+up(seq, hop, pid, start) as (select seq, 0, pid, r[1] from st union all select u.seq, u.hop + 1, b.pid, max((b.start, b.emit_seq))[1] from up u join b on b.pid = u.pid // 10 and b.pid > 1 and b.emit_seq < u.seq where u.hop < 32 group by 1, 2, 3)"""
+
+
+@query(with_(V.OBS, TICKED, diff_sql("process", "pid, start"), f"b as ({BIRTHS})", UP, select="""select o.obs_seq as seq, case o.source when 'dns' then 'dns_query' when 'network' then 'connection_opened' when 'window' then 'app_focus' else 'file_changed' end as kind, st.r[1] as start,
+  case when st.seq is not null then coalesce((select array_to_string(list(concat(u.pid, ':', u.start) order by hop), ' ') from up u where u.seq = o.obs_seq and hop > 0), '') end as ancestors from obs o left join st on st.seq = o.obs_seq where o.source <> 'process'"""))
+def enriched_events(spark, d):
+    e = _process_events(spark, d).withColumns({"ppid": F.expr("pid div 10"), "comm": F.concat(F.lit("c"), "pid")})
+    kind = F.when(F.col("source") == "dns", "dns_query").when(F.col("source") == "network", "connection_opened").when(F.col("source") == "window", "app_focus").otherwise("file_changed")
+    rows = V.obs(spark, d).where("source <> 'process'").select(F.col("obs_seq").alias("seq"), "pid", kind.alias("kind"))
+    r = enrich.enriched(rows, e.where("kind = 'process_birth'"), e.where("kind = 'process_death'"), attrs=["comm"])
+    shown = F.array_join(F.transform("ancestors", lambda x: F.concat_ws(":", x.pid, x.start)), " ")
+    return r.select("seq", "kind", F.col("process.start").alias("start"), shown.alias("ancestors"))
+
+
 @query("with recursive p as (select conv_id, turn from conversations), up as (select c.conv_id, c.turn, 1 as hop, p.turn as ancestor from p c join p on p.conv_id = c.conv_id and p.turn = c.turn - 1 union all select u.conv_id, u.turn, hop + 1, p.turn from up u join p on p.conv_id = u.conv_id and p.turn = u.ancestor - 1) select conv_id, turn, hop, ancestor from up")
 def ancestors_chain(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") + 999).alias("parent"))
@@ -239,6 +254,58 @@ def domain_attribution(spark, d):
     return graph.attributed(graph.domain_tally(V.ev(spark, d)), _lives(spark, d), "first_t").select("domain", F.col("count").alias("n"), "first_t", "process_id")
 
 
+FOLDED = """pb as (select pid, start, max(seq) as bs, arg_max(t, seq) as birth, arg_max(ppid, seq) as ppid from ev where kind = 'process_birth' group by 1, 2), pd as (select pid, start, max(seq) as ds, arg_max(t, seq) as death, arg_max(ppid, seq) as ppid from ev where kind = 'process_death' group by 1, 2),
+pf as (select coalesce(b.pid, x.pid) as pid, coalesce(b.start, x.start) as start, coalesce(b.ppid, x.ppid) as ppid, coalesce(birth, death) as birth, case when bs is null or ds > bs then death end as death from pb b full join pd x on b.pid = x.pid and b.start = x.start),
+af as (select to_bundle as id, min(t) as first_seen, max(nxt) as last_end from (select *, lead(t) over (order by seq) as nxt from ev where kind = 'app_focus') group by 1),
+sc as (select concat_ws('|', proto, local_addr, foreign_addr) as id, * from ev where kind in ('connection_opened', 'connection_closed')),
+so as (select id, max(seq) as s, arg_max(t, seq) as t, arg_max(pid, seq) as pid from sc where kind = 'connection_opened' group by 1), sd as (select id, max(seq) as s, arg_max(t, seq) as t, arg_max(pid, seq) as pid from sc where kind = 'connection_closed' group by 1),
+sf as (select coalesce(o.id, c.id) as id, coalesce(o.pid, c.pid) as pid, coalesce(o.t, c.t) as opened, case when o.id is null or c.s > o.s then c.t end as closed from so o full join sd c on o.id = c.id),
+gn as (select 'process' as kind, concat(pid, ':', start) as id, birth as first_seen, coalesce(death, birth) as last_seen from pf union all select 'app', id, first_seen, coalesce(last_end, first_seen) from af union all select 'socket', id, opened, coalesce(closed, opened) from sf
+  union all select 'file', path, min(t), max(t) from ev where kind = 'file_changed' group by 2 union all select 'domain', domain, min(t), max(t) from ev where kind = 'dns_query' group by 2)"""
+LINKED = """dt as (select pid, domain, count(*) as n, min(t) as first_t from ev where kind = 'dns_query' group by 1, 2),
+ge as (select 'parent_of' as kind, concat(p.pid, ':', p.start) as from_id, concat(c.pid, ':', c.start) as to_id, null::bigint as queries from pf c join (select pid, max(start) as start from pf group by 1) p on p.pid = c.ppid where not (p.pid = c.pid and p.start = c.start)
+  union all select 'opened_socket', arg_max(concat(p.pid, ':', p.start), (p.birth, p.start)), s.id, null from sf s join pf p on p.pid = s.pid and p.birth <= s.opened and s.opened <= coalesce(p.death, s.opened) group by s.id
+  union all select 'queried_domain', arg_max(concat(p.pid, ':', p.start), (p.birth, p.start)), domain, n from dt join pf p on p.pid = dt.pid and p.birth <= first_t and first_t <= coalesce(p.death, first_t) group by dt.pid, domain, n, first_t)"""
+
+
+def _graph(spark, d):
+    """The graph of the history but for overlaps, which frontmost_overlap has."""
+    g = persist.build(V.ev(spark, d))
+    return {k: f for k, f in g.items() if k != "frontmost_during"}
+
+
+@query(with_(V.EV, FOLDED, select="select kind, id, first_seen, last_seen from gn"))
+def store_rows_of_graph(spark, d):
+    return persist.node_rows(_graph(spark, d)).select("kind", "id", "first_seen", "last_seen")
+
+
+@query(with_(V.EV, FOLDED, LINKED, select="select e.kind, from_id, to_id, queries, coalesce(last_seen, 0)::bigint as seen_at from ge e left join gn n on n.id = e.to_id and n.kind = case e.kind when 'parent_of' then 'process' when 'opened_socket' then 'socket' else 'domain' end"))
+def store_edges_of_graph(spark, d):
+    g = _graph(spark, d)
+    return persist.edge_rows(g, persist.node_rows(g)).select("kind", "from_id", "to_id", "queries", "seen_at")
+
+
+@query(with_(V.EV, FOLDED, LINKED, select="""select 'processes' as part, id, first_seen as a, nullif(last_seen, case when (select death from pf where concat(pid, ':', start) = gn.id) is null then last_seen end) as b from gn where kind = 'process' union all select 'sockets', id, first_seen, case when last_seen > first_seen then last_seen end from gn where kind = 'socket'
+union all select 'domains', id, first_seen, last_seen from gn where kind = 'domain' union all select 'files', id, first_seen, last_seen from gn where kind = 'file' union all select 'queried_domain', concat(from_id, ' ', to_id), queries, null from ge where kind = 'queried_domain' union all select kind, concat(from_id, ' ', to_id), null, null from ge where kind <> 'queried_domain'"""))
+def graph_of_store(spark, d):
+    g = _graph(spark, d)
+    n = persist.node_rows(g)
+    back = persist.load(n, persist.edge_rows(g, n))
+    p, s, m, f = back["processes"], back["sockets"], back["domains"], back["files"]
+    none = F.lit(None).cast("long")
+    two = lambda a, b: F.concat_ws(" ", a, b)
+    rows = [
+        (p, "processes", S.process_key("pid", "start"), F.col("birth"), F.col("death")), (s, "sockets", S.socket_key("proto", "local_addr", "foreign_addr"), F.col("opened"), F.col("closed")),
+        (m, "domains", F.col("name"), F.col("first_seen"), F.col("last_seen")), (f, "files", F.col("path"), F.col("first_seen"), F.col("last_seen")),
+        (back["queried_domain"], "queried_domain", two("process_id", "domain"), F.col("count"), none), (back["parent_of"], "parent_of", two("parent_id", "child_id"), none, none), (back["opened_socket"], "opened_socket", two("process_id", "socket_id"), none, none),
+    ]
+    out = None
+    for frame, part, id_, a, b in rows:
+        one = frame.select(F.lit(part).alias("part"), id_.alias("id"), a.alias("a"), b.alias("b"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 CUT = T0 + 15 * DAY
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import urllib.request
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -52,10 +53,41 @@ def prompt(sections: dict[str, DataFrame], header: str = "", instructions: str =
     return "\n".join([*out, instructions] if instructions else out)
 
 
+#: The order in which a window's prompt tells its facts; what is missing or empty is left out.
+SECTIONS = ("event mix", "graph shape", "flags", "novelty", "focus", "processes", "endpoints", "directories", "domains")
+
+
+def window_prompt(facts: dict[str, DataFrame], header: str, instructions: str = "") -> str:
+    """The prompt of a window, its sections in the order of SECTIONS."""
+    unknown = set(facts) - set(SECTIONS)
+    if unknown:
+        raise ValueError(f"no such sections: {sorted(unknown)}")
+    return prompt({s: facts[s] for s in SECTIONS if s in facts}, header, instructions)
+
+
+def bar(title: str, width: int = 60, tty: bool = False, mark: str = "=") -> str:
+    """A title in a bar; in bold on a terminal."""
+    text = f" {title} ".center(width, mark)
+    return f"\033[1m{text}\033[0m" if tty else text
+
+
 class LlmClient(Protocol):
     def generate(self, prompt: str) -> str: ...
 
 
+class Http:
+    """A model served over HTTP: POST /api/generate with model and prompt, the answer in `response`."""
+
+    def __init__(self, url: str, model: str, timeout: float = 300):
+        self.url, self.model, self.timeout = url.rstrip("/"), model, timeout
+
+    def generate(self, prompt: str) -> str:
+        body = json.dumps({"model": self.model, "prompt": prompt, "stream": False}).encode()
+        request = urllib.request.Request(f"{self.url}/api/generate", body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.loads(answer.read())["response"]
+
+
 class Canned:
     """Answers in turn and keeps the prompts; the offline client."""
 

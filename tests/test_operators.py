@@ -231,3 +231,114 @@ def test_functions(spark):
     m = spark.createDataFrame([("DNSServiceQueryRecord START -- qname: <mask.hash: 'x'>, qtype: PTR, flags: 0, interface index: -1, client pid: 17 (gk_3 (x)), name hash: 1f",)], "message string")
     g = m.select(*[c.alias(k) for k, c in S.dns_fields("message").items()]).first().asDict()
     assert g == {"qname": "<mask.hash: 'x'>", "qtype": "PTR", "interface_index": -1, "pid": 17, "client_process_name": "gk_3 (x", "name_hash": "1f", "masked": True}
+
+
+def history(spark):
+    """A small capture of all kinds of events."""
+    return events(spark, [
+        {"kind": "process_birth", "pid": 10, "start": 1, "comm": "sh", "uid": 500, "exec_path": "/bin/sh"}, {"kind": "process_birth", "pid": 100, "start": 2, "comm": "x", "uid": 0, "ppid": 10, "exec_path": "/tmp/x"},
+        {"kind": "app_focus", "to_bundle": "app", "to_name": "App"}, {"kind": "connection_opened", "pid": 100, "proto": "tcp4", "local_addr": "l.1", "foreign_addr": "f.2", "rx": 5, "tx": 6, "process_name": "x"},
+        {"kind": "file_changed", "path": "/a/b/c", "flags": ["m"], "count": 2}, {"kind": "dns_query", "pid": 100, "qname": "e.com.", "qtype": "A", "masked": False},
+        {"kind": "app_focus", "to_bundle": "other", "to_name": "Other"}, {"kind": "connection_closed", "pid": 100, "proto": "tcp4", "local_addr": "l.1", "foreign_addr": "f.2", "rx": 7, "tx": 8, "process_name": "x"}, {"kind": "process_death", "pid": 100, "start": 2, "comm": "x"},
+    ])
+
+
+def test_graph_goes_to_the_store_and_back(spark, tmp_path):
+    from telemill.operators import persist
+
+    g = persist.build(history(spark))
+    s = store.Store(spark, str(tmp_path / "s"))
+    assert {k: v.count() for k, v in s.load_graph().items()} == dict.fromkeys(g, 0)
+    first = s.merge_typed(g)
+    assert first["nodes_inserted"] == 7 and first["edges_inserted"] == g["frontmost_during"].count() + 3
+    s.merge_typed(g)
+    assert values(s.read("edges").where("kind <> 'frontmost_during'"), "kind", "count", "first_seen", "last_seen") == [("opened_socket", 2, 7, 7), ("parent_of", 2, 8, 8), ("queried_domain", 2, 5, 5)]
+    back = s.load_graph()
+    for part in ("processes", "sockets", "files", "domains", "parent_of", "frontmost_during", "opened_socket", "queried_domain"):
+        same = [c for c in back[part].columns if c in g[part].columns]
+        assert values(back[part], *same) == values(g[part], *same), part
+    assert values(back["apps"], "id", "name", "intervals") == values(g["apps"], "id", "name", "intervals")
+    assert values(store.focus_segments(s.read("edges"), s.read("nodes"), 0, 100 * SEC), "app_id", "name")
+    assert [r["pid"] for r in spark.sql("select 'x:7' as id union all select '5' union all select '3:b'").select(persist.process_id("id")[0].alias("pid")).orderBy("pid").collect()] == [0, 3, 5]
+    assert {r["part"]: r["n"] for r in persist.counts(back).collect()}["sockets"] == 1
+    persist.write_json({"processes": g["processes"]}, str(tmp_path / "json"))
+    assert values(persist.read_json(spark, str(tmp_path / "json"), {"processes": g["processes"]})["processes"], "pid", "comm") == values(g["processes"], "pid", "comm")
+
+
+def test_store_survives_crashes(spark, tmp_path):
+    """What a crash leaves behind (files of a version that isn't named, a lock) is neither read nor lost."""
+    s = store.Store(spark, str(tmp_path / "s"))
+    assert s.prune_before(5) == {"nodes": 0, "edges": 0, "events": 0} and s.version() == 0 and s.read("nodes") is None
+    node = "kind string, id string, first_seen long, last_seen long, comm string"
+    edge = "kind string, from_kind string, from_id string, to_kind string, to_id string, seen_at long"
+    nodes, edges = spark.createDataFrame([("process", "1", 1, 9, "a")], node), spark.createDataFrame([("parent_of", "process", "1", "process", "1", 9)], edge)
+    s.merge_graph(nodes, edges)
+    nodes.write.parquet(str(tmp_path / "s" / "version-2" / "nodes"))  # a crash before version 2 is named
+    again = store.Store(spark, str(tmp_path / "s"))
+    assert again.version() == 1 and again.read("nodes").count() == 1
+    for i in range(3):
+        again.merge_graph(nodes, edges)
+    assert again.version() == 4 and again.read("edges").first()["count"] == 4
+    assert sorted(x.name for x in (tmp_path / "s").iterdir() if x.name.startswith("version-")) == ["version-3", "version-4"]
+    with s.lock():
+        with pytest.raises(RuntimeError), again.lock():
+            pass
+    with again.lock():
+        pass
+
+
+def test_enrichment_of_all_kinds_with_ancestors(spark):
+    """The process and its chain as known before an event came out; what comes later, and focus changes, don't count."""
+    births = spark.createDataFrame([(1, 1, 0, 0, "init"), (10, 5, 1, 1, "sh"), (100, 6, 10, 2, "cc"), (100, 9, 10, 20, "new"), (7, 1, 8, 3, "a"), (8, 1, 7, 4, "b")], "pid long, start long, ppid long, emit_seq long, comm string")
+    deaths = spark.createDataFrame([(10, 5, 12)], "pid long, start long, emit_seq long")
+    rows = spark.createDataFrame([(11, 100, "dns_query"), (13, 100, "connection_opened"), (2, 100, "connection_closed"), (21, 100, "connection_completed"), (30, 100, "app_focus"), (31, None, "dns_query"), (32, 99, "dns_query"), (33, 7, "dns_query")], "seq long, pid long, kind string")
+    got = {r["seq"]: (r["process"] and (r["process"]["start"], r["process"]["comm"], r["process"]["alive"]), r["ancestors"] and [(x["pid"], x["comm"]) for x in r["ancestors"]]) for r in enrich.enriched(rows, births, deaths, attrs=["comm"]).collect()}
+    assert got == {11: ((6, "cc", True), [(10, "sh")]), 13: ((6, "cc", True), [(10, "sh")]), 2: (None, None), 21: ((9, "new", True), [(10, "sh")]), 30: (None, None), 31: (None, None), 32: (None, None), 33: ((1, "a", True), [(8, "b")])}
+
+
+def test_narration(spark):
+    from telemill.operators import narrate, persist
+    from telemill.report import bar, window_prompt
+
+    g = persist.build(history(spark))
+    facts = narrate.graph_facts(g)
+    assert values(facts["things"], "part", "n") == [("apps", 2), ("domains", 1), ("files", 1), ("processes", 2), ("sockets", 1)]
+    assert facts["span"].first()["last_t"] == 8 and values(facts["endpoints"], "foreign_addr", "bytes_total", "still_open") == [("f.2", 15, False)]
+    c = narrate.graph_candidates(g["processes"], ("/bin/",), 1)
+    assert values(c, "pid", "reasons") == [(10, "prolific_parent"), (100, "root_under_user,outside_trusted")]
+    assert "parent_comm=sh" in {r["pid"]: r["line"] for r in narrate.candidate_lines(c, g["processes"]).collect()}[100]
+    novel = {"domains": spark.createDataFrame([("e.com", 5 * SEC)], "id string, first_seen long"), "apps": spark.createDataFrame([("a", None, 6 * SEC)], "id string, name string, first_seen long")}
+    assert [r["text"] for r in narrate.novelty_lines(novel, False, 65 * SEC).collect()] == ["new domain e.com, first at unix 5 (1m ago)", "new app a, first at unix 6 (59s ago)"]
+    assert narrate.novelty_lines(novel, True, 0).count() == 1
+    text = window_prompt({"domains": facts["domains"], "processes": facts["processes"]}, "head", "say")
+    assert text.index("## processes") < text.index("## domains") and text.startswith("head") and text.endswith("say")
+    assert bar("x", 9) == "=== x ==="
+
+
+def test_stream_of_events_to_the_store(spark, tmp_path):
+    from telemill.operators import persist
+    from telemill.streaming import capture
+
+    h = history(spark).withColumn("ts_ns", F.col("t"))
+    h.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(h.schema).parquet(str(tmp_path / "in"))
+    s = store.Store(spark, str(tmp_path / "s"))
+    capture.capture(stream, s, str(tmp_path / "ck"), retention_days=0)
+    assert s.read("events").count() == h.count() and {r["part"]: r["n"] for r in persist.counts(s.load_graph()).collect()}["processes"] == 2
+    sink = capture.StoreSink(s, 1, lambda: 10 * 86400 * SEC)
+    sink(h, 0)  # the same batch again
+    assert s.read("events").count() == h.count()
+    assert sink.prune()["events"] == h.count() and sink.prune() is None
+
+
+def test_command_line(spark, tmp_path):
+    from telemill import cli
+    from telemill.operators import persist
+
+    s = store.Store(spark, str(tmp_path / "s"))
+    for command in cli.COMMANDS:  # a store without anything
+        assert cli.answer(s, cli.parse([str(tmp_path / "s"), command]), 100 * SEC).count() >= 0
+    s.merge_typed(persist.build(history(spark)))
+    s.append_events(history(spark).withColumn("ts_ns", F.col("t")))
+    n = {c: cli.answer(s, cli.parse([str(tmp_path / "s"), c]), 100 * SEC).count() for c in cli.COMMANDS if c != "prune"}
+    assert n["processes"] == 2 and n["endpoints"] == 1 and n["events"] == 9 and n["graph"] == 9 and n["candidates"] >= 1 and n["dot"] > 7
