@@ -462,3 +462,16 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
     out = sized_join(sets, firsts.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
     out = sized_join(out, comps.withColumnRenamed("doc", "first"), "first", "left", k)
     return out.select("doc_id", "n_shingles", F.coalesce("c", "first").alias("component_id"))
+
+
+#: All pairs that share a shingle, and what links reach. A shingle's words hold no spaces.
+ORACLE = rf"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as materialized (select doc_id, unnest(case when len(w) >= {WORDS} then list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as materialized (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= {PERCENT} * (x.n + y.n - k)),
+e as materialized (select a, b from l union all select b, a from l),
+c(id, component) using key (id) as (select doc_id, doc_id from documents union (select e.b, min(c.component) from c join e on e.a = c.id join recurring.c r on r.id = e.b where c.component < r.component group by 1))
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component as component_id from documents d left join n using (doc_id) join c on c.id = d.doc_id
+"""

@@ -93,6 +93,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from telemill.llm.lines import ORACLE
+    from telemill.llm import jaccard, lines, warc
 
-    return {"op4_line_dedup": ORACLE}
+    return {"op2_jaccard_join": jaccard.ORACLE, "op3_warc": warc.ORACLE, "op4_line_dedup": lines.ORACLE}

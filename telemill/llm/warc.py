@@ -383,3 +383,12 @@ def archive(pages: DataFrame, least_bytes: int = 0) -> str:
 def read(spark, folder: str, schema: str = FIELDS) -> DataFrame:
     register(spark)
     return spark.read.format("warc").schema(schema).load(folder)
+
+
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {at}, 10))::bigint >> {shift}) & 31) + 1)::int, 1)"
+#: The rows of all pages: digests in base32 by blocks of ten hexadecimal digits.
+ORACLE = f"""
+with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages), f as (select body, min(page_id) as first from p group by 1)
+select page_id, strlen(body)::bigint as payload_bytes, concat({", ".join(_LETTER.format(at=10 * block + 1, shift=5 * (7 - i)) for block in range(4) for i in range(8))}) as payload_digest,
+  case when page_id > first then 'revisit' else 'response' end as record_type, case when page_id > first then first end as refers_to from p join f using (body)
+"""
