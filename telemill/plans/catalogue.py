@@ -749,9 +749,13 @@ def foreign_ports(spark, d):
     return V.ev(spark, d).select("seq", S.foreign_port("foreign_addr").alias("port"))
 
 
-@query(with_(V.EV, "b as (select unnest([1, 2, 4, 8, 16, 32, 64]) as bit, unnest(['must_scan_subdirs', 'user_dropped', 'kernel_dropped', 'ids_wrapped', 'history_done', 'root_changed', 'mount']) as name)", select="select seq, coalesce((select array_to_string(list(name order by bit), ',') from b where (k & bit) <> 0), '') as flags from ev"))
+#: All 23 bits come up.
+MASK = "k * 4194301 % 8388608"
+
+
+@query(with_(V.EV, f"b as (select unnest({list(S.FILE_FLAGS)}) as bit, unnest({list(S.FILE_FLAGS.values())}) as name)", select=f"select seq, coalesce((select array_to_string(list(name order by bit), ',') from b where (({MASK}) & bit) <> 0), '') as flags from ev"))
 def flag_names(spark, d):
-    return V.ev(spark, d).select("seq", F.array_join(S.file_flags("k"), ",").alias("flags"))
+    return V.ev(spark, d).select("seq", F.array_join(S.file_flags(F.expr(MASK)), ",").alias("flags"))
 
 
 @query(with_(V.EV, "s as (select ['CLOSED', 'LISTEN', 'SYN_SENT', 'SYN_RCVD', 'ESTABLISHED', 'CLOSE_WAIT', 'FIN_WAIT_1', 'CLOSING', 'LAST_ACK', 'FIN_WAIT_2', 'TIME_WAIT'] as a)", select="select seq, case when k % 13 < 11 then a[k % 13 + 1] end as state, case when k % 4 = 0 then null else k + pid + 3 end as bytes from ev cross join s"))
@@ -765,6 +769,23 @@ def node_labels(spark, d):
     return e.select("seq", analytics.node_label().alias("label"), S.dot_slug("p_", F.concat_ws("_", "pid", "start")).alias("dot_id"), S.uid_color("uid").alias("color"))
 
 
+@query(with_(V.EV, select="""select 'app' as kind, to_bundle as id, coalesce(to_name, to_bundle) as label from ev where kind = 'app_focus' union select 'socket', concat_ws('|', proto, local_addr, foreign_addr), concat(proto, ' ', foreign_addr) from ev where kind = 'connection_opened'
+union select 'file', path, k::varchar from ev where kind = 'file_changed' union select 'domain', domain, domain from ev where kind = 'dns_query'"""))
+def node_labels_of_things(spark, d):
+    e = V.ev(spark, d)
+    none = F.lit(None).cast("string")
+    parts = [
+        ("app_focus", "app", F.col("to_bundle"), F.col("to_name")), ("connection_opened", "socket", S.socket_key("proto", "local_addr", "foreign_addr"), none), ("file_changed", "file", F.col("path"), none),
+        ("dns_query", "domain", S.domain_id("qname", "masked", "name_hash"), S.domain_id("qname", "masked", "name_hash")),
+    ]
+    out = None
+    for event, kind, id_, name in parts:
+        rows = e.where(F.col("kind") == event).select(F.lit(kind).alias("kind"), id_.alias("id"), name.alias("name"), "pid", none.alias("comm"), "proto", "foreign_addr")
+        one = rows.select("kind", "id", analytics.node_label().alias("label"))
+        out = one if out is None else out.union(one)
+    return out.distinct()
+
+
 @query(with_(V.EV, "d as (select *, case when seq > 2000 then null else concat(' (', case when 2000 - seq < 60 then concat(2000 - seq, 's') when 2000 - seq < 3600 then concat((2000 - seq) // 60, 'm', case when (2000 - seq) % 60 = 0 then '' else concat((2000 - seq) % 60, 's') end) end, ' ago)') end as age from ev)", select="select seq, concat('unix ', seq, age) as text  from d"))
 def fmt_unix(spark, d):
     return V.ev(spark, d).select("seq", S.fmt_unix_ns(F.col("seq") * SECOND, F.lit(2000 * SECOND)).alias("text"))
