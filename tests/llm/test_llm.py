@@ -911,3 +911,30 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for places in held.values():
         assert sum(n for _, n in places) <= 1024 and all(o == sum(n for q, n in places if q < o) for o, _ in places)
     assert len(held) <= -(-sum(w[3] for w in want) // 1024) + 1
+
+
+def test_other_registered_queries(spark, tmp_path):
+    """op1, op2, op7 and op10 as they are registered: their columns, and rows against plain Python."""
+    import public_tokenizers as P
+    import tiktoken
+
+    from telemill.llm import queries as q
+    from telemill.llm.bpe import read_ranks
+
+    rows = [r for r in ROWS if r[0] is not None]
+    documents(spark, rows, False).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = str(tmp_path)
+    one, two, seven, ten = q.op1_best_fit_packing(spark, d), q.op2_jaccard_join(spark, d), q.op7_byte_bpe(spark, d), q.op10_quality_rules(spark, d)
+    assert one.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert one.where("start = 0 and piece = 0").count() == len(rows) and dict(one.dtypes)["piece"] == "int"
+    assert two.columns == ["doc_id", "n_shingles", "component_id"] and sorted(map(tuple, two.collect())) == brute(rows)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(i, len(e.encode_ordinary(t or "")), sha(",".join(map(str, e.encode_ordinary(t or "")))), sha(t or "")) for i, t in rows]
+    assert seven.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and sorted(map(tuple, seven.collect())) == sorted(want)
+    assert ten.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    for r, (i, t) in zip(sorted(ten.collect()), sorted(rows, key=lambda r: (r[0], len(repeats(r[1])[0]))), strict=True):
+        w, n = repeats(t)
+        failed = len(w) < 20 or 100 * n > 30 * len(w)
+        assert (r["doc_id"], r["n_words"], r["n_repeat_words"], r["base_failed"], r["kept"]) == (i, len(w), n, failed, not failed)
