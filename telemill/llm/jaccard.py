@@ -201,12 +201,14 @@ def gathered(sigs: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
     """sig, doc, centre of some rows. The first document here with a hash stands for the others in what follows: they get
     it as their centre, it gets itself, and a lone one null."""
     sig, doc = np.concatenate(sigs), np.concatenate(docs)
-    order = np.argsort(sig, kind="stable")
-    sig, doc = sig[order], doc[order]
-    new = np.concatenate([[True], sig[1:] != sig[:-1]]) | (sig <= SPARSE + MARKS)
-    start = np.flatnonzero(new)
-    size = np.diff(np.concatenate([start, [len(sig)]]))
-    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(doc), pa.array(np.repeat(doc[start], size), mask=np.repeat(size == 1, size))], ["sig", "doc", "centre"])
+    order = np.argsort(sig)
+    s = sig[order]
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]) | (s <= SPARSE + MARKS))
+    size = np.diff(np.concatenate([start, [len(s)]]))
+    lone, centre = np.ones(len(s), bool), np.zeros(len(s), np.int64)
+    lone[order], centre[order] = np.repeat(size == 1, size), np.repeat(doc[order][start], size)
+    # in their own order, in which a document's rows stand together and take less room
+    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(doc), pa.array(centre, mask=lone)], ["sig", "doc", "centre"])
 
 
 def index(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
