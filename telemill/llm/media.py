@@ -34,6 +34,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and the image header chunk.
 HEADER = 33
 LEVEL = 7
+#: Bytes of objects that one task reads.
+TASK = 64 << 20
 
 
 def payload(text: str | None) -> bytes:
@@ -133,7 +135,10 @@ def read(objects: DataFrame, schema: str, use, whole: bool) -> DataFrame:
                 rows.append({"digest": digest} | use(opened.read_at(length if whole else HEADER, offset)))
             yield from pa.Table.from_pylist(rows, pa.schema([("digest", pa.string()), *[(n, pa.string() if " string" in x else pa.int64()) for n, x in zip(names, schema.split(", "), strict=True)]])).to_batches()
 
-    objects = objects.select("digest", "shard", "offset", "length").distinct().repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    objects = objects.select("digest", "shard", "offset", "length").distinct()
+    # addresses are few bytes, what they name isn't: tasks are made by the latter
+    tasks = max(4 * objects.sparkSession.sparkContext.defaultParallelism, (objects.agg(F.sum("length")).first()[0] or 0) // TASK)
+    objects = objects.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
     return objects.mapInArrow(run, "digest string, " + schema)
 
 
