@@ -197,23 +197,9 @@ def fingerprints(docs: DataFrame, n: int = WORDS, key: str = "doc_id", text: str
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, __one long, __two long, __cells binary")
 
 
-def gathered(sigs: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
-    """sig, doc, centre of some rows. The first document here with a hash stands for the others in what follows: they get
-    it as their centre, it gets itself, and a lone one null."""
-    sig, doc = np.concatenate(sigs), np.concatenate(docs)
-    order = np.argsort(sig)
-    s = sig[order]
-    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]) | (s <= SPARSE + MARKS))
-    size = np.diff(np.concatenate([start, [len(s)]]))
-    lone, centre = np.ones(len(s), bool), np.zeros(len(s), np.int64)
-    lone[order], centre[order] = np.repeat(size == 1, size), np.repeat(doc[order][start], size)
-    # in their own order, in which a document's rows stand together and take less room
-    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(doc), pa.array(centre, mask=lone)], ["sig", "doc", "centre"])
-
-
 def index(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
-    """sig, doc, centre (see gathered()): the content hash of every segment of docs (doc, text) that isn't empty, and a
-    mark (see SPARSE) for each band."""
+    """sig, doc: the content hash of every segment of docs (doc, text) that isn't empty, and a mark (see SPARSE) for
+    each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,53 +211,42 @@ def index(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
                     ids.append(np.full(len(segment) + 1, doc, np.int64))
                     held += len(segment)
                 if held > 300_000:
-                    yield gathered(sigs, ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "doc"])
                     sigs, ids, held = [], [], 0
             if held:
-                yield gathered(sigs, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "doc"])
 
-    return docs.select("doc", "text").mapInArrow(run, "sig long, doc long, centre long")
+    return docs.select("doc", "text").mapInArrow(run, "sig long, doc long")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
     """sig, doc, centre: the rows of hashes that several documents have, with one of these documents, and all marks.
-
-    Of the rows that index() gathered under a centre, only the centre's goes where its hash goes, the others anywhere: so
-    a hash that very many documents have is no large task. Rows of one hash pass by one after the other and are never
-    held together; they are sorted by hash alone, which Spark does digit by digit.
-    """
+    Rows of one hash pass by one after the other and are never held together; they are sorted by hash alone, which Spark
+    does digit by digit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int, bool] | None = None  # hash, document, centre, whether given out
         for b in batches:
-            several = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            sig, doc, centre = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).fill_null(0).to_numpy()
-            own = ~several | (centre == doc)
-            if not own.all():
-                yield b.filter(pa.array(~own))
-                sig, doc, several = sig[own], doc[own], several[own]
+            sig, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
             if not len(sig):
                 continue
             if last:
-                sig, doc, several = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], doc]), np.concatenate([[False], several])
+                sig, doc = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], doc])
             start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             size = np.diff(np.concatenate([start, [len(sig)]]))
-            least = np.minimum.reduceat(doc, start)
-            known = (size > 1) | np.logical_or.reduceat(several, start)
+            centre, known = np.minimum.reduceat(doc, start), size > 1
             if last:
-                least[0] = last[2]
+                centre[0] = last[2]
                 known[0] |= last[3]
             shared = np.repeat(known, size) | (sig <= SPARSE + MARKS)
             out = shared.copy()
             if last and last[3]:
                 out[0] = False
-            last = (int(sig[-1]), int(doc[-1]), int(least[-1]), bool(shared[-1]))
+            last = (int(sig[-1]), int(doc[-1]), int(centre[-1]), bool(shared[-1]))
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(doc[out]), pa.array(np.repeat(least, size)[out])], ["sig", "doc", "centre"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(doc[out]), pa.array(np.repeat(centre, size)[out])], ["sig", "doc", "centre"])
 
-    place = F.when(F.col("centre") != F.col("doc"), F.xxhash64("doc")).otherwise(F.col("sig"))
-    spread = rows.withColumn("place", place).repartition("place").drop("place")
-    return spread.sortWithinPartitions("sig").mapInArrow(run, "sig long, doc long, centre long")
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, doc long, centre long")
 
 
 def possible(pairs: DataFrame, cells: DataFrame, bands: Bands) -> DataFrame:
