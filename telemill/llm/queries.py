@@ -88,11 +88,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.fim import fill_in_middle, restored
+
+    rows = fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    )
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("notices")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from telemill.llm import jaccard, lines, warc
+    from telemill.llm import divergence, fim, jaccard, lines, warc
 
-    return {"op2_jaccard_join": jaccard.ORACLE, "op3_warc": warc.ORACLE, "op4_line_dedup": lines.ORACLE}
+    return {
+        "op2_jaccard_join": jaccard.ORACLE, "op3_warc": warc.ORACLE, "op4_line_dedup": lines.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_fill_in_middle": fim.ORACLE,
+    }
