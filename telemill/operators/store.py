@@ -2,25 +2,27 @@
 
 Merges follow fixed rules: of a node (kind, id) the attributes come from the newer row, first_seen is the least and
 last_seen the greatest; of an edge (kind, from, to) count grows by each row merged, last_seen is the greatest, and
-first_seen stays as it was. A merge writes a new version and then names it, so that readers see the old version or the
-new one.
+first_seen stays as it was. Changes are written as a new version, which one file then names, so that readers see the old
+version or the new one.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
+from collections import Counter
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from telemill.functions.scalars import HOUR, SECOND, past
-from telemill.plans.lineage import written
+from telemill.functions.scalars import DAY, HOUR, SECOND, past
+from telemill.plans.lineage import drop_written, written
 
 NODE_KEY, EDGE_KEY = ["kind", "id"], ["kind", "from_kind", "from_id", "to_kind", "to_id"]
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 CAP = 20
 
 
@@ -181,24 +183,160 @@ def daemon_status(pid, heartbeat_ns, now_ns, stale_ns: int = 120 * SECOND):
     return F.when(heartbeat_ns.isNull(), "never ran").when(pid.isNull(), "stopped cleanly").when(past(now_ns, heartbeat_ns) > stale_ns, "stale").otherwise("alive")
 
 
+#: Tables that are dealt into buckets, by the hash of their keys.
+KEYS = {"nodes": NODE_KEY, "edges": EDGE_KEY}
+
+
+class Transaction:
+    """Changes of a store that come into being together, or not at all.
+
+    Tables are written to the folder of the version to come; commit() names it by creating one file, which holds the
+    folders of all tables, their schemas and bounds, and the metadata. Whatever stops before that leaves files that no
+    version names. read() sees what the transaction has written.
+    """
+
+    def __init__(self, store: Store):
+        self.store, self.version = store, store.version() + 1
+        self.about = store._about(self.version - 1)
+        self.meta: dict[str, str] = self.about.setdefault("meta", {})
+        self.tables: dict[str, dict] = self.about.setdefault("tables", {})
+
+    def read(self, table: str, buckets: list[int] | None = None, since: int | None = None, until: int | None = None) -> DataFrame | None:
+        """A table, or some of its buckets, or its parts that may hold times from since to until; None if there is none."""
+        about = self.tables.get(table)
+        if about is None:
+            return None
+        if "parts" in about:
+            folders = [p["folder"] for p in about["parts"] if (since is None or p["high"] >= since) and (until is None or p["low"] <= until)]
+        else:
+            folders = [f for b, f in about["buckets"].items() if buckets is None or int(b) in buckets]
+        schema, spark = StructType.fromJson(about["schema"]), self.store.spark
+        return spark.read.schema(schema).parquet(*[f"{self.store.path}/{f}" for f in folders]) if folders else spark.createDataFrame([], schema)
+
+    def _folder(self, table: str) -> str:
+        """Where the table's files of this version go, a new folder each time."""
+        return f"version-{self.version}/{table}-{uuid.uuid4().hex[:8]}"
+
+    def put(self, table: str, frame: DataFrame, keys: list[str], buckets: list[int] | None = None) -> None:
+        """Replace the whole table, or these buckets of it, by the rows of frame (that belong there)."""
+        about = self.tables.setdefault(table, {"buckets": {}})
+        about["schema"], folder = json.loads(frame.schema.json()), self._folder(table)
+        rows = frame.withColumn("__bucket", self.store.bucket(keys))
+        if buckets is not None:
+            rows = rows.where(F.col("__bucket").isin(buckets))
+        rows.repartition("__bucket").sortWithinPartitions("__bucket", *keys).write.partitionBy("__bucket").parquet(f"{self.store.path}/{folder}")
+        there = {int(n.split("=")[1]): f"{folder}/{n}" for n in self.store._names(folder) if "=" in n}
+        for b in [int(x) for x in about["buckets"]] if buckets is None else buckets:
+            about["buckets"].pop(str(b), None)
+        about["buckets"].update({str(b): f for b, f in there.items()})
+        about["prints"] = {b: x for b, x in about.get("prints", {}).items() if buckets is not None and int(b) not in buckets}
+
+    def declare(self, table: str, frame: DataFrame) -> None:
+        """Have a table of this schema, empty if there is none."""
+        self.tables.setdefault(table, {"schema": json.loads(frame.schema.json()), "buckets": {}})
+
+    def put_changed(self, table: str, frame: DataFrame, keys: list[str]) -> list[int]:
+        """Make the table equal to frame, writing only buckets whose rows differ, by two 64-bit fingerprints and the count
+        of each; which. frame is read twice."""
+        whole = [F.to_json(F.struct(*frame.columns))]
+        prints = [F.bit_xor(F.xxhash64(*whole)), F.bit_xor(F.xxhash64(F.lit(1), *whole)), F.count(F.lit(1))]
+        now = {str(r[0]): ":".join(str(x) for x in r[1:]) for r in frame.groupBy(self.store.bucket(keys)).agg(*prints).collect()}  # a row a bucket
+        self.declare(table, frame)
+        about = self.tables[table]
+        was = about.get("prints", {})
+        changed = sorted(int(b) for b in {*now, *about["buckets"]} if b not in now or now[b] != was.get(b))
+        if changed:
+            self.put(table, frame, keys, changed)
+        about["prints"] = now
+        return changed
+
+    def fold(self, table: str, frame: DataFrame, keys: list[str], merged) -> None:
+        """Combine rows with those of the table that lie in the same buckets: merged(old or None, new)."""
+        touched = [r[0] for r in frame.select(self.store.bucket(keys).alias("b")).distinct().collect()]  # at most as many as buckets
+        if touched:
+            self.put(table, merged(self.read(table, touched), frame), keys, touched)
+
+    def append(self, table: str, frame: DataFrame, time_column: str = "ts_ns") -> int:
+        """Add rows as new parts, a part a day, with the bounds of their times. A day of FAN parts becomes one."""
+        about = self.tables.get(table)
+        if about is not None:
+            names = [f["name"] for f in about["schema"]["fields"]]
+            frame = frame.select(*names, *[c for c in frame.columns if c not in names])
+            about["schema"] = json.loads(frame.schema.json())
+        about = self.tables.setdefault(table, {"schema": json.loads(frame.schema.json()), "parts": []})
+        fresh = self._parts(table, frame, time_column)
+        about["parts"] += fresh
+        days = Counter(p["day"] for p in about["parts"])
+        full = [d for d, n in days.items() if n >= self.store.FAN]
+        if full:
+            old = [p for p in about["parts"] if p["day"] in full]
+            whole = self.store.spark.read.schema(frame.schema).parquet(*[f"{self.store.path}/{p['folder']}" for p in old])
+            about["parts"] = [p for p in about["parts"] if p["day"] not in full] + self._parts(table, whole, time_column)
+        return sum(p["rows"] for p in fresh)
+
+    def _parts(self, table: str, frame: DataFrame, time_column: str) -> list[dict]:
+        folder = self._folder(table)
+        rows = frame.withColumn("__day", F.expr(f"{time_column} div {DAY}"))
+        rows.sortWithinPartitions("__day", *[c for c in ("kind", time_column) if c in frame.columns]).write.partitionBy("__day").parquet(f"{self.store.path}/{folder}")
+        back = self.store.spark.read.schema(StructType([*frame.schema.fields, StructField("__day", LongType())])).parquet(f"{self.store.path}/{folder}")
+        bounds = back.groupBy("__day").agg(F.min(time_column), F.max(time_column), F.count(F.lit(1))).collect()  # a row a day
+        of = lambda d: "__HIVE_DEFAULT_PARTITION__" if d is None else d
+        return [{"folder": f"{folder}/__day={of(d)}", "day": d, "low": lo or 0, "high": hi or 0, "rows": n} for d, lo, hi, n in bounds]
+
+    def cut(self, table: str, cutoff: int, time_column: str = "ts_ns") -> int:
+        """Drop rows before the cutoff: parts that end before it unread, those that begin before it rewritten; how many."""
+        about = self.tables.get(table)
+        if about is None:
+            return 0
+        split = [p for p in about["parts"] if p["low"] < cutoff <= p["high"]]
+        kept = [p for p in about["parts"] if p["low"] >= cutoff]
+        if split:
+            rows = self.store.spark.read.schema(StructType.fromJson(about["schema"])).parquet(*[f"{self.store.path}/{p['folder']}" for p in split])
+            kept += self._parts(table, rows.where(F.col(time_column) >= cutoff), time_column)
+        gone = sum(p["rows"] for p in about["parts"]) - sum(p["rows"] for p in kept)
+        about["parts"] = kept
+        return gone
+
+    def drop(self, *tables: str) -> None:
+        for t in tables:
+            self.tables.pop(t, None)
+
+    def commit(self) -> int:
+        """Name the version; an error if another writer has."""
+        if not self.store._put(f"versions/{self.version}", json.dumps(self.about), over=False):
+            raise RuntimeError(f"version {self.version} was written by another writer")
+        self.store._clear()
+        return self.version
+
+
 class Store:
-    """Tables in a folder: nodes, edges and events as version-<n>/<table>, and meta.json.
+    """Tables in a folder: nodes and edges in buckets of their keys, events in parts by day, and metadata.
 
-    A version is named by an empty file in `versions`, written when its tables are: the highest one counts. So a crash at
-    any point leaves the version before, and nothing is deleted before what takes its place is named. Versions other than
-    the newest KEPT are removed afterwards. Merging rewrites nodes and edges; appending events adds files to the folder that
-    the version names for them. There is one writer at a time: see lock().
+    A version is one small file in `versions` that names the folders of all tables and holds the metadata: the highest
+    one counts. It is created, whole, after its tables are written (see Transaction), so that a crash at any point leaves
+    the version before. A new version names the folders of the one before wherever nothing has changed: a merge writes
+    the buckets that its keys lie in, new events are new parts. Versions other than the newest KEPT are removed, with the
+    folders that only they name. There is one writer at a time: see lock().
     """
 
-    KEPT = 2
+    KEPT, BUCKETS, FAN, STALE_NS = 2, 16, 16, 120 * SECOND
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """buckets: of a new store; as many as a task each can hold a share of the nodes."""
         self.spark, self.path = spark, path.rstrip("/")
-        found = self.get_meta("schema_version")
-        if found is not None and int(found) > SCHEMA_VERSION:
-            raise ValueError(f"the store has schema version {found}, newer than {SCHEMA_VERSION}")
-        if found is None:
-            self._put("meta.json", json.dumps({"schema_version": str(SCHEMA_VERSION)}))
+        found = json.loads(self._get("meta.json") or "{}")
+        version = int(found.get("schema_version", SCHEMA_VERSION))
+        if version > SCHEMA_VERSION:
+            raise ValueError(f"the store has schema version {version}, newer than {SCHEMA_VERSION}")
+        if version < SCHEMA_VERSION:
+            raise ValueError(f"the store has schema version {version}; this library writes {SCHEMA_VERSION} and reads no older one")
+        if not found:
+            found = {"schema_version": str(SCHEMA_VERSION), "buckets": buckets or self.BUCKETS}
+            self._put("meta.json", json.dumps(found))
+        self.buckets = int(found["buckets"])
+
+    def bucket(self, keys: list[str]):
+        return F.expr(f"cast(pmod(xxhash64({', '.join(f'`{k}`' for k in keys)}), {self.buckets}) as int)")
 
     def _fs(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -215,89 +353,142 @@ class Store:
             stream.close()
 
     def _put(self, name: str, text: str, over: bool = True) -> bool:
-        """Write a small file; without over, only if there is none yet."""
+        """Write a small file; without over, only if there is none yet. It is written under another name first, so that
+        it is there whole or not at all."""
         fs, p = self._fs(name)
-        try:
-            out = fs.create(p, over)
-        except Exception:  # the file system's own error
-            if over or not fs.exists(p):
-                raise
+        if not over and fs.exists(p):
             return False
+        _, draft = self._fs(f"drafts/{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
         out.write(bytearray(text.encode()))
         out.close()
-        return True
+        fs.mkdirs(p.getParent())
+        if over:
+            fs.delete(p, False)
+        done = fs.rename(draft, p)
+        if not done:
+            fs.delete(draft, False)
+            if over or not fs.exists(p):
+                raise OSError(f"{self.path}/{name} can't be written")
+        return done
+
+    def _delete(self, name: str, whole: bool = False) -> None:
+        fs, p = self._fs(name)
+        fs.delete(p, whole)
+
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(folder)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _versions(self) -> list[int]:
+        return sorted(int(x) for x in self._names("versions") if x.isdigit())
+
+    def version(self) -> int:
+        return max(self._versions(), default=0)
+
+    def _about(self, v: int) -> dict:
+        """What a version names: tables and meta."""
+        return json.loads(self._get(f"versions/{v}")) if v else {}
+
+    def begin(self) -> Transaction:
+        return Transaction(self)
 
     def get_meta(self, key: str) -> str | None:
-        return json.loads(self._get("meta.json") or "{}").get(key)
+        if key == "schema_version":
+            return str(SCHEMA_VERSION)
+        return self._about(self.version()).get("meta", {}).get(key)
 
     def set_meta(self, key: str, value: str | None) -> None:
         if key == "schema_version":
             raise ValueError("schema_version can't be set")
-        meta = json.loads(self._get("meta.json") or "{}")
-        meta.pop(key, None) if value is None else meta.update({key: value})
-        self._put("meta.json", json.dumps(meta))
+        tx = self.begin()
+        tx.meta.pop(key, None) if value is None else tx.meta.update({key: value})
+        tx.commit()
 
     @contextmanager
     def lock(self):
-        """Hold the store for writing; an error if another does."""
-        if not self._put("LOCK", str(time.time_ns()), over=False):
+        """Hold the store for writing; an error if another does. A lock whose holder hasn't shown itself for STALE_NS (see
+        beat()) was left by a crash and is taken over; should its holder live after all, the version file that both would
+        create goes to one of them."""
+        held = self._get("LOCK")
+        if held is not None and time.time_ns() - int(held.split()[0]) > self.STALE_NS:
+            self._delete("LOCK")
+        self.owner = uuid.uuid4().hex
+        if not self._put("LOCK", f"{time.time_ns()} {self.owner}", over=False):
             raise RuntimeError(f"{self.path} is held by another writer (LOCK)")
         try:
             yield self
         finally:
-            fs, p = self._fs("LOCK")
-            fs.delete(p, False)
-
-    def _versions(self) -> list[int]:
-        fs, p = self._fs("versions")
-        return sorted(int(x.getPath().getName()) for x in fs.listStatus(p)) if fs.exists(p) else []
-
-    def version(self) -> int:
-        return max(self._versions(), default=0)
-
-    def _about(self, v: int) -> dict:
-        """The folder and schema of each table of a version."""
-        return json.loads(self._get(f"versions/{v}")) if v else {}
-
-    def read(self, table: str) -> DataFrame | None:
-        about = self._about(self.version()).get(table)
-        if about is None:
-            return None
-        return self.spark.read.schema(StructType.fromJson(about["schema"])).parquet(f"{self.path}/{about['folder']}")  # an empty table has no files to tell it
-
-    def _write(self, tables: dict[str, DataFrame]) -> None:
-        v = self.version()
-        about = self._about(v)
-        for table, frame in tables.items():
-            parts = [c for c in ("date", "kind") if c in frame.columns and (c == "kind" or table == "events")]
-            folder = f"version-{v + 1}/{table}"
-            frame.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.path}/{folder}")
-            about[table] = {"folder": folder, "schema": json.loads(frame.schema.json())}
-        if not self._put(f"versions/{v + 1}", json.dumps(about), over=False):
-            raise RuntimeError(f"version {v + 1} was written by another writer")
-        self._clear()
+            if (self._get("LOCK") or "").endswith(self.owner):
+                self._delete("LOCK")
+
+    def beat(self) -> None:
+        """Show that the holder of the lock lives; an error if it was taken over."""
+        owner = getattr(self, "owner", None)
+        if owner is not None and (held := self._get("LOCK")) is not None:
+            if not held.endswith(owner):
+                raise RuntimeError(f"the lock of {self.path} was taken over")
+            self._put("LOCK", f"{time.time_ns()} {owner}")
+
+    def read(self, table: str, since: int | None = None, until: int | None = None) -> DataFrame | None:
+        """A table; of events, only the parts that may hold times from since to until."""
+        return self.begin().read(table, since=since, until=until)
+
+    def events_in_window(self, start: int, end: int, kinds: list[str] | None = None, n: int | None = None) -> DataFrame | None:
+        """events_in_window() over the parts whose bounds meet the window; no other file is opened."""
+        e = self.read("events", start, end)
+        return None if e is None else events_in_window(e, start, end, kinds, n)
 
     def _clear(self) -> None:
         """Remove versions but the newest ones, and folders that these don't name."""
-        kept = self._versions()[-self.KEPT :]
-        named = {t["folder"].split("/")[0] for v in kept for t in self._about(v).values()}
-        for v in self._versions()[: -self.KEPT]:
-            fs, p = self._fs(f"versions/{v}")
-            fs.delete(p, False)
-        fs, top = self._fs(".")
-        for x in fs.listStatus(top):
-            name = x.getPath().getName()
-            if name.startswith("version-") and name not in named:
-                fs.delete(x.getPath(), True)
+        versions = self._versions()
+        named = set()
+        for v in versions[-self.KEPT :]:
+            for t in self._about(v).get("tables", {}).values():
+                named |= {f for f in t.get("buckets", {}).values()} | {p["folder"] for p in t.get("parts", [])}
+        for v in versions[: -self.KEPT]:
+            self._delete(f"versions/{v}")
+        for top in self._names("."):
+            if top.startswith("version-"):
+                live = {f for f in named if f.startswith(top + "/")}
+                if not live:
+                    self._delete(top, True)
+                    continue
+                for table in self._names(top):
+                    inside = {f.split("/")[2] for f in live if f.split("/")[1] == table}
+                    if not inside:
+                        self._delete(f"{top}/{table}", True)
+                        continue
+                    for part in self._names(f"{top}/{table}"):
+                        if "=" in part and part not in inside:
+                            self._delete(f"{top}/{table}/{part}", True)
 
     def merge_graph(self, nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
-        """Merge nodes and edges (with seen_at); how many were inserted and updated."""
-        old_n, old_e = self.read("nodes"), self.read("edges")
+        """Merge nodes and edges (with seen_at), writing only buckets with keys of theirs; how many were inserted and
+        updated. What a capture has folded so far becomes part of what is merged with."""
+        tx, seen = self.begin(), {}
+        nodes, edges = written(nodes, "new-nodes"), written(edges, "new-edges")
         none = edges.limit(0).select(*EDGE_KEY, F.lit(0).cast("long").alias("count"), F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"), *[c for c in edges.columns if c not in (*EDGE_KEY, "seen_at", "count", "first_seen", "last_seen")])
-        n = written(merge_nodes(old_n if old_n is not None else nodes.limit(0), nodes), "merged")
-        e = written(merge_edges(old_e if old_e is not None else none, edges), "merged")
-        seen = {f"{t}_{r['how']}": r["count"] for t, f in (("nodes", n), ("edges", e)) for r in f.groupBy("how").count().collect()}
-        self._write({"nodes": n.drop("how"), "edges": e.drop("how")})
+
+        def by(table: str, rule, empty: DataFrame):
+            def merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
+                rows = written(rule(old if old is not None else empty, new), "merged")
+                seen.update({f"{table}_{r['how']}": r["count"] for r in rows.where("how <> 'kept'").groupBy("how").count().collect()})
+                scratch.append(rows)
+                return rows.drop("how")
+
+            return merged
+
+        scratch = [nodes, edges]
+        tx.fold("nodes", nodes, NODE_KEY, by("nodes", merge_nodes, nodes.limit(0)))
+        tx.fold("edges", edges, EDGE_KEY, by("edges", merge_edges, none))
+        for t, empty in (("nodes", nodes.limit(0)), ("edges", none)):
+            if t not in tx.tables:
+                tx.put(t, empty, KEYS[t])
+        tx.drop(*[t for t in tx.tables if t.startswith(("fold_", "base_"))])
+        tx.commit()
+        for rows in scratch:
+            drop_written(rows)
         return seen
 
     def merge_typed(self, graph: dict[str, DataFrame]) -> dict[str, int]:
@@ -321,23 +512,30 @@ class Store:
         return load(nodes, edges)
 
     def append_events(self, events: DataFrame) -> int:
-        """Add events (with ts_ns and kind)."""
-        e = written(events.withColumn("date", F.to_date(F.timestamp_micros(F.expr("ts_ns div 1000")))), "new-events")
-        about = self._about(self.version()).get("events")
-        if about is None:
-            self._write({"events": e})
-        else:
-            e.select(*[f.name for f in StructType.fromJson(about["schema"])]).write.mode("append").partitionBy("date", "kind").parquet(f"{self.path}/{about['folder']}")
-        return e.count()
+        """Add events (with ts_ns and kind); how many."""
+        tx = self.begin()
+        n = tx.append("events", events)
+        tx.commit()
+        return n
 
-    def prune_before(self, cutoff: int) -> dict[str, int]:
+    def prune_before(self, cutoff: int, meta: dict[str, str] | None = None) -> dict[str, int]:
         """Drop what is older than the cutoff; counts of what went. A store without a table has nothing of it to prune."""
-        n, e, v = self.read("nodes"), self.read("edges"), self.read("events")
-        long = lambda text: self.spark.createDataFrame([], text)
+        from telemill.operators.fold import trim
+
+        tx = self.begin()
+        n, e = tx.read("nodes"), tx.read("edges")
         empty_n, empty_e, empty_v = "kind string, id string, last_seen long", "kind string, from_kind string, from_id string, to_kind string, to_id string, last_seen long", "kind string, ts_ns long"
-        out = prune(n if n is not None else long(empty_n), e if e is not None else long(empty_e), v if v is not None else long(empty_v), cutoff)
-        report = out["report"].first().asDict()
-        have = {t: out[t] for t, f in (("nodes", n), ("edges", e), ("events", v)) if f is not None}
-        if have and any(report.values()):
-            self._write(have)
+        none = lambda text: self.spark.createDataFrame([], text)
+        out = prune(n if n is not None else none(empty_n), e if e is not None else none(empty_e), none(empty_v), cutoff)
+        report = out["report"].first().asDict() | {"events": tx.cut("events", cutoff)}
+        if any(report.values()):
+            for t, had in (("nodes", n), ("edges", e)):
+                if had is not None:
+                    rows = written(out[t], "kept")
+                    tx.put_changed(t, rows, KEYS[t])
+                    drop_written(rows)
+            trim(tx, cutoff)
+        if any(report.values()) or meta:
+            tx.meta.update(meta or {})
+            tx.commit()
         return report
