@@ -43,32 +43,32 @@ def enriched(events: DataFrame, births: DataFrame, deaths: DataFrame, key: str =
     """All events (key, pid, kind) with process (pid, start, alive and attrs) and ancestors (an array of pid, start and
     attrs, parent first), as they were known before the event came out; both null where no process is known.
 
-    births need ppid and attrs. Each hop up is one as-of join of the events whose chain goes on: it ends at pids up to
+    Events of one key may have different pids. births need ppid and attrs. Each hop up is one as-of join of the events whose chain goes on: it ends at pids up to
     stop_at, at unknown parents, where a pid would come again, and after depth hops.
     """
     attrs = list(attrs)
-    mine = events.where(F.col("kind").isin(*ENRICHED) & F.col("pid").isNotNull()).select(F.col(key).alias("__k"), "pid").distinct()
+    mine = events.where(F.col("kind").isin(*ENRICHED) & F.col("pid").isNotNull()).select(F.col(key).alias("__k"), "pid", F.col("pid").alias("__p")).distinct()
     found = written(as_of(mine, births, deaths, "__k", ["ppid", *attrs]).where("start is not null"), "hop")
     one = F.struct("pid", "start", *attrs)
-    now = found.select("__k", F.col("ppid").alias("pid"), F.array("pid").alias("path"))
+    now = found.select("__k", "__p", F.col("ppid").alias("pid"), F.array("pid").alias("path"))
     chain = None
     for hop in range(1, depth + 1):
         now = now.where((F.col("pid") > stop_at) & ~F.array_contains("path", F.col("pid")))
         step = written(as_of(now, births, deaths, "__k", ["ppid", *attrs]).where("start is not null"), "hop")
         if step.isEmpty():
             break
-        rows = step.select("__k", F.lit(hop).alias("hop"), one.alias("process"))
+        rows = step.select("__k", "__p", F.lit(hop).alias("hop"), one.alias("process"))
         chain = rows if chain is None else chain.union(rows)
-        now = step.select("__k", F.col("ppid").alias("pid"), F.concat("path", F.array("pid")).alias("path"))
-    known = found.select("__k", F.struct("pid", "start", "alive", *attrs).alias("process"), F.array().cast(f"array<{found.select(one.alias('x')).schema['x'].dataType.simpleString()}>").alias("none"))
+        now = step.select("__k", "__p", F.col("ppid").alias("pid"), F.concat("path", F.array("pid")).alias("path"))
+    known = found.select("__k", "__p", F.struct("pid", "start", "alive", *attrs).alias("process"), F.array().cast(f"array<{found.select(one.alias('x')).schema['x'].dataType.simpleString()}>").alias("none"))
     if chain is None:
         known = known.withColumnRenamed("none", "ancestors")
     else:
-        up = chain.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("hop", "process"))).alias("up"))  # depth rows at most
-        known = known.join(up, "__k", "left").select("__k", "process", F.coalesce(F.col("up.process"), "none").alias("ancestors"))
-    own = known.withColumnRenamed("__k", key)
+        up = chain.groupBy("__k", "__p").agg(F.array_sort(F.collect_list(F.struct("hop", "process"))).alias("up"))  # depth rows at most
+        known = known.join(up, ["__k", "__p"], "left").select("__k", "__p", "process", F.coalesce(F.col("up.process"), "none").alias("ancestors"))
+    own = known.withColumnsRenamed({"__k": key, "__p": "pid"})
     plain = ~F.col("kind").isin(*ENRICHED)
-    out = events.join(own, key, "left")
+    out = events.join(own, [key, "pid"], "left")
     return out.withColumns({c: F.when(~plain, F.col(c)) for c in ("process", "ancestors")})
 
 

@@ -6,11 +6,13 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telemill.functions.scalars import DAY, HOUR
 from telemill.operators.fold import absorb, refresh
 from telemill.operators.store import Store, Transaction
+from telemill.streaming.reconstruct import reconstruct
 
 # How often sources are polled, in ms, and how long events are kept.
 CADENCES = {"process": 1000, "network": 1000, "window": 500, "system": 5000}
@@ -95,3 +97,9 @@ def capture(events: DataFrame, store: Store, checkpoint: str, seconds: float | N
         finally:
             query.stop()
         sink.finish()
+
+
+def capture_observations(obs: DataFrame, store: Store, checkpoint: str, seconds: float | None = None, every: str = "10 seconds", retention_days: int = RETENTION_DAYS, graph_every_ns: int = 0, **how) -> None:
+    """From observations of one machine (see streaming.reconstruct, which takes `how`) to the store, all stages as one stream."""
+    events = reconstruct(obs, **how).withColumn("ts_ns", F.col("t"))
+    capture(events, store, checkpoint, seconds, every, retention_days, graph_every_ns)
