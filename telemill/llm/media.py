@@ -133,17 +133,19 @@ def read(objects: DataFrame, schema: str, use, whole: bool) -> DataFrame:
                     disk, inner = locate(shard)
                     name, opened = shard, disk.open_input_file(inner)
                 rows.append({"digest": digest} | use(opened.read_at(length if whole else HEADER, offset)))
-            yield from pa.Table.from_pylist(rows, pa.schema([("digest", pa.string()), *[(n, pa.string() if " string" in x else pa.int64()) for n, x in zip(names, schema.split(", "), strict=True)]])).to_batches()
+            yield from pa.Table.from_pylist(rows, pa.schema([("digest", pa.binary()), *[(n, pa.string() if " string" in x else pa.int64()) for n, x in zip(names, schema.split(", "), strict=True)]])).to_batches()
 
-    objects = objects.select("digest", "shard", "offset", "length").distinct()
+    objects = objects.select(F.unhex("digest").alias("digest"), "shard", "offset", "length").distinct()  # half as many bytes to shuffle
     # addresses are few bytes, what they name isn't: tasks are made by the latter
     tasks = max(4 * objects.sparkSession.sparkContext.defaultParallelism, (objects.agg(F.sum("length")).first()[0] or 0) // TASK)
     objects = objects.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
-    return objects.mapInArrow(run, "digest string, " + schema)
+    return objects.mapInArrow(run, "digest binary, " + schema)
 
 
 def _with(rows: DataFrame, found: DataFrame) -> DataFrame:
-    return sized_join(rows, written(found, "media-columns"), "digest")
+    """rows (digest in hexadecimal) with the columns of found (digest in bytes, as which both are shuffled)."""
+    both = sized_join(rows.withColumn("digest", F.unhex("digest")), written(found, "media-columns"), "digest")
+    return both.withColumn("digest", F.lower(F.hex("digest")))
 
 
 def with_metadata(rows: DataFrame, objects: DataFrame | None = None) -> DataFrame:
