@@ -70,7 +70,7 @@ def combined(part: str, old: DataFrame | None, new: DataFrame) -> DataFrame:
     return both.groupBy(*keys).agg(*[_RULE[r](c).alias(c) for c, r in rules.items()]) if rules else both.distinct()
 
 
-def graph(state: dict[str, DataFrame], bucket_ns: int = G.HOUR) -> dict[str, DataFrame]:
+def graph(state: dict[str, DataFrame], per_range: int = G.RANGE) -> dict[str, DataFrame]:
     """The typed graph of a state: see persist.build()."""
     b, d = F.col("birth"), F.col("death")
     died = b.isNull() | (d["seq"] > b["seq"])
@@ -99,7 +99,7 @@ def graph(state: dict[str, DataFrame], bucket_ns: int = G.HOUR) -> dict[str, Dat
     apps = spans.groupBy("app").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("intervals")).join(names, "app", "left")
     asked = G.attributed(state["tally"], p, "first_t")
     return {
-        "processes": p, "apps": apps.withColumnRenamed("app", "id"), "sockets": sockets, "files": files, "domains": domains, "parent_of": G.parent_edges(p), "frontmost_during": G.frontmost_edges(spans, p, bucket_ns),
+        "processes": p, "apps": apps.withColumnRenamed("app", "id"), "sockets": sockets, "files": files, "domains": domains, "parent_of": G.parent_edges(p), "frontmost_during": G.frontmost_edges(spans, p, per_range),
         "opened_socket": G.attributed(at_open, p, "t").select("process_id", "socket_id"), "queried_domain": asked.select("process_id", "domain", "count"),
     }
 
@@ -123,11 +123,11 @@ def absorb(tx, events: DataFrame) -> None:
             tx.put(name, combined(part, tx.read(name, buckets), rows), TABLES[part][0], buckets)
 
 
-def refresh(tx, bucket_ns: int = G.HOUR) -> dict[str, list[int]]:
+def refresh(tx, per_range: int = G.RANGE) -> dict[str, list[int]]:
     """Make a store's nodes and edges those of its state, merged with what it had before; which buckets have changed."""
     from telemill.operators.store import KEYS, merge_edges, merge_nodes, prune
 
-    g = graph({p: tx.read(table_name(p)) for p in TABLES}, bucket_ns)
+    g = graph({p: tx.read(table_name(p)) for p in TABLES}, per_range)
     rows = persist.node_rows(g)
     base = {t: tx.read(f"base_{t}") for t in ("nodes", "edges")}
     cutoff = int(tx.meta.get("pruned_before", 0))

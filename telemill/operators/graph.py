@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.scalars import DAY, HOUR, domain_id, process_key, socket_key
+from telemill.functions.scalars import DAY, domain_id, process_key, socket_key
+from telemill.operators.overlaps import OPEN, RANGE, overlaps
 from telemill.operators.ticks import neighbours, running
 
-OPEN = (1 << 63) - 1
-
 
 def process_nodes(events: DataFrame) -> DataFrame:
     """pid, start, attributes, birth, death: the last birth of an identity, and the last death behind it; a death
@@ -81,19 +80,14 @@ def parent_edges(processes: DataFrame) -> DataFrame:
     return processes.where("ppid is not null").select("ppid", process_key("pid", "start").alias("child_id")).join(p, "ppid").where("parent_id <> child_id").select("parent_id", "child_id")
 
 
-def frontmost_edges(intervals: DataFrame, processes: DataFrame, bucket_ns: int = HOUR, end: Column | None = None) -> DataFrame:
-    """app, process_id, from, to: overlaps of intervals and lifetimes. Both are cut by buckets of time and meet by bucket;
-    an overlap counts in the bucket in which it begins. Long ones take a row for each bucket, so bucket_ns should be near
-    the usual length of intervals."""
-    stop = F.coalesce(end, F.lit(OPEN)) if end is not None else F.lit(OPEN)
-    top = intervals.agg(F.max(F.greatest("from", F.coalesce("to", F.lit(0)))).alias("m")).crossJoin(processes.agg(F.max("birth").alias("n"))).select(F.greatest("m", "n").alias("top"))  # one row each
-    cut = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div {bucket_ns}"), F.greatest(F.expr(f"least({b}, top) div {bucket_ns}"), F.expr(f"{a} div {bucket_ns}"))))
-    i = intervals.crossJoin(F.broadcast(top)).withColumn("__to", F.coalesce("to", stop)).withColumn("bucket", cut("`from`", "__to"))
-    p = processes.crossJoin(F.broadcast(top)).withColumn("__death", F.coalesce("death", F.lit(OPEN))).withColumn("bucket", cut("birth", "__death"))
-    j = i.select("app", "from", "__to", "bucket").join(p.select(process_key("pid", "start").alias("process_id"), "birth", "__death", "bucket"), "bucket")
-    a, b = F.greatest("from", "birth"), F.least("__to", "__death")
-    j = j.withColumns({"f": a, "u": b}).where("f < u").where(F.expr(f"f div {bucket_ns}") == F.col("bucket"))
-    return j.select("app", "process_id", F.col("f").alias("from"), F.when(F.col("u") < OPEN, F.col("u")).alias("to"))
+def frontmost_edges(intervals: DataFrame, processes: DataFrame, per_range: int = RANGE, end: Column | None = None) -> DataFrame:
+    """app, process_id, from, to: overlaps of intervals and lifetimes, by a sweep over ranges of time (see overlaps). An
+    interval without end lasts to `end`, else it is open, as is the overlap of two that are."""
+    stop = F.coalesce("to", end) if end is not None else F.col("to")
+    spans = intervals.select(F.col("app").alias("id"), F.col("from").alias("begin"), stop.alias("end"))
+    lives = processes.select(process_key("pid", "start").alias("id"), F.col("birth").alias("begin"), F.col("death").alias("end"))
+    met = overlaps(spans, lives, per_range)
+    return met.select(F.col("left").alias("app"), F.col("right").alias("process_id"), F.col("begin").alias("from"), F.when(F.col("end") < OPEN, F.col("end")).alias("to"))
 
 
 def attributed(rows: DataFrame, processes: DataFrame, at: str) -> DataFrame:

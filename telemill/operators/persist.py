@@ -30,7 +30,7 @@ EDGE = {"overlap_from": "long", "overlap_to": "long", "queries": "long"}
 ENDS = {"parent_of": ("process", "process"), "frontmost_during": ("app", "process"), "opened_socket": ("process", "socket"), "queried_domain": ("process", "domain")}
 
 
-def build(events: DataFrame, bucket_ns: int = G.HOUR) -> dict[str, DataFrame]:
+def build(events: DataFrame, per_range: int = G.RANGE) -> dict[str, DataFrame]:
     """The graph of an event history."""
     p = G.process_nodes(events)
     spans = G.app_intervals(events)
@@ -43,7 +43,7 @@ def build(events: DataFrame, bucket_ns: int = G.HOUR) -> dict[str, DataFrame]:
     apps = spans.groupBy("app").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("intervals")).join(names, "app", "left")
     return {
         "processes": p, "apps": apps.withColumnRenamed("app", "id"), "sockets": sockets, "files": G.file_nodes(events), "domains": G.domain_nodes(events), "parent_of": G.parent_edges(p),
-        "frontmost_during": G.frontmost_edges(spans, p, bucket_ns), "opened_socket": G.attributed(at_open, p, "t").select("process_id", "socket_id"), "queried_domain": asked.select("process_id", "domain", "count"),
+        "frontmost_during": G.frontmost_edges(spans, p, per_range), "opened_socket": G.attributed(at_open, p, "t").select("process_id", "socket_id"), "queried_domain": asked.select("process_id", "domain", "count"),
     }
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.functions import scalars as S
 from telemill.functions.scalars import DAY, HOUR, SECOND
-from telemill.operators import analytics, baseline, enrich, graph, lifecycle, persist, store, summary, ticks
+from telemill.operators import analytics, baseline, enrich, graph, lifecycle, narrate, persist, store, summary, ticks
 from telemill.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,7 +238,7 @@ def frontmost_overlap(spark, d):
     e = V.ev(spark, d).where(F.col("kind").isin("process_birth", "process_death"))
     spans = e.groupBy("pid", F.col("k").alias("start")).agg(F.min("t").alias("birth"), (F.max("t") + HOUR).alias("death"))
     w = lifecycle.neighbours(V.ev(spark, d).where("kind = 'app_focus'"), ["t"], following=True)
-    return graph.frontmost_edges(w.select(F.col("to_bundle").alias("app"), F.col("t").alias("from"), F.col("next_t").alias("to")), spans, HOUR)
+    return graph.frontmost_edges(w.select(F.col("to_bundle").alias("app"), F.col("t").alias("from"), F.col("next_t").alias("to")), spans)
 
 
 AT = "select e.seq, arg_max(concat(p.pid, ':', p.start), (p.birth, p.start)) as process_id from ev e join pn p on p.pid = e.pid and p.birth <= e.t and e.t <= coalesce(p.death, e.t) where e.kind = 'connection_opened' group by 1"
@@ -578,9 +579,9 @@ def short_lived_bursts(spark, d):
     return summary.short_lived(V.ev(spark, d), SHORT).where("n >= 5").select("comm", "n")
 
 
-FLAGS = """fl as (select 1 as part, lpad(seq::varchar, 20, '0') as o, concat('''', process_name, ''' connected to ', foreign_addr, ' — port ', port, ' (', label, ')') as text from sp
-union all select 2, comm, concat('burst of short-lived processes: ', n, ' ''', comm, ''' instances each started and exited within seconds') from sl where n >= 5
-union all select 3, lpad((1099511627776 - total)::varchar, 20, '0'), concat('''', client, ''' queried ', unique_names, ' unique DNS names in this window — unusually high fan-out') from (select client, count(distinct name_hash) as unique_names, count(*) as total from ev where kind = 'dns_query' group by 1 order by total desc, client limit 6) where unique_names >= 50)"""
+FLAGS = """fl as (select 1 as part, lpad(seq::varchar, 20, '0') as o, concat(process_name, ' reached ', foreign_addr, ', ', label, ' on port ', port) as text from sp
+union all select 2, comm, concat(n, ' runs of ', comm, ' were over within seconds each') from sl where n >= 5
+union all select 3, lpad((1099511627776 - total)::varchar, 20, '0'), concat(client, ' asked for ', unique_names, ' different names') from (select client, count(distinct name_hash) as unique_names, count(*) as total from ev where kind = 'dns_query' group by 1 order by total desc, client limit 6) where unique_names >= 50)"""
 
 
 @query(with_(V.EV, PORTS, SHORT_LIVED, FLAGS, select="select row_number() over (order by part, o, text)::int as rank, text from fl order by part, o, text limit 8"))
@@ -616,14 +617,52 @@ def candidates(spark, d):
     return summary.candidates(V.nodes(spark, d), V.edges(spark, d), PREFIXES)
 
 
-@query(with_(V.STORE, JOINED, """a as (select concat('root process ''', comm, ''' (pid ', split_part(id, ':', 1), ', ', coalesce(exec_path, 'path unknown'), ') is running under a non-root user parent') as text, row_number() over (order by id) as r, count(*) over () as n from pc where uid = 0 and parent_uid > 0),
-b0 as (select distinct comm, exec_path from people where not coalesce(starts_with(exec_path, '/usr/bin/') or starts_with(exec_path, '/bin/'), false)), b as (select concat('''', comm, ''' ran from an untrusted location: ', coalesce(exec_path, 'no exec path recorded')) as text, row_number() over (order by comm nulls first, exec_path nulls first) as r, count(*) over () as n from b0),
-c0 as (select parent_id, parent_comm, count(*) as k from pc group by 1, 2 having count(*) >= 8), c as (select concat('''', parent_comm, ''' (pid ', split_part(parent_id, ':', 1), ') spawned ', k, ' child processes') as text, row_number() over (order by k desc, parent_id) as r, count(*) over () as n from c0)""",
-    select=" union all ".join(f"select {i} as part, r::int as rank, text from {t} where r <= 6 union all (select {i}, 7, concat('(+', n - 6, ' {more})') from {t} where r = 1 and n > 6)" for i, t, more in ((1, "a", "similar root-under-user processes"), (2, "b", "more processes from untrusted paths"), (3, "c", "more prolific parents")))))
+@query(with_(V.STORE, JOINED, """a as (select concat('uid 0 below a user: ', comm, ', pid ', split_part(id, ':', 1), ', ', coalesce(exec_path, '?')) as text, row_number() over (order by id) as r, count(*) over () as n from pc where uid = 0 and parent_uid > 0),
+b0 as (select distinct comm, exec_path from people where not coalesce(starts_with(exec_path, '/usr/bin/') or starts_with(exec_path, '/bin/'), false)), b as (select concat('outside trusted paths: ', comm, ', ', coalesce(exec_path, '?')) as text, row_number() over (order by comm nulls first, exec_path nulls first) as r, count(*) over () as n from b0),
+c0 as (select parent_id, parent_comm, count(*) as k from pc group by 1, 2 having count(*) >= 8), c as (select concat('many children: ', parent_comm, ', pid ', split_part(parent_id, ':', 1), ', ', k) as text, row_number() over (order by k desc, parent_id) as r, count(*) over () as n from c0)""",
+    select=" union all ".join(f"select {i} as part, r::int as rank, text from {t} where r <= 6 union all (select {i}, 7, concat('(+', n - 6, ' {more})') from {t} where r = 1 and n > 6)" for i, t, more in ((1, "a", "of uid 0 below a user"), (2, "b", "outside trusted paths"), (3, "c", "of many children")))))
 def capped_flags(spark, d):
     return summary.store_flags(V.nodes(spark, d), V.edges(spark, d), PREFIXES)
 
 
+# -- narration of a graph
+
+OWNED = """pa as (select pid, start, max(seq) as s, arg_max({e: exec_path}, seq).e as exec_path from ev where kind = 'process_birth' group by 1, 2), pz as (select pid, start, arg_max({e: exec_path}, seq).e as exec_path from ev where kind = 'process_death' group by 1, 2),
+px as (select f.*, concat('proc', f.pid % 20) as comm, case when f.pid % 5 = 0 then 0 else 500 + f.pid % 5 end as uid, case when a.s is null then z.exec_path else a.exec_path end as exec_path from pf f left join pa a on a.pid = f.pid and a.start = f.start left join pz z on z.pid = f.pid and z.start = f.start),
+pw as (select pid, arg_max({start: start, exec_path: exec_path}, (start, birth)) as p from px group by 1)"""
+SOCKETS = """sa as (select id, max(seq) as s, arg_max({f: foreign_addr, n: process_name, rx: rx, tx: tx}, seq) as r from sc where kind = 'connection_opened' group by 1), sb as (select id, max(seq) as s, arg_max({f: foreign_addr, n: process_name, rx: rx, tx: tx}, seq) as r from sc where kind = 'connection_closed' group by 1),
+sx as (select coalesce(a.r.f, b.r.f) as f, coalesce(a.r.n, b.r.n) as n, case when a.id is null or b.s > a.s then coalesce(b.r.rx, a.r.rx) else a.r.rx end as rx, case when a.id is null or b.s > a.s then coalesce(b.r.tx, a.r.tx) else a.r.tx end as tx, a.id is null or coalesce(b.s > a.s, false) as closed from sa a full join sb b on a.id = b.id)"""
+
+
+@query(with_(V.EV, FOLDED, SOCKETS, select=f"""select 'first' as fact, '' as name, min(first_seen)::bigint as n from gn where kind <> 'app' union all select 'last', '', max(last_seen)::bigint from gn where kind <> 'app'
+union all select 'things', case kind when 'process' then 'processes' else concat(kind, 's') end, count(*) from gn group by 2
+union all (select 'processes', concat('proc', pid % 20) as comm, count(*) as k from pf group by 2 order by k desc, comm limit {summary.TOP_PROCESSES})
+union all (select 'endpoints', concat_ws(' ', f, n, case when bool_or(not closed) then 'true' else 'false' end), sum(coalesce(rx, 0) + coalesce(tx, 0))::bigint as b from sx group by f, n order by b desc, f, n limit {summary.TOP_ENDPOINTS})
+union all (select 'directories', concat('/', array_to_string(string_split(path, '/')[2:5], '/')) as dir, sum(count)::bigint as c from ev where kind = 'file_changed' group by 2 order by c desc, dir limit {summary.TOP_DIRECTORIES})
+union all (select 'domains', domain, count(*) as q from ev where kind = 'dns_query' group by 2 order by q desc, domain limit {summary.TOP_CLIENTS})"""))
+def graph_facts(spark, d):
+    f = narrate.graph_facts(_graph(spark, d))
+    one = lambda frame, fact, name, n: frame.select(F.lit(fact).alias("fact"), name.alias("name"), F.col(n).cast("long").alias("n"))
+    ends = F.concat_ws(" ", "foreign_addr", "process_name", F.col("still_open").cast("string"))
+    rows = [
+        one(f["span"], "first", F.lit(""), "first_t"), one(f["span"], "last", F.lit(""), "last_t"), one(f["things"], "things", F.col("part"), "n"), one(f["processes"], "processes", F.col("comm"), "spawns"),
+        one(f["endpoints"], "endpoints", ends, "bytes_total"), one(f["directories"], "directories", F.col("directory"), "changes"), one(f["domains"], "domains", F.col("name"), "query_count"),
+    ]
+    return reduce(DataFrame.union, rows)
+
+
+CANDIDATES = """ca as (select pid, '1 root_under_user' as r from px where uid = 0 and exists (select 1 from pf q where q.pid = px.ppid) and ppid % 5 <> 0 union select pid, '2 outside_trusted' from px where not coalesce(starts_with(exec_path, '/usr/bin/') or starts_with(exec_path, '/bin/'), false)
+  union select ppid, '3 prolific_parent' from pf where ppid in (select pid from pf) group by 1, 2 having count(*) >= 3),
+cb as (select pid, string_agg(substr(r, 3), ',' order by r) as reasons from ca group by 1)"""
+PARENT = "(select any_value(concat('proc', q.pid % 20)) from pf q where q.pid = c.pid // 10)"
+
+
+@query(with_(V.EV, FOLDED, OWNED, CANDIDATES, select=f"select c.pid, concat('process=', c.pid, ':', p.start, ' comm=proc', c.pid % 20, ' path=', coalesce(p.exec_path, '?'), ' uid=', case when c.pid % 5 = 0 then 0 else 500 + c.pid % 5 end, ' parent=', c.pid // 10, ' parent_comm=', coalesce({PARENT}, '?'), ' reasons=', reasons) as line from cb c join pw using (pid)"))
+def graph_candidates(spark, d):
+    p = _graph(spark, d)["processes"]
+    return narrate.candidate_lines(narrate.graph_candidates(p, PREFIXES, 3), p)
+
+
 # -- baselines
 
 FOLD = "list_reduce(list_prepend({m: 0.0::double, v: 0.0::double, n: 0, x: 0.0::double}, list_transform(a, lambda y: {m: 0.0::double, v: 0.0::double, n: 0, x: y::double})), lambda s, y: {m: case when s.n = 0 then y.x else s.m + 0.3 * (y.x - s.m) end, v: case when s.n = 0 then 0.0 else (1 - 0.3) * (s.v + 0.3 * (y.x - s.m) * (y.x - s.m)) end, n: s.n + 1, x: 0.0::double})"
