@@ -670,8 +670,8 @@ FOLD = "list_reduce(list_prepend({m: 0.0::double, v: 0.0::double, n: 0, x: 0.0::
 
 @query(with_(V.EV, "q as (select pid, list(rx::double order by seq) as a from ev where kind = 'dns_query' group by 1)", f"r as (select pid, {FOLD} as e from q)", select="select pid, round(e.m, 4) as mean, round(e.v, 2) as var from r"))
 def ewma(spark, d):
-    q = V.ev(spark, d).where("kind = 'dns_query'").groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "rx"))), lambda x: x.rx.cast("double")).alias("a")).withColumn("e", S.ewma("a"))
-    return q.select("pid", F.round("e.mean", 4).alias("mean"), F.round("e.var", 2).alias("var"))
+    e = baseline.weighted(V.ev(spark, d).where("kind = 'dns_query'"), ["pid"], "seq", F.col("rx"), "seq div 1000")
+    return e.select("pid", F.round("mean", 4).alias("mean"), F.round("var", 2).alias("var"))
 
 
 @query(with_(V.EV, select="select kind, percentile_disc(0.99) within group (order by rx)::double as p99 from ev group by 1"))

@@ -9,7 +9,7 @@ import pytest
 from telemill import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = ("tick_sessions", "process_births", "connection_completed", "file_changed_coalesced", "asof_enrichment", "socket_fold", "components", "merge_edges", "top_endpoints", "capped_flags", "metric_baseline", "fmt_duration")
+SOME = ("tick_sessions", "process_births", "connection_completed", "file_changed_coalesced", "asof_enrichment", "socket_fold", "components", "merge_edges", "top_endpoints", "capped_flags", "metric_baseline", "fmt_duration", "ewma", "frontmost_overlap", "store_rows_of_graph", "graph_of_store", "node_labels_of_things", "enriched_events", "graph_facts", "graph_candidates")
 
 
 def test_every_query_has_sql():

@@ -1,5 +1,7 @@
 """Scenarios of event reconstruction, the graph, the store and the scores on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +212,13 @@ def test_baselines(spark):
     assert a.agg(S.nearest_rank("x", 0.99).alias("p")).first()["p"] == 99 and a.limit(0).agg(S.nearest_rank("x", 0.5).alias("p")).first()["p"] == 0
     m = spark.createDataFrame([([10.0, 20.0],)], "a array<double>").select(S.ewma("a").alias("e")).first()["e"]
     assert (m["mean"], round(m["var"], 6)) == (13.0, 21.0)
+    r = random.Random(2)
+    rows = [(k, i, r.uniform(-5, 1000)) for k in ("a", None) for i in range(40)] + [("one", 3, 7.0)]
+    long = spark.createDataFrame(rows, "k string, o long, x double")
+    want = {k: long.where(F.col("k").eqNullSafe(k)).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "x"))), lambda s: s["x"]).alias("a")).select(S.ewma("a").alias("e")).first()["e"] for k in ("a", None, "one")}
+    for block in ("o div 1", "o div 7", "o div 100"):
+        got = {x["k"]: x for x in baseline.weighted(long, ["k"], "o", F.col("x"), block).collect()}
+        assert all(abs(got[k]["mean"] - e["mean"]) < 1e-6 and abs(got[k]["var"] - e["var"]) < 1e-4 for k, e in want.items()) and len(got) == 3
     hist = spark.createDataFrame([(i, (i // 2) * 3600 * SEC, "dns_query", "chrome") for i in range(240)], "seq long, ts_ns long, kind string, client string").withColumns({"comm": F.lit(None).cast("string"), "t": F.col("ts_ns")})
     edges = spark.createDataFrame([], "from_id string")
     warm = baseline.Baseline(hist, edges, 5 * 24 * 3600 * SEC)
