@@ -670,7 +670,7 @@ FOLD = "list_reduce(list_prepend({m: 0.0::double, v: 0.0::double, n: 0, x: 0.0::
 
 @query(with_(V.EV, "q as (select pid, list(rx::double order by seq) as a from ev where kind = 'dns_query' group by 1)", f"r as (select pid, {FOLD} as e from q)", select="select pid, round(e.m, 4) as mean, round(e.v, 2) as var from r"))
 def ewma(spark, d):
-    e = baseline.weighted(V.ev(spark, d).where("kind = 'dns_query'"), ["pid"], "seq", F.col("rx"), "seq div 1000")
+    e = baseline.weighted(V.ev(spark, d).where("kind = 'dns_query'"), ["pid"], "seq", F.col("rx"), f"seq div {ticks.BLOCK}")
     return e.select("pid", F.round("mean", 4).alias("mean"), F.round("var", 2).alias("var"))
 
 
