@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from telemill.llm.pretokens import Memo, spaced
+from telemill.llm.pretokens import Memo, Recent, spaced
 
 STATES = 800_000
 #: Texts between spaces whose tokens are kept, and words within such of several words.
@@ -252,7 +252,7 @@ class Codec:
         ranks = read_ranks(path)
         self.encoder, self.decoder, self.pattern = Encoder(ranks), Decoder(ranks), regex.compile(pattern)
         self.words = Memo(lambda x: self.encoder.word(x.encode()), WORDS)
-        self.pieces = Memo(self._piece, PIECES)
+        self.pieces = Recent(self._piece, PIECES // 2)
 
     def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
         found = self.pattern.findall(piece)

@@ -33,3 +33,21 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+class Recent(Memo):
+    """Keeps `most` entries and the `most` before them, so that what is asked for again and again is never made anew."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__(make, most)
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value

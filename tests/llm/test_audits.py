@@ -214,3 +214,16 @@ def test_license_templates_hold_their_phrases(spark):
     mine = (Template("own", "you may share this", ("share this",)),)
     rows = scan(documents(spark, [(1, "You may share this!"), (2, "share it")]), mine, {"you may": "may"}).orderBy("doc_id").collect()
     assert [(r["labels"], r["base_labels"], r["n_base"]) for r in rows] == [("may,own", "may", 1), ("", "", 0)]
+
+
+# -- kept pieces of texts
+
+
+def test_recent_entries_outlive_a_turn():
+    from telemill.llm.pretokens import Recent
+
+    made = []
+    kept = Recent(lambda k: made.append(k) or (k,), 3)
+    for k in [1, 2, 3, 1, 4, 1, 5, 1, 6, 1, 2]:
+        assert kept[k] == (k,) and len(kept) <= 3 and len(kept.old) <= 3
+    assert made == [1, 2, 3, 4, 5, 6, 2]
