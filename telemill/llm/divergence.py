@@ -34,7 +34,7 @@ LEAST, TOP = 3, 200
 #: Terms and groups of a tile, on average; entries that a task gathers before it hands them on; bytes looked at at once;
 #: numbers of a comparison in memory.
 TERMS, GROUPS = 1024, 256
-GATHERED, PIECE, CELLS = 200_000, 1 << 20, 1 << 20
+GATHERED, PIECE, CELLS = 400_000, 1 << 20, 1 << 20
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
