@@ -146,7 +146,7 @@ class Inflated:
     def _open(self) -> None:
         head = self.file.at(self.place, 20)
         self.end = self.place + int.from_bytes(head[16:20], "little") if len(head) == 20 and head[3] & 4 and head[12:14] == _EXTRA else None
-        self.inflate = zlib.decompressobj(31)
+        self.inflate, self.made = zlib.decompressobj(31), 0
 
     def take(self, n: int) -> bytes:
         """Up to n bytes, none at the end of the file."""
@@ -158,6 +158,7 @@ class Inflated:
             given = self.file.at(self.place, min(max(n // 4, 4096), BLOCK))
             data = self.inflate.decompress(given, n)
             self.place += len(given) - len(self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail)
+            self.made += len(data)
             if self.inflate.eof:
                 self.inflate = None
             elif not given:
@@ -166,10 +167,16 @@ class Inflated:
                 return data
 
     def leave(self, n: int) -> None:
-        """Pass over n bytes: by a jump, if the member's length is known and it holds no more than them."""
+        """Pass over n bytes: by a jump, if the member's length is known and it holds no more than them.
+
+        How much it holds, modulo 4 GiB, is what its last four bytes say. Up to four bytes more, the line ends behind a
+        record, are passed over as well.
+        """
         if self.inflate is not None and self.end is not None:
-            self.place, self.inflate = self.end, None
-            return
+            size = self.file.at(self.end - 4, 4)
+            if len(size) == 4 and (int.from_bytes(size, "little") - self.made - n) % (1 << 32) <= 4:
+                self.place, self.inflate = self.end, None
+                return
         while n > 0 and (data := self.take(min(n, BLOCK))):
             n -= len(data)
 
@@ -204,8 +211,8 @@ def blocks(stream: Plain | Inflated, end: int, wanted) -> Iterator[tuple[dict[st
             text = text[n:]
         else:
             yield found, None
-            if len(text) < n + 4:
-                stream.leave(n + 4 - len(text))
+            if len(text) < n:
+                stream.leave(n - len(text))
                 text = b""
             else:
                 text = text[n:]

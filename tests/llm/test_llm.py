@@ -254,6 +254,42 @@ def test_warc_passes_over_payloads():
     assert [(x["warc-type"], b is None) for x, b in got] == [("response", True), ("revisit", False)] and file.read <= 3 * warc.BLOCK
 
 
+@pytest.mark.parametrize("size", [10, 9 << 20])
+def test_warc_members_of_several_records(size):
+    """A member of known length may hold more records: whatever is wanted of them, none is lost, nor if the archive is cut."""
+    import struct
+    import zlib
+
+    from telemill.llm import warc
+
+    class File:
+        def __init__(self, data):
+            self.data = data
+
+        def size(self):
+            return len(self.data)
+
+        def read_at(self, n, at):
+            return self.data[at : at + n]
+
+    own = warc.member(b"")
+
+    def member(*records):
+        made = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = b"".join(records)
+        inner = made.compress(body) + made.flush() + struct.pack("<II", zlib.crc32(body), len(body))
+        return own[:16] + struct.pack("<I", 20 + len(inner)) + inner
+
+    one = lambda i: warc.record(i, "u", "response", os.urandom(size), "D", size, None)
+    data = member(one(1), one(2)) + member(one(3)) + member(one(4).rstrip(b"\r\n")) + member(one(5), one(6), one(7))
+    for wanted in (set(), {1}, {2}, {6}, {7}, {1, 3, 5}, set(range(1, 8))):
+        number = lambda x: int(re.search(r"\d+", x["warc-record-id"])[0])
+        got = [(number(x), b and len(b) >= size) for x, b in warc.blocks(warc.Inflated(warc.Ahead(File(data)), 0), len(data), lambda x: number(x) in wanted)]  # noqa: B023
+        assert got == [(i, True if i in wanted else None) for i in range(1, 8)]
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.blocks(warc.Inflated(warc.Ahead(File(data[:-3])), 0), len(data) - 3, lambda x: True))
+
+
 def _foreign():
     """Records as other tools write them."""
     http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
