@@ -7,28 +7,45 @@ from pyspark.sql import functions as F
 
 from telemill.plans.lineage import drop_written, written
 
+#: A node with more than HUB rows is a hub, and there are at most HUBS of them: with more edges, hubs need more rows.
+HUB, HUBS = 100_000, 20_000
+
+
+def with_least(pairs: DataFrame, rows: int) -> DataFrame:
+    """pairs (u, v) with m, the least v of each u. rows: how many pairs there are at most.
+
+    The least ones of hubs are broadcast, and their rows spread over all tasks: a node may have any share of the pairs.
+    """
+    share = max(HUB, -(-rows // HUBS))
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = least.where(F.col("n") > share).select("u", F.col("m").alias("hub"))
+    # -1, but not as a literal: Spark would take that out of the keys of the join, and not spread by salt
+    rest = least.where(F.col("n") <= share).select("u", F.least(F.lit(-1).cast("long"), "n").alias("salt"), "m")
+    salt = F.when(F.col("hub").isNull(), -1).otherwise(F.pmod(F.hash("v"), F.lit(1 << 20))).cast("long")
+    spread = pairs.join(F.broadcast(hubs), "u", "left").withColumn("salt", salt)
+    return spread.join(rest.hint("merge"), ["u", "salt"], "left").select("u", "v", F.coalesce("hub", "m").alias("m"))
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node with an edge to another, the least node of its component.
 
     In turn, every node hands its larger neighbours to the least one, and all its smaller ones to the least; that ends
-    in one star for each component after about log(n) rounds. Minima are combined before the shuffle, so that nodes with
-    very many edges do no harm. Each round's edges are written, which cuts the lineage.
+    in one star for each component after about log(n) rounds. Minima are combined before the shuffle, and the edges of
+    nodes with very many of them are spread, see with_least(). Each round's edges are written, which cuts the lineage.
+    Edges with a null end, and of a node to itself, are left out; repeated ones count once.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v"))).distinct()
     now = written(e, "edges")
-    state = None
+    rows, state = now.count(), None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u > v").distinct()
+        large = with_least(both, 2 * rows).withColumn("m", F.least("u", "m")).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = with_least(large, 2 * rows).select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u > v").distinct()
         new = written(small, "edges")
         drop_written(now)
         now = new
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == state:
             break
-        state = after
+        rows, state = after[0], after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -73,25 +73,31 @@ def enriched(events: DataFrame, births: DataFrame, deaths: DataFrame, key: str =
 
 
 def ancestors(start: DataFrame, parents: DataFrame, depth: int = DEPTH, stop_at: int = 1) -> DataFrame:
-    """(id, hop, ancestor): the chain of parents (child, parent) of every start id, child to root.
+    """(id, hop, ancestor): the chains of parents (child, parent) of every start id, child to root.
 
-    Stops at ids up to stop_at, unknown parents, where a chain would repeat an id, and after depth hops. One join a hop,
-    of only the chains that go on.
+    A chain stops at ids up to stop_at, at unknown parents, where it would repeat an id, and after depth hops; a child of
+    several parents has a chain by each. Chains double: one of 2^k hops is joined with that of its end, so that depth 32
+    takes five joins. Repeated starts and parents count once; null ids have no ancestors.
     """
-    now = written(start.select("id", F.col("id").alias("at"), F.array("id").alias("path")).distinct(), "hop")
-    found = None
-    for hop in range(1, depth + 1):
-        step = now.join(parents.select(F.col("child").alias("at"), "parent"), "at").where((F.col("parent") > stop_at) & ~F.array_contains("path", F.col("parent")))
-        step = written(step.select("id", F.col("parent").alias("at"), F.concat("path", F.array("parent")).alias("path")), "hop")
-        if step.isEmpty():
-            break
-        rows = step.select("id", F.lit(hop).alias("hop"), F.col("at").alias("ancestor"))
-        found = rows if found is None else found.union(rows)
-        now = step
-    if found is None:
-        drop_written(now)
-        return start.sparkSession.createDataFrame([], f"id {start.schema['id'].dataType.simpleString()}, hop int, ancestor {start.schema['id'].dataType.simpleString()}")
-    return found
+    kind = start.schema["id"].dataType.simpleString()
+    if depth < 1:
+        return start.sparkSession.createDataFrame([], f"id {kind}, hop int, ancestor {kind}")
+    step = parents.where((F.col("parent") > stop_at) & F.col("child").isNotNull() & (F.col("child") != F.col("parent"))).distinct()
+    up = written(step.select("child", F.array("parent").alias("path"), F.col("parent").alias("last"), F.lit(True).alias("goes_on")), "chains")
+    reach = 1
+    while reach < depth and not up.where("goes_on").isEmpty():
+        # what repeats an id of the chain, and all behind it, is cut off
+        more = up.select(F.col("child").alias("last"), F.col("path").alias("more"), F.col("goes_on").alias("then"))
+        on = up.where("goes_on").join(more.hint("merge"), "last", "left").withColumn("own", F.array_append("path", F.col("child")))
+        known = F.array_min(F.filter(F.transform("more", lambda x, i: F.when(F.array_contains("own", x), i)), lambda i: i.isNotNull()))
+        on = on.withColumn("known", known).withColumn("more", F.when(F.col("known").isNull(), F.coalesce("more", F.array().cast(up.schema["path"].dataType))).otherwise(F.slice("more", 1, F.coalesce("known", F.lit(0)))))
+        on = on.select("child", F.concat("path", "more").alias("path"), (F.coalesce("then", F.lit(False)) & F.col("known").isNull()).alias("goes_on")).distinct()
+        longer = written(up.where("not goes_on").union(on.select("child", "path", F.element_at("path", -1).alias("last"), "goes_on")), "chains")
+        drop_written(up)
+        up, reach = longer, 2 * reach
+    chains = start.select("id").distinct().join(up.withColumnRenamed("child", "id"), "id").select("id", F.slice("path", 1, depth).alias("path"))
+    upto = chains.select("id", F.explode(F.transform("path", lambda x, i: F.slice("path", F.lit(1), i + 1))).alias("path")).distinct()
+    return upto.select("id", F.size("path").alias("hop"), F.element_at("path", -1).alias("ancestor"))
 
 
 def ancestors_sql(spark: SparkSession, edges: DataFrame, start: str, depth: int) -> DataFrame:

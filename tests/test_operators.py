@@ -79,6 +79,20 @@ def test_ancestors_stop_at_cycles_and_depth(spark):
     assert values(enrich.ancestors_sql(spark, parents, 9, 5), "hop", "ancestor") == [(1, 8), (2, 1)]
 
 
+def test_ancestors_equal_a_walk(spark):
+    """Doubled chains against a walk: long chains, several parents, cycles, repeated rows and nulls."""
+    r = random.Random(5)
+    pairs = [(i, i - 1) for i in range(100, 150)] + [(i, r.randint(0, 40)) for i in range(2, 40)] + [(200, 201), (201, 202), (202, 200), (203, 200), (300, 2), (300, 3), (300, 3), (7, 7), (None, 3), (5, None)]
+    ids = [*range(2, 40, 3), 105, 149, 200, 203, 300, 7, None, 300]
+    parents, start = spark.createDataFrame(pairs, "child long, parent long"), spark.createDataFrame([(i,) for i in ids], "id long")
+    for depth in (1, 2, 3, 32):
+        want, now = [], {(i,) for i in ids if i is not None}
+        for hop in range(1, depth + 1):
+            now = {(*path, p) for path in now for c, p in pairs if c == path[-1] and p is not None and p > 1 and p not in path}
+            want += [(path[0], hop, path[-1]) for path in now]
+        assert sorted(values(enrich.ancestors(start, parents, depth), "id", "hop", "ancestor")) == sorted(want)
+
+
 def events(spark, rows):
     names = "seq long, t long, kind string, pid long, start long, ppid long, uid long, comm string, name string, exec_path string, proto string, local_addr string, foreign_addr string, process_name string, rx long, tx long, path string, flags array<string>, count long, qname string, qtype string, masked boolean, name_hash string, client string, to_bundle string, to_name string, duration_ns long"
     columns = [c.split()[0] for c in names.split(", ")]
@@ -127,6 +141,39 @@ def test_analytics(spark):
     assert values(top, "label") == [("B",)] and sizes.first()["size"] == 3
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars of many edges, chained, among other edges: components equal a union of sets, and no task holds a hub."""
+    from telemill.operators import components
+
+    monkeypatch.setattr(components, "HUB", 100)
+    r = random.Random(2)
+    pairs = [(5000, i) for i in range(3000)] + [(6000, 5001 + i) for i in range(900)] + [(6000, 5000)] + [(r.randint(7000, 7400), r.randint(7000, 7400)) for _ in range(300)] + [(8000, 8000), (None, 3), (3, None), (7000, 7001), (7001, 7000)]
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            a, b = sorted((root(a), root(b)))
+            top[b] = a
+    e = spark.createDataFrame(pairs, "a long, b long")
+    assert sorted(values(components.connected_components(e), "node", "component")) == sorted((x, root(x)) for x in top)
+    assert components.connected_components(e.limit(0)).count() == 0
+    star = spark.range(20_000).select(F.lit(-1).cast("long").alias("u"), F.col("id").alias("v")).union(spark.range(1000).select("id", F.col("id") + 1))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = components.with_least(star, 21_000)
+        sizes = [x["n"] for x in out.groupBy(F.spark_partition_id()).agg(F.count("m").alias("n")).collect()]
+        assert len(sizes) == 3, sizes
+        assert max(sizes) < 1.3 * min(sizes), sizes
+        assert out.where("m <> greatest(u + 1, 0)").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_components_of_a_long_path(spark):
     from telemill.operators.components import connected_components
 
