@@ -11,8 +11,8 @@ and a worker gets the counts of those parts only. The odds of a name's words are
 scores of a page's names to that of the page, in whole billionths, so that no order of summing tells.
 
 Edge cases: null URLs and those without :// have empty host and path, no rule, and the verdict of the class prior, as
-have URLs without a known word; ties and a model without examples allow; repeated rows each get their verdict; very
-long URLs are segmented name by name, names over LONGEST letters staying whole; other columns are kept out.
+have URLs without a known word; ties and a model without examples allow; repeated rows each get their verdict; names and
+words of any length and of any letters are cut; a host's punycode is read as it is written; other columns are kept out.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from telemill.llm.pretokens import Memo
 from telemill.plans.lineage import sized_join, written
 
-LONGEST = 60
-WORD = 20
+#: Letters by which words are looked up in names: of longer words, their first ones.
+HEAD = 20
 #: Cuts of names that a Segmenter keeps.
 KEPT = 200_000
 #: Log odds are whole numbers of this part.
@@ -38,7 +38,7 @@ UNIT = 10**9
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: How many examples a word stands for whose verdict the caller knows.
 KNOWN_WEIGHT = 100
-_NAME = regex.compile(r"[a-z]+|[0-9]+|[^\W\d_]+")
+_NAME = regex.compile(r"\p{L}+|[0-9]+")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -67,15 +67,25 @@ class Segmenter:
     def __init__(self, counts: dict[str, int], total: int | None = None):
         total = total or sum(counts.values()) or 1
         self.cost = {w: log(total) - log(n) for w, n in counts.items()}
+        self.lengths = sorted({len(w) for w in counts})
         self.unknown = log(total) + 1
         self.words = Memo(self._words, KEPT)
 
     def _words(self, name: str) -> tuple[str, ...]:
-        if len(name) > LONGEST or not name.isalpha():
+        if not name.isalpha():
             return (name,)
         best: list[tuple[float, int]] = [(0.0, 0)]
+        least = (0.0, 0)  # of the places so far, where an unknown word would best begin
         for end in range(1, len(name) + 1):
-            best.append(min((best[i][0] + self.cost.get(name[i:end], self.unknown + 2.5 * (end - i)), i) for i in range(max(0, end - WORD), end)))
+            here = (least[0] + self.unknown + 2.5 * end, least[1])
+            for n in self.lengths:
+                if n > end:
+                    break
+                cost = self.cost.get(name[end - n : end])
+                if cost is not None:
+                    here = min(here, (best[end - n][0] + cost, end - n))
+            best.append(here)
+            least = min(least, (here[0] - 2.5 * end, end))
         words, end = [], len(name)
         while end:
             words.append(name[best[end][1] : end])
@@ -93,7 +103,7 @@ def prose(pages: DataFrame) -> DataFrame:
     said = F.coalesce("html", F.lit(""))
     for hidden in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"<[^>]*>", r"&#?[0-9A-Za-z]+;"):
         said = F.regexp_replace(said, hidden, " ")
-    found = F.filter(F.split(F.lower(said), r"[^\p{L}]+"), lambda w: (F.length(w) > 1) & (F.length(w) <= WORD))
+    found = F.filter(F.split(F.lower(said), r"[^\p{L}]+"), lambda w: F.length(w) > 1)
     return pages.select(F.explode(found).alias("w"))
 
 
@@ -130,12 +140,19 @@ def named(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
-    """names (name, b, a) with words: what each name is cut into, by the counts of words (w, n)."""
-    total = words.agg(F.sum("n")).first()[0]
-    bare = names.select("name", F.regexp_replace("name", "^/", "").alias("s")).withColumn("l", F.length("s")).where((F.col("l") > 1) & (F.col("l") <= LONGEST))
-    of = F.expr(f"array_distinct(flatten(transform(sequence(1, l - 1), i -> transform(sequence(2, least({WORD}, l - i + 1)), k -> substring(s, i, k)))))")
-    known = sized_join(bare.select("name", F.explode(of).alias("w")), words, "w").groupBy("name").agg(F.collect_list(F.struct("w", "n")).alias("known"))
-    rows = sized_join(names, written(known, "parts"), "name", "left").select("name", "b", "a", "known")
+    """names (name, b, a) with words: what each name is cut into, by the counts of words (w, n).
+
+    The words in a name are found by their first HEAD letters, so that a name's rows grow with its length alone. Of
+    longer words, a name may get some that it doesn't hold; a Segmenter doesn't find them there.
+    """
+    names = written(names.withColumn("__id", F.monotonically_increasing_id()), "names")
+    bare = names.select("__id", F.regexp_replace("name", "^/", "").alias("s")).withColumn("l", F.length("s"))
+    starts = bare.where("l > 1").select("__id", "s", "l", F.explode(F.expr("sequence(1, l - 1)")).alias("i"))
+    heads = starts.select("__id", F.explode(F.expr(f"transform(sequence(2, least({HEAD}, l - i + 1)), k -> substring(s, i, k))")).alias("head"))
+    total, longest = words.agg(F.sum("n")).first()[0], bare.agg(F.max("l")).first()[0]
+    told = words.where(F.length("w") <= F.lit(longest)).select(F.substring("w", 1, HEAD).alias("head"), "w", "n")
+    known = sized_join(heads, told, "head").groupBy("__id").agg(F.collect_set(F.struct("w", "n")).alias("known"))
+    rows = sized_join(names, written(known, "parts"), "__id", "left").select("name", "b", "a", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,7 +180,7 @@ def judge(pages: DataFrame, rules=RULES, known: dict[str, str] | None = None) ->
     """page_id, host, path, rule and verdict of each page. known: verdicts of words, if any are known beforehand."""
     rows = written(named(pages, rules), "urls")
     uses = rows.select(F.explode("names").alias("name"), "verdict").groupBy("name").agg(F.count_if(F.col("verdict") == "block").alias("b"), F.count_if(F.col("verdict") == "allow").alias("a"))
-    cut = written(segmented(written(uses, "names"), written(lexicon(pages, known), "words")), "cut")
+    cut = written(segmented(uses, written(lexicon(pages, known), "words")), "cut")
     prior, odds = bayes(rows, cut, known)
     scores = sized_join(cut.select("name", F.explode("words").alias("w")), odds, "w").groupBy("name").agg(F.sum("odds").alias("score"))
     asked = rows.where("verdict is null").select("__row", F.explode("names").alias("name"))

@@ -526,7 +526,7 @@ def test_urls_equal_brute_force(spark, tmp_path):
     from math import log
 
     from telemill.llm.queries import op6_url_filters
-    from telemill.llm.urls import LONGEST, UNIT, Segmenter
+    from telemill.llm.urls import UNIT, Segmenter
 
     r = random.Random(3)
     bad, good = ["cheap", "pills", "spin", "win"], ["wiki", "books", "maps", "tea"]
@@ -540,12 +540,12 @@ def test_urls_equal_brute_force(spark, tmp_path):
     said = "wiki books  cheap pills spin to win maps of tea books".split() * sum(i % 3 > 0 for i in range(len(urls)))
     counts, total = Counter(said), len(said)
     cost = lambda w: log(total) - log(counts[w]) if counts[w] else log(total) + 1 + 2.5 * len(w)
-    best = lambda name: min(_cuts(name), key=lambda c: (round(sum(map(cost, c)), 9), [-len(w) for w in c[::-1]])) if name.isalpha() and 1 < len(name) <= LONGEST else (name,)
+    best = lambda name: min(_cuts(name), key=lambda c: (round(sum(map(cost, c)), 9), [-len(w) for w in c[::-1]])) if name.isalpha() and len(name) > 1 else (name,)
 
     def words(url):
         host, path = (re.match(r"[^/?#]*", url.split("://", 1)[1])[0].lower(), re.sub(r"^[^/?#]*|[?#].*", "", url.split("://", 1)[1])) if url and "://" in url else ("", "")
-        names = [("", x) for n in host.split(".") if n not in ("net", "org", "example", "com") for x in re.findall(r"[a-z]+|[0-9]+|[^\W\d_]+", n)]
-        names += [("/", "#" if x.isdigit() else x) for x in re.findall(r"[a-z]+|[0-9]+|[^\W\d_]+", path.lower()) if x not in ("en", "de", "fr")]
+        names = [("", x) for n in host.split(".") if n not in ("net", "org", "example", "com") for x in re.findall(r"[^\W\d_]+|[0-9]+", n)]
+        names += [("/", "#" if x.isdigit() else x) for x in re.findall(r"[^\W\d_]+|[0-9]+", path.lower()) if x not in ("en", "de", "fr")]
         return [sign + w for sign, x in names for w in best(x)]
 
     by = {"block": Counter(), "allow": Counter()}
@@ -562,6 +562,27 @@ def test_urls_equal_brute_force(spark, tmp_path):
     assert all(len(Segmenter(dict(counts), total).words[x]) == 2 for x in names) and len(names) > 5
 
 
+def test_urls_long_words_and_other_letters(spark, monkeypatch):
+    """Words and names of any length and any letters are cut, by joins of either kind; hot heads don't mix words up."""
+    from telemill.llm.urls import lexicon, named, segmented
+    from telemill.plans import lineage
+
+    long, other, giant = "donaudampfschifffahrtsgesellschaft", "donaudampfschifffahrtskapitän", "x" * 3000 + "y" * 500
+    html = f"<p>{long} {other} {giant} café münchen москва hotel bar the same</p>" * 3
+    hosts = [f"hotel{long}bar.de", f"{long}{other}.de", f"{giant}hotel.de", "münchencafé.de", "москваhotel.рф", "a" * 4000 + "hotel.de", "u:p@hotelbar.de:8080", "xn--mnchen-3ya.de", f"{other}" * 40 + ".de"]
+    pages = spark.createDataFrame([(i, f"http://{h}/Straße{i}", html) for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    seen = []
+    for rows in (lineage.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(lineage, "BROADCAST_ROWS", rows)
+        uses = named(pages).select(F.explode("names").alias("name"), F.lit(1).cast("long").alias("b"), F.lit(0).cast("long").alias("a")).distinct()
+        got = {r["name"]: tuple(r["words"]) for r in segmented(uses, lexicon(pages)).collect()}
+        assert got[f"hotel{long}bar"] == ("hotel", long, "bar") and got[long + other] == (long, other) and got[giant + "hotel"] == (giant, "hotel")
+        assert got["münchencafé"] == ("münchen", "café") and got["москваhotel"] == ("москва", "hotel") and got["a" * 4000 + "hotel"] == ("a" * 4000, "hotel")
+        assert got["hotelbar"] == ("hotel", "bar") and got["u"] == ("u",) and got["8080"] == ("8080",) and got["/straße"] == ("/straße",) and got["mnchen"] == ("mnchen",) and got[other * 40] == (other,) * 40
+        seen.append(got)
+    assert seen[0] == seen[1]
+
+
 def test_urls_rare_words_count(spark, monkeypatch):
     """A word seen once speaks for its verdict, however many words there are, and joins of either kind give the same."""
     from telemill.llm.urls import judge
