@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.operators.components import connected_components
+from telemill.operators.components import connected_components, merged
 from telemill.plans.lineage import drop_written, release, sized_join, written
 
 WORDS, PERCENT = 5, 75
@@ -387,23 +387,29 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = written(possible(pairs, counts, bands), "pairs")
+        release(spark)
         return pairs if pairs.isEmpty() else verified(pairs, ones, n, percent)
 
     links = checked(shared.where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct())
     # a doc_id with several texts is in several groups of copies
     links = links.union(copies.select(F.col("first").alias("a"), F.col("doc").alias("b")).join(copies.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc").alias("b")), "b", "left_semi").select("a", "b"))
 
-    def classes() -> tuple[DataFrame, int]:
-        found = written(connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("c")), "classes")
+    def classes(before: DataFrame, k: int, links: DataFrame) -> tuple[DataFrame, int]:
+        after = merged(before, links)
+        if after is None:
+            return before, k
+        found = written(after, "classes")
         release(spark)
         return found, found.count()
 
-    wide = written(_classes(shared.select("sig", "doc"), *classes()), "wide")
-    links = links.union(checked(_across(wide.where(F.col("size") <= light))))
+    comps = written(connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("c")), "classes")
+    k = comps.count()
+    release(spark)
+    wide = written(_classes(shared.select("sig", "doc"), comps, k), "wide")
+    links = checked(_across(wide.where(F.col("size") <= light)))
     for turn in range(TURNS):  # other centres: this only makes classes grow before what follows, which is exact without
         found = checked(_other_stars(wide, turn))
-        links = links.union(found)
-        comps, k = classes()
+        comps, k = classes(comps, k, found if turn else links.union(found))
         wide = written(_classes(wide.select("sig", "doc"), comps, k), "wide")
         if 50 * found.count() < wide.select("doc").distinct().count():
             break
@@ -422,18 +428,17 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
         cells = near.where("size is not null and not heavy").select("sig", "doc", "c", "full").distinct()
         a = cells.where("full").select("sig", F.col("doc").alias("x"), F.col("c").alias("cx"))
         b = cells.select("sig", F.col("doc").alias("y"), F.col("c").alias("cy"))
-        links = links.union(checked(a.join(b, "sig").where("x <> y and cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+        found = checked(a.join(b, "sig").where("x <> y and cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        comps, k = classes(comps, k, found)
         worth = near.groupBy("doc", "band", "need", "segment").agg(F.max(F.col("heavy") & F.col("full")).alias("none"), F.max("heavy").alias("one"), F.max("lone").alias("lone"))
         worth = worth.withColumn("w", F.when(F.col("none"), 0).when(F.col("one") | F.col("lone"), 1).otherwise(2))
         hard = worth.groupBy("doc", "band", "need").agg(F.sum("w").alias("w")).where("w < need").select("doc").distinct()
         hard = written(hard, "hard")
         if not hard.isEmpty():
-            comps, k = classes()
             rest = sized_join(sized_join(ones, hard, "doc", "left_semi"), comps, "doc", "left", k).withColumn("c", F.coalesce("c", "doc"))
             rows = prefixes(rest, percent, n)
             open_ = rows.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
-            links = links.union(checked(_meeting(rows.join(open_, "sig"), percent)))
-        comps, k = classes()
+            comps, k = classes(comps, k, checked(_meeting(rows.join(open_, "sig"), percent)))
 
     firsts = copies.groupBy("doc").agg(F.min("first").alias("first"))
     out = sized_join(sets, firsts.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))

@@ -73,7 +73,10 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the files of shuffles that nothing names any more: it does so when the driver's JVM collects."""
+    """Let Spark delete the files of shuffles that nothing names any more: it does so when the driver's JVM collects.
+
+    Every stage leaves buffers of some MB in the driver, too, by which its heap grows where it isn't collected meanwhile.
+    """
     import gc
 
     gc.collect()

@@ -798,6 +798,23 @@ def test_forest_is_what_trees_say(spark):
     assert np.allclose(got, [np.mean([walk(t, r) for t in trees]) for r in x[:40]], atol=1e-5)
 
 
+def test_plan_of_the_forest_is_small(spark):
+    """A forest of any size and transitions are a few literals: the driver doesn't copy a plan of thousands of nodes."""
+    import numpy as np
+
+    from telemill.llm.secrets import features, forest, probability
+
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, 14))
+    trees = forest(x, (rng.random(3000) < x[:, 3]).astype(float), 16, 6)
+    rows = spark.createDataFrame([("getterUserXy_9", "set the token = ", " of name", "src/a.py", 6)], "value string, before string, after string, path string, covered int")
+    made = features([0.5] * 676, {"token": 2.0}, {"tests": -3.0})
+    out = rows.select(*[c.alias(k) for k, c in made.items()]).select(probability(trees, list(made), F.col))
+    assert len(out._jdf.queryExecution().analyzed().toString()) < 60_000
+    assert 0 <= out.first()[0] <= 1
+    assert rows.select(probability([0.25, 0.75], [], F.col)).first()[0] == 0.5 == rows.select(probability([(0, 6.0, 0.5, 1.0)], ["covered"], F.col)).first()[0]
+
+
 # -- quality
 
 

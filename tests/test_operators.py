@@ -181,6 +181,29 @@ def test_components_of_a_long_path(spark):
     assert values(connected_components(e).groupBy("component").count(), "component", "count") == [(0, 61), (100, 2)]
 
 
+def test_classes_after_more_links(spark):
+    """Merged classes are those of all links; links inside a class change nothing and take no round."""
+    from telemill.operators.components import connected_components, merged
+
+    pairs = lambda p: spark.createDataFrame(p, "a long, b long")
+    first, more = [(2, 1), (3, 2), (10, 11), (20, 21)], [(3, 11), (40, 41), (41, 5), (50, 20), (10, 10)]
+    classes = connected_components(pairs(first)).select(F.col("node").alias("doc"), F.col("component").alias("c"))
+    assert values(merged(classes, pairs(more)), "doc", "c") == values(connected_components(pairs(first + more)), "node", "component")
+    assert merged(classes, pairs([(1, 3), (11, 10), (7, 7)])) is None
+    assert values(merged(classes.limit(0), pairs(first)), "doc", "c") == values(classes, "doc", "c")
+
+
+def test_few_edges_are_not_sorted(spark):
+    """Where no node can be a hub, a round shuffles its edges once for each least one and joins by broadcast."""
+    from telemill.operators.components import HUB, with_least
+
+    e = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "u long, v long")
+    for rows, sorted_ in ((3, False), (HUB + 1, True)):
+        out = with_least(e, rows)
+        assert values(out, "u", "v", "m") == [(1, 2, 2), (1, 3, 2), (2, 3, 3)]
+        assert ("SortMergeJoin" in out._jdf.queryExecution().sparkPlan().toString()) == sorted_
+
+
 def test_snapshot_differences(spark):
     none = spark.createDataFrame([], "id string, label string"), spark.createDataFrame([], "src string, dst string, weight long")
     n = spark.createDataFrame([(x, x) for x in "abcdefg"], "id string, label string")
