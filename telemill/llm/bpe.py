@@ -6,7 +6,8 @@ tokens of shorter prefixes: it is the one suffix that fits behind the encoding o
 what later bytes can still depend on: the token before the first open byte, the open bytes, where the last token
 of each of their prefixes begins, and the places at which a token may still be open. Once all positions at which a token may still be open agree on how what stands
 before them is cut, that part is emitted; so lookahead is bounded by the longest token. States and transitions are
-made when first needed and kept (up to a bound, then begun afresh).
+made when needed for the second time and kept (up to a bound, then begun afresh); what is needed once is walked over the
+open places alone.
 
 Decoding. Token bytes run through a UTF-8 state machine (states: bytes still missing and what the next may be), one
 transition per token, made when first needed; complete characters leave at once, a cut one waits for its rest, and
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from telemill.llm.pretokens import Memo, Recent, spaced
 
-STATES = 800_000
+STATES, FITS = 800_000, 1_000_000
 #: Texts between spaces whose tokens are kept, and words within such of several words.
 PIECES, WORDS = 600_000, 200_000
 _BYTES = [bytes([i]) for i in range(256)]
@@ -46,25 +47,34 @@ class Encoder:
     """The transducer from bytes of one word to tokens."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.longest = max(map(len, ranks))
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.halves = Memo(lambda t: self._merged(t, 2), len(ranks) + 256)
-        self.fits = Memo(self._fits, 1_000_000)
+        self.fits: dict[int, bool] = {}
+        self.steps = self._trie()
         self._restart()
 
+    def _trie(self) -> dict[int, tuple[int, int]]:
+        """What follows a beginning of tokens (0: none) on a byte, by number << 8 | byte: the longer beginning's number, or
+        -1 where no token goes on from there, and the token it is, or -1."""
+        inner = {t[:i] for t in self.ranks for i in range(1, len(t))}
+        number = {b"": 0} | {t: i for i, t in enumerate(sorted(inner), 1)}
+        return {number[t[:-1]] << 8 | t[-1]: (number.get(t, -1), self.ranks.get(t, -1)) for t in inner | self.ranks.keys()}
+
     def _restart(self) -> None:
-        self.states: list[tuple[bytes, bytes, tuple[int, ...], tuple[int, ...]]] = []
+        #: Of each state: the token before the first open byte (-1: none), where the last token of each of their prefixes
+        #: begins, which it is, and the places at which a token may be open with the number of its beginning.
+        self.states: list[tuple[int, tuple[int, ...], tuple[int, ...], tuple[tuple[int, int], ...]]] = []
         self.number: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, tuple[int, tuple[int, ...]] | None] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
-        self.start = self._state((b"", b"", (), (0,)))
+        self.start = self._state((-1, (), (), ((0, 0),)))
 
     def _state(self, state: tuple) -> int:
-        if state not in self.number:
-            self.number[state] = len(self.states)
+        at = self.number.get(state)
+        if at is None:
+            at = self.number[state] = len(self.states)
             self.states.append(state)
-        return self.number[state]
+        return at
 
     def _merged(self, piece: bytes, least_parts: int = 1) -> list[bytes]:
         """The encoding of a few bytes by the merges themselves: lowest rank first, leftmost of equals."""
@@ -102,10 +112,20 @@ class Encoder:
                 made, right = (b, False), self.halves[right][0]
 
     def _whole(self, token: bytes) -> bool:
-        return self.fits[b"", token]
+        return self._fit(-1, self.ranks[token])
+
+    def _fit(self, left: int, right: int) -> bool:
+        """_fits() by ids (left -1: none), kept."""
+        key = left + 1 << 32 | right
+        known = self.fits.get(key)
+        if known is None:
+            if len(self.fits) >= FITS:
+                self.fits.clear()
+            known = self.fits[key] = self._fits((self.tokens[left] if left >= 0 else b"", self.tokens[right]))
+        return known
 
     @staticmethod
-    def _cuts(begins: tuple[int, ...], end: int) -> list[int]:
+    def _cuts(begins: list[int] | tuple[int, ...], end: int) -> list[int]:
         """Where tokens end in the encoding of the first `end` open bytes, from the first."""
         cuts = []
         while end > 0:
@@ -113,24 +133,38 @@ class Encoder:
             end = begins[end - 1]
         return cuts[::-1]
 
+    def _walk(self, state: tuple, data: bytes) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+        """begins, last tokens and open places after these bytes."""
+        before, begins, last, live = state[0], list(state[1]), list(state[2]), state[3]
+        steps, fits = self.steps, self.fits
+        for byte in data:
+            begin = token = -1
+            still = []
+            for i, node in live:
+                step = steps.get(node << 8 | byte)
+                if step is None:
+                    continue
+                node, t = step
+                if t >= 0 and begin < 0:
+                    left = last[i - 1] if i else before
+                    fit = fits.get(left + 1 << 32 | t)
+                    if self._fit(left, t) if fit is None else fit:
+                        begin, token = i, t
+                if node >= 0:
+                    still.append((i, node))
+            begins.append(begin)
+            last.append(token)
+            if begin >= 0:
+                still.append((len(begins), 0))
+            live = still
+        return begins, last, live
+
     def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, opened, begins, live = self.states[at]
-        ranks, prefixes, fits = self.ranks, self.prefixes, self.fits
-        opened += _BYTES[byte]
-        begin, still = -1, []
-        for i in live:
-            tail = opened[i:] if i else opened
-            if begin < 0 and tail in ranks and fits[opened[begins[i - 1] : i] if i else before, tail]:
-                begin = i
-            if tail in prefixes:
-                still.append(i)
-        begins += (begin,)
-        if begin >= 0:
-            still.append(len(opened))
-        done = 0
-        if still[0]:  # the last place where the cuts of all that is open agree
-            done = still[0]
-            for i in still[1:]:
+        before = self.states[at][0]
+        begins, last, live = self._walk(self.states[at], _BYTES[byte])
+        done = live[0][0]  # the last place where the cuts of all that is open agree
+        if done:
+            for i, _ in live[1:]:
                 while i > done:
                     i = begins[i - 1]
                 while i < done:  # this one is cut earlier
@@ -138,31 +172,36 @@ class Encoder:
                     while i > done:
                         i = begins[i - 1]
         if not done:
-            return self._state((before, opened, begins, tuple(still))), ()
-        cuts = [0, *self._cuts(begins, done)]
-        tokens = [opened[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            return self._state((before, tuple(begins), tuple(last), tuple(live))), ()
+        tokens = tuple([last[e - 1] for e in self._cuts(begins, done)])
         rest = tuple([b - done if b >= done else -1 for b in begins[done:]])
-        return self._state((tokens[-1], opened[done:], rest, tuple([i - done for i in still]))), tuple([self.ranks[t] for t in tokens])
+        return self._state((tokens[-1], rest, tuple(last[done:]), tuple([(i - done, node) for i, node in live]))), tokens
 
     def word(self, data: bytes) -> tuple[int, ...]:
-        """The token ids of one pre-token."""
+        """The token ids of one pre-token. A transition is made when it is needed for the second time: where one is needed
+        for the first time, the rest of the word is walked from the state's open places, which makes no states."""
         if (whole := self.ranks.get(data)) is not None:
             return (whole,)
-        if len(self.states) > STATES:
+        if len(self.states) > STATES or len(self.moves) > 2 * STATES:
             self._restart()
         at, out, moves = self.start, [], self.moves
-        for byte in data:
-            move = moves.get(at << 8 | byte)
+        for k, byte in enumerate(data):
+            key = at << 8 | byte
+            move = moves.get(key, 0)
             if move is None:
-                move = moves[at << 8 | byte] = self._move(at, byte)
+                move = moves[key] = self._move(at, byte)
+            elif move == 0:
+                moves[key] = None
+                begins, last, _ = self._walk(self.states[at], data[k:])
+                return (*out, *[last[e - 1] for e in self._cuts(begins, len(begins))])
             at = move[0]
             if move[1]:
                 out += move[1]
-        if at not in self.ends:
-            _, opened, begins, _ = self.states[at]
-            cuts = [0, *self._cuts(begins, len(opened))]
-            self.ends[at] = tuple(self.ranks[opened[a:b]] for a, b in zip(cuts, cuts[1:], strict=False))
-        return (*out, *self.ends[at])
+        end = self.ends.get(at)
+        if end is None:
+            _, begins, last, _ = self.states[at]
+            end = self.ends[at] = tuple([last[e - 1] for e in self._cuts(begins, len(begins))])
+        return (*out, *end)
 
 
 def _utf8_step(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:

@@ -100,6 +100,25 @@ def test_sweep_is_best_fit_decreasing():
 # -- byte-level BPE
 
 
+def test_bpe_makes_states_for_what_recurs():
+    """Words seen once make no states, and their tokens are the same when transitions are made afterwards."""
+    import public_tokenizers as P
+
+    from telemill.llm.bpe import Codec
+
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeéßжx") for _ in range(r.randint(8, 14))) for _ in range(300)]
+    c = Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    first = c.encoder.word(words[0].encode())
+    assert len(c.encoder.states) == 1
+    seen = [[c.encoder.word(w.encode()) for w in words] for _ in range(16)]
+    assert all(x == seen[0] for x in seen) and seen[0][0] == first
+    assert all(b"".join(c.encoder.tokens[i] for i in ids) == w.encode() for w, ids in zip(words, seen[0]))
+    assert all(list(ids) == [c.encoder.ranks[t] for t in c.encoder._merged(w.encode())] for w, ids in zip(words, seen[0]))
+    made = len(c.encoder.states)
+    assert made > 300 and [c.encoder.word(w.encode()) for w in words] == seen[0] and len(c.encoder.states) == made
+
+
 def test_bpe_equals_the_library(spark):
     import public_tokenizers as P
     import tiktoken
