@@ -320,8 +320,9 @@ def _other_stars(wide: DataFrame, turn: int) -> DataFrame:
 
 def neighbourhoods(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
     """docs: doc, text, skipped (hashes of large buckets). Of the (document, band) that skip too much: sig, doc, c, band,
-    need (distance bound + 1), segment, full (content, or content but for one element)."""
-    types = {"sig": pa.int64(), "doc": pa.int64(), "c": pa.int64(), "band": pa.int32(), "need": pa.int32(), "segment": pa.int64(), "full": pa.bool_(), "lone": pa.bool_()}
+    need (distance bound + 1), segment, full (content, or content but for one element), lone (the segment's only element) and
+    total, what all segments of this document and band are worth."""
+    types = {"sig": pa.int64(), "doc": pa.int64(), "c": pa.int64(), "band": pa.int32(), "need": pa.int32(), "segment": pa.int64(), "full": pa.bool_(), "lone": pa.bool_(), "total": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,6 +337,7 @@ def neighbourhoods(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
                     counts = np.bincount(where.astype(np.int64), minlength=m)
                     total = np.zeros(m, U)
                     total[segment.astype(np.int64)] = content
+                    worth = int(np.minimum(counts, 2).sum())
                     at = np.flatnonzero(counts[where.astype(np.int64)] > 1)
                     less = signature(where[at], total[where[at].astype(np.int64)] - weight[at], band)
                     for sig, seg, whole in ((full, segment, True), (less, where[at], False)):
@@ -343,12 +345,27 @@ def neighbourhoods(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
                         out["segment"].append(seg.astype(np.int64))
                         out["full"].append(np.full(len(sig), whole))
                         out["lone"].append(counts[seg.astype(np.int64)] == 1)
-                        for k, v in (("doc", doc), ("c", c), ("band", band), ("need", bound + 1)):
+                        for k, v in (("doc", doc), ("c", c), ("band", band), ("need", bound + 1), ("total", worth)):
                             out[k].append(np.full(len(sig), v, np.int64))
             if out["sig"]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)).cast(types[k]) for k, v in out.items()], list(types))
 
-    return docs.select("doc", "c", "text", "skipped").mapInArrow(run, "sig long, doc long, c long, band int, need int, segment long, full boolean, lone boolean")
+    return docs.select("doc", "c", "text", "skipped").mapInArrow(run, "sig long, doc long, c long, band int, need int, segment long, full boolean, lone boolean, total int")
+
+
+def shared_neighbourhoods(short: DataFrame, light: int = LIGHT) -> DataFrame:
+    """Of neighbourhoods() those rows whose hash another class has as well, with heavy: whether more than `light` documents
+    have it. Each hash meets its one count, so that no row becomes several, and rows of one document alone become none."""
+    sized = short.groupBy("sig").agg(F.count_distinct("doc").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("full").alias("f")).where("size > 1 and c0 < c1 and f")
+    return short.join(sized.select("sig", (F.col("size") > light).alias("heavy")), "sig")
+
+
+def unserved(short: DataFrame, near: DataFrame) -> DataFrame:
+    """doc: documents of neighbourhoods() with a band whose segments are worth less than it needs. near: of
+    shared_neighbourhoods(); a segment with a heavy hash is worth nothing if that is its content's, and else one."""
+    lost = near.where("heavy").groupBy("doc", "band", "need", "total", "segment").agg(F.max("full").alias("full"), F.max("lone").alias("lone"))
+    lost = lost.groupBy("doc", "band", "need", "total").agg(F.sum(F.when(F.col("full") & ~F.col("lone"), 2).otherwise(1)).alias("lost"))
+    return short.where("total < need").select("doc").union(lost.where("total - lost < need").select("doc")).distinct()
 
 
 def prefixes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame:
@@ -422,18 +439,13 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
     short = written(neighbourhoods(sized_join(ones, asked.select("doc"), "doc", "left_semi").join(asked, "doc"), bands, n), "neighbourhoods")
     drop_written(all_shared)
     if not short.isEmpty():
-        sized = short.groupBy("sig").agg(F.count_distinct("doc").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("full").alias("f")).where("size > 1 and c0 < c1 and f")
-        near = short.join(sized.select("sig", "size"), "sig", "left").withColumn("heavy", F.coalesce(F.col("size") > light, F.lit(False)))
-        near = written(near, "near")
-        cells = near.where("size is not null and not heavy").select("sig", "doc", "c", "full").distinct()
+        near = written(shared_neighbourhoods(short, light), "near")
+        cells = near.where("not heavy").select("sig", "doc", "c", "full").distinct()
         a = cells.where("full").select("sig", F.col("doc").alias("x"), F.col("c").alias("cx"))
         b = cells.select("sig", F.col("doc").alias("y"), F.col("c").alias("cy"))
         found = checked(a.join(b, "sig").where("x <> y and cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         comps, k = classes(comps, k, found)
-        worth = near.groupBy("doc", "band", "need", "segment").agg(F.max(F.col("heavy") & F.col("full")).alias("none"), F.max("heavy").alias("one"), F.max("lone").alias("lone"))
-        worth = worth.withColumn("w", F.when(F.col("none"), 0).when(F.col("one") | F.col("lone"), 1).otherwise(2))
-        hard = worth.groupBy("doc", "band", "need").agg(F.sum("w").alias("w")).where("w < need").select("doc").distinct()
-        hard = written(hard, "hard")
+        hard = written(unserved(short, near), "hard")
         if not hard.isEmpty():
             rest = sized_join(sized_join(ones, hard, "doc", "left_semi"), comps, "doc", "left", k).withColumn("c", F.coalesce("c", "doc"))
             rows = prefixes(rest, percent, n)

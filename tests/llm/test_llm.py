@@ -195,6 +195,44 @@ def test_jaccard_near_the_border(spark, light):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_neighbourhoods_of_one_document_alone_are_not_joined(spark):
+    """Only rows whose hash two classes share pass the join, one each; what bands are worth is as counted row by row."""
+    from collections import Counter, defaultdict
+
+    from telemill.llm.jaccard import LIGHT, MARKS, SPARSE, Bands, index, neighbourhoods, shared_neighbourhoods, unserved
+
+    r, rows = random.Random(6), []
+    words = [f"w{i}" for i in range(60)]
+    for d in range(24):  # ever more words of their own behind those that all have
+        rows.append((d, " ".join(words + [f"d{d}x{r.randrange(10**6)}" for _ in range(d)])))
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    have = [x for x in index(docs, Bands()).collect() if x.sig > SPARSE + MARKS]
+    often, skipped = Counter(x.sig for x in have), defaultdict(list)
+    for x in have:
+        skipped[x.doc] += [x.sig] * (often[x.sig] > LIGHT)
+    asked = spark.createDataFrame([(d, d // 2, t, skipped[d]) for d, t in rows], "doc long, c long, text string, skipped array<long>")
+    short = neighbourhoods(asked, Bands()).cache()
+    every, by = short.collect(), defaultdict(list)
+    for x in every:
+        by[x.sig].append(x)
+    segments, found = defaultdict(list), []
+    for x in every:
+        segments[x.doc, x.band, x.need, x.segment].append(x)
+    for light in (LIGHT, 99):
+        heavy = {k: len({x.doc for x in v}) > light for k, v in by.items() if len({x.doc for x in v}) > 1 and len({x.c for x in v}) > 1 and any(x.full for x in v)}
+        near = shared_neighbourhoods(short, light)
+        got = near.collect()
+        assert sorted((x.sig, x.doc, x.segment, x.full, x.heavy) for x in got) == sorted((x.sig, x.doc, x.segment, x.full, heavy[x.sig]) for x in every if x.sig in heavy)
+        assert 0 < len(got) < len(every)
+        worth = Counter()
+        for k, v in segments.items():
+            hot = [x for x in v if heavy.get(x.sig)]
+            worth[k[:3]] += 0 if any(x.full for x in hot) else 1 if hot or v[0].lone else 2
+        found.append({doc for (doc, _, need), w in worth.items() if w < need})
+        assert {x.doc for x in unserved(short, near).collect()} == found[-1]
+    assert found[1] < found[0]
+
+
 def test_distance_bounds():
     from telemill.llm.jaccard import Bands
 
