@@ -1,20 +1,20 @@
 """Byte-level BPE encoding and decoding by transducers.
 
 Encoding. A token sequence is the BPE encoding of its bytes exactly if every token is, and every two neighbours are
-together, the encoding of their own bytes. The last token of every prefix of a word therefore follows from the last
-tokens of shorter prefixes: it is the one suffix that fits behind the encoding of the rest. The transducer's state is
-what later bytes can still depend on: the token before the first open byte, the open bytes, where the last token
-of each of their prefixes begins, and the places at which a token may still be open. Once all positions at which a token may still be open agree on how what stands
-before them is cut, that part is emitted; so lookahead is bounded by the longest token. States and transitions are
-made when needed for the second time and kept (up to a bound, then begun afresh); what is needed once is walked over the
-open places alone.
+together, the encoding of their own bytes. So the nondeterministic transducer goes from a token to any that begins where
+it ends and fits behind it. It is determinised by looking ahead as far as one token reaches: a state is the token before
+a place and the longest token that begins there, from which all shorter ones follow; it gives the longest of them that
+fits. Where none does, or only one to a place from which no way leads on, the step before is taken back and the next
+shorter token that fits is taken. What fits leads to a place in one way only, so no place is left twice.
+States are made when needed for the second time and kept (up to a bound, then begun afresh): words never seen before run
+through states that other words have made.
 
 Decoding. Token bytes run through a UTF-8 state machine (states: bytes still missing and what the next may be), one
 transition per token, made when first needed; complete characters leave at once, a cut one waits for its rest, and
 malformed bytes become U+FFFD as in Python's own decoder.
 
 Edge cases: null and empty texts give no tokens; a word that is itself a token is that token; repeated rows each get
-their result; texts of any length stream through bounded state; other columns of the input are kept unless the result
+their result; texts have any length; other columns of the input are kept unless the result
 has their name.
 """
 
@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from telemill.llm.pretokens import Memo, Recent, spaced
 
 STATES, FITS = 800_000, 1_000_000
+#: Bytes that are looked up at once where the longest token is looked for.
+AHEAD = 4
 #: Texts between spaces whose tokens are kept, and words within such of several words.
 PIECES, WORDS = 600_000, 200_000
-_BYTES = [bytes([i]) for i in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,7 +52,15 @@ class Encoder:
         self.halves = Memo(lambda t: self._merged(t, 2), len(ranks) + 256)
         self.fits: dict[int, bool] = {}
         self.steps = self._trie()
-        self._restart()
+        #: Of each token its number of bytes, and the longest other token that it begins with (-1: none).
+        self.length = {i: len(t) for i, t in self.tokens.items()}
+        self.shorter = {i: next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ranks), -1) for i, t in self.tokens.items()}
+        self.ahead = Memo(self._begun, STATES)
+        #: The token that a state gives (-1: none), by token before + 1 (0: none) << 32 | longest token ahead. The first
+        #: is that before any token ahead.
+        self.states: dict[int, int] = {-1: -1}
+        #: States that were needed once.
+        self.once: set[int] = set()
 
     def _trie(self) -> dict[int, tuple[int, int]]:
         """What follows a beginning of tokens (0: none) on a byte, by number << 8 | byte: the longer beginning's number, or
@@ -60,21 +69,17 @@ class Encoder:
         number = {b"": 0} | {t: i for i, t in enumerate(sorted(inner), 1)}
         return {number[t[:-1]] << 8 | t[-1]: (number.get(t, -1), self.ranks.get(t, -1)) for t in inner | self.ranks.keys()}
 
-    def _restart(self) -> None:
-        #: Of each state: the token before the first open byte (-1: none), where the last token of each of their prefixes
-        #: begins, which it is, and the places at which a token may be open with the number of its beginning.
-        self.states: list[tuple[int, tuple[int, ...], tuple[int, ...], tuple[tuple[int, int], ...]]] = []
-        self.number: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[int, tuple[int, ...]] | None] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
-        self.start = self._state((-1, (), (), ((0, 0),)))
-
-    def _state(self, state: tuple) -> int:
-        at = self.number.get(state)
-        if at is None:
-            at = self.number[state] = len(self.states)
-            self.states.append(state)
-        return at
+    def _begun(self, data: bytes) -> tuple[int, int]:
+        """The number of these bytes as a beginning of tokens (-1: none begins with them), and the longest token that they
+        begin with."""
+        node, longest = 0, -1
+        for byte in data:
+            node, token = self.steps.get(node << 8 | byte, (-1, -1))
+            if token >= 0:
+                longest = token
+            if node < 0:
+                break
+        return node, longest
 
     def _merged(self, piece: bytes, least_parts: int = 1) -> list[bytes]:
         """The encoding of a few bytes by the merges themselves: lowest rank first, leftmost of equals."""
@@ -124,84 +129,62 @@ class Encoder:
             known = self.fits[key] = self._fits((self.tokens[left] if left >= 0 else b"", self.tokens[right]))
         return known
 
-    @staticmethod
-    def _cuts(begins: list[int] | tuple[int, ...], end: int) -> list[int]:
-        """Where tokens end in the encoding of the first `end` open bytes, from the first."""
-        cuts = []
-        while end > 0:
-            cuts.append(end)
-            end = begins[end - 1]
-        return cuts[::-1]
-
-    def _walk(self, state: tuple, data: bytes) -> tuple[list[int], list[int], list[tuple[int, int]]]:
-        """begins, last tokens and open places after these bytes."""
-        before, begins, last, live = state[0], list(state[1]), list(state[2]), state[3]
-        steps, fits = self.steps, self.fits
-        for byte in data:
-            begin = token = -1
-            still = []
-            for i, node in live:
-                step = steps.get(node << 8 | byte)
-                if step is None:
-                    continue
-                node, t = step
-                if t >= 0 and begin < 0:
-                    left = last[i - 1] if i else before
-                    fit = fits.get(left + 1 << 32 | t)
-                    if self._fit(left, t) if fit is None else fit:
-                        begin, token = i, t
-                if node >= 0:
-                    still.append((i, node))
-            begins.append(begin)
-            last.append(token)
-            if begin >= 0:
-                still.append((len(begins), 0))
-            live = still
-        return begins, last, live
-
-    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before = self.states[at][0]
-        begins, last, live = self._walk(self.states[at], _BYTES[byte])
-        done = live[0][0]  # the last place where the cuts of all that is open agree
-        if done:
-            for i, _ in live[1:]:
-                while i > done:
-                    i = begins[i - 1]
-                while i < done:  # this one is cut earlier
-                    done = begins[done - 1]
-                    while i > done:
-                        i = begins[i - 1]
-        if not done:
-            return self._state((before, tuple(begins), tuple(last), tuple(live))), ()
-        tokens = tuple([last[e - 1] for e in self._cuts(begins, done)])
-        rest = tuple([b - done if b >= done else -1 for b in begins[done:]])
-        return self._state((tokens[-1], rest, tuple(last[done:]), tuple([(i - done, node) for i, node in live]))), tokens
+    def _next(self, left: int, token: int) -> int:
+        """The longest token that fits behind `left`, of this one and those that it begins with (-1: none)."""
+        while token >= 0 and not self._fit(left, token):
+            token = self.shorter[token]
+        return token
+
+    def _made(self, left: int, longest: int) -> int:
+        """What a state that isn't kept gives; kept if it was needed before."""
+        key, token = left + 1 << 32 | longest, self._next(left, longest)
+        if key in self.once:
+            if len(self.states) >= STATES:
+                self.states.clear()
+            self.states[key] = token
+            self.once.discard(key)
+        else:
+            if len(self.once) >= STATES:
+                self.once.clear()
+            self.once.add(key)
+        return token
 
     def word(self, data: bytes) -> tuple[int, ...]:
-        """The token ids of one pre-token. A transition is made when it is needed for the second time: where one is needed
-        for the first time, the rest of the word is walked from the state's open places, which makes no states."""
+        """The token ids of one pre-token."""
         if (whole := self.ranks.get(data)) is not None:
             return (whole,)
-        if len(self.states) > STATES or len(self.moves) > 2 * STATES:
-            self._restart()
-        at, out, moves = self.start, [], self.moves
-        for k, byte in enumerate(data):
-            key = at << 8 | byte
-            move = moves.get(key, 0)
-            if move is None:
-                move = moves[key] = self._move(at, byte)
-            elif move == 0:
-                moves[key] = None
-                begins, last, _ = self._walk(self.states[at], data[k:])
-                return (*out, *[last[e - 1] for e in self._cuts(begins, len(begins))])
-            at = move[0]
-            if move[1]:
-                out += move[1]
-        end = self.ends.get(at)
-        if end is None:
-            _, begins, last, _ = self.states[at]
-            end = self.ends[at] = tuple([last[e - 1] for e in self._cuts(begins, len(begins))])
-        return (*out, *end)
+        steps, length, ahead, states = self.steps, self.length, self.ahead, self.states
+        at, left, n = 0, -1, len(data)
+        out: list[int] = []
+        closed: set[int] | None = None  # places from which no way leads to the end
+        while at < n:
+            node, longest = ahead[data[at : at + AHEAD]]
+            if node >= 0:
+                for i in range(at + AHEAD, n):
+                    step = steps.get(node << 8 | data[i])
+                    if step is None:
+                        break
+                    node, token = step
+                    if token >= 0:
+                        longest = token
+                    if node < 0:
+                        break
+            token = states.get(left + 1 << 32 | longest)
+            if token is None:
+                token = self._made(left, longest)
+            if token < 0 or closed:
+                closed = closed or set()
+                while token < 0 or at + length[token] in closed:
+                    if token < 0:  # back to the place before
+                        closed.add(at)
+                        token = out.pop()
+                        at -= length[token]
+                        left = out[-1] if out else -1
+                    token = self._next(left, self.shorter[token])
+            out.append(token)
+            left = token
+            at += length[token]
+        return tuple(out)
 
 
 def _utf8_step(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
@@ -229,6 +212,8 @@ class Decoder:
         self.pieces = {i: t for t, i in ranks.items()}
         self.states = [self.IDLE]
         self.moves: list[dict[int, int]] = [Memo(lambda i: self._move(0, i), 1 << 60)]
+        #: Tokens of complete characters.
+        self.whole = {i for i in self.pieces if self.moves[0][i] == 0}
 
     def _move(self, at: int, token: int) -> int:
         state = self.states[at]
@@ -246,7 +231,7 @@ class Decoder:
         """The whole text of these ids."""
         at, moves = 0, self.moves
         idle = moves[0]
-        for i in ids:
+        for i in () if self.whole.issuperset(ids) else ids:
             at = idle[i] if at == 0 else moves[at][i]
             if at < 0:  # malformed
                 return "".join(self.stream(ids))
@@ -290,9 +275,13 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
         self.encoder, self.decoder, self.pattern = Encoder(ranks), Decoder(ranks), regex.compile(pattern)
-        self.words = Memo(lambda x: self.encoder.word(x.encode()), WORDS)
+        self.words = Memo(self._word, WORDS)
         self.pieces = Recent(self._piece, PIECES // 2)
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        alone = self.pieces.get(word)
+        return self.encoder.word(word.encode()) if alone is None else alone[0]
+
     def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
         found = self.pattern.findall(piece)
         ids = self.encoder.word(found[0].encode()) if len(found) == 1 else tuple(chain.from_iterable([self.words[x] for x in found]))

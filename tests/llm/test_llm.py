@@ -119,6 +119,28 @@ def test_bpe_makes_states_for_what_recurs():
     assert made > 300 and [c.encoder.word(w.encode()) for w in words] == seen[0] and len(c.encoder.states) == made
 
 
+def test_bpe_new_words_run_through_known_states():
+    """Words of the same syllables, each of them new, need next to no states that other words haven't made."""
+    import public_tokenizers as P
+    import tiktoken
+
+    from telemill.llm.bpe import Codec, read_ranks
+
+    path, r = P.path("byte_bpe_multi_50k.tiktoken"), random.Random(9)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    syllables = ["th", "an", "eux", "ß", "heit", "oi", "ge", "é", "ción", "nd"]
+    words = list({" " + "".join(r.choice(syllables) for _ in range(r.randint(4, 9))) for _ in range(6000)})
+    c = Codec(path, P.PATTERN).encoder
+    for w in words[:4000]:
+        c.word(w.encode())
+    made = len(c.states)
+    assert made < 2000
+    assert all(list(c.word(w.encode())) == e.encode_ordinary(w) for w in words)
+    assert len(c.states) < 1.3 * made
+    dead = ["".join(r.choice("ab\u0301é=- '") for _ in range(r.randint(1, 30))).encode() for _ in range(3000)]  # steps are taken back
+    assert all([c.tokens[i] for i in c.word(d)] == (c._merged(d) if d not in c.ranks else [d]) for d in dead)
+
+
 def test_bpe_equals_the_library(spark):
     import public_tokenizers as P
     import tiktoken
