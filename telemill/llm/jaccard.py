@@ -12,10 +12,12 @@ Which segments serve is allocated by cost:
    Stars round a few other members follow while they still join classes.
 2. Buckets across classes of at most LIGHT sets are compared in full. Larger ones are skipped, as are empty segments: a
    set may skip any segments as long as more of them remain than its distance bound.
-3. Sets that skip more are indexed again, with all one-deletion neighbourhoods of their segments: then a segment that
+3. Of sets that skip more, a row a shingle: those stay that have enough shingles in common with other classes' sets, as
+   links need. These are indexed again, with all one-deletion neighbourhoods of their segments: then a segment that
    serves is worth two (linked sets agree in it but for one element) unless a neighbourhood's bucket is large too.
 4. Sets for which that is not enough either (nearly all their content is common, but links are missing) are indexed
-   by their rarest shingles, as many as a linked partner cannot lack all of; buckets are compared across classes.
+   by their rarest shingles, as many as a linked partner cannot lack all of. Sets of one size with a shingle at one place
+   are as one until it is known which sizes and places leave room for a link; only those are compared, across classes.
 Candidate pairs that sizes or counts in CELLS cells (a lower bound of the distance) don't rule out are verified on the
 words themselves. No bucket is cut short, so no link between different classes
 is lost; links inside a class add nothing to the result and are not looked for.
@@ -302,12 +304,22 @@ def _across(rows: DataFrame) -> DataFrame:
     return a.join(b, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
 
 
+def places(rows: DataFrame, percent: int) -> DataFrame:
+    """sig, na, ata, nb, atb: pairs of a size and a place of prefixes() with a shingle in common and enough room behind it:
+    what linked sets share is no more than the first shingle in common and those that are less rare. However many sets
+    have a shingle, this compares no more than their sizes and places."""
+    held = rows.groupBy("sig", "size", "at").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+    a, b = (held.select("sig", F.col("size").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("c0").alias(f"low{x}"), F.col("c1").alias(f"high{x}")) for x in "ab")
+    once = F.expr("(na < nb or na = nb and ata <= atb) and least(lowa, lowb) < greatest(higha, highb)")
+    room = F.expr(f"(1 + least(na - ata, nb - atb)) * {100 + percent} >= {percent} * (na + nb)")
+    return a.join(b, "sig").where(once & F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & room).select("sig", "na", "ata", "nb", "atb")
+
+
 def _meeting(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of prefixes() across classes that have a shingle in common and enough room behind it: what linked sets
-    share is no more than the first shingle in common and those that are less rare."""
+    """a, b: pairs of prefixes() across classes that have a shingle in common at places()."""
     a, b = (rows.select("sig", F.col("doc").alias(x), F.col("c").alias(f"c{x}"), F.col("at").alias(f"at{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
-    room = F.expr(f"(1 + least(na - ata, nb - atb)) * {100 + percent} >= {percent} * (na + nb)")
-    return a.join(b, "sig").where(F.expr("a < b and ca <> cb") & F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & room).select("a", "b").distinct()
+    both = places(rows, percent).join(a, ["sig", "na", "ata"]).join(b, ["sig", "nb", "atb"]).where("ca <> cb")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _other_stars(wide: DataFrame, turn: int) -> DataFrame:
@@ -318,22 +330,63 @@ def _other_stars(wide: DataFrame, turn: int) -> DataFrame:
     return j.withColumn("r", rank).where("r <= 2").select(F.least("doc", "m.doc").alias("a"), F.greatest("doc", "m.doc").alias("b")).distinct()
 
 
+def _short(s: np.ndarray, skipped: list | None, bands: Bands) -> Iterator[tuple]:
+    """Bands in which a set skips too much: band, segments, distance bound, what dealt() gives and signatures."""
+    large = np.array(skipped or [], np.int64)
+    for band, m, bound in bands.roles(len(s)) if len(s) else ():
+        parts = dealt(s, band, m)
+        full = signature(parts[0], parts[1], band)
+        if (~np.isin(full, large)).sum() <= bound:
+            yield band, m, bound, parts, full
+
+
+def _own(s: np.ndarray) -> int:
+    """A number that tells a document's sets apart."""
+    return int(mix(s, 1).sum(dtype=U).view(np.int64))
+
+
+def elements(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
+    """sig, doc, own, c, size: every shingle of those sets of docs (doc, c, text, skipped: hashes of large buckets) that skip
+    too much in a band. A document with several texts has several sets (own); equal ones count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, sets, held = [], [], 0
+            for i, (s, skipped) in enumerate(zip(shingle_sets(b.column(2), n), b.column(3).to_pylist(), strict=True)):
+                if next(_short(s, skipped, bands), None):
+                    at.append(i)
+                    sets.append(s)
+                    held += len(s)
+                if at and (held > 300_000 or i + 1 == b.num_rows):
+                    size = np.array([len(x) for x in sets])
+                    rows = pa.array(np.repeat(at, size))
+                    own = np.repeat(np.array([_own(x) for x in sets], np.int64), size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), b.column(0).take(rows), pa.array(own), b.column(1).take(rows), pa.array(np.repeat(size, size))], ["sig", "doc", "own", "c", "size"])
+                    at, sets, held = [], [], 0
+
+    return docs.select("doc", "c", "text", "skipped").mapInArrow(run, "sig long, doc long, own long, c long, size long").distinct()
+
+
+def mostly_shared(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of elements() the rows of sets that share as many shingles with other classes as a link to one of these takes:
+    PERCENT / 100 of either set. Each shingle meets one row, so that no row becomes several."""
+    across = rows.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
+    enough = rows.join(across, "sig").groupBy("doc", "own", "size").agg(F.count(F.lit(1)).alias("k")).where(f"100 * k >= {percent} * size")
+    return rows.join(enough.select("doc", "own"), ["doc", "own"], "left_semi")
+
+
 def neighbourhoods(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
-    """docs: doc, text, skipped (hashes of large buckets). Of the (document, band) that skip too much: sig, doc, c, band,
+    """docs: doc, text, skipped (hashes of large buckets). Of the (set, band) that skip too much: sig, doc, own, c, band,
     need (distance bound + 1), segment, full (content, or content but for one element), lone (the segment's only element) and
-    total, what all segments of this document and band are worth."""
-    types = {"sig": pa.int64(), "doc": pa.int64(), "c": pa.int64(), "band": pa.int32(), "need": pa.int32(), "segment": pa.int64(), "full": pa.bool_(), "lone": pa.bool_(), "total": pa.int32()}
+    total, what all segments of this set and band are worth."""
+    types = {"sig": pa.int64(), "doc": pa.int64(), "own": pa.int64(), "c": pa.int64(), "band": pa.int32(), "need": pa.int32(), "segment": pa.int64(), "full": pa.bool_(), "lone": pa.bool_(), "total": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {k: [] for k in types}
             for doc, c, s, skipped in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), n), b.column(3).to_pylist(), strict=True):
-                large = np.array(skipped or [], np.int64)
-                for band, m, bound in bands.roles(len(s)) if len(s) else ():
-                    segment, content, where, weight = dealt(s, band, m)
-                    full = signature(segment, content, band)
-                    if (~np.isin(full, large)).sum() > bound:
-                        continue
+                own = _own(s)
+                for band, m, bound, (segment, content, where, weight), full in _short(s, skipped, bands):
                     counts = np.bincount(where.astype(np.int64), minlength=m)
                     total = np.zeros(m, U)
                     total[segment.astype(np.int64)] = content
@@ -345,12 +398,12 @@ def neighbourhoods(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
                         out["segment"].append(seg.astype(np.int64))
                         out["full"].append(np.full(len(sig), whole))
                         out["lone"].append(counts[seg.astype(np.int64)] == 1)
-                        for k, v in (("doc", doc), ("c", c), ("band", band), ("need", bound + 1), ("total", worth)):
+                        for k, v in (("doc", doc), ("own", own), ("c", c), ("band", band), ("need", bound + 1), ("total", worth)):
                             out[k].append(np.full(len(sig), v, np.int64))
             if out["sig"]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)).cast(types[k]) for k, v in out.items()], list(types))
 
-    return docs.select("doc", "c", "text", "skipped").mapInArrow(run, "sig long, doc long, c long, band int, need int, segment long, full boolean, lone boolean, total int")
+    return docs.select("doc", "c", "text", "skipped").mapInArrow(run, "sig long, doc long, own long, c long, band int, need int, segment long, full boolean, lone boolean, total int")
 
 
 def shared_neighbourhoods(short: DataFrame, light: int = LIGHT) -> DataFrame:
@@ -361,27 +414,17 @@ def shared_neighbourhoods(short: DataFrame, light: int = LIGHT) -> DataFrame:
 
 
 def unserved(short: DataFrame, near: DataFrame) -> DataFrame:
-    """doc: documents of neighbourhoods() with a band whose segments are worth less than it needs. near: of
+    """doc, own: sets of neighbourhoods() with a band whose segments are worth less than it needs. near: of
     shared_neighbourhoods(); a segment with a heavy hash is worth nothing if that is its content's, and else one."""
-    lost = near.where("heavy").groupBy("doc", "band", "need", "total", "segment").agg(F.max("full").alias("full"), F.max("lone").alias("lone"))
-    lost = lost.groupBy("doc", "band", "need", "total").agg(F.sum(F.when(F.col("full") & ~F.col("lone"), 2).otherwise(1)).alias("lost"))
-    return short.where("total < need").select("doc").union(lost.where("total - lost < need").select("doc")).distinct()
+    lost = near.where("heavy").groupBy("doc", "own", "band", "need", "total", "segment").agg(F.max("full").alias("full"), F.max("lone").alias("lone"))
+    lost = lost.groupBy("doc", "own", "band", "need", "total").agg(F.sum(F.when(F.col("full") & ~F.col("lone"), 2).otherwise(1)).alias("lost"))
+    return short.where("total < need").select("doc", "own").union(lost.where("total - lost < need").select("doc", "own")).distinct()
 
 
-def prefixes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame:
-    """sig, doc, c, at (place by rarity), size: of docs (doc, c, text), the rarest shingles, so many that linked sets share
-    one of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(b.column(2), n)]
-            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["sig", "doc", "c"])
-
-    rows = written(docs.select("doc", "c", "text").mapInArrow(run, "sig long, doc long, c long"), "prefixes")
+def prefixes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of elements() the rarest of each set, so many that linked sets share one of them, with at, their place by rarity."""
     often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    ranked = rows.join(often, "sig").withColumns({"at": F.row_number().over(Window.partitionBy("doc").orderBy("n", "sig")), "size": F.count(F.lit(1)).over(Window.partitionBy("doc"))})
+    ranked = rows.join(often, "sig").withColumn("at", F.row_number().over(Window.partitionBy("doc", "own").orderBy("n", "sig")))
     return ranked.where(F.expr(f"at <= size - (({percent} * size + 99) div 100) + 1")).select("sig", "doc", "c", "at", "size")
 
 
@@ -436,9 +479,12 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
     spare = marks.groupBy("doc").agg((F.min("sig") - F.lit(SPARSE)).alias("spare"))
     asked = spare.join(skipped, "doc", "left").where((F.col("spare") == 0) | (F.size("skipped") >= F.col("spare"))).drop("spare")
     asked = written(sized_join(asked, comps, "doc", "left", k).select("doc", F.coalesce("c", "doc").alias("c"), "skipped"), "asked")
-    short = written(neighbourhoods(sized_join(ones, asked.select("doc"), "doc", "left_semi").join(asked, "doc"), bands, n), "neighbourhoods")
+    every = written(elements(sized_join(ones, asked.select("doc"), "doc", "left_semi").join(asked, "doc"), bands, n), "elements")
     drop_written(all_shared)
-    if not short.isEmpty():
+    left = written(mostly_shared(every, percent), "left")
+    if not left.isEmpty():
+        asked = asked.join(left.select("doc").distinct(), "doc", "left_semi")
+        short = written(neighbourhoods(sized_join(ones, asked.select("doc"), "doc", "left_semi").join(asked, "doc"), bands, n), "neighbourhoods")
         near = written(shared_neighbourhoods(short, light), "near")
         cells = near.where("not heavy").select("sig", "doc", "c", "full").distinct()
         a = cells.where("full").select("sig", F.col("doc").alias("x"), F.col("c").alias("cx"))
@@ -447,10 +493,11 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str
         comps, k = classes(comps, k, found)
         hard = written(unserved(short, near), "hard")
         if not hard.isEmpty():
-            rest = sized_join(sized_join(ones, hard, "doc", "left_semi"), comps, "doc", "left", k).withColumn("c", F.coalesce("c", "doc"))
-            rows = prefixes(rest, percent, n)
+            rest = sized_join(left.drop("c").join(hard, ["doc", "own"], "left_semi"), comps, "doc", "left", k).withColumn("c", F.coalesce("c", "doc"))
+            rows = prefixes(rest, percent)
             open_ = rows.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
-            comps, k = classes(comps, k, checked(_meeting(rows.join(open_, "sig"), percent)))
+            rows = written(rows.join(open_, "sig"), "prefixes")
+            comps, k = classes(comps, k, checked(_meeting(rows, percent)))
 
     firsts = copies.groupBy("doc").agg(F.min("first").alias("first"))
     out = sized_join(sets, firsts.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))

@@ -255,6 +255,53 @@ def test_neighbourhoods_of_one_document_alone_are_not_joined(spark):
     assert found[1] < found[0]
 
 
+def test_last_stages_lose_no_link_and_compare_sizes_and_places(spark):
+    """Texts of mostly common words, ids with several texts and equal ones: elements to pairs keep every link; sets without
+    enough common words go first, and pairs of sizes and places don't grow with the number of texts."""
+    from telemill.llm.jaccard import MARKS, SPARSE, Bands, _meeting, elements, exact, index, linked, mostly_shared, places, prefixes
+
+    for seed in range(2):
+        r, shared, rows = random.Random(seed), [f"s{i}" for i in range(14)], []
+        for d in range(14):
+            w = list(shared)
+            for _ in range(r.randint(0, 2)):
+                w.insert(r.randrange(len(w)), f"d{d}x{r.randrange(99)}") if r.random() < 0.5 else w.pop(r.randrange(len(w)))
+            rows.append((d, " ".join(w)))
+            if d % 2:
+                rows.append((d, " ".join(w).upper() if d % 4 == 1 else " ".join(f"q{d}x{i}" for i in range(30))))
+        skipped = [x.sig for x in index(spark.createDataFrame(rows, "doc long, text string"), Bands()).collect() if x.sig > SPARSE + MARKS]
+        asked = spark.createDataFrame([(d, d, t, skipped) for d, t in rows], "doc long, c long, text string, skipped array<long>")
+        every = elements(asked, Bands()).cache()
+        sets = {(d, frozenset(exact(t))) for d, t in rows}
+        assert every.count() == sum(len(x) for _, x in sets)
+        left = mostly_shared(every)
+        many = {(d, x) for d, x in sets if 100 * len({g for g in x if any(g in y for e, y in sets if e != d)}) >= 75 * len(x)}
+        assert left.select("doc", "own").distinct().count() == len(many) < len(sets)
+        got = {(x.a, x.b) for x in _meeting(prefixes(left), 75).collect()}
+        want = {(a, b) for a, x in sets for b, y in sets if a < b and linked(x, y)}
+        assert want and want <= got
+    # the same sizes and places, held by ever more documents
+    one = prefixes(left)
+    more = one.unionByName(one.withColumns({"doc": F.col("doc") + 100, "c": F.col("c") + 100})).unionByName(one.withColumns({"doc": F.col("doc") + 200, "c": F.col("c") + 200}))
+    twice = one.unionByName(one.withColumns({"doc": F.col("doc") + 100, "c": F.col("c") + 100}))
+    assert places(more, 75).count() == places(twice, 75).count() > 0
+
+
+def test_jaccard_of_ids_with_several_texts(spark):
+    """Texts of mostly common words under few ids, all stages at work."""
+    from telemill.llm.jaccard import components
+
+    r, rows, shared = random.Random(3), [], [f"s{i}" for i in range(16)]
+    for d in range(60):
+        for _ in range(r.choice([1, 1, 2])):
+            w = list(shared) + [f"d{d}x{i}" for i in range(r.choice([0, 1, 2, 3, 4, 20]))]
+            for _ in range(r.randint(0, 3)):
+                w.insert(r.randrange(len(w)), f"e{r.randrange(9)}") if r.random() < 0.5 else w.pop(r.randrange(len(w)))
+            rows.append((d, " ".join(w)))
+    got = components(documents(spark, rows, False), light=1)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
 def test_distance_bounds():
     from telemill.llm.jaccard import Bands
 
