@@ -4,14 +4,16 @@ Documents are sets of word shingles; two link when intersection / union is at le
 bands by size, so that linked ones share a band: a set is in the band of its size and in the next lower one, as the
 larger partner. In each band the universe of shingles is dealt to m segments by hash, m exceeding the most elements in
 which linked sets of the band can differ (their distance). By the pigeonhole principle linked sets agree in at least one
-whole segment; the index holds the hash of each set's content in every segment that isn't empty.
+whole segment. Segments that aren't empty are ordered, those with most elements first; linked sets have the first ones in
+which they agree among the first of either, one more than their distance, and as many more as may be skipped. The index
+holds the hash of each set's content in these (its leading segments).
 
 Which segments serve is allocated by cost:
 1. Every segment hash held by several sets is a bucket. All its members are compared with one of them (star pairs);
    what links becomes one class, and buckets within one class are done.
    Stars round a few other members follow while they still join classes.
-2. Buckets across classes of at most LIGHT sets are compared in full. Larger ones are skipped, as are empty segments: a
-   set may skip any segments as long as more of them remain than its distance bound.
+2. Buckets across classes of at most LIGHT sets are compared in full. Larger ones are skipped: a set may skip any of its
+   leading segments as long as more of them remain than its distance bound.
 3. Of sets that skip more, a row a shingle: those stay that have enough shingles in common with other classes' sets, as
    links need. These are indexed again, with all one-deletion neighbourhoods of their segments: then a segment that
    serves is worth two (linked sets agree in it but for one element) unless a neighbourhood's bucket is large too.
@@ -45,13 +47,20 @@ WORDS, PERCENT = 5, 75
 LIGHT = 4
 #: Times that other centres are tried at most.
 TURNS = 6
-#: Instead of a segment's hash, SPARSE + k says that a set has k more segments that hold elements than it can differ in
-#: (0: none more, MARKS: so many or more).
+#: Instead of a segment's hash, SPARSE + k says that a set has k more leading segments than it can differ in (0: none more,
+#: MARKS: so many or more).
 SPARSE, MARKS = -(1 << 63), 1000
 #: Cells in which a set's elements are counted, to rule pairs out.
 CELLS = 256
-#: Bytes of text hashed at a time.
-AT_ONCE = 1 << 20
+#: Bands reach from a size to its largest partner's, that one's largest partner's and so on, so many times: a set is in two
+#: bands only if it is within the first step.
+STEPS = 3
+#: Leading segments that may be skipped, in percent of a band's largest distance.
+SPARE = 12
+#: Counts of elements beyond this are as one in the order of segments.
+TOP = 15
+#: Bytes of text, and texts, hashed at a time.
+AT_ONCE, TEXTS = 1 << 17, 2000
 U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
 _BASE = 0x9FB21C651E98DF25
@@ -59,11 +68,14 @@ _BYTES = np.random.default_rng(2024).integers(0, 1 << 64, 256, dtype=U)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
-def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
+def mix(x: np.ndarray, salt: int | np.ndarray = 0) -> np.ndarray:
     """Scrambled 64-bit numbers."""
-    x = (x ^ U(salt)) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(29))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(32))
+    x = x ^ U(salt)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(29)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(32)
+    return x
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -78,8 +90,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return every(_BASE), every(pow(_BASE, -1, 1 << 64))
 
 
-def _hashed(data: list[bytes], n: int) -> list[np.ndarray]:
-    """The sets of some texts in lower case: words are hashed by prefix sums over all bytes at once."""
+def _hashed(data: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of some texts in lower case, one after the other, and their sizes: words are hashed by prefix sums over all
+    bytes at once."""
     flat = np.frombuffer(b" ".join(data) + b" ", np.uint8)
     powers, inverses = _powers(max(AT_ONCE, 1 << int(len(flat)).bit_length()))
     space = _SPACE[flat]
@@ -91,29 +104,45 @@ def _hashed(data: list[bytes], n: int) -> list[np.ndarray]:
     odd = np.resize(_ODD, n) + (U(2) * (np.arange(n, dtype=U) // U(len(_ODD))))
     grams = h[: max(0, len(h) - n + 1)] * odd[0]
     for i in range(1, n):
-        grams = grams + h[i : len(grams) + i] * odd[i]
+        grams += h[i : len(grams) + i] * odd[i]
     grams = mix(grams)
-    out = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if b - a >= n:
-            s = np.sort(grams[a : b - n + 1])
-            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
-        else:
-            out.append(mix((h[a:b] * (U(2) * np.arange(b - a, dtype=U) + U(3))).sum(dtype=U, keepdims=True), b - a + 1)[: b > a])
-    return out
-
-
-def shingle_sets(texts: list, n: int = WORDS) -> Iterator[np.ndarray]:
-    """The distinct shingles of each text (Arrow strings) as sorted 64-bit hashes."""
+    words = np.diff(cuts)
+    for a, b in zip(cuts[:-1][words >= n].tolist(), (cuts[1:][words >= n] - n + 1).tolist(), strict=True):
+        grams[a:b].sort()
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    new[cuts[:-1][words >= n]] = True
+    for i in range(1, n):  # not across texts
+        at = cuts[1:][words >= i] - i
+        new[at[at < len(new)]] = False
+    upto = np.concatenate([[0], np.cumsum(new)])[np.minimum(cuts, len(new))]
+    sets, size = grams[new], np.diff(upto)
+    few = np.flatnonzero((words > 0) & (words < n))
+    if len(few):
+        whole = [mix((h[cuts[i] : cuts[i + 1]] * (U(2) * np.arange(words[i], dtype=U) + U(3))).sum(dtype=U, keepdims=True), int(words[i]) + 1)[0] for i in few.tolist()]
+        sets = np.insert(sets, upto[few], whole)
+        size[few] = 1
+    return sets, size
+
+
+def shingles(texts: pa.Array, n: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of texts as 64-bit hashes, sorted within each text, and their number by text; some texts at a
+    time."""
     held, size = [], 0
-    for x in texts:
-        held.append((x.as_py() or "").encode().lower())
+    for x in texts.cast(pa.large_binary()):
+        held.append((x.as_py() or b"").lower())
         size += len(held[-1]) + 1
-        if size >= AT_ONCE:
-            yield from _hashed(held, n)
+        if size >= AT_ONCE or len(held) >= TEXTS:
+            yield _hashed(held, n)
             held, size = [], 0
     if held:
-        yield from _hashed(held, n)
+        yield _hashed(held, n)
+
+
+def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes."""
+    for sets, size in shingles(texts, n):
+        yield from np.split(sets, np.cumsum(size)[:-1])
 
 
 def exact(text: str | None, n: int = WORDS) -> set:
@@ -145,7 +174,10 @@ class Bands:
 
     def of(self, n: int) -> int:
         while self.edges[-1] <= n:
-            self.edges.append(self.most(self.edges[-1]) + 1)
+            last = self.edges[-1]
+            for _ in range(STEPS):
+                last = self.most(last)
+            self.edges.append(last + 1)
         return int(np.searchsorted(self.edges, n, "right")) - 1
 
     @lru_cache(4096)  # noqa: B019
@@ -153,9 +185,20 @@ class Bands:
         self.of(self.edges[-1])
         while len(self.edges) < band + 2:
             self.of(self.edges[-1])
+        return -(-115 * (self.largest(band) + 1) // 100) + 1
+
+    def largest(self, band: int) -> int:
+        """The largest distance of a band."""
         a = self.edges[band + 1] - 1
-        return -(-115 * (self.distance(a, self.most(a)) + 1) // 100) + 1
+        return self.distance(a, self.most(a))
+
+    def leading(self, band: int, bound: int) -> int:
+        """How many segments of a set with this distance bound are indexed at most. What it has beyond its bound is the same
+        for all sets of a band: then what one of two linked sets doesn't skip the other has indexed."""
+        self.segments(band)
+        return bound + 1 + -(-SPARE * (self.largest(band) + 1) // 100)
 
+    @lru_cache(1 << 16)  # noqa: B019
     def roles(self, n: int) -> list[tuple[int, int, int]]:
         """(band, segments, distance bound) for a set of n."""
         own = self.of(n)
@@ -175,8 +218,39 @@ def dealt(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.
     return where[first], np.add.reduceat(weight, first), where, weight
 
 
-def signature(segment: np.ndarray, content: np.ndarray, band: int) -> np.ndarray:
-    return np.maximum(mix(content + segment * U(0x9E3779B97F4A7C15), 104729 * band + 1).view(np.int64), SPARSE + MARKS + 1)
+def signature(segment: np.ndarray, content: np.ndarray, band: int | np.ndarray) -> np.ndarray:
+    return np.maximum(mix(content + segment.astype(U) * U(0x9E3779B97F4A7C15), 104729 * band + 1).view(np.int64), SPARSE + MARKS + 1)
+
+
+def first(sizes: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k leading ones of segments in their order: those with most elements, then the first ones."""
+    return np.argsort(np.maximum(TOP - sizes, 0).astype(np.uint16), kind="stable")[:k]
+
+
+def leading(sets: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the leading segments (as first() has them) of some sets in all their bands, and a mark for each band
+    (see SPARSE), with the set's number."""
+    roles = [(i, *x) for i, n in enumerate(size.tolist()) if n for x in bands.roles(n)]
+    if not roles:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    whose, band, m, bound = (np.array(x, np.int64) for x in zip(*roles, strict=True))
+    most = np.array([bands.leading(b, d) for _, b, _, d in roles])
+    n, role = size[whose], np.arange(len(roles))
+    element = np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[whose] - (np.cumsum(n) - n), n)
+    where = mix(sets[element], np.repeat((7919 * band + 13).astype(U), n)) >> U(32)
+    base = np.cumsum(m) - m
+    cell = ((where * np.repeat(m.astype(U), n)) >> U(32)).astype(np.int64) + np.repeat(base, n)
+    counts, content = np.bincount(cell, minlength=int(m.sum())), np.zeros(int(m.sum()), U)
+    np.add.at(content, cell, mix(sets, 0x5851F42D4C957F2D)[element])
+    full = np.flatnonzero(counts)
+    own = np.repeat(role, m)[full]
+    held = np.bincount(own, minlength=len(roles))
+    # at most two bands a set, TEXTS sets: (role, TOP - count) in 16 bits
+    order = np.argsort(((TOP + 1) * own + np.maximum(TOP - counts[full], 0)).astype(np.uint16), kind="stable")
+    order = order[np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held) < most[own]]
+    full, own = full[order], own[order]
+    marks = SPARSE + np.clip(np.minimum(held, most) - bound, 0, MARKS)
+    return np.concatenate([signature(full - base[own], content[full], band[own]), marks]), np.concatenate([whose[own], whose])
 
 
 def _table(columns: dict, types: dict) -> pa.RecordBatch:
@@ -189,29 +263,33 @@ def fingerprints(docs: DataFrame, n: int = WORDS, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, one, two, cells = [], [], [], []
-            for s in shingle_sets(b.column(1), n):
-                size.append(len(s))
-                cells.append(np.minimum(np.bincount((mix(s, 3) >> U(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
-                one.append(int(mix(s, 1).sum(dtype=U).view(np.int64)))
-                two.append(int(mix(s, 2).sum(dtype=U).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in (size, one, two)], pa.array(cells, pa.binary())], ["doc_id", "n_shingles", "__one", "__two", "__cells"])
+            for sets, k in shingles(b.column(1), n):
+                cell = np.repeat(np.arange(len(k)) * CELLS, k) + (mix(sets, 3) >> U(56)).astype(np.int64)
+                cells += np.split(np.minimum(np.bincount(cell, minlength=len(k) * CELLS), 255).astype(np.uint8), len(k))
+                ends = np.cumsum(k)
+                for salt, out in ((1, one), (2, two)):
+                    sums = np.concatenate([[U(0)], np.cumsum(mix(sets, salt), dtype=U)])
+                    out.append((sums[ends] - sums[ends - k]).view(np.int64))
+                size.append(k)
+            if size:
+                numbers = [pa.array(np.concatenate(c), pa.int64()) for c in (size, one, two)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *numbers, pa.array([c.tobytes() for c in cells], pa.binary())], ["doc_id", "n_shingles", "__one", "__two", "__cells"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, __one long, __two long, __cells binary")
 
 
 def index(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
-    """sig, doc: the content hash of every segment of docs (doc, text) that isn't empty, and a mark (see SPARSE) for
-    each band."""
+    """sig, doc: the content hash of every leading segment of docs (doc, text), and a mark (see SPARSE) for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, ids, held = [], [], 0
-            for doc, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), n), strict=True):
-                for band, m, bound in bands.roles(len(s)) if len(s) else ():
-                    segment, content, _, _ = dealt(s, band, m)
-                    sigs += [signature(segment, content, band), np.array([SPARSE + min(max(len(segment) - bound, 0), MARKS)])]
-                    ids.append(np.full(len(segment) + 1, doc, np.int64))
-                    held += len(segment)
+            doc, at, sigs, ids, held = b.column(0).to_numpy(), 0, [], [], 0
+            for sets, size in shingles(b.column(1), n):
+                sig, whose = leading(sets, size, bands)
+                sigs.append(sig)
+                ids.append(doc[at + whose])
+                at += len(size)
+                held += len(sig)
                 if held > 300_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "doc"])
                     sigs, ids, held = [], [], 0
@@ -336,7 +414,8 @@ def _short(s: np.ndarray, skipped: list | None, bands: Bands) -> Iterator[tuple]
     for band, m, bound in bands.roles(len(s)) if len(s) else ():
         parts = dealt(s, band, m)
         full = signature(parts[0], parts[1], band)
-        if (~np.isin(full, large)).sum() <= bound:
+        indexed = full[first(np.bincount(parts[2].astype(np.int64), minlength=m)[parts[0].astype(np.int64)], bands.leading(band, bound))]
+        if (~np.isin(indexed, large)).sum() <= bound:
             yield band, m, bound, parts, full
 
 

@@ -317,6 +317,69 @@ def test_distance_bounds():
             assert any(m > x + y - 2 * least and h >= x + y - 2 * least and roles[k][1] >= x + y - 2 * least for k, m, h in both)
 
 
+def varied(seed, n, least=1, most=400):
+    """Sets of shingles as texts, every other one with some words of the one before replaced, dropped or doubled."""
+    r, out = random.Random(seed), []
+    for i in range(n):
+        if i % 2:
+            w = out[-1].split()
+            for _ in range(r.randint(0, 1 + len(w) // 40)):
+                k = r.randrange(len(w))
+                w[k : k + 1] = r.choice([[f"e{r.randrange(9)}"], [], [w[k]] * 2])
+            out.append(" ".join(w))
+        else:
+            out.append(" ".join(f"w{i}x{r.randrange(10**6)}" for _ in range(r.randint(least, most))))
+    return out
+
+
+def test_index_holds_few_rows_a_shingle(spark):
+    """At most 0.6 rows a shingle: 0.75 before only leading segments were indexed and bands were wider."""
+    from telemill.llm.jaccard import Bands, exact, index
+
+    r = random.Random(8)
+    texts = [" ".join(f"w{i}x{r.randrange(10**6)}" for _ in range(int(60 * 1.06**i))) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    total, rows = sum(len(exact(t)) for t in texts), index(docs, Bands()).count()
+    assert 0.3 * total < rows < 0.6 * total
+
+
+def test_leading_segments_meet_whatever_is_skipped():
+    """Linked sets have an indexed segment in common that isn't skipped, if one of them isn't short; alone and among
+    others, a set has the same segments."""
+    import numpy as np
+    import pyarrow as pa
+
+    from telemill.llm.jaccard import MARKS, SPARSE, Bands, _short, exact, leading, linked, shingle_sets, shingles
+
+    texts, bands, n = varied(4, 1200), Bands(), 0
+    sets = list(shingle_sets(pa.array(texts)))
+    assert [len(s) for s in sets] == [len(exact(t)) for t in texts]
+    found = []
+    for s in sets:
+        sig, _ = leading(s, np.array([len(s)]), bands)
+        found.append({x for x in sig.tolist() if x > SPARSE + MARKS})
+    at, every = 0, [set() for _ in texts]
+    for flat, size in shingles(pa.array(texts)):
+        for x, i in zip(*(v.tolist() for v in leading(flat, size, bands)), strict=True):
+            every[at + i] |= {x} - set(range(SPARSE, SPARSE + MARKS + 1))
+        at += len(size)
+    assert found == every and at == len(texts)
+    r, served = random.Random(5), 0
+    for i in range(0, len(texts), 2):
+        if linked(exact(texts[i]), exact(texts[i + 1])):
+            n += 1
+            common = found[i] & found[i + 1]
+            assert common
+            for share in (0.1, 0.5, 0.9):
+                skipped = r.sample(sorted(common), int(share * len(common)))
+                short = [{x[0] for x in _short(s, skipped, bands)} for s in sets[i : i + 2]]
+                roles = [{x[0] for x in bands.roles(len(s))} for s in sets[i : i + 2]]
+                if (roles[0] & roles[1]) - (short[0] & short[1]):
+                    served += 1
+                    assert common - set(skipped)
+    assert n > 100 and served > 100
+
+
 # -- WARC
 
 
