@@ -33,6 +33,13 @@ def past(a, b) -> Column:
     return F.greatest(_c(a) - _c(b), F.lit(0))
 
 
+def held(start: int, n, unit: int) -> Column:
+    """start + n * unit as a long; beyond a long's ends (as ns: the years 1677 and 2262) the end itself."""
+    whole = F.lit(start).cast("decimal(20,0)") + _c(n).cast("decimal(19,0)") * F.lit(unit).cast("decimal(15,0)")
+    ends = [F.lit(x).cast("decimal(20,0)") for x in (-(1 << 63), (1 << 63) - 1)]
+    return F.when(_c(n).isNotNull(), F.least(F.greatest(whole, ends[0]), ends[1]).cast("long"))
+
+
 def event_hour(ns) -> Column:
     return F.expr(f"({ns} div {HOUR}) % 24") if isinstance(ns, str) else F.floor(ns / F.lit(HOUR)) % 24
 

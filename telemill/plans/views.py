@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.functions.scalars import DAY, SECOND
+from telemill.functions.scalars import DAY, SECOND, held
 
 GAP = 600 * SECOND
 EPOCH = 788918400 * SECOND
@@ -78,7 +78,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     o = _table(spark, d, "orders").withColumn("first_seen", _ns("o_orderdate"))
     s = o.selectExpr("concat('s', o_orderkey) as id", "if(o_orderkey % 30 = 0, null, concat('10.0.', o_custkey % 20, '.', o_orderkey % 50, '.443')) as foreign_addr", "cast(floor(o_totalprice) as bigint) as rx", "if(o_orderkey % 9 = 0, null, o_orderkey % 1000) as tx", "o_custkey as pid_at_open", "concat('c', o_custkey % 50) as process_name", "first_seen", f"first_seen + (o_orderkey % 5) * {DAY} as last_seen")
     g = _table(spark, d, "part").groupBy("p_brand").agg(F.sum("p_size").alias("query_count"), F.min("p_partkey").alias("a"), F.max("p_partkey").alias("b"))
-    m = g.selectExpr("concat(lower(p_brand), '.example') as id", "query_count", "a % 4 = 0 as masked", f"{EPOCH} + a * {DAY} as first_seen", f"{EPOCH} + b * {DAY} as last_seen")
+    m = g.select(F.expr("concat(lower(p_brand), '.example') as id"), "query_count", F.expr("a % 4 = 0 as masked"), held(EPOCH, "a", DAY).alias("first_seen"), held(EPOCH, "b", DAY).alias("last_seen"))
     n = p.groupBy("c_nationkey").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).join(_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     a = n.selectExpr("concat('app', n_nationkey) as id", "if(n_nationkey % 5 = 0, null, n_name) as name", "first_seen", "last_seen")
     return _as_nodes(p, "process").union(_as_nodes(s, "socket")).union(_as_nodes(m, "domain")).union(_as_nodes(a, "app"))
