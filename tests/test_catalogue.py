@@ -73,3 +73,8 @@ def test_pruning_beyond_the_last_time(spark, far_tables):
     """Too old are the process of customer 50, two sockets and C; edges from or to them; two orders."""
     got = [tuple(r) for r in registry.queries()["prune_report"](spark, far_tables).collect()]
     assert got == [(4, 5, 2)] == wide("prune_report", far_tables).fetchall()
+
+
+def test_summary_beyond_the_last_time(spark, far_tables):
+    got = sorted(tuple(r) for r in registry.queries()["store_summary"](spark, far_tables).collect())
+    assert got == sorted(wide("store_summary", far_tables).fetchall()) and {("span", "first", V.EPOCH), ("span", "last", END), ("nodes", "domain", 3)} <= set(got)
