@@ -78,3 +78,8 @@ def test_pruning_beyond_the_last_time(spark, far_tables):
 def test_summary_beyond_the_last_time(spark, far_tables):
     got = sorted(tuple(r) for r in registry.queries()["store_summary"](spark, far_tables).collect())
     assert got == sorted(wide("store_summary", far_tables).fetchall()) and {("span", "first", V.EPOCH), ("span", "last", END), ("nodes", "domain", 3)} <= set(got)
+
+
+def test_window_edges_beyond_the_last_time(spark, far_tables):
+    got = sorted(tuple(r) for r in registry.queries()["window_edges"](spark, far_tables).collect())
+    assert got == sorted(wide("window_edges", far_tables).fetchall()) and ("queried_domain", "5:0", "a.example") in got
