@@ -83,3 +83,9 @@ def test_summary_beyond_the_last_time(spark, far_tables):
 def test_window_edges_beyond_the_last_time(spark, far_tables):
     got = sorted(tuple(r) for r in registry.queries()["window_edges"](spark, far_tables).collect())
     assert got == sorted(wide("window_edges", far_tables).fetchall()) and ("queried_domain", "5:0", "a.example") in got
+
+
+def test_window_nodes_beyond_the_last_time(spark, far_tables):
+    """A domain whose first time is beyond the last one isn't in the window, one whose last time is may be."""
+    got = sorted(tuple(r) for r in registry.queries()["window_nodes"](spark, far_tables).collect())
+    assert got == sorted(wide("window_nodes", far_tables).fetchall()) and [i for k, i in got if k == "domain"] == ["a.example"]
